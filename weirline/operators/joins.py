@@ -1,0 +1,22 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest reference table (rows) that is broadcast explicitly.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its size.
+
+    Used for reference tables (regions, dam types) that are small by nature
+    but whose size is not known at plan time.  The check is a count of at most
+    ``max_rows + 1`` rows; above the bound the frame is returned as is and the
+    join falls back to a shuffle join (which AQE may still convert at run time
+    from measured shuffle sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The workload is batch only: no source is read as a stream and no operator
+keeps state across micro-batches (no watermark, window or stateful step), so
+there is nothing to run on Structured Streaming.  Readings are a batch table
+partitioned by date; an incremental load appends new date partitions and the
+monitoring operators read them like any other table.
+"""
