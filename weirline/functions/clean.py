@@ -39,12 +39,9 @@ READER_NULL_TOKENS = [
     "nan", "null",
 ]
 
-# The characters Python's str.strip() removes (str.isspace), as a regex class
-# that Java (Spark) and RE2 (DuckDB) read the same way.
-PY_SPACE = (
-    r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+# The characters Python's str.strip() removes: every code point for which
+# str.isspace() holds (derived from the rule, not listed by hand).
+PY_SPACE_CHARS = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 # decimal literal without thousands separators, exponent allowed
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # plain integer literal
@@ -56,12 +53,19 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes Unicode white space at both ends."""
-    return F.regexp_replace(_col(c), rf"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    """Python ``str.strip()``: removes Unicode white space at both ends
+    (a character-set trim, no regular expression)."""
+    return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def parse_number(c) -> Column:
-    """Text -> double; NULL when the stripped text is not a decimal literal."""
+    """Text -> double; NULL when the stripped text is not a decimal literal.
+
+    Functions that use the parsed value more than once take it as an already
+    parsed column (see ``nonneg``), so callers can parse once per row in an
+    earlier projection: Spark does not share a sub-expression between the
+    condition and the value of a CASE WHEN.
+    """
     s = py_strip(c)
     return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
 
@@ -76,21 +80,22 @@ def parse_integer(c) -> Column:
     return F.when(s.rlike(INTEGER_PATTERN), s.try_cast("bigint"))
 
 
-def sentinel_float(c) -> Column:
-    """Registry measure: unparsable, -99 or any negative -> NULL; 0 is kept."""
-    d = parse_number(c)
+# -- rules on parsed values -------------------------------------------------
+def nonneg(d) -> Column:
+    """Parsed measure: -99 and any negative -> NULL; 0 is kept."""
+    d = _col(d)
     return F.when(d >= 0, d)
 
 
-def registry_year(c) -> Column:
-    """Registry year: integer text within 1800..2050, else NULL."""
-    i = parse_integer(c)
-    return F.when(i.between(REGISTRY_YEAR_MIN, REGISTRY_YEAR_MAX), i.cast("int"))
+def year_between(i, lo: int, hi: int) -> Column:
+    """Parsed year -> int when within [lo, hi], else NULL."""
+    i = _col(i)
+    return F.when(i.between(lo, hi), i.cast("int"))
 
 
-def quality_score(c) -> Column:
-    """Quality code -> score as decimal(3,2); 0.5 for anything not in the table."""
-    i = parse_integer(c)
+def score_from_code(i) -> Column:
+    """Parsed quality code -> score as decimal(3,2); 0.5 for any other code."""
+    i = _col(i)
     expr = None
     for code, score in QUALITY_SCORES.items():
         expr = (F.when(i == code, F.lit(score)) if expr is None
@@ -98,12 +103,43 @@ def quality_score(c) -> Column:
     return expr.otherwise(F.lit(QUALITY_DEFAULT)).cast("decimal(3,2)")
 
 
+def coordinate(d, as_written: bool = False) -> Column:
+    """Parsed coordinate: -99 -> NULL, negatives kept (or dropped, as written)."""
+    d = _col(d)
+    return F.when(d >= 0, d) if as_written else F.when(d != SENTINEL, d)
+
+
+def year_rounded(d, lo: int | None = None, hi: int | None = None) -> Column:
+    """Parsed metadata number -> non-negative, optionally within [lo, hi],
+    rounded half up to int (a stored INTEGER rounds, a Spark cast truncates)."""
+    d = _col(d)
+    ok = d >= 0
+    if lo is not None:
+        ok = ok & d.between(lo, hi)
+    return F.when(ok, F.round(d).cast("int"))
+
+
+# -- single-column forms (parse + rule) ------------------------------------
+def sentinel_float(c) -> Column:
+    """Registry measure: unparsable, -99 or any negative -> NULL; 0 is kept."""
+    return nonneg(parse_number(c))
+
+
+def registry_year(c) -> Column:
+    """Registry year: integer text within 1800..2050, else NULL."""
+    return year_between(parse_integer(c), REGISTRY_YEAR_MIN, REGISTRY_YEAR_MAX)
+
+
+def quality_score(c) -> Column:
+    """Quality code -> score as decimal(3,2); 0.5 for anything not in the table."""
+    return score_from_code(parse_integer(c))
+
+
 def display_name(dam_name, reservoir_name, alt_name, near_city) -> Column:
     """First non-blank of dam, reservoir, alternative name (stripped), else
     ``'Dam near ' + city`` (city as is, ``'Unknown'`` when missing)."""
     def nonblank(c):
-        s = py_strip(c)
-        return F.when(s != "", s)
+        return F.nullif(py_strip(c), F.lit(""))
 
     return F.coalesce(
         nonblank(dam_name), nonblank(reservoir_name), nonblank(alt_name),
@@ -118,8 +154,7 @@ def country_code(c) -> Column:
 
 def enrichment_measure(c) -> Column:
     """Metadata measure: numeric, -99 and negatives -> NULL."""
-    d = parse_number(c)
-    return F.when(d >= 0, d)
+    return nonneg(parse_number(c))
 
 
 def enrichment_coordinate(c, as_written: bool = False) -> Column:
@@ -129,20 +164,17 @@ def enrichment_coordinate(c, as_written: bool = False) -> Column:
     non-negative rule on coordinates too and so loses the western and southern
     hemispheres.
     """
-    d = parse_number(c)
-    return F.when(d >= 0, d) if as_written else F.when(d != SENTINEL, d)
+    return coordinate(parse_number(c), as_written)
 
 
 def enrichment_year(c) -> Column:
     """Metadata year: numeric, non-negative and within 1800..2024, rounded to int."""
-    d = enrichment_measure(c)
-    return F.when(d.between(ENRICHMENT_YEAR_MIN, ENRICHMENT_YEAR_MAX), F.round(d).cast("int"))
+    return year_rounded(parse_number(c), ENRICHMENT_YEAR_MIN, ENRICHMENT_YEAR_MAX)
 
 
 def enrichment_int(c) -> Column:
     """Metadata integer without a range rule (pre-construction year)."""
-    d = enrichment_measure(c)
-    return F.round(d).cast("int")
+    return year_rounded(parse_number(c))
 
 
 def clean_text(c, tokens=None) -> Column:

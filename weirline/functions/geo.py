@@ -31,9 +31,8 @@ def point_from_wkt(wkt) -> Column:
     """``'POINT (x y)'`` -> struct(x, y); anything else -> NULL."""
     pat = rf"^\s*POINT\s*\(\s*({_NUM})\s+({_NUM})\s*\)\s*$"
     w = _col(wkt)
-    ok = w.rlike(pat)
     return F.when(
-        ok,
+        w.rlike(pat),
         point(F.regexp_extract(w, pat, 1).try_cast("double"), F.regexp_extract(w, pat, 2).try_cast("double")),
     )
 
@@ -64,17 +63,19 @@ def polygon_from_wkt(wkt) -> Column:
     )
 
 
-def _ring_terms(ring: Column) -> Column:
-    """Per ring: signed area a, centroid numerators (cx, cy), length l, and
-    length-weighted midpoint sums (mx, my) over the closed ring."""
+def _oriented_terms(ring: Column, i: Column) -> Column:
+    """One pass over a closed ring: twice its signed area ``a``, the centroid
+    numerators ``cx, cy``, its length ``l`` and the length-weighted midpoint
+    sums ``mx, my``.  The finish step normalises the winding: the shell (ring
+    0) counts positive and holes negative, whatever their orientation."""
     idx = F.sequence(F.lit(0), F.size(ring) - 2)
     zero = F.struct(
         F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"),
         F.lit(0.0).alias("l"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"),
     )
 
-    def step(acc, i):
-        p, q = ring[i], ring[i + 1]
+    def step(acc, k):
+        p, q = ring[k], ring[k + 1]
         cross = p["x"] * q["y"] - q["x"] * p["y"]
         seg = F.sqrt((q["x"] - p["x"]) ** 2 + (q["y"] - p["y"]) ** 2)
         return F.struct(
@@ -86,37 +87,34 @@ def _ring_terms(ring: Column) -> Column:
             (acc["my"] + seg * (p["y"] + q["y"]) / 2).alias("my"),
         )
 
-    return F.when(F.size(ring) >= 2, F.aggregate(idx, zero, step)).otherwise(zero)
+    def finish(t):
+        s = F.when(i == 0, F.signum(t["a"])).otherwise(-F.signum(t["a"]))
+        return F.struct((t["a"] * s).alias("a"), (t["cx"] * s).alias("cx"), (t["cy"] * s).alias("cy"),
+                        t["l"].alias("l"), t["mx"].alias("mx"), t["my"].alias("my"))
 
+    return F.when(F.size(ring) >= 2, F.aggregate(idx, zero, step, finish)).otherwise(zero)
 
-def polygon_centroid(rings) -> Column:
-    """Planar area centroid of a polygon with holes (holes subtract).
 
-    A polygon of zero area falls back to the length-weighted centroid of its
-    rings, and a polygon of zero length to its first vertex, as GEOS does.
-    """
+def polygon_totals(rings) -> Column:
+    """Sums over all rings: twice the signed area, the centroid numerators and
+    the length-weighted midpoint sums (one pass over the vertices)."""
     rings = _col(rings)
-    terms = F.transform(rings, _ring_terms)
-    shell_sign = F.signum(terms[0]["a"])
-
-    def oriented(t, i):
-        # shell counted positive, holes negative, whatever their winding
-        s = F.when(i == 0, shell_sign).otherwise(-F.signum(t["a"]))
-        return F.struct((t["a"] * s).alias("a"), (t["cx"] * s).alias("cx"), (t["cy"] * s).alias("cy"),
-                        t["l"].alias("l"), t["mx"].alias("mx"), t["my"].alias("my"))
-
-    o = F.transform(terms, oriented)
-    tot = F.aggregate(
-        o,
-        F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"),
-                 F.lit(0.0).alias("l"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")),
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"),
+                    F.lit(0.0).alias("l"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+    return F.aggregate(
+        F.transform(rings, _oriented_terms), zero,
         lambda acc, t: F.struct(
             (acc["a"] + t["a"]).alias("a"), (acc["cx"] + t["cx"]).alias("cx"), (acc["cy"] + t["cy"]).alias("cy"),
             (acc["l"] + t["l"]).alias("l"), (acc["mx"] + t["mx"]).alias("mx"), (acc["my"] + t["my"]).alias("my"),
         ),
     )
-    area2 = tot["a"]  # twice the area
-    first = rings[0][0]
+
+
+def centroid_from_totals(tot, rings) -> Column:
+    """Area centroid; a polygon of zero area falls back to the length-weighted
+    centroid of its rings and one of zero length to its first vertex (as GEOS)."""
+    tot, rings = _col(tot), _col(rings)
+    area2, first = tot["a"], rings[0][0]
     return F.when(rings.isNull() | (F.size(rings) == 0), F.lit(None)).otherwise(
         F.when(area2 != 0, point(tot["cx"] / (3 * area2), tot["cy"] / (3 * area2)))
         .when(tot["l"] > 0, point(tot["mx"] / tot["l"], tot["my"] / tot["l"]))
@@ -124,6 +122,19 @@ def polygon_centroid(rings) -> Column:
     )
 
 
+def with_polygon_centroid(df, wkt_col: str, out_col: str):
+    """Add ``out_col`` = area centroid of the WKT polygon in ``wkt_col``.
+
+    Built in stages (rings, then totals, then the point) so each stage is
+    evaluated once per row: the optimizer does not inline a costly expression
+    that a later projection references several times.
+    """
+    return (df.withColumn("_poly_rings", polygon_from_wkt(F.col(wkt_col)))
+            .withColumn("_poly_tot", polygon_totals(F.col("_poly_rings")))
+            .withColumn(out_col, centroid_from_totals(F.col("_poly_tot"), F.col("_poly_rings")))
+            .drop("_poly_rings", "_poly_tot"))
+
+
 def mercator_xy(lon, lat) -> Column:
     """EPSG:4326 -> EPSG:3857 (metres); NULL at the poles."""
     lon, lat = _col(lon).cast("double"), _col(lat).cast("double")

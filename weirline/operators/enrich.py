@@ -34,18 +34,23 @@ def select_fields(raw: DataFrame) -> tuple[DataFrame, dict, list]:
     return raw.select(*[F.col(s).alias(t) for s, t in present.items()]), present, missing
 
 
+_NUMERIC = set(ENRICHMENT_MEASURES) | set(ENRICHMENT_COORDINATES) | {"construction_year_gdw",
+                                                                       "pre_construction_year"}
+
+
 def clean_rules(df: DataFrame, coords_as_written: bool = False) -> dict[str, Column]:
-    """Column -> cleaned expression for each enrichment column present in ``df``."""
+    """Column -> cleaning rule, for the columns of ``df``.  Numeric columns are
+    expected already parsed to double (see :func:`clean_enrichment`)."""
     rules: dict[str, Column] = {}
     for c in df.columns:
         if c in ENRICHMENT_MEASURES:
-            rules[c] = clean.enrichment_measure(c)
+            rules[c] = clean.nonneg(c)
         elif c in ENRICHMENT_COORDINATES:
-            rules[c] = clean.enrichment_coordinate(c, as_written=coords_as_written)
+            rules[c] = clean.coordinate(c, as_written=coords_as_written)
         elif c == "construction_year_gdw":
-            rules[c] = clean.enrichment_year(c)
+            rules[c] = clean.year_rounded(c, clean.ENRICHMENT_YEAR_MIN, clean.ENRICHMENT_YEAR_MAX)
         elif c == "pre_construction_year":
-            rules[c] = clean.enrichment_int(c)
+            rules[c] = clean.year_rounded(c)
         elif c in ENRICHMENT_TEXT:
             rules[c] = clean.clean_text(c)
         elif c in ENRICHMENT_FLAGS:
@@ -60,13 +65,17 @@ def clean_rules(df: DataFrame, coords_as_written: bool = False) -> dict[str, Col
 def clean_enrichment(selected: DataFrame, coords_as_written: bool = False) -> DataFrame:
     """Apply the cleaning rules and store with the enrichment column types.
 
-    Decimal casts are ANSI casts: a value that does not fit its DECIMAL(p,s)
-    fails the job, as it fails the insert in the original schema.
+    First projection: numeric text -> double, parsed once.  Second: the rules
+    and the stored types.  Decimal casts are ANSI casts: a value that does not
+    fit its DECIMAL(p,s) fails the job, as it fails the insert in the original
+    schema.
     """
-    rules = clean_rules(selected, coords_as_written)
-    return selected.select(*[
+    parsed = selected.select(*[clean.parse_number(c).alias(c) if c in _NUMERIC else F.col(c)
+                               for c in selected.columns])
+    rules = clean_rules(parsed, coords_as_written)
+    return parsed.select(*[
         rules[c].cast(ENRICHMENT_TYPES[c]).alias(c) if c in ENRICHMENT_TYPES else rules[c].alias(c)
-        for c in selected.columns
+        for c in parsed.columns
     ])
 
 

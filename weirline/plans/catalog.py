@@ -81,9 +81,8 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "load_barriers": lambda w: _reg(w.barriers),
         "load_reservoirs": lambda w: _reg(w.reservoirs),
         "registry_append": lambda w: _reg(w.registry),
-        "polygon_centroid": lambda w: flat(w.raw_reservoirs.select(
-            F.col("GDW_ID").cast("bigint").alias("gdw_id"),
-            geo.polygon_centroid(geo.polygon_from_wkt("geometry")).alias("centroid"))),
+        "polygon_centroid": lambda w: flat(geo.with_polygon_centroid(w.raw_reservoirs, "geometry", "centroid")
+                                           .select(F.col("GDW_ID").cast("bigint").alias("gdw_id"), "centroid")),
         # ---------------------------------------------- projections / cleaning
         "select_fields": lambda w: enrich.select_fields(w.raw_metadata)[0],
         "dam_name_fallback": lambda w: w.raw_barriers.select(

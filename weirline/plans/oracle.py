@@ -18,11 +18,11 @@ from weirline.operators import analysis as A
 from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS
 from weirline.sources.fixtures import fixture_sql
 
-WS = clean.PY_SPACE
+WS = clean.PY_SPACE_CHARS
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({x}, '{WS}')"
 
 
 def _num(x: str) -> str:

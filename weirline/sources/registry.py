@@ -15,15 +15,38 @@ from weirline.functions import clean, geo
 from weirline.schemas import DAMS_DECIMALS, METADATA_SOURCE_FIELDS
 
 
+# Registry measure columns of ``dams`` and their source attribute.
+REGISTRY_MEASURES = {
+    "height_meters": "DAM_HGT_M",
+    "length_meters": "DAM_LEN_M",
+    "elevation_masl": "ELEV_MASL",
+    "normal_capacity_mcm": "CAP_MCM",
+    "catchment_area_km2": "CATCH_SKM",
+    "reservoir_surface_area_km2": "AREA_SKM",
+    "installed_capacity_mw": "POWER_MW",
+}
+
+
 def map_registry(raw: DataFrame, geometry: Column, *, id_prefix: str, source: str,
                  loaded_at: str) -> DataFrame:
     """Map one registry layer to the ``dams`` columns.
 
+    Two projections: the first parses every numeric text once, the second
+    applies the rules to the parsed values (a rule such as "NULL unless >= 0"
+    reads its input twice, and an unparsed input would be parsed twice).
     ``loaded_at`` is the load timestamp (``created_at``/``updated_at``/
     ``last_verified``); it is a parameter so that reruns give identical rows.
     """
+    parsed = raw.select(
+        "GDW_ID", "DAM_NAME", "RES_NAME", "ALT_NAME", "NEAR_CITY", "COUNTRY", "ADMIN_UNIT", "MAIN_USE",
+        geometry.alias("_geom"),
+        *[clean.parse_number(src).alias(f"_n_{dst}") for dst, src in REGISTRY_MEASURES.items()],
+        clean.parse_integer("YEAR_DAM").alias("_year"),
+        clean.parse_integer("QUALITY").alias("_quality"),
+    )
     ts = F.lit(loaded_at).cast("timestamp_ntz")
-    cols = [
+    measure = {dst: clean.nonneg(f"_n_{dst}").cast(DAMS_DECIMALS[dst]).alias(dst) for dst in REGISTRY_MEASURES}
+    return parsed.select(
         F.concat(F.lit(id_prefix), F.col("GDW_ID").cast("string")).alias("dam_id"),
         F.col("GDW_ID").cast("bigint").alias("gdw_id"),
         F.lit(source).alias("source"),
@@ -32,28 +55,18 @@ def map_registry(raw: DataFrame, geometry: Column, *, id_prefix: str, source: st
         clean.country_code("COUNTRY").alias("country_code"),
         F.col("ADMIN_UNIT").alias("province_state"),
         F.col("NEAR_CITY").alias("nearest_city"),
-        geometry.alias("coordinates"),
-        clean.registry_year("YEAR_DAM").alias("construction_year"),
-        clean.sentinel_float("DAM_HGT_M").alias("height_meters"),
-        clean.sentinel_float("DAM_LEN_M").alias("length_meters"),
-        clean.sentinel_float("ELEV_MASL").alias("elevation_masl"),
+        F.col("_geom").alias("coordinates"),
+        clean.year_between("_year", clean.REGISTRY_YEAR_MIN, clean.REGISTRY_YEAR_MAX).alias("construction_year"),
+        measure["height_meters"], measure["length_meters"], measure["elevation_masl"],
         F.col("RES_NAME").alias("reservoir_name"),
-        clean.sentinel_float("CAP_MCM").alias("normal_capacity_mcm"),
-        clean.sentinel_float("CATCH_SKM").alias("catchment_area_km2"),
-        clean.sentinel_float("AREA_SKM").alias("reservoir_surface_area_km2"),
+        measure["normal_capacity_mcm"], measure["catchment_area_km2"], measure["reservoir_surface_area_km2"],
         F.col("MAIN_USE").alias("primary_purpose"),
-        clean.sentinel_float("POWER_MW").alias("installed_capacity_mw"),
-        clean.quality_score("QUALITY").alias("data_quality_score"),
+        measure["installed_capacity_mw"],
+        clean.score_from_code("_quality").alias("data_quality_score"),
         ts.alias("last_verified"),
         ts.alias("created_at"),
         ts.alias("updated_at"),
-    ]
-    out = raw.select(*cols)
-    # store measures with the column types of the dams table
-    return out.select(*[
-        F.col(c).cast(DAMS_DECIMALS[c]).alias(c) if c in DAMS_DECIMALS else F.col(c)
-        for c in out.columns
-    ])
+    )
 
 
 def load_barriers(raw: DataFrame, loaded_at: str) -> DataFrame:
@@ -64,8 +77,8 @@ def load_barriers(raw: DataFrame, loaded_at: str) -> DataFrame:
 
 def load_reservoirs(raw: DataFrame, loaded_at: str) -> DataFrame:
     """Reservoir layer: the WKT polygon is replaced by its area centroid."""
-    centroid = geo.polygon_centroid(geo.polygon_from_wkt(F.col("geometry")))
-    return map_registry(raw, centroid, id_prefix="R", source="reservoir", loaded_at=loaded_at)
+    staged = geo.with_polygon_centroid(raw, "geometry", "_centroid")
+    return map_registry(staged, F.col("_centroid"), id_prefix="R", source="reservoir", loaded_at=loaded_at)
 
 
 def registry_append(*layers: DataFrame) -> DataFrame:
