@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirline.operators import analysis, audit, enrich, monitoring, purge, spatial
+import uuid
+
 from weirline.functions import clean, geo
-from weirline.plans.workspace import RUN_TS, Workspace
+from weirline.operators import analysis, audit, enrich, monitoring, purge, spatial
+from weirline.plans import jobs
+from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS, Workspace
+from weirline.session import scratch_path
+from weirline.sources import sinks
+from weirline.sources.registry import read_metadata_csv
 from weirline.schemas import DAMS_LENGTH_LIMITS, METADATA_SOURCE_FIELDS
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -74,6 +80,51 @@ def _upsert(w: Workspace) -> DataFrame:
     return spatial.upsert_touch(w.registry, incoming, "dam_id", ["height_meters"], RUN_TS)
 
 
+def _scratch(w: Workspace, name: str) -> str:
+    tag = w.sf_dir.rstrip("/").split("/")[-1]
+    return scratch_path(w.spark, f"weirline/{tag}/{name}")
+
+
+def _metadata_csv(w: Workspace) -> DataFrame:
+    """Metadata written as CSV by Spark, read back with the CSV reader
+    (all text, reader null tokens), then selected and cleaned."""
+    path = sinks.write_csv(w.raw_metadata.drop("nationkey"), _scratch(w, "metadata_csv"))
+    return flat(enrich.enrichment_table(read_metadata_csv(w.spark, path)))
+
+
+def _refresh(w: Workspace) -> DataFrame:
+    path = _scratch(w, "dam_enrichment")
+    sinks.refresh_table(w.spark, w.enrichment, path)
+    return flat(w.spark.read.parquet(path))
+
+
+def _snapshot(w: Workspace) -> DataFrame:
+    path, _ = purge.snapshot(w.spark, w.registry, _scratch(w, "backups"))
+    return _reg(w.spark.read.parquet(path))
+
+
+_PIPELINE_RUNS: dict = {}
+
+
+def _pipeline(w: Workspace) -> str:
+    """Run import -> enrichment -> analysis once per data set and session;
+    return the output folder (the export queries read its files)."""
+    key = (id(w.spark), w.sf_dir)
+    if key not in _PIPELINE_RUNS:
+        out = _scratch(w, f"pipeline-{uuid.uuid4().hex[:8]}")
+        imp = jobs.run_import(w.spark, w.raw_barriers, w.raw_reservoirs, out, BARRIERS_LOADED_AT,
+                              RESERVOIRS_LOADED_AT)
+        enr = jobs.run_enrichment(w.spark, w.raw_metadata, imp["dams_path"], out, RUN_TS)
+        jobs.run_analysis(w.spark, imp["dams_path"], enr["enrichment_path"], enr["view_path"], out, RUN_TS)
+        _PIPELINE_RUNS[key] = out
+    return _PIPELINE_RUNS[key]
+
+
+def _text_files(w: Workspace, pattern: str) -> DataFrame:
+    return (w.spark.read.text(f"{_pipeline(w)}/{pattern}")
+            .select(F.input_file_name().alias("file"), F.col("value").alias("line")))
+
+
 def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
     m = monitoring
     return {
@@ -182,8 +233,16 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "random_sample": lambda w: flat(purge.random_sample(w.registry)),
         # ------------------------------------------------------------- upsert
         "upsert_touch": lambda w: flat(_upsert(w)),
+        # ---------------------------------------------------------- sinks
+        "load_metadata_csv": _metadata_csv,
+        "enrichment_refresh": _refresh,
+        "snapshot": _snapshot,
         # ------------------------------------------------- rows-only checks
         "wkt_points": lambda w: w.registry.select("dam_id", geo.point_to_wkt("coordinates").alias("wkt")),
+        "export_csv": lambda w: _text_files(w, "tables/*/*.csv"),
+        "export_statistics_json": lambda w: _text_files(w, "exports/analysis_statistics.json"),
+        "export_manifest": lambda w: _text_files(w, "analysis_manifest.json"),
+        "reports_md": lambda w: _text_files(w, "reports/*.md"),
     }
 
 

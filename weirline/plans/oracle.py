@@ -578,4 +578,8 @@ FROM registry c FULL OUTER JOIN (
   FROM barriers b JOIN enrichment e ON b.gdw_id = e.gdw_id WHERE e.height_meters_gdw IS NOT NULL) n
  ON c.dam_id = n.dam_id""", "registry", "barriers", "enrichment"),
     }
+    # sinks whose read-back must equal an operator's output
+    q["load_metadata_csv"] = q["typed_enrichment"]
+    q["enrichment_refresh"] = q["typed_enrichment"]
+    q["snapshot"] = q["registry_append"]
     return q
