@@ -106,44 +106,50 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
 
     A disjunctive join condition has no equi-key, so Spark would plan it as a
     broadcast nested-loop join (every dam against every metadata row).  It is
-    rewritten into equi-joins with the same multiset of rows:
-
-    1. ``d LEFT JOIN e ON name``: every name pair, plus dams with no name match;
-    2. ``d JOIN e_key ON country = key AND NOT name-match``: key pairs that the
-       name branch does not already hold (the branches are disjoint per pair);
-    3. from (1), a dam without a name match is dropped when some key matches it,
-       since it then appears in (2).
-
-    ``e_key`` is first reduced to comment keys that equal some dam's country
-    (a semi join against the distinct country codes, a tiny set), so the key
-    join sees only rows that can match.  AQE turns the joins against the small
-    key sets into broadcasts when their measured size allows, and splits skewed
-    join keys (a country or a name holding a large share of rows) otherwise.
+    rewritten as one equi-join on a tagged key with the same multiset of rows:
+
+    * every dam probes once by name (kind ``N``) and, when some comment key
+      equals its country, once more by country (kind ``K``);
+    * the metadata side holds each row under its name (``N``) and, when its
+      comment key equals some dam's country, under that key (``K``);
+    * after the LEFT JOIN on ``(kind, key)``: a ``K`` pair is kept unless the
+      same pair also matches by name (it is already an ``N`` pair), and an
+      unmatched ``N`` probe (the NULL-extended row) is kept only for a dam
+      without any key match.
+
+    The sets of matching keys (distinct country codes / comment keys) are
+    small, so AQE broadcasts them by measured size.  The dam side is read and
+    shuffled once.  A hot join key (a country or a name holding a large share
+    of the dams) is split across tasks by AQE's skew-join handling.
     """
     d = authentic_rows(dams, authentic).select(*[F.col(s).alias(t) for s, t in VIEW_DAM_COLUMNS])
     e = enrichment.select(*VIEW_ENRICHMENT_COLUMNS)
     dam_cols = [t for _, t in VIEW_DAM_COLUMNS]
     out_cols = dam_cols + VIEW_ENRICHMENT_COLUMNS
 
-    # (1) name branch, keeping dams without a name match
-    e_named = e.filter(F.col("dam_name_gdw").isNotNull()).withColumn("_e_hit", F.lit(True))
-    by_name = d.join(e_named, d["dam_name"] == e_named["dam_name_gdw"], "left")
-
-    # comment keys that can match some country code
+    # comment keys equal to some dam's country code
+    e_ck = e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN)).where(F.col("_ck").isNotNull())
     codes = d.select(F.col("country_code").alias("_ck")).where(F.col("_ck").isNotNull()).distinct()
-    e_key = (e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN))
-             .where(F.col("_ck").isNotNull())
-             .join(codes, "_ck", "left_semi"))
-
-    # (3) a dam without a name match survives only when no key matches it either
-    keys = e_key.select("_ck").distinct().withColumn("_key_hit", F.lit(True))
-    named = (by_name.join(keys, (F.col("country_code") == F.col("_ck")) & F.col("_e_hit").isNull(), "left")
-             .where(F.col("_e_hit").isNotNull() | F.col("_key_hit").isNull())
-             .select(*out_cols))
-
-    # (2) key branch, pairs that do not also match by name
+    keys = e_ck.select("_ck").distinct().join(codes, "_ck", "left_semi")
+
+    # dams, each flagged when some key matches its country
+    flagged = (d.join(keys.withColumn("_key_hit", F.lit(True)), d["country_code"] == keys["_ck"], "left")
+               .drop("_ck"))
+    probes = F.array_compact(F.array(
+        F.struct(F.lit("N").alias("_kind"), F.col("dam_name").alias("_jk")),
+        F.when(F.col("_key_hit"), F.struct(F.lit("K").alias("_kind"), F.col("country_code").alias("_jk"))),
+    ))
+    left = flagged.select(*dam_cols, "_key_hit", F.explode(probes).alias("_p")).select(
+        *dam_cols, "_key_hit", "_p._kind", "_p._jk")
+
+    by_name = (e.where(F.col("dam_name_gdw").isNotNull())
+               .select(F.lit("N").alias("_kind"), F.col("dam_name_gdw").alias("_jk"), *VIEW_ENRICHMENT_COLUMNS))
+    by_key = (e_ck.join(keys, "_ck", "left_semi")
+              .select(F.lit("K").alias("_kind"), F.col("_ck").alias("_jk"), *VIEW_ENRICHMENT_COLUMNS))
+    right = by_name.unionByName(by_key).withColumn("_e_hit", F.lit(True))
+
+    j = left.join(right, ["_kind", "_jk"], "left")
     name_match = F.coalesce(F.col("dam_name") == F.col("dam_name_gdw"), F.lit(False))
-    by_key = (d.join(e_key, (F.col("country_code") == F.col("_ck")) & ~name_match, "inner")
-              .select(*out_cols))
-
-    return named.unionByName(by_key)
+    keep = (((F.col("_kind") == "N") & (F.col("_e_hit").isNotNull() | F.col("_key_hit").isNull()))
+            | ((F.col("_kind") == "K") & ~name_match))
+    return j.where(keep).select(*out_cols)

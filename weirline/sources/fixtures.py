@@ -125,28 +125,31 @@ _COLUMNS = {
 
 
 # Tables large enough that their rows carry the per-row work (the others are
-# dimension tables read whole into broadcast joins).
-_ROW_TABLES = {"orders", "events"}
+# dimension tables read whole into broadcast joins), with their unique key.
+_ROW_TABLES = {"orders": "o_orderkey", "events": "event_id"}
 
 
-def spread_if_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over the session's cores when the scan yields fewer
-    splits than cores (one parquet row group is one split).
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` on its unique ``key`` over the session's cores
+    when the scan yields fewer splits than cores (one parquet row group is one
+    split).
 
     The per-row cleaning after the scan is CPU work with no shuffle before it,
     so a single-split input would run it in one task.  Large inputs have many
-    splits and are returned unchanged (no extra shuffle at scale).
+    splits and are returned unchanged (no extra shuffle at scale).  Hashing a
+    unique key spreads evenly and, unlike round-robin, needs no local sort to
+    stay deterministic when a task is retried.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, key)
     return df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table, pruned to the columns the fixtures use."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*_COLUMNS[name])
-    return spread_if_narrow(df) if name in _ROW_TABLES else df
+    return spread_if_narrow(df, _ROW_TABLES[name]) if name in _ROW_TABLES else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
