@@ -93,7 +93,12 @@ def run_cleaning(spark: SparkSession, dams_path: str, stations: DataFrame, readi
     deletion = sinks.rows(purge.deletion_results(dams, c))[0]
     clean_dir = _p(out_dir, "clean")
     for table, df in c.kept.items():
-        df.write.mode("overwrite").parquet(_p(clean_dir, table))
+        if table == "sensor_readings":
+            # the large time series: one folder per day, so time filters prune files
+            (df.withColumn("reading_date", F.to_date("measurement_timestamp"))
+             .write.mode("overwrite").partitionBy("reading_date").parquet(_p(clean_dir, table)))
+        else:
+            df.write.mode("overwrite").parquet(_p(clean_dir, table))
     kept = spark.read.parquet(_p(clean_dir, "dams"))
     years = sinks.rows(audit.year_summary(kept))[0]
     result.update({
