@@ -146,11 +146,17 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
     left = flagged.select(*dam_cols, "_key_hit", F.explode(probes).alias("_p")).select(
         *dam_cols, "_key_hit", "_p._kind", "_p._jk")
 
-    by_name = (e.where(F.col("dam_name_gdw").isNotNull())
-               .select(F.lit("N").alias("_kind"), F.col("dam_name_gdw").alias("_jk"), *VIEW_ENRICHMENT_COLUMNS))
-    by_key = (e_ck.join(keys, "_ck", "left_semi")
-              .select(F.lit("K").alias("_kind"), F.col("_ck").alias("_jk"), *VIEW_ENRICHMENT_COLUMNS))
-    right = by_name.unionByName(by_key).withColumn("_e_hit", F.lit(True))
+    # metadata rows, each held under its name and (when it matches) its comment key
+    e_tag = (e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN))
+             .join(keys.withColumn("_ck_hit", F.lit(True)), "_ck", "left"))
+    entries = F.array_compact(F.array(
+        F.when(F.col("dam_name_gdw").isNotNull(),
+               F.struct(F.lit("N").alias("_kind"), F.col("dam_name_gdw").alias("_jk"))),
+        F.when(F.col("_ck_hit"), F.struct(F.lit("K").alias("_kind"), F.col("_ck").alias("_jk"))),
+    ))
+    right = (e_tag.select(*VIEW_ENRICHMENT_COLUMNS, F.explode(entries).alias("_p"))
+             .select("_p._kind", "_p._jk", *VIEW_ENRICHMENT_COLUMNS)
+             .withColumn("_e_hit", F.lit(True)))
 
     j = left.join(right, ["_kind", "_jk"], "left")
     name_match = F.coalesce(F.col("dam_name") == F.col("dam_name_gdw"), F.lit(False))
