@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # Largest reference table (rows) that is broadcast explicitly.
 BROADCAST_MAX_ROWS = 100_000
+# Largest set of bare join keys (one or two columns) that is broadcast to
+# filter a much larger table (a semi / anti join without shuffling the large side).
+KEYSET_MAX_ROWS = 2_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -110,23 +110,23 @@ def priority_regions(summary: DataFrame, regions: DataFrame, names=None,
 def region_rollup(summary: DataFrame, stations: DataFrame, readings: DataFrame) -> DataFrame:
     """Per region: distinct dams, distinct stations and readings of those stations.
 
-    Each level is counted on its own (no fan-out): readings are first reduced
-    to one count per station (partial aggregation in every task), then joined
-    to stations, then to the region of each dam.
+    One pass over the dam summary: readings are first reduced to one count per
+    station (partial aggregation in every task), stations carry that count,
+    and each dam of a region joins its stations (a dam without stations keeps
+    one row).  The rows are (dam, station) pairs, never readings, so nothing
+    fans out; the two distinct counts are shuffled on (region, id) first, so a
+    region holding most dams is still spread over many tasks.
     """
     dam_region = summary.select("dam_id", "region_name")
-    st = stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
-    st_region = st.join(dam_region, "dam_id", "inner").select("station_id", "region_name")
     per_station = (readings.where(F.col("station_id").isNotNull())
                    .groupBy("station_id").agg(F.count(F.lit(1)).alias("_readings")))
-    dams_n = dam_region.groupBy("region_name").agg(F.count_distinct("dam_id").alias("dam_count"))
-    st_n = st_region.groupBy("region_name").agg(F.count_distinct("station_id").alias("station_count"))
-    rd_n = (per_station.join(st_region, "station_id", "inner")
-            .groupBy("region_name").agg(F.sum("_readings").alias("sensor_reading_count")))
-    return (dams_n.join(st_n, "region_name", "left").join(rd_n, "region_name", "left")
-            .select("region_name", "dam_count",
-                    F.coalesce("station_count", F.lit(0)).cast("bigint").alias("station_count"),
-                    F.coalesce("sensor_reading_count", F.lit(0)).cast("bigint").alias("sensor_reading_count")))
+    st = (stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
+          .join(per_station, "station_id", "left"))
+    pairs = dam_region.join(st, "dam_id", "left")
+    return (pairs.groupBy("region_name").agg(
+                F.count_distinct("dam_id").alias("dam_count"),
+                F.count_distinct("station_id").alias("station_count"),
+                F.coalesce(F.sum("_readings"), F.lit(0)).cast("bigint").alias("sensor_reading_count")))
 
 
 def dam_inventory(summary: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirline.functions.stats import pct
+from weirline.operators.joins import KEYSET_MAX_ROWS, broadcast_if_small
 
 log = logging.getLogger(__name__)
 
@@ -127,11 +128,16 @@ def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: Data
 
     Order as in the original: readings and SHM sensors of stations of removed
     dams, then those stations, then the dams.  Each step is a semi/anti join on
-    the parent key; AQE splits a skewed key (one station with a large share of
-    readings) into several tasks.
+    the parent key.  The removed-station key set is broadcast when its size
+    allows, so a hot station (a large share of readings) costs nothing extra;
+    above the bound the join shuffles and AQE splits skewed keys.
     """
     bad_dam_ids = synthetic_rows(dams, predicate).select("dam_id")
-    bad_station_ids = stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id")
+    # the removed stations are a set of bare keys bounded by the station table:
+    # broadcast it after a size check so readings (the largest table) are
+    # filtered where they are read instead of being shuffled by station
+    bad_station_ids = broadcast_if_small(
+        stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id"), KEYSET_MAX_ROWS)
     removed = {
         "sensor_readings": readings.join(bad_station_ids, "station_id", "left_semi"),
         "shm_sensors": shm.join(bad_station_ids, "station_id", "left_semi"),
