@@ -12,14 +12,18 @@ BROADCAST_MAX_ROWS = 100_000
 KEYSET_MAX_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       bound_by: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only after checking its size.
 
-    Used for reference tables (regions, dam types) that are small by nature
-    but whose size is not known at plan time.  The check is a count of at most
-    ``max_rows + 1`` rows; above the bound the frame is returned as is and the
-    join falls back to a shuffle join (which AQE may still convert at run time
-    from measured shuffle sizes).
+    Used for reference tables (regions, dam types) and key sets that are small
+    by nature but whose size is not known at plan time.  The check counts at
+    most ``max_rows + 1`` rows of ``df`` -- or of ``bound_by``, a cheaper frame
+    known to have at least as many rows (e.g. the whole table a key set is
+    drawn from), so the check does not run the key set's own joins.  Above
+    the bound the frame is returned as is and the join falls back to a
+    shuffle join (which AQE may still convert at run time from measured
+    shuffle sizes).
     """
-    n = df.limit(max_rows + 1).count()
+    n = (bound_by if bound_by is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

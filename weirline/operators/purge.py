@@ -133,11 +133,13 @@ def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: Data
     above the bound the join shuffles and AQE splits skewed keys.
     """
     bad_dam_ids = synthetic_rows(dams, predicate).select("dam_id")
-    # the removed stations are a set of bare keys bounded by the station table:
-    # broadcast it after a size check so readings (the largest table) are
-    # filtered where they are read instead of being shuffled by station
+    # the removed stations are a set of bare keys, a subset of the station
+    # table: broadcast it when the station table is within the bound, so
+    # readings (the largest table) are filtered where they are read instead
+    # of being shuffled by station
     bad_station_ids = broadcast_if_small(
-        stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id"), KEYSET_MAX_ROWS)
+        stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id"), KEYSET_MAX_ROWS,
+        bound_by=stations.select("station_id"))
     removed = {
         "sensor_readings": readings.join(bad_station_ids, "station_id", "left_semi"),
         "shm_sensors": shm.join(bad_station_ids, "station_id", "left_semi"),
