@@ -578,6 +578,9 @@ FROM registry c FULL OUTER JOIN (
   FROM barriers b JOIN enrichment e ON b.gdw_id = e.gdw_id WHERE e.height_meters_gdw IS NOT NULL) n
  ON c.dam_id = n.dam_id""", "registry", "barriers", "enrichment"),
     }
+    q["wkt_points"] = _q("SELECT dam_id, CASE WHEN coordinates_x IS NOT NULL OR coordinates_y IS NOT NULL THEN "
+                         "'POINT (' || CAST(coordinates_x AS VARCHAR) || ' ' || CAST(coordinates_y AS VARCHAR) "
+                         "|| ')' END AS wkt FROM registry", "registry")
     # sinks whose read-back must equal an operator's output
     q["load_metadata_csv"] = q["typed_enrichment"]
     q["enrichment_refresh"] = q["typed_enrichment"]
