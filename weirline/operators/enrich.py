@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weirline.functions import clean
 from weirline.functions.stats import pct
-from weirline.operators.joins import broadcast_if_small
+from weirline.operators.joins import checkpoint_small
 from weirline.operators.purge import authentic_rows
 from weirline.schemas import (
     ENRICHMENT_COORDINATES, ENRICHMENT_FLAGS, ENRICHMENT_MEASURES, ENRICHMENT_TEXT,
@@ -119,8 +119,8 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
       without any key match.
 
     The set of matching keys has at most one row per country code; it is
-    broadcast after a size check (a column-pruned count), else joined by
-    shuffle.  The dam side is read and
+    computed once into the checkpoint folder and broadcast after a size
+    check, else joined by shuffle.  The dam side is read and
     shuffled once.  A hot join key (a country or a name holding a large share
     of the dams) is split across tasks by AQE's skew-join handling.
     """
@@ -132,9 +132,10 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
     # comment keys equal to some dam's country code
     e_ck = e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN)).where(F.col("_ck").isNotNull())
     codes = d.select(F.col("country_code").alias("_ck")).where(F.col("_ck").isNotNull()).distinct()
-    # at most one row per country code: broadcast after a size check, so the
-    # large dam side is never shuffled just to be flagged
-    keys = broadcast_if_small(e_ck.select("_ck").distinct().join(codes, "_ck", "left_semi"))
+    # at most one row per country code: computed once into the checkpoint
+    # folder and broadcast after a size check, so the large dam side is never
+    # shuffled just to be flagged
+    keys = checkpoint_small(e_ck.select("_ck").distinct().join(codes, "_ck", "left_semi"))
 
     # dams, each flagged when some key matches its country
     flagged = (d.join(keys.withColumn("_key_hit", F.lit(True)), d["country_code"] == keys["_ck"], "left")

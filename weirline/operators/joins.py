@@ -27,3 +27,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     """
     n = (bound_by if bound_by is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def checkpoint_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Compute a small derived set (e.g. the distinct join keys of a large
+    table) once, store it in the shared checkpoint folder, and broadcast it if
+    it is within ``max_rows``.
+
+    The checkpoint is computed by one job; the size check and every later
+    use read the stored copy instead of re-running the joins that produced
+    it, and the lineage is cut (a lost executor re-reads, not recomputes).
+    """
+    from weirline.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    stored = df.checkpoint(eager=True)
+    n = stored.limit(max_rows + 1).count()
+    return F.broadcast(stored) if n <= max_rows else stored
