@@ -75,7 +75,7 @@ def infrastructure_types(e: DataFrame) -> DataFrame:
 
 
 def _size_classes(e: DataFrame, col: str, bounds, top: str, label: str, digits: int,
-                  prefix: str, suffix: str) -> DataFrame:
+                  suffix: str) -> DataFrame:
     """Size classes of a positive measure; the share's denominator counts every
     non-NULL value, zeros included (they dilute it, as in the original)."""
     x = F.col(col)
@@ -97,14 +97,12 @@ def _size_classes(e: DataFrame, col: str, bounds, top: str, label: str, digits:
 
 # --------------------------------------------------------------------- A3
 def height_classes(e: DataFrame) -> DataFrame:
-    return _size_classes(e, "height_meters_gdw", HEIGHT_CLASSES, HEIGHT_TOP, "height_category", 1,
-                         "height", "height_m")
+    return _size_classes(e, "height_meters_gdw", HEIGHT_CLASSES, HEIGHT_TOP, "height_category", 1, "height_m")
 
 
 # --------------------------------------------------------------------- A8
 def capacity_classes(e: DataFrame) -> DataFrame:
-    return _size_classes(e, "capacity_mcm_gdw", CAPACITY_CLASSES, CAPACITY_TOP, "capacity_category", 2,
-                         "capacity", "capacity_mcm")
+    return _size_classes(e, "capacity_mcm_gdw", CAPACITY_CLASSES, CAPACITY_TOP, "capacity_category", 2, "capacity_mcm")
 
 
 # --------------------------------------------------------------------- A4

@@ -7,14 +7,13 @@ a comparison-friendly shape (see :func:`flat`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import uuid
-
 from weirline.functions import clean, geo
 from weirline.operators import analysis, audit, enrich, monitoring, purge, spatial
 from weirline.plans import jobs
@@ -22,7 +21,7 @@ from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, R
 from weirline.session import scratch_path
 from weirline.sources import sinks
 from weirline.sources.registry import read_metadata_csv
-from weirline.schemas import DAMS_LENGTH_LIMITS, METADATA_SOURCE_FIELDS
+from weirline.schemas import DAMS_LENGTH_LIMITS
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 COORD_DIGITS = 9
@@ -253,4 +252,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
-__all__ = ["queries", "flat", "METADATA_SOURCE_FIELDS"]
+__all__ = ["queries", "flat"]

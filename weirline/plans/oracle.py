@@ -16,6 +16,7 @@ from __future__ import annotations
 from weirline.functions import clean
 from weirline.operators import analysis as A
 from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS
+from weirline.schemas import DAMS_LENGTH_LIMITS, METADATA_SOURCE_FIELDS
 from weirline.sources.fixtures import fixture_sql
 
 WS = clean.PY_SPACE_CHARS
@@ -348,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
                                "FROM res_centroid", "res_centroid"),
         # ---------------------------------------------- projections / cleaning
         "select_fields": _q("SELECT " + ", ".join(
-            f"{s} AS {t}" for s, t in __import__('weirline.schemas', fromlist=['x']).METADATA_SOURCE_FIELDS.items())
+            f"{s} AS {t}" for s, t in METADATA_SOURCE_FIELDS.items())
             + " FROM raw_metadata", "raw_metadata"),
         "dam_name_fallback": _q(f"SELECT CAST(GDW_ID AS BIGINT) AS gdw_id, coalesce({_nonblank('DAM_NAME')}, "
                                 f"{_nonblank('RES_NAME')}, {_nonblank('ALT_NAME')}, "
@@ -536,7 +537,7 @@ UNION ALL SELECT 'check_construction_year_reasonable',
         "length_audit": _q("SELECT * FROM (" + "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, {n} AS max_length, COUNT(CASE WHEN length({c}) > {n} THEN 1 END) "
             f"AS violations FROM dams" for c, n in
-            __import__('weirline.schemas', fromlist=['x']).DAMS_LENGTH_LIMITS.items()) + ")", "dams"),
+            DAMS_LENGTH_LIMITS.items()) + ")", "dams"),
         "orphan_audit": _q("""SELECT 'dams.region_id -> regions' AS relation,
  COUNT(CASE WHEN region_id IS NOT NULL AND region_id NOT IN (SELECT region_id FROM regions) THEN 1 END) AS orphans FROM dams
 UNION ALL SELECT 'dams.primary_dam_type_id -> dam_types',
