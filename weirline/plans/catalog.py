@@ -27,6 +27,17 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 COORD_DIGITS = 9
 
 
+def ntz_text(c) -> "F.Column":
+    """Wall-clock text ``yyyy-MM-dd HH:mm:ss.ffffff`` of a TIMESTAMP_NTZ.
+
+    A plain cast never consults the session time zone (``date_format`` would
+    convert through it and shift wall-clock times inside a daylight-saving
+    gap); the fraction is padded to six digits.
+    """
+    s = c.cast("string")
+    return F.when(F.instr(s, ".") == 0, F.concat(s, F.lit(".000000"))).otherwise(F.rpad(s, 26, "0"))
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Comparison shape: decimals -> double, timestamps -> text, points ->
     ``<name>_x``/``<name>_y`` (rounded to 9 digits), arrays -> comma-joined text."""
@@ -35,7 +46,9 @@ def flat(df: DataFrame) -> DataFrame:
         c, t = F.col(f"`{f.name}`"), f.dataType
         if isinstance(t, T.DecimalType):
             cols.append(c.cast("double").alias(f.name))
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        elif isinstance(t, T.TimestampNTZType):
+            cols.append(ntz_text(c).alias(f.name))
+        elif isinstance(t, T.TimestampType):
             cols.append(F.date_format(c, TS_FORMAT).alias(f.name))
         elif isinstance(t, T.StructType) and {s.name for s in t.fields} == {"x", "y"}:
             cols.append(F.round(c["x"], COORD_DIGITS).alias(f"{f.name}_x"))

@@ -140,10 +140,12 @@ def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
     unique key spreads evenly and, unlike round-robin, needs no local sort to
     stay deterministic when a task is retried.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # noqa: BLE001 - sessions without RDD access: keep the scan as is
+        return df
+    return df.repartition(cores, key) if narrow else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
