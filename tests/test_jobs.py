@@ -35,6 +35,10 @@ def test_import_enrich_clean_analyse(spark):
     assert res["snapshot"][0] != dry["snapshot"][0]  # second snapshot gets its own name
     kept_readings = spark.read.parquet(f"{res['clean_dir']}/sensor_readings")
     assert kept_readings.count() + d["sensor_readings_removed"] == w.readings.count()
+    # the count observed during the single write pass equals the semi-join count
+    from weirline.operators import purge
+    c = purge.cascade(spark.read.parquet(imp["dams_path"]), w.stations, w.readings, w.shm)
+    assert d["sensor_readings_removed"] == c.removed["sensor_readings"].count()
 
     ana = jobs.run_analysis(spark, imp["dams_path"], enr["enrichment_path"], enr["view_path"], out, RUN_TS)
     assert len(ana["tables"]) == 10

@@ -117,9 +117,20 @@ def random_sample(dams: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
 
 @dataclass
 class Cascade:
-    """Removed and kept rows of each table for one cascading removal."""
+    """Removed and kept rows of each table for one cascading removal, and the
+    key set of removed stations (to flag child rows in one pass)."""
     removed: dict
     kept: dict
+    removed_station_ids: DataFrame | None = None
+
+
+def flag_removed(child: DataFrame, removed_station_ids: DataFrame, flag: str = "_removed") -> DataFrame:
+    """``child`` with a boolean ``flag`` set where its station is removed (NULL
+    otherwise).  One pass splits the table: kept = flag IS NULL (this keeps
+    NULL station ids, as the DELETE does).  The key set is made distinct so
+    the left join cannot duplicate child rows."""
+    keys = removed_station_ids.select("station_id").distinct().withColumn(flag, F.lit(True))
+    return child.join(keys, "station_id", "left")
 
 
 def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: DataFrame,
@@ -152,7 +163,7 @@ def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: Data
         "monitoring_stations": stations.join(bad_dam_ids, "dam_id", "left_anti"),
         "dams": authentic_rows(dams, predicate),
     }
-    return Cascade(removed, kept)
+    return Cascade(removed, kept, bad_station_ids)
 
 
 # key column of each table in the cascade
@@ -183,14 +194,20 @@ def dependents_count(c: Cascade) -> DataFrame:
     return parts[0].crossJoin(parts[1]).crossJoin(parts[2])
 
 
-def deletion_results(dams: DataFrame, c: Cascade) -> DataFrame:
-    """Before / after / removed counts (one row, single-row aggregates only)."""
+def deletion_results(dams: DataFrame, c: Cascade, count_readings: bool = True) -> DataFrame:
+    """Before / after / removed counts (one row, single-row aggregates only).
+
+    ``count_readings=False`` leaves the readings count NULL, for callers that
+    count removed readings during the pass that writes the kept ones.
+    """
     def cnt(df, alias):
         return df.agg(F.count(F.lit(1)).alias(alias))
 
+    readings = (cnt(c.removed["sensor_readings"], "sensor_readings_removed") if count_readings
+                else dams.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("sensor_readings_removed")))
     out = (cnt(dams, "before_count")
            .crossJoin(cnt(c.kept["dams"], "after_count"))
-           .crossJoin(cnt(c.removed["sensor_readings"], "sensor_readings_removed"))
+           .crossJoin(readings)
            .crossJoin(cnt(c.removed["shm_sensors"], "shm_sensors_removed"))
            .crossJoin(cnt(c.removed["monitoring_stations"], "monitoring_stations_removed")))
     return out.select("before_count", "after_count",

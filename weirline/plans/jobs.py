@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weirline.operators import analysis, audit, enrich, purge
@@ -90,15 +90,20 @@ def run_cleaning(spark: SparkSession, dams_path: str, stations: DataFrame, readi
         result["would_be_deleted"] = sinks.rows(purge.dry_run_count(dams))[0]["would_be_deleted"]
         return result
     c = purge.cascade(dams, stations, readings, shm)
-    deletion = sinks.rows(purge.deletion_results(dams, c))[0]
     clean_dir = _p(out_dir, "clean")
-    for table, df in c.kept.items():
-        if table == "sensor_readings":
-            # the large time series: one folder per day, so time filters prune files
-            (df.withColumn("reading_date", F.to_date("measurement_timestamp"))
-             .write.mode("overwrite").partitionBy("reading_date").parquet(_p(clean_dir, table)))
-        else:
-            df.write.mode("overwrite").parquet(_p(clean_dir, table))
+    # readings (the largest table) are read once: each row is flagged against
+    # the broadcast removed-station keys, the kept rows are written and the
+    # removed ones counted by an observation on the same pass
+    obs = Observation("removed_readings")
+    flagged = (purge.flag_removed(readings, c.removed_station_ids)
+               .observe(obs, F.count_if(F.col("_removed").isNotNull()).alias("removed")))
+    (flagged.where(F.col("_removed").isNull()).drop("_removed")
+     .withColumn("reading_date", F.to_date("measurement_timestamp"))  # one folder per day: time filters prune
+     .write.mode("overwrite").partitionBy("reading_date").parquet(_p(clean_dir, "sensor_readings")))
+    for table in ("shm_sensors", "monitoring_stations", "dams"):
+        c.kept[table].write.mode("overwrite").parquet(_p(clean_dir, table))
+    deletion = sinks.rows(purge.deletion_results(dams, c, count_readings=False))[0]
+    deletion["sensor_readings_removed"] = int(obs.get["removed"])
     kept = spark.read.parquet(_p(clean_dir, "dams"))
     years = sinks.rows(audit.year_summary(kept))[0]
     result.update({
