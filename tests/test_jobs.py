@@ -16,6 +16,7 @@ def test_import_enrich_clean_analyse(spark):
 
     imp = jobs.run_import(spark, w.raw_barriers, w.raw_reservoirs, out, BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT)
     assert imp["validation"]["total"]["total_records"] == 2 * w.raw_barriers.count()
+    assert imp["inserted"] == {"barrier": w.raw_barriers.count(), "reservoir": w.raw_reservoirs.count()}
     assert sum(r["count"] for r in imp["scores"]) == imp["validation"]["total"]["total_records"]
 
     enr = jobs.run_enrichment(spark, w.raw_metadata, imp["dams_path"], out, RUN_TS)

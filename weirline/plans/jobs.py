@@ -37,8 +37,12 @@ def run_import(spark: SparkSession, raw_barriers: DataFrame, raw_reservoirs: Dat
         "total": dams.agg(F.count(F.lit(1)).alias("total_records")),
         "bounding_box": audit.bounding_box(dams),
     })
+    # rows per layer (an append either commits all of its rows or none)
+    inserted = {r["source"]: r["n"] for r in sinks.rows(dams.groupBy("source").agg(F.count(F.lit(1)).alias("n")))}
     return {
         "dams_path": dams_path,
+        "inserted": inserted,
+        "skipped": 0,
         "validation": checks,
         "countries": sinks.rows(audit.country_distribution(dams)),
         "scores": sinks.rows(audit.score_distribution(dams)),
