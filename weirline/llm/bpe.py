@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weirline.llm.common import byte_slices
+from weirline.llm.common import byte_slices, extended
 
 # The byte-level pre-tokenizer pattern and the printable byte ranges
 # of the public byte-level vocabulary format.
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
     replaced.  Null text: no tokens.
     """
     base = docs.drop(ids, "n_tokens")
-    schema = base.schema.add(ids, "binary").add("n_tokens", "long")
+    schema = extended(base, f"`{ids}` binary", "n_tokens long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)
@@ -238,7 +238,7 @@ def encode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids
 def decode(coded: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of ``ids`` as column ``text`` (replaced where it exists).  Null ids: empty text."""
     base = coded.drop(text)
-    schema = base.schema.add(text, "string")
+    schema = extended(base, f"`{text}` string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(vocab_path)

@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from weirline.session import ensure_checkpoint_dir
 
@@ -33,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, *more: str) -> StructType:
+    """The schema of ``df`` with more columns, each given as ``"name type"``."""
+    return StructType(df.schema.fields + StructType.fromDDL(", ".join(more)).fields)
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of ``column``.
 
@@ -40,7 +47,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Ite
     Bounds the memory of a task whatever the number of rows Spark batches.
     """
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total + n > limit and i > start:

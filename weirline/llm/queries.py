@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe
+from weirline.llm import bpe, topk, urlrules
 from weirline.llm.common import read_table
 
 
@@ -22,6 +22,41 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# The rules of op2: (host, path, verdict).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page url by the rules; without a fitting rule it is allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.apply_rules(read_table(spark, sf_dir, "pages", "page_id", "url"), rules, default="allow")
+
+
+OP2_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (
+  SELECT page_id, host, path, rh || rp AS rule, rv AS verdict
+  FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+best AS (
+  SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM fit GROUP BY page_id, host, path)
+SELECT u.page_id, u.host, u.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
+FROM u LEFT JOIN best USING (page_id, host, path)
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     path = vocabulary_path()
@@ -35,9 +70,30 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every vector whose id is divisible by 100."""
+    vectors = topk.quantised(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return topk.top_k(vectors.filter(F.col("id") % 100 == 0), vectors, 10)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe}
+    return {"op2_url_filter": op2_url_filter, "op5_bpe": op5_bpe, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op9_topk": OP9_SQL}
