@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, topk, urlrules
+from weirline.llm import bpe, decontam, langid, suffixdup, topk, urlrules
 from weirline.llm.common import read_table
 
 
@@ -22,6 +22,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every copy of the 400-byte strings that occur more than once."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffixdup.remove_repeats(docs, size=400, keep="none").select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 # The rules of op2: (host, path, verdict).
 URL_RULES = [
     ("org", "/", "allow"),
@@ -136,7 +148,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op9_topk": op9_topk}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
