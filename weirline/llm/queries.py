@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, suffixdup, topk, urlrules
+from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, urlrules
 from weirline.llm.common import read_table
 
 
@@ -126,6 +126,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), network).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngramjoin.similar_documents(docs, n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best partners of every vector whose id is divisible by 100."""
     vectors = topk.quantised(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
@@ -148,7 +154,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op9_topk": op9_topk}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk}
 
 
 def oracle_sql() -> dict[str, str]:
