@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, urlrules
+from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, toxicity, urlrules
 from weirline.llm.common import read_table
 
 
@@ -153,8 +153,19 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled documents not held out."""
+    held = F.coalesce(_remainder(3) == 1, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    scorer = toxicity.train(docs.filter(~held), labels.filter(~held))
+    return toxicity.score(docs.withColumn("held_out", held), scorer).select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
+            "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
