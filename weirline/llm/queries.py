@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, toxicity, urlrules
+from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, toxicity, urlrules, wrapper
 from weirline.llm.common import read_table
 
 
@@ -69,6 +69,11 @@ FROM u LEFT JOIN best USING (page_id, host, path)
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrapper.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -164,7 +169,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op3_html_extraction": op3_html_extraction, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
             "op10_toxicity": op10_toxicity}
 
 

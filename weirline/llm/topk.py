@@ -29,7 +29,6 @@ no row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +38,7 @@ from pyspark.sql import functions as F
 CANDIDATE_BLOCK = 4096   # rows of a block: the bound of a group's memory
 QUERY_BLOCK = 512
 RESOLVE_SHARE = 32       # final scores are resolved once one candidate in so many is in play
+DEPTHS = (0.5, 0.75, 0.875, 1.0)   # shares of the lists read after each round
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -51,42 +51,59 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 
 class SortedLists:
-    """One block of candidates as sorted lists."""
+    """One block of candidates as sorted lists.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")             # list d, from its low end
-        self.sorted = np.take_along_axis(x, self.order, axis=0)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(ids))[:, None], axis=0)
+    Integers are held as doubles: products and sums of quantised components stay far
+    below 2^53, so that every value is exact.
+    """
 
-    def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x.astype(np.float64)
+        order = np.argsort(x, axis=0, kind="stable")                  # list d, from its low end
+        self.sorted = np.take_along_axis(self.x, order, axis=0)
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(ids))[:, None], axis=0)
+
+    def _sums(self, up: np.ndarray, down: np.ndarray, high: np.ndarray, low: np.ndarray,
+              if_unread_high: np.ndarray, if_unread_low: np.ndarray) -> np.ndarray:
+        """What every candidate adds up to for every query: entries read count as they are,
+        unread ones as the value given for their list."""
+        return up @ np.where(high, self.x, if_unread_high).T + down @ np.where(low, self.x, if_unread_low).T
+
+    def top(self, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (id, vector), the ids and scores of its k best candidates.
+
+        The queries read the lists in step; a query whose candidates in play are few
+        leaves the next round and has their final scores resolved."""
         n = len(self.ids)
-        live = np.flatnonzero(q)
-        weight = q[live]
-        up = weight > 0
-        least = np.where(up, self.sorted[0, live], self.sorted[-1, live])   # the far end of each list
-        alive = np.flatnonzero(self.ids != own)
-        depth = 0
-        while len(live) and len(alive) > max(k, n // RESOLVE_SHARE) and depth < n:
-            depth = min(n, max(2 * depth, n // 16, 1))
-            frontier = np.where(up, self.sorted[n - depth, live], self.sorted[depth - 1, live])
-            place = self.place[alive][:, live]
-            read = np.where(up, place >= n - depth, place < depth)
-            value = self.x[alive][:, live]
-            lower = np.where(read, value, least) @ weight
-            if len(alive) <= k:
+        out: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], np.empty(0, np.int64))] * len(own)
+        q = q.astype(np.float64)
+        going = np.arange(len(own))
+        alive = self.ids[None, :] != own[:, None]
+        for depth in DEPTHS:
+            depth = max(1, int(n * depth))
+            high, low = self.place >= n - depth, self.place < depth          # read from the high, from the low end
+            up, down = np.maximum(q[going], 0), np.minimum(q[going], 0)
+            lower = self._sums(up, down, high, low, self.sorted[0], self.sorted[-1])
+            upper = self._sums(up, down, high, low, self.sorted[n - depth], self.sorted[depth - 1])
+            lower[~alive[going]] = -np.inf
+            floor = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(going), -np.inf)
+            alive[going] &= upper >= floor[:, None]
+            few = alive[going].sum(1) <= max(k, n // RESOLVE_SHARE)
+            last = depth == n
+            for j in going[few | last]:
+                rows = np.flatnonzero(alive[j])
+                score = self.x[rows] @ q[j]
+                best = np.lexsort((self.ids[rows], -score))[:k]
+                out[j] = self.ids[rows][best], score[best].astype(np.int64)
+            going = going[~few]
+            if last or not len(going):
                 break
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-            upper = np.where(read, value, frontier) @ weight
-            alive = alive[upper >= floor]
-        score = self.x[alive] @ q
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][best], score[best]
+        return out
 
 
 def _search(k: int):
-    def search(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
+    def search(key: tuple, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple[int, int, int]] = []
         if len(queries) and len(block):
             sizes = block["v"].map(len)
@@ -94,9 +111,11 @@ def _search(k: int):
             for size in sorted(set(sizes) & set(wide)):
                 same = block[sizes == size]
                 lists = SortedLists(same["id"].to_numpy(np.int64), np.stack(same["v"].to_numpy()).astype(np.int64))
-                for own, q in queries.loc[wide == size, ["id", "v"]].itertuples(index=False):
-                    ids, scores = lists.top(own, np.asarray(q, np.int64), k)
-                    rows += zip([own] * len(ids), ids.tolist(), scores.tolist())
+                asked = queries[wide == size]
+                own = asked["id"].to_numpy(np.int64)
+                found = lists.top(own, np.stack(asked["v"].to_numpy()).astype(np.int64), k)
+                for one, (ids, scores) in zip(own.tolist(), found):
+                    rows += zip([one] * len(ids), ids.tolist(), scores.tolist())
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return search

@@ -106,7 +106,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     total = urls.count()
     ranges = max(FEWEST_RANGES, total // URLS_PER_RANGE)
     order = F.xxhash64("salt", "key")
-    sample = sorted((r.key, r.salt) for r in keyed.select("key", "salt").orderBy(order).limit(SPLITTER_SAMPLE).collect())
+    sample = sorted((r.key, r.salt) for r in keyed.select("key", "salt").orderBy(order).limit(min(SPLITTER_SAMPLE, 16 * ranges)).collect())
     step = max(1, len(sample) // ranges)
     cuts = sorted(set(sample[step::step]))  # a range's number is how many cuts lie at or below its rows
 
