@@ -99,7 +99,8 @@ def proximity(postings: DataFrame, pairs: DataFrame, distance: int) -> DataFrame
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_words, n_hit, items (sorted ids as strings), spans.
+    """Every row of ``docs`` with n_words, n_hit, items (sorted ids as strings) and spans
+    (columns of these names are replaced).
 
     ``spans`` are the (start, end) word intervals of the exact occurrences, merged;
     ``n_hit`` is the number of words inside them.
@@ -113,23 +114,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     found = phrase_starts(postings, anchors).join(wins, "win") \
         .groupBy("doc", "h").agg(F.collect_list(F.struct("start", "terms", "items")).alias("found"))
-    d, f = keyed.alias("d"), found.alias("f")
-    joined = d.join(f, F.col("d.doc").eqNullSafe(F.col("f.doc")) & (F.col("d.h") == F.col("f.h")), "left") \
-        .select("d.doc", words(F.col("d.text")).alias("w"), "f.found")
-    exact = F.filter("found", lambda c: F.slice("w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
-    hit = joined.select("doc", F.size("w").alias("n"), F.when(F.col("found").isNotNull(), exact).alias("hit"))
-    intervals = F.array_sort(F.transform(F.col("hit"), lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["terms"])).alias("end"))))
+    base = docs.drop("n_words", "n_hit", "items", "spans", "_h")
+    d, f = base.withColumn("_h", F.xxhash64(text_col)).alias("d"), found.alias("f")
+    joined = d.join(f, F.col(f"d.{id_col}").eqNullSafe(F.col("f.doc")) & (F.col("d._h") == F.col("f.h")), "left") \
+        .select("d.*", words(F.col(f"d.{text_col}")).alias("_w"), F.col("f.found").alias("_found")).drop("_h")
+    exact = F.filter("_found", lambda c: F.slice("_w", c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    hit = joined.withColumn("n_words", F.size("_w").cast("long")).withColumn("_hit", F.when(F.col("_found").isNotNull(), exact)).drop("_w", "_found")
+    intervals = F.array_sort(F.transform(F.col("_hit"), lambda c: F.struct(c["start"].alias("start"), (c["start"] + F.size(c["terms"])).alias("end"))))
     empty = "CAST(array() AS array<struct<start:int,end:int>>)"
-    merged = F.expr(f"""aggregate(intervals, {empty}, (acc, x) ->
+    merged = F.expr(f"""aggregate(_intervals, {empty}, (acc, x) ->
         CASE WHEN size(acc) > 0 AND x.start <= acc[size(acc) - 1].end
              THEN concat(slice(acc, 1, size(acc) - 1),
                          array(struct(acc[size(acc) - 1].start AS start, greatest(acc[size(acc) - 1].end, x.end) AS end)))
              ELSE concat(acc, array(x)) END)""")
-    return hit.withColumn("intervals", intervals).select(
-        F.col("doc").alias(id_col),
-        F.col("n").cast("long").alias("n_words"),
+    return hit.withColumn("_intervals", intervals).select(
+        *base.columns, "n_words",
         F.coalesce(merged, F.expr(empty)).alias("spans"),
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("hit", lambda c: c["items"])))), F.expr("CAST(array() AS array<string>)")).alias("items"),
+        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("_hit", lambda c: c["items"])))), F.expr("CAST(array() AS array<string>)")).alias("items"),
     ).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + (x.end - x.start))"))
 
 

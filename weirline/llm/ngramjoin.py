@@ -255,7 +255,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component_id"), F.min(F.struct("doc", "h")).alias("least"))
     return rooted.join(least, "root", "left").select(
         F.col("doc").alias(id_col), "h", "n_shingles", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("h") == F.col("least.h")), F.lit(True)).alias("first"))
+        (F.col("root").isNull() | (F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("h") == F.col("least.h")))).alias("first"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every component: the first by id and hash of the text.
+
+    All columns stay.  Rows with an empty set stay; of rows repeated in id and text one stays."""
+    judged = similar_documents(docs, id_col, text_col, n, percent)
+    chosen = judged.filter("first").groupBy(F.col(id_col).alias("_id"), F.col("h").alias("_hk")).agg(F.count("*").alias("_copies"))
+    keyed = docs.withColumn("_h", F.xxhash64(text_col))
+    joined = keyed.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hk")))
+    once = joined.filter("_copies = 1").unionByName(joined.filter("_copies > 1").dropDuplicates([id_col, "_h"]))
+    return once.select(*docs.columns)
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, n: int, order: Order, percent: int) -> DataFrame:

@@ -322,11 +322,22 @@ def _solved(items: DataFrame, size: int) -> DataFrame:
     return dealt.repartition("name").sortWithinPartitions("name").mapInArrow(_arrays(size), MARK)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first") -> DataFrame:
+def _widened(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span with the rest of the characters at its ends (bytes 10xxxxxx continue one)."""
+    while start and text[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(text) and text[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first",
+                   whole_characters: bool = False) -> DataFrame:
     """Every row of ``docs`` with its text less the repeated bytes.
 
     Adds ``kept`` (binary: the remaining bytes), ``n_removed`` and ``removed`` (the maximal
     removed byte spans); all columns of ``docs`` stay (clashing names are replaced).
+    ``whole_characters`` widens the spans so that no character is cut in two.
     """
     base = docs.drop("kept", "removed", "n_removed")
     spans = repeated_spans(base, id_col, text_col, size, keep)
@@ -341,6 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for text, spans in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist()):
                     text, merged = text or b"", []
                     for x in sorted((x["start"], x["end"]) for x in spans or ()):
+                        if whole_characters:
+                            x = _widened(text, *x)
                         if merged and x[0] <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], x[1])
                         else:
