@@ -6,6 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from weirline.llm import bpe
+from shapes import docs, vocabulary  # noqa: F401
 
 ODD = [None, "", " ", "\n\n  x  ", "<|endoftext|>", "a<|endoftext|>b <|endoftext|> ", "aaaaaaaaa" * 500, "日本語テキスト 😀😀", "it's we'll I'D", "\x00\x01 nul", "naïve café"]
 

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from weirline.llm import decontam
+from shapes import docs, prose  # noqa: F401
 
 
 def word_list(t):

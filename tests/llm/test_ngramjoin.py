@@ -7,6 +7,7 @@ import pytest
 
 from weirline.llm import ngramjoin
 from weirline.llm.components import connected_components
+from shapes import docs, prose  # noqa: F401
 
 
 def sets(rows, n):

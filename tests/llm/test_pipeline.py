@@ -1,6 +1,7 @@
 """The stages: their decisions take effect, clean documents stay."""
 
 import pytest
+from shapes import prose  # noqa: F401
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 

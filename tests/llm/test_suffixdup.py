@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from weirline.llm import suffixdup
+from shapes import docs, prose  # noqa: F401
 
 SIZE = 120
 
