@@ -54,3 +54,19 @@ def test_mercator_distance(spark):
     got = [r[0] for r in df.select(geo.mercator_km("a", "b", "c", "d")).collect()]
     assert got[0] == pytest.approx(6378137.0 * math.radians(1) / 1000)
     assert got[1] is None
+
+
+def test_kinds_of_areas(spark):
+    square = "((0 0, 4 0, 4 4, 0 4, 0 0))"
+    hole = "((0 0, 4 0, 4 4, 0 4, 0 0), (0 0, 2 0, 2 4, 0 4, 0 0))"
+    cases = {
+        f"POLYGON {square}": (2, 2), f"polygon z {square.replace(',', ' 9,').replace('0))', '0 9))')}": (2, 2), f"POLYGON {hole}": (3, 2),
+        f"MULTIPOLYGON ({square})": (2, 2), "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((3 0, 4 0, 4 1, 3 1, 3 0)))": (2, 0.5),
+        f"MULTIPOLYGON({hole}, ((10 0, 12 0, 12 4, 10 4, 10 0)))": (7, 2), "POLYGON EMPTY": None, "MULTIPOLYGON Z EMPTY": None, "LINE (0 0)": None, "POLYGON ((a b))": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "w string")
+    rows = geo.with_polygon_centroid(df, "w", "c").withColumn("bad", geo.unreadable_area("w")).collect()
+    for r in rows:
+        want = cases[r["w"]]
+        assert (r["c"] and (round(r["c"]["x"], 9), round(r["c"]["y"], 9))) == want, r["w"]
+        assert r["bad"] == (want is None and "EMPTY" not in r["w"])

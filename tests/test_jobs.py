@@ -4,9 +4,14 @@ session's checkpoint folder)."""
 import json
 import uuid
 
+import pytest
+from pyspark.sql import functions as F
+
+from weirline.operators import audit
 from weirline.plans import jobs
 from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS, Workspace
 from weirline.session import scratch_path
+from weirline.sources import sinks
 from conftest import SF_SMALL
 
 
@@ -21,8 +26,8 @@ def test_import_enrich_clean_analyse(spark):
 
     enr = jobs.run_enrichment(spark, w.raw_metadata, imp["dams_path"], out, RUN_TS)
     assert enr["records"] == w.raw_metadata.count() and not enr["missing"]
-    checks = enr["validation"]["enrichment"]
-    assert "error" not in checks and checks["enriched_view_count"] == enr["view_records"]
+    checks = enr["validation"]
+    assert all("error" not in c for c in checks.values()) and checks["view"]["enriched_view_count"] == enr["view_records"]
 
     dry = jobs.run_cleaning(spark, imp["dams_path"], w.stations, w.readings, w.shm, out, RUN_TS, dry_run=True)
     total = dry["composition"][0]["total_records"]
@@ -49,3 +54,39 @@ def test_import_enrich_clean_analyse(spark):
     assert doc["infrastructure_summary"]["total_types"] == len(ana["tables"]["infrastructure_types"])
     csv = spark.read.option("header", True).csv(f"{out}/tables/usage_patterns")
     assert csv.count() == 6
+
+
+def test_second_import_counts_its_own_rows(spark):
+    w = Workspace(spark, SF_SMALL)
+    out = scratch_path(spark, f"tests/jobs-{uuid.uuid4().hex[:8]}")
+    n = w.raw_barriers.count()
+    for run in (1, 2):
+        imp = jobs.run_import(spark, w.raw_barriers, w.raw_reservoirs, out, BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT)
+        assert imp["inserted"] == {"barrier": n, "reservoir": n} and imp["skipped"] == {"barrier": 0, "reservoir": 0}
+        assert imp["validation"]["total"]["total_records"] == run * 2 * n and imp["unreadable_geometry"] == 0
+    broken = w.raw_barriers.withColumn("x", F.raise_error(F.lit("no")))
+    assert sinks.append_rows(broken, f"{out}/dams") == (0, n)
+
+
+def test_failed_refresh_keeps_the_old_rows(spark):
+    path = scratch_path(spark, f"tests/refresh-{uuid.uuid4().hex[:8]}")
+    sinks.refresh_table(spark, spark.range(100), path)
+    with pytest.raises(Exception, match="no"):
+        sinks.refresh_table(spark, spark.range(100).withColumn("id", F.when(F.col("id") == 99, F.raise_error(F.lit("no"))).otherwise(F.col("id"))), path)
+    assert spark.read.parquet(sinks.current(spark, path)).count() == 100
+    sinks.refresh_table(spark, spark.range(7), path)
+    assert spark.read.parquet(sinks.current(spark, path)).count() == 7
+
+
+def test_one_failing_check_is_recorded(spark):
+    ok = spark.range(1).selectExpr("count(*) AS n")
+    got = audit.run_checks({"a": ok, "bad": spark.range(1).select(F.raise_error(F.lit("no"))), "b": ok})
+    assert got["a"] == got["b"] == {"n": 1} and "error" in got["bad"]
+
+
+def test_upsert_keeps_columns_and_takes_one_row_per_key(spark):
+    from weirline.operators import spatial
+    now = spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "k int, v int, other string").withColumn("updated_at", F.lit("2020-01-01").cast("timestamp_ntz"))
+    new = spark.createDataFrame([(1, 7), (1, 9), (2, 6), (3, 1)], "k int, v int")
+    got = {r["k"]: (r["v"], r["other"], r["touched"]) for r in spatial.upsert_touch(now, new, "k", ["v"], "2021-01-01").collect()}
+    assert got == {1: (9, "x", True), 2: (6, "y", False), 3: (1, None, True)}

@@ -6,9 +6,10 @@ import pytest
 import __spark_entry__ as E
 from compare import compare
 from conftest import SF_SMALL
+from weirline.plans import catalog, oracle
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = oracle.oracle_sql()
 
 
 def plan_text(df) -> str:
@@ -22,11 +23,7 @@ def test_query_matches_oracle(spark, con_small, name):
 
 
 def test_every_query_has_oracle_or_is_rows_only(spark):
-    rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only <= {"random_sample", "wkt_points", "export_csv", "export_statistics_json",
-                         "export_manifest", "reports_md"}
-    for name in rows_only:
-        assert QUERIES[name](spark, SF_SMALL).count() > 0
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_runs(spark):
@@ -47,10 +44,32 @@ def test_no_python_udf_in_any_plan(spark):
         assert "EvalPython" not in p and "PythonUDF" not in p, name
 
 
-def test_usage_patterns_single_scan(spark):
-    """Six flag counts come from one pass: one scan of the orders table."""
-    p = plan_text(QUERIES["usage_patterns"](spark, SF_SMALL))
-    assert p.count("orders.parquet") == 1, p
+@pytest.mark.parametrize("name", ["usage_patterns", "height_classes", "capacity_classes", "composition_scores", "removal_summary", "completeness"])
+def test_single_scan(spark, name):
+    """Counts and their shares come from one pass: one scan per source table."""
+    p = plan_text(QUERIES[name](spark, SF_SMALL))
+    layers = 2 if name in ("composition_scores", "removal_summary") else 1
+    assert p.count("orders.parquet") == layers, p
+
+
+@pytest.mark.parametrize("name,keys", [
+    ("composition_scores", [("record_count", -1)]), ("composition_classes", [("count", -1)]), ("removal_summary", [("count", -1)]),
+    ("classify_rows", [("created_at", 1), ("dam_id", 1)]), ("purposes", [("dam_count", -1)]), ("usage_patterns", [("count", -1), ("use_type", 1)]),
+    ("completeness", [("completeness_percentage", -1), ("field_name", 1)])])
+def test_row_order(spark, name, keys):
+    rows = QUERIES[name](spark, SF_SMALL).collect()
+    order = lambda r: tuple(r[k] * d if d < 0 else r[k] for k, d in keys)
+    assert [order(r) for r in rows] == sorted(order(r) for r in rows)
+
+
+def test_no_job_runs_while_the_view_is_planned(spark):
+    from weirline.plans.workspace import Workspace
+    w = Workspace(spark, SF_SMALL)
+    assert w.registry.columns and w.enrichment.columns
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    w.view.schema
+    assert list(tracker.getJobIdsForGroup("planning")) == []
 
 
 def test_cascade_partitions_each_table(spark):

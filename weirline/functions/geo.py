@@ -1,9 +1,9 @@
 """Geometry as plain columns.
 
-A point is ``struct<x:double, y:double>``; a polygon is
-``array<array<struct<x,y>>>`` (outer ring first, then holes).  Spark has no
-planar geometry functions, so centroid and distance are written with
-higher-order functions, which run inside codegen like any other expression.
+A point is ``struct<x:double, y:double>``; an area is an array of rings
+``struct<shell:boolean, points:array<struct<x,y>>>`` (the shell of each part, then its
+holes).  Spark has no planar geometry functions, so the centroid is written with
+higher-order functions, which are interpreted, and the distance with plain ones.
 """
 
 from __future__ import annotations
@@ -43,31 +43,46 @@ def point_to_wkt(p) -> Column:
     return F.when(p.isNotNull(), F.format_string("POINT (%s %s)", p["x"].cast("string"), p["y"].cast("string")))
 
 
+_AREA = r"(?is)^\s*(MULTI)?POLYGON\s*(?:ZM|Z|M)?\s*\((.*)\)\s*$"
+
+
 def polygon_from_wkt(wkt) -> Column:
-    """``'POLYGON ((x y, ...), (x y, ...))'`` -> array of rings of points."""
+    """``POLYGON`` and ``MULTIPOLYGON`` text, with or without Z and M -> its rings.
+
+    NULL for EMPTY and for anything else (``unreadable_area`` tells the two apart);
+    ordinates beyond x and y are passed over.
+    """
     w = _col(wkt)
-    body = F.regexp_extract(w, r"^\s*POLYGON\s*\(\s*\((.*)\)\s*\)\s*$", 1)
-    rings = F.split(body, r"\)\s*,\s*\(")
-    return F.when(
-        body != "",
-        F.transform(
-            rings,
-            lambda ring: F.transform(
-                F.split(F.trim(ring), r"\s*,\s*"),
-                lambda pair: F.struct(
-                    F.split(F.trim(pair), r"\s+")[0].try_cast("double").alias("x"),
-                    F.split(F.trim(pair), r"\s+")[1].try_cast("double").alias("y"),
-                ),
-            ),
-        ),
-    )
+    body = F.trim(F.regexp_extract(w, _AREA, 2))
+    # One pair of brackets around each part, as a MULTIPOLYGON has it.
+    multi = F.when(F.regexp_extract(w, _AREA, 1) != "", body).otherwise(F.concat(F.lit("("), body, F.lit(")")))
+    inner = F.regexp_replace(F.regexp_replace(multi, r"^\(\s*\(", ""), r"\)\s*\)$", "")
+
+    def vertex(text: Column) -> Column:
+        xy = F.split(F.trim(text), r"\s+")
+        return F.struct(xy[0].try_cast("double").alias("x"), F.get(xy, 1).try_cast("double").alias("y"))
+
+    def part(text: Column) -> Column:
+        return F.transform(F.split(text, r"\)\s*,\s*\("), lambda ring, i: F.struct(
+            (i == 0).alias("shell"), F.transform(F.split(ring, ","), vertex).alias("points")))
+
+    rings = F.flatten(F.transform(F.split(inner, r"\)\s*\)\s*,\s*\(\s*\("), part))
+    broken = F.exists(rings, lambda r: F.exists(r["points"], lambda q: q["x"].isNull() | q["y"].isNull()))
+    return F.when((body != "") & ~broken, rings)
+
+
+def unreadable_area(wkt) -> Column:
+    """Text that is neither an area nor EMPTY nor NULL."""
+    w = _col(wkt)
+    return w.isNotNull() & ~F.upper(w).rlike(r"\bEMPTY\s*$") & polygon_from_wkt(w).isNull()
 
 
-def _oriented_terms(ring: Column, i: Column) -> Column:
+def _oriented_terms(item: Column) -> Column:
     """One pass over a closed ring: twice its signed area ``a``, the centroid
     numerators ``cx, cy``, its length ``l`` and the length-weighted midpoint
-    sums ``mx, my``.  The finish step normalises the winding: the shell (ring
-    0) counts positive and holes negative, whatever their orientation."""
+    sums ``mx, my``.  The finish step normalises the winding: a shell counts
+    positive and holes negative, whatever their orientation."""
+    ring = item["points"]
     idx = F.sequence(F.lit(0), F.size(ring) - 2)
     zero = F.struct(
         F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"),
@@ -88,7 +103,7 @@ def _oriented_terms(ring: Column, i: Column) -> Column:
         )
 
     def finish(t):
-        s = F.when(i == 0, F.signum(t["a"])).otherwise(-F.signum(t["a"]))
+        s = F.when(item["shell"], F.signum(t["a"])).otherwise(-F.signum(t["a"]))
         return F.struct((t["a"] * s).alias("a"), (t["cx"] * s).alias("cx"), (t["cy"] * s).alias("cy"),
                         t["l"].alias("l"), t["mx"].alias("mx"), t["my"].alias("my"))
 
@@ -114,7 +129,7 @@ def centroid_from_totals(tot, rings) -> Column:
     """Area centroid; a polygon of zero area falls back to the length-weighted
     centroid of its rings and one of zero length to its first vertex (as GEOS)."""
     tot, rings = _col(tot), _col(rings)
-    area2, first = tot["a"], rings[0][0]
+    area2, first = tot["a"], rings[0]["points"][0]
     return F.when(rings.isNull() | (F.size(rings) == 0), F.lit(None)).otherwise(
         F.when(area2 != 0, point(tot["cx"] / (3 * area2), tot["cy"] / (3 * area2)))
         .when(tot["l"] > 0, point(tot["mx"] / tot["l"], tot["my"] / tot["l"]))

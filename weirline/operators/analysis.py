@@ -5,13 +5,15 @@ percentages and averages are computed in double from exact sums and rounded
 once; ``COALESCE(x, 'Unspecified')`` is applied after grouping on the raw
 column, so a NULL group and a literal 'Unspecified' stay two rows.
 
-Shares of a total never need a second scan: the per-group aggregate is small,
-so the total is summed from it and joined back as one broadcast row.
+Shares of a total: where the classes are few by definition (size classes), the total is
+a window sum over the aggregated classes, so the table is read once.  Where the groups
+are free text and may be many, no task sees them all: the total is a separate count,
+joined back as one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirline.functions.stats import count_true, exact_avg, pct, round_dbl
@@ -49,12 +51,14 @@ def bucket(c: Column, bounds, top: str) -> Column:
     return expr.otherwise(F.lit(top))
 
 
-def _share_of_total(per: DataFrame, count_col: str, keep: Column | None = None) -> DataFrame:
-    """Attach the grand total of ``count_col`` (summed over the small grouped
-    frame and broadcast as one row), then drop the groups not in ``keep``."""
-    total = per.agg(F.sum(count_col).cast("bigint").alias("_total"))
-    rows = per.where(keep) if keep is not None else per
-    return rows.crossJoin(F.broadcast(total))
+def _share_of_classes(per: DataFrame, count_col: str) -> DataFrame:
+    """Attach the total of ``count_col`` over a handful of classes."""
+    return per.withColumn("_total", F.sum(count_col).over(Window.partitionBy()))
+
+
+def _share_of_total(per: DataFrame, source: DataFrame) -> DataFrame:
+    """Attach the number of rows of ``source`` (one row, columns pruned away)."""
+    return per.crossJoin(F.broadcast(source.agg(F.count(F.lit(1)).alias("_total"))))
 
 
 # --------------------------------------------------------------------- A2
@@ -67,7 +71,7 @@ def infrastructure_types(e: DataFrame) -> DataFrame:
         count_true("use_hydropower").alias("hydropower_count"),
         count_true("use_irrigation").alias("irrigation_count"),
     )
-    return (_share_of_total(per, "dam_count", F.col("dam_type").isNotNull())
+    return (_share_of_total(per.where(F.col("dam_type").isNotNull()), e)
             .select(F.coalesce("dam_type", F.lit(UNSPECIFIED)).alias("infrastructure_type"),
                     "dam_count", pct("dam_count", "_total").alias("percentage"),
                     "avg_height_m", "avg_capacity_mcm", "hydropower_count", "irrigation_count")
@@ -87,7 +91,7 @@ def _size_classes(e: DataFrame, col: str, bounds, top: str, label: str, digits:
         F.max(x).alias("_max"),
         exact_avg(x, digits).alias(f"avg_{suffix}"),
     )
-    return (_share_of_total(per, "dam_count", F.col(label).isNotNull())
+    return (_share_of_classes(per, "dam_count").where(F.col(label).isNotNull())
             .select(label, "dam_count", pct("dam_count", "_total").alias("percentage"),
                     round_dbl(F.col("_min"), digits).alias(f"min_{suffix}"),
                     round_dbl(F.col("_max"), digits).alias(f"max_{suffix}"),
@@ -112,11 +116,11 @@ def purposes(e: DataFrame) -> DataFrame:
         exact_avg("height_meters_gdw").alias("avg_height_m"),
         exact_avg("capacity_mcm_gdw").alias("avg_capacity_mcm"),
     )
-    return (_share_of_total(per, "dam_count")
+    return (_share_of_total(per, e)
             .select(F.coalesce("primary_purpose", F.lit(UNSPECIFIED)).alias("primary_purpose"),
                     "dam_count", pct("dam_count", "_total").alias("percentage"),
                     "avg_height_m", "avg_capacity_mcm")
-            .orderBy(F.col("dam_count").desc()))
+            .orderBy(F.col("dam_count").desc(), F.col("primary_purpose"), F.col("avg_height_m")))
 
 
 def _unpivot_counts(wide: DataFrame, items, name_col: str, count_col: str) -> DataFrame:
@@ -134,7 +138,7 @@ def usage_patterns(e: DataFrame) -> DataFrame:
                  *[count_true(c).alias(f"_c{i}") for i, (_, c) in enumerate(USE_TYPES)])
     long = _unpivot_counts(wide, USE_TYPES, "use_type", "count")
     return (long.select("use_type", "count", pct("count", "_n").alias("percentage"))
-            .orderBy(F.col("count").desc()))
+            .orderBy(F.col("count").desc(), F.col("use_type")))
 
 
 # --------------------------------------------------------------------- A10
@@ -154,7 +158,7 @@ def completeness(e: DataFrame) -> DataFrame:
     long = _unpivot_counts(wide, fields, "field_name", "complete_count")
     return (long.select("field_name", "complete_count", F.col("_n").alias("total_count"),
                         pct("complete_count", "_n").alias("completeness_percentage"))
-            .orderBy(F.col("completeness_percentage").desc()))
+            .orderBy(F.col("completeness_percentage").desc(), F.col("field_name")))
 
 
 # --------------------------------------------------------------------- A7

@@ -12,7 +12,6 @@ import logging
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirline.operators.joins import broadcast_if_small
 from weirline.schemas import DAMS_LENGTH_LIMITS
 
 log = logging.getLogger(__name__)
@@ -82,13 +81,26 @@ def enrichment_checks(dams_authentic: DataFrame, enrichment: DataFrame, view: Da
     return a.crossJoin(b).crossJoin(c)
 
 
-def run_checks(checks: dict) -> dict:
+def enrichment_check_frames(dams_authentic: DataFrame, enrichment: DataFrame, view: DataFrame) -> dict[str, DataFrame]:
+    """The post-enrichment counts as checks of their own, one per table."""
+    n = F.count(F.lit(1))
+    fields = ["height_meters", "height_meters_gdw", "primary_purpose", "river_name", "main_basin", "longitude_precise"]
+    return {
+        "main_dams": dams_authentic.agg(n.alias("main_dams_count")),
+        "enrichment": enrichment.agg(n.alias("enrichment_records")),
+        "view": view.agg(n.alias("enriched_view_count")),
+        "fields": view.agg(*[F.count(c).alias(c) for c in fields]),
+        "uses": view.agg(*[F.count_if(F.col(c) == F.lit(True)).alias(c) for c in ("use_irrigation", "use_hydropower")]),
+    }
+
+
+def run_checks(checks: dict) -> dict:  # name -> one-row frame, or a function that builds it
     """Collect each named one-row check; a failing check records its error and
     the others still run."""
     out = {}
     for name, df in checks.items():
         try:
-            rows = df.collect()
+            rows = (df() if callable(df) else df).collect()
             out[name] = rows[0].asDict() if rows else {}
         except Exception as exc:  # noqa: BLE001 - reported, not raised
             log.error("check %s failed: %s", name, exc)
@@ -180,7 +192,6 @@ def geometry_audit(dams: DataFrame) -> DataFrame:
 def reference_orphans(dams: DataFrame, regions: DataFrame, dam_types: DataFrame) -> dict:
     """Relations of the dams table to its small reference tables."""
     return {
-        "dams.region_id -> regions": (dams, "region_id", broadcast_if_small(regions), "region_id"),
-        "dams.primary_dam_type_id -> dam_types": (dams, "primary_dam_type_id", broadcast_if_small(dam_types),
-                                                  "type_id"),
+        "dams.region_id -> regions": (dams, "region_id", regions, "region_id"),
+        "dams.primary_dam_type_id -> dam_types": (dams, "primary_dam_type_id", dam_types, "type_id"),
     }

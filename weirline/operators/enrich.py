@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from weirline.functions import clean
 from weirline.functions.stats import pct
-from weirline.operators.joins import checkpoint_small
 from weirline.operators.purge import authentic_rows
 from weirline.schemas import (
     ENRICHMENT_COORDINATES, ENRICHMENT_FLAGS, ENRICHMENT_MEASURES, ENRICHMENT_TEXT,
@@ -107,60 +106,31 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
 
     A disjunctive join condition has no equi-key, so Spark would plan it as a
     broadcast nested-loop join (every dam against every metadata row).  It is
-    rewritten as one equi-join on a tagged key with the same multiset of rows:
-
-    * every dam probes once by name (kind ``N``) and, when some comment key
-      equals its country, once more by country (kind ``K``);
-    * the metadata side holds each row under its name (``N``) and, when its
-      comment key equals some dam's country, under that key (``K``);
-    * after the LEFT JOIN on ``(kind, key)``: a ``K`` pair is kept unless the
-      same pair also matches by name (it is already an ``N`` pair), and an
-      unmatched ``N`` probe (the NULL-extended row) is kept only for a dam
-      without any key match.
-
-    The set of matching keys has at most one row per country code; it is
-    computed once into the checkpoint folder and broadcast after a size
-    check, else joined by shuffle.  The dam side is read and
-    shuffled once.  A hot join key (a country or a name holding a large share
-    of the dams) is split across tasks by AQE's skew-join handling.
+    written as three branches that have one, with the same multiset of rows:
+
+    * pairs that match by name (inner join);
+    * pairs that match by comment key and not by name as well (inner join);
+    * dams without any match, NULL-extended (two left anti joins against the
+      distinct names and the distinct comment keys).
+
+    Both sides of an inner join can be split by AQE, so a name or a comment
+    key that holds a large share of either table does not end in one task.
+    The anti joins meet one row per key on their right side, and only the dam
+    side can be hot.  Nothing runs while the plan is built.
     """
     d = authentic_rows(dams, authentic).select(*[F.col(s).alias(t) for s, t in VIEW_DAM_COLUMNS])
     e = enrichment.select(*VIEW_ENRICHMENT_COLUMNS)
-    dam_cols = [t for _, t in VIEW_DAM_COLUMNS]
-    out_cols = dam_cols + VIEW_ENRICHMENT_COLUMNS
-
-    # comment keys equal to some dam's country code
-    e_ck = e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN)).where(F.col("_ck").isNotNull())
-    codes = d.select(F.col("country_code").alias("_ck")).where(F.col("_ck").isNotNull()).distinct()
-    # at most one row per country code: computed once into the checkpoint
-    # folder and broadcast after a size check, so the large dam side is never
-    # shuffled just to be flagged
-    keys = checkpoint_small(e_ck.select("_ck").distinct().join(codes, "_ck", "left_semi"))
-
-    # dams, each flagged when some key matches its country
-    flagged = (d.join(keys.withColumn("_key_hit", F.lit(True)), d["country_code"] == keys["_ck"], "left")
-               .drop("_ck"))
-    probes = F.array_compact(F.array(
-        F.struct(F.lit("N").alias("_kind"), F.col("dam_name").alias("_jk")),
-        F.when(F.col("_key_hit"), F.struct(F.lit("K").alias("_kind"), F.col("country_code").alias("_jk"))),
-    ))
-    left = flagged.select(*dam_cols, "_key_hit", F.explode(probes).alias("_p")).select(
-        *dam_cols, "_key_hit", "_p._kind", "_p._jk")
-
-    # metadata rows, each held under its name and (when it matches) its comment key
-    e_tag = (e.withColumn("_ck", F.substring("gdw_comments", 1, COMMENT_KEY_LEN))
-             .join(keys.withColumn("_ck_hit", F.lit(True)), "_ck", "left"))
-    entries = F.array_compact(F.array(
-        F.when(F.col("dam_name_gdw").isNotNull(),
-               F.struct(F.lit("N").alias("_kind"), F.col("dam_name_gdw").alias("_jk"))),
-        F.when(F.col("_ck_hit"), F.struct(F.lit("K").alias("_kind"), F.col("_ck").alias("_jk"))),
-    ))
-    right = (e_tag.select(*VIEW_ENRICHMENT_COLUMNS, F.explode(entries).alias("_p"))
-             .select("_p._kind", "_p._jk", *VIEW_ENRICHMENT_COLUMNS)
-             .withColumn("_e_hit", F.lit(True)))
-
-    j = left.join(right, ["_kind", "_jk"], "left")
-    name_match = F.coalesce(F.col("dam_name") == F.col("dam_name_gdw"), F.lit(False))
-    keep = (((F.col("_kind") == "N") & (F.col("_e_hit").isNotNull() | F.col("_key_hit").isNull()))
-            | ((F.col("_kind") == "K") & ~name_match))
-    return j.where(keep).select(*out_cols)
+    out_cols = [t for _, t in VIEW_DAM_COLUMNS] + VIEW_ENRICHMENT_COLUMNS
+    comment_key = F.substring("gdw_comments", 1, COMMENT_KEY_LEN)
+
+    by_name = d.join(e, F.col("dam_name") == F.col("dam_name_gdw"))
+    same_name = F.coalesce(F.col("dam_name") == F.col("dam_name_gdw"), F.lit(False))
+    by_key = d.join(e.withColumn("_ck", comment_key), F.col("country_code") == F.col("_ck")).where(~same_name)
+
+    names = e.select(F.col("dam_name_gdw").alias("_name")).where("_name IS NOT NULL").distinct()
+    keys = e.select(comment_key.alias("_ck")).where("_ck IS NOT NULL").distinct()
+    lone = (d.join(names, F.col("dam_name") == F.col("_name"), "left_anti")
+            .join(keys, F.col("country_code") == F.col("_ck"), "left_anti"))
+    types = {f.name: f.dataType for f in e.schema.fields}
+    extended = lone.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in VIEW_ENRICHMENT_COLUMNS])
+    return (by_name.select(*out_cols).unionByName(by_key.select(*out_cols)).unionByName(extended.select(*out_cols)))

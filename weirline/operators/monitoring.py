@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirline.operators.joins import broadcast_if_small
 
 # How many readings per dam the recent-readings view keeps, and the
 # priority cut of the region list.
@@ -27,12 +26,10 @@ def attach_links(dams: DataFrame, links: DataFrame) -> DataFrame:
 def dam_summary(dams: DataFrame, regions: DataFrame, dam_types: DataFrame) -> DataFrame:
     """Dams with a region (inner join) and their primary type (left join).
 
-    Both reference tables are small by nature; they are broadcast after a size
-    check, so the large dams table is never shuffled here.
+    Plain joins: Catalyst broadcasts the reference tables by their size.
     """
-    r = broadcast_if_small(regions.select("region_id", "region_name"))
-    t = broadcast_if_small(dam_types.select(F.col("type_id").alias("primary_dam_type_id"),
-                                            F.col("type_name").alias("primary_dam_type")))
+    r = regions.select("region_id", "region_name")
+    t = dam_types.select(F.col("type_id").alias("primary_dam_type_id"), F.col("type_name").alias("primary_dam_type"))
     return (dams.join(r, "region_id", "inner")
             .join(t, "primary_dam_type_id", "left")
             .select("dam_id", "dam_name", "region_name", "country_code", "primary_dam_type",
@@ -103,34 +100,32 @@ def priority_regions(summary: DataFrame, regions: DataFrame, names=None,
     """
     if names is not None:
         return summary.where(F.col("region_name").isin(list(names)))
-    top = broadcast_if_small(regions.where(F.col("priority_order") <= max_priority).select("region_name"))
+    top = regions.where(F.col("priority_order") <= max_priority).select("region_name")
     return summary.join(top, "region_name", "left_semi")
 
 
 def region_rollup(summary: DataFrame, stations: DataFrame, readings: DataFrame) -> DataFrame:
-    """Per region: distinct dams, distinct stations and readings of those stations.
-
-    One pass over the dam summary: readings are first reduced to one count per
-    station (partial aggregation in every task), stations carry that count,
-    and each dam of a region joins its stations (a dam without stations keeps
-    one row).  The rows are (dam, station) pairs, never readings, so nothing
-    fans out; the two distinct counts are shuffled on (region, id) first, so a
-    region holding most dams is still spread over many tasks.
+    """Per region: dams, stations and readings of those stations.
+
+    Reduced level by level: readings to one count per station, stations to one row per
+    dam, and the dams, joined one-to-one, to their region.  Every level is a partial
+    aggregation in each task, so neither a station nor a dam nor a region that holds
+    most of the rows ends in one task.  Station and dam ids are keys of their tables.
     """
-    dam_region = summary.select("dam_id", "region_name")
     per_station = (readings.where(F.col("station_id").isNotNull())
-                   .groupBy("station_id").agg(F.count(F.lit(1)).alias("_readings")))
-    st = (stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
-          .join(per_station, "station_id", "left"))
-    pairs = dam_region.join(st, "dam_id", "left")
-    return (pairs.groupBy("region_name").agg(
-                F.count_distinct("dam_id").alias("dam_count"),
-                F.count_distinct("station_id").alias("station_count"),
-                F.coalesce(F.sum("_readings"), F.lit(0)).cast("bigint").alias("sensor_reading_count")))
+                   .groupBy("station_id").agg(F.count(F.lit(1)).alias("_n")))
+    per_dam = (stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
+               .join(per_station, "station_id", "left")
+               .groupBy("dam_id").agg(F.count("station_id").alias("_stations"), F.sum("_n").alias("_readings")))
+    count = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    return (summary.select("dam_id", "region_name").join(per_dam, "dam_id", "left")
+            .groupBy("region_name").agg(F.count("dam_id").alias("dam_count"), count("_stations", "station_count"),
+                                        count("_readings", "sensor_reading_count")))
 
 
 def dam_inventory(summary: DataFrame) -> DataFrame:
-    """Inventory listing ordered by region (every row, duplicates kept)."""
-    return (summary.select("dam_name", "region_name", "height_meters", "normal_capacity_mcm",
-                           "construction_year", "primary_dam_type")
-            .orderBy("region_name", "dam_name"))
+    """Inventory listing ordered by region and name (every row, duplicates kept).  The key
+    ends the order, so that the rows of one repeated name spread over the sort's ranges."""
+    return (summary.orderBy("region_name", "dam_name", "dam_id")
+            .select("dam_name", "region_name", "height_meters", "normal_capacity_mcm",
+                    "construction_year", "primary_dam_type"))

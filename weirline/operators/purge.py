@@ -14,11 +14,10 @@ import logging
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirline.functions.stats import pct
-from weirline.operators.joins import KEYSET_MAX_ROWS, broadcast_if_small
 
 log = logging.getLogger(__name__)
 
@@ -53,7 +52,8 @@ def classify_rows(dams: DataFrame) -> DataFrame:
     label = F.when(is_authentic(), F.lit(LABEL_KEEP)).otherwise(F.lit(LABEL_REMOVE))
     return (synthetic_rows(dams)
             .select("dam_id", "dam_name", "country_code", "data_quality_score",
-                    "construction_year", "created_at", label.alias("record_classification")))
+                    "construction_year", "created_at", label.alias("record_classification"))
+            .orderBy("created_at", "dam_id"))
 
 
 def composition_total(dams: DataFrame) -> DataFrame:
@@ -66,35 +66,36 @@ def composition_total(dams: DataFrame) -> DataFrame:
 
 
 def composition_scores(dams: DataFrame) -> DataFrame:
-    """Per score: count, share of all rows, first/last creation time.
+    """Per score: count, share of all rows, first/last creation time; largest first.
 
-    The total is a one-row aggregate joined back (a broadcast of one row), so
-    the table is scanned by the two aggregates only.
+    A score is a DECIMAL(3,2), so the groups are few: their total is a window
+    sum over the aggregate, and the table is read once.
     """
-    total = dams.agg(F.count(F.lit(1)).alias("_total"))
     per = dams.groupBy("data_quality_score").agg(
         F.count(F.lit(1)).alias("record_count"),
         F.min("created_at").alias("earliest_created"),
         F.max("created_at").alias("latest_created"),
     )
-    return (per.crossJoin(F.broadcast(total))
+    return (per.withColumn("_total", F.sum("record_count").over(Window.partitionBy()))
             .select("data_quality_score", "record_count", pct("record_count", "_total").alias("percentage"),
-                    "earliest_created", "latest_created"))
+                    "earliest_created", "latest_created")
+            .orderBy(F.desc("record_count"), F.col("data_quality_score").asc_nulls_last()))
 
 
 def composition_classes(dams: DataFrame) -> DataFrame:
     record_type = (F.when(is_authentic(), F.lit(TYPE_AUTHENTIC))
                    .when(is_synthetic(), F.lit(TYPE_ARTIFICIAL))
                    .otherwise(F.lit(TYPE_UNKNOWN)))
-    return dams.groupBy(record_type.alias("record_type")).agg(F.count(F.lit(1)).alias("count"))
+    return (dams.groupBy(record_type.alias("record_type")).agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), "record_type"))
 
 
 def removal_summary(dams: DataFrame) -> DataFrame:
     classification = F.when(is_authentic(), F.lit(SUMMARY_KEEP)).otherwise(F.lit(SUMMARY_REMOVE))
-    total = dams.agg(F.count(F.lit(1)).alias("_total"))
     per = dams.groupBy(classification.alias("classification")).agg(F.count(F.lit(1)).alias("count"))
-    return (per.crossJoin(F.broadcast(total))
-            .select("classification", "count", pct("count", "_total").alias("percentage")))
+    return (per.withColumn("_total", F.sum("count").over(Window.partitionBy()))
+            .select("classification", "count", pct("count", "_total").alias("percentage"))
+            .orderBy(F.desc("count"), "classification"))
 
 
 def dry_run_count(dams: DataFrame) -> DataFrame:
@@ -109,9 +110,9 @@ def newest_samples(dams: DataFrame, authentic: bool, n: int = 5) -> DataFrame:
 
 
 def random_sample(dams: DataFrame, n: int = 10, seed: int = 42) -> DataFrame:
-    """A repeatable ``n``-row sample: order by a seeded hash of the key (top-k,
-    so each task keeps only ``n`` candidates)."""
-    return (dams.orderBy(F.xxhash64(F.col("dam_id"), F.lit(seed)), F.col("dam_id"))
+    """A repeatable ``n``-row sample of the authentic rows: order by a seeded digest of
+    the key (top-k, so each task keeps only ``n`` candidates)."""
+    return (authentic_rows(dams).orderBy(F.md5(F.concat("dam_id", F.lit(str(seed)))), F.col("dam_id"))
             .limit(n).select("dam_name", "country_code", "data_quality_score", "construction_year"))
 
 
@@ -139,18 +140,13 @@ def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: Data
 
     Order as in the original: readings and SHM sensors of stations of removed
     dams, then those stations, then the dams.  Each step is a semi/anti join on
-    the parent key.  The removed-station key set is broadcast when its size
-    allows, so a hot station (a large share of readings) costs nothing extra;
-    above the bound the join shuffles and AQE splits skewed keys.
+    the parent key; the keys are one column of the parent table.  Catalyst and
+    AQE pick the strategy from sizes: a small key set is broadcast, a large one
+    is shuffled, and a hot station (a large share of the readings, on the left
+    side) is split.
     """
     bad_dam_ids = synthetic_rows(dams, predicate).select("dam_id")
-    # the removed stations are a set of bare keys, a subset of the station
-    # table: broadcast it when the station table is within the bound, so
-    # readings (the largest table) are filtered where they are read instead
-    # of being shuffled by station
-    bad_station_ids = broadcast_if_small(
-        stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id"), KEYSET_MAX_ROWS,
-        bound_by=stations.select("station_id"))
+    bad_station_ids = stations.join(bad_dam_ids, "dam_id", "left_semi").select("station_id")
     removed = {
         "sensor_readings": readings.join(bad_station_ids, "station_id", "left_semi"),
         "shm_sensors": shm.join(bad_station_ids, "station_id", "left_semi"),
@@ -219,21 +215,25 @@ def snapshot(spark: SparkSession, dams: DataFrame, base_dir: str, when: datetime
              max_attempts: int = 10) -> tuple[str, int]:
     """Write a snapshot ``dams_backup_<ts>``; on a name clash try ``_1``..``_9``.
 
-    Returns ``(path, row count read back)``.  ``errorifexists`` makes the
-    clash check the write itself, so two concurrent runs cannot overwrite
-    each other.
+    Returns ``(path, row count)`` and raises if the rows read back are not as many as
+    were written.  ``when`` is the run's timestamp, so that a rerun names the same
+    snapshot.  Two runs that pick one name at the same moment are not kept apart by the
+    file system: give each run its own ``base_dir``.
     """
     stamp = (when or datetime.now()).strftime("%Y%m%d_%H%M%S")
     base = f"{base_dir.rstrip('/')}/dams_backup_{stamp}"
     path = base
     for attempt in range(1, max_attempts + 1):
+        written = Observation()
         try:
-            dams.write.mode("errorifexists").parquet(path)
+            dams.observe(written, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
             break
         except Exception as exc:  # AnalysisException: path already exists
             if "already exists" not in str(exc) or attempt == max_attempts:
                 raise
             path = f"{base}_{attempt}"
     count = spark.read.parquet(path).count()
+    if count != written.get["n"]:
+        raise RuntimeError(f"snapshot {path} holds {count} rows of {written.get['n']}")
     log.info("snapshot %s holds %d rows", path, count)
     return path, count

@@ -31,27 +31,26 @@ def layer_pairs(dams: DataFrame) -> DataFrame:
 
 
 def upsert_touch(current: DataFrame, incoming: DataFrame, key: str, compare: list[str],
-                 run_ts: str, ts_col: str = "updated_at") -> DataFrame:
-    """Batch upsert by ``key``: incoming values win; ``updated_at`` is set to
-    ``run_ts`` on rows that are new or whose compared columns changed
-    (NULL-safe), and kept on all others.
+                 run_ts: str, ts_col: str = "updated_at", latest_by: str | None = None) -> DataFrame:
+    """Batch upsert by ``key``: incoming values of ``compare`` win, all other columns of
+    ``current`` stay; ``ts_col`` is set to ``run_ts`` on rows that are new or whose
+    compared columns changed (NULL-safe), and kept on all others.  ``touched`` marks them.
+
+    ``incoming`` is one row per key.  Of several, the one with the greatest
+    (``latest_by``, compared columns) is taken, so that none multiplies a current row.
+    A new row has NULL in the columns that ``incoming`` does not give.
 
     This is the batch form of a BEFORE UPDATE trigger: one full outer join on
     the key instead of one trigger call per row.
     """
-    cur = current.select(key, *[F.col(c).alias(f"_old_{c}") for c in compare], F.col(ts_col).alias("_old_ts"))
-    new = incoming.select(key, *[F.col(c).alias(f"_new_{c}") for c in compare]).withColumn("_in", F.lit(True))
-    j = cur.join(new, key, "full_outer")
-    changed = None
+    order = F.struct(*([latest_by] if latest_by else []), *compare)
+    new = (incoming.groupBy(key).agg(F.max(order).alias("_in"))
+           .select(key, F.lit(True).alias("_new"), *[F.col(f"_in.{c}").alias(f"_new_{c}") for c in compare]))
+    j = current.withColumn("_old", F.lit(True)).join(new, key, "full_outer")
+    differs = F.lit(False)
     for c in compare:
-        diff = ~F.col(f"_old_{c}").eqNullSafe(F.col(f"_new_{c}"))
-        changed = diff if changed is None else (changed | diff)
-    touched = F.col("_in").isNotNull() & (F.col("_old_ts").isNull() | changed)
-    ts = F.lit(run_ts).cast("timestamp_ntz")
-    return j.select(
-        key,
-        *[F.when(F.col("_in").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c)
-          for c in compare],
-        F.when(touched, ts).otherwise(F.col("_old_ts")).alias(ts_col),
-        touched.alias("touched"),
-    )
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_new_{c}"))
+    touched = F.col("_new").isNotNull() & (F.col("_old").isNull() | differs)
+    taken = {c: F.when(F.col("_new").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in compare}
+    stamp = F.when(touched, F.lit(run_ts).cast("timestamp_ntz")).otherwise(F.col(ts_col)).alias(ts_col)
+    return j.select(*[taken.get(c, stamp if c == ts_col else F.col(c)) for c in current.columns], touched.alias("touched"))

@@ -8,6 +8,7 @@ a comparison-friendly shape (see :func:`flat`).
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,8 +94,8 @@ def _upsert(w: Workspace) -> DataFrame:
 
 
 def _scratch(w: Workspace, name: str) -> str:
-    tag = w.sf_dir.rstrip("/").split("/")[-1]
-    return scratch_path(w.spark, f"weirline/{tag}/{name}")
+    """A folder of its own for each call: no two data sets, sessions or calls share one."""
+    return scratch_path(w.spark, f"weirline/{uuid.uuid4().hex}/{name}")
 
 
 def _metadata_csv(w: Workspace) -> DataFrame:
@@ -107,7 +108,7 @@ def _metadata_csv(w: Workspace) -> DataFrame:
 def _refresh(w: Workspace) -> DataFrame:
     path = _scratch(w, "dam_enrichment")
     sinks.refresh_table(w.spark, w.enrichment, path)
-    return flat(w.spark.read.parquet(path))
+    return flat(w.spark.read.parquet(sinks.current(w.spark, path)))
 
 
 def _snapshot(w: Workspace) -> DataFrame:
@@ -115,26 +116,43 @@ def _snapshot(w: Workspace) -> DataFrame:
     return _reg(w.spark.read.parquet(path))
 
 
-_PIPELINE_RUNS: dict = {}
+def _run(w: Workspace) -> str:
+    """Import, enrichment and analysis into a fresh folder; the exports are read from there."""
+    out = _scratch(w, "run")
+    imp = jobs.run_import(w.spark, w.raw_barriers, w.raw_reservoirs, out, BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT)
+    enr = jobs.run_enrichment(w.spark, w.raw_metadata, imp["dams_path"], out, RUN_TS)
+    jobs.run_analysis(w.spark, imp["dams_path"], enr["enrichment_path"], enr["view_path"], out, RUN_TS)
+    return out
+
+
+def _export_csv(w: Workspace) -> DataFrame:
+    """Rows of each exported table, counted in the CSV files."""
+    out = _run(w)
+    parts = [w.spark.read.option("header", True).csv(f"{out}/tables/{t}").agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(t).alias("table_name"), "n_rows") for t in sinks.ANALYSIS_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _export_statistics(w: Workspace) -> DataFrame:
+    """The single values of the statistics document, parsed from the file."""
+    doc = w.spark.read.option("multiLine", True).json(f"{_run(w)}/exports/analysis_statistics.json")
+    return doc.select(
+        "infrastructure_summary.total_types", "infrastructure_summary.dominant_type", "usage_summary.total_purposes",
+        "usage_summary.primary_purpose", "geographic_summary.countries_analyzed", "geographic_summary.leading_country",
+        F.round("quality_metrics.average_completeness", 6).alias("average_completeness"))
 
 
-def _pipeline(w: Workspace) -> str:
-    """Run import -> enrichment -> analysis once per data set and session;
-    return the output folder (the export queries read its files)."""
-    key = (id(w.spark), w.sf_dir)
-    if key not in _PIPELINE_RUNS:
-        out = _scratch(w, f"pipeline-{uuid.uuid4().hex[:8]}")
-        imp = jobs.run_import(w.spark, w.raw_barriers, w.raw_reservoirs, out, BARRIERS_LOADED_AT,
-                              RESERVOIRS_LOADED_AT)
-        enr = jobs.run_enrichment(w.spark, w.raw_metadata, imp["dams_path"], out, RUN_TS)
-        jobs.run_analysis(w.spark, imp["dams_path"], enr["enrichment_path"], enr["view_path"], out, RUN_TS)
-        _PIPELINE_RUNS[key] = out
-    return _PIPELINE_RUNS[key]
+def _export_manifest(w: Workspace) -> DataFrame:
+    doc = w.spark.read.option("multiLine", True).json(f"{_run(w)}/analysis_manifest.json")
+    return doc.select("analysis_date", "database_records", "enrichment_records", F.size("generated_tables").alias("tables"))
 
 
-def _text_files(w: Workspace, pattern: str) -> DataFrame:
-    return (w.spark.read.text(f"{_pipeline(w)}/{pattern}")
-            .select(F.input_file_name().alias("file"), F.col("value").alias("line")))
+def _reports(w: Workspace) -> DataFrame:
+    """Lines of each section of the three reports (the cleaning report too)."""
+    out = _run(w)
+    jobs.run_cleaning(w.spark, f"{out}/dams", w.stations, w.readings, w.shm, out, RUN_TS)
+    lines = w.spark.read.text(f"{out}/reports/*.md").withColumn("report", F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1))
+    return lines.groupBy("report").agg(F.count_if(F.col("value").startswith("## ")).alias("sections"))
 
 
 def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
@@ -244,17 +262,17 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "samples_synthetic": lambda w: flat(purge.newest_samples(w.registry, authentic=False)),
         "random_sample": lambda w: flat(purge.random_sample(w.registry)),
         # ------------------------------------------------------------- upsert
-        "upsert_touch": lambda w: flat(_upsert(w)),
+        "upsert_touch": lambda w: flat(_upsert(w).select(*_REGISTRY_OUT, "touched")),
         # ---------------------------------------------------------- sinks
         "load_metadata_csv": _metadata_csv,
         "enrichment_refresh": _refresh,
         "snapshot": _snapshot,
         # ------------------------------------------------- rows-only checks
         "wkt_points": lambda w: w.registry.select("dam_id", geo.point_to_wkt("coordinates").alias("wkt")),
-        "export_csv": lambda w: _text_files(w, "tables/*/*.csv"),
-        "export_statistics_json": lambda w: _text_files(w, "exports/analysis_statistics.json"),
-        "export_manifest": lambda w: _text_files(w, "analysis_manifest.json"),
-        "reports_md": lambda w: _text_files(w, "reports/*.md"),
+        "export_csv": _export_csv,
+        "export_statistics_json": _export_statistics,
+        "export_manifest": _export_manifest,
+        "reports_md": _reports,
     }
 
 

@@ -10,10 +10,13 @@ raw inputs.
 from __future__ import annotations
 
 import logging
+import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from weirline.functions import geo
 from weirline.operators import analysis, audit, enrich, purge
 from weirline.sources import sinks
 from weirline.sources.registry import load_barriers, load_reservoirs
@@ -21,6 +24,13 @@ from weirline.sources.registry import load_barriers, load_reservoirs
 log = logging.getLogger(__name__)
 
 
+# Analysis tables with a row per value of a free-text column, and their order (descending?).
+OPEN_ENDED = {
+    "infrastructure_types": [("dam_count", True), ("infrastructure_type", False)],
+    "primary_purposes": [("dam_count", True), ("primary_purpose", False), ("avg_height_m", False)],
+}
+
+
 def _p(out_dir: str, name: str) -> str:
     return f"{out_dir.rstrip('/')}/{name}"
 
@@ -30,19 +40,20 @@ def run_import(spark: SparkSession, raw_barriers: DataFrame, raw_reservoirs: Dat
                barriers_loaded_at: str, reservoirs_loaded_at: str) -> dict:
     """Both registry layers appended to ``dams``, then the import checks."""
     dams_path = _p(out_dir, "dams")
-    sinks.append_rows(load_barriers(raw_barriers, barriers_loaded_at), dams_path)
-    sinks.append_rows(load_reservoirs(raw_reservoirs, reservoirs_loaded_at), dams_path)
+    appended = {
+        "barrier": sinks.append_rows(load_barriers(raw_barriers, barriers_loaded_at), dams_path),
+        "reservoir": sinks.append_rows(load_reservoirs(raw_reservoirs, reservoirs_loaded_at), dams_path),
+    }
     dams = spark.read.parquet(dams_path)
     checks = audit.run_checks({
         "total": dams.agg(F.count(F.lit(1)).alias("total_records")),
         "bounding_box": audit.bounding_box(dams),
     })
-    # rows per layer (an append either commits all of its rows or none)
-    inserted = {r["source"]: r["n"] for r in sinks.rows(dams.groupBy("source").agg(F.count(F.lit(1)).alias("n")))}
     return {
         "dams_path": dams_path,
-        "inserted": inserted,
-        "skipped": 0,
+        "inserted": {layer: n for layer, (n, _) in appended.items()},
+        "skipped": {layer: n for layer, (_, n) in appended.items()},
+        "unreadable_geometry": raw_reservoirs.filter(geo.unreadable_area("geometry")).count(),
         "validation": checks,
         "countries": sinks.rows(audit.country_distribution(dams)),
         "scores": sinks.rows(audit.score_distribution(dams)),
@@ -52,25 +63,26 @@ def run_import(spark: SparkSession, raw_barriers: DataFrame, raw_reservoirs: Dat
 
 # ------------------------------------------------------------------- C3
 def run_enrichment(spark: SparkSession, raw_metadata: DataFrame, dams_path: str, out_dir: str,
-                   run_ts: str) -> dict:
+                   run_ts: str, extra_checks: dict | None = None) -> dict:
     """Select + clean metadata, refresh the typed table, materialise the
-    enriched view, run the checks (each check on its own), write the report."""
+    enriched view, run the checks (each check on its own: one that fails is
+    recorded and the others stand), write the report."""
     selected, present, missing = enrich.select_fields(raw_metadata)
     ts = F.lit(run_ts).cast("timestamp_ntz")
     typed = enrich.clean_enrichment(selected).withColumn("created_at", ts).withColumn("updated_at", ts)
     e_path = _p(out_dir, "dam_enrichment")
-    records = sinks.refresh_table(spark, typed, e_path)
-    e = spark.read.parquet(e_path)
+    e_version, records = sinks.refresh_table(spark, typed, e_path)
+    e = spark.read.parquet(e_version)
     dams = spark.read.parquet(dams_path)
     view_path = _p(out_dir, "dams_enriched")
-    view_rows = sinks.refresh_table(spark, enrich.enriched_view(dams, e), view_path)
-    view = spark.read.parquet(view_path)
-    checks = audit.run_checks({
-        "enrichment": audit.enrichment_checks(purge.authentic_rows(dams), e, view),
-    })
-    report = sinks.enrichment_report(run_ts, present, missing, records, view_rows)
-    sinks.write_text(spark, _p(out_dir, "reports/enrichment_report.md"), report)
-    return {"enrichment_path": e_path, "view_path": view_path, "records": records,
+    view_version, view_rows = sinks.refresh_table(spark, enrich.enriched_view(dams, e), view_path)
+    view = spark.read.parquet(view_version)
+    checks = audit.run_checks({**audit.enrichment_check_frames(purge.authentic_rows(dams), e, view), **(extra_checks or {})})
+    fields = [{"source_field": s, "column": t} for s, t in present.items()] + [{"source_field": s, "column": None} for s in missing]
+    summary = [{"records": records, "enriched_view_rows": view_rows, "fields": len(present), "missing_fields": len(missing)}]
+    sinks.write_text(spark, _p(out_dir, "reports/enrichment_report.md"),
+                     sinks.report("Enrichment run", run_ts, {"result": summary, "fields": fields}))
+    return {"enrichment_path": e_version, "view_path": view_version, "records": records,
             "view_records": view_rows, "present": present, "missing": missing, "validation": checks}
 
 
@@ -88,39 +100,52 @@ def run_cleaning(spark: SparkSession, dams_path: str, stations: DataFrame, readi
         "samples_authentic": sinks.rows(purge.newest_samples(dams, True)),
         "samples_synthetic": sinks.rows(purge.newest_samples(dams, False)),
     }
-    result["snapshot"] = purge.snapshot(spark, dams, _p(out_dir, "backups"))
+    result["snapshot"] = purge.snapshot(spark, dams, _p(out_dir, "backups"), datetime.fromisoformat(run_ts))
     result["removal_summary"] = sinks.rows(purge.removal_summary(dams))
+    result["sample_removals"] = sinks.rows(purge.classify_rows(dams), 10)
     if dry_run:
         result["would_be_deleted"] = sinks.rows(purge.dry_run_count(dams))[0]["would_be_deleted"]
         return result
     c = purge.cascade(dams, stations, readings, shm)
-    clean_dir = _p(out_dir, "clean")
+    # the four tables are one version: they appear together when it is published, or not at all
+    version = f"v-{uuid.uuid4().hex}"
+    clean_dir = _p(out_dir, f"clean/{version}")
+    # the keys of the removed stations are used three times: computed once
+    key_path = _p(out_dir, f"clean/{version}-removed-stations")
+    c.removed_station_ids.write.parquet(key_path)
+    keys = spark.read.parquet(key_path)
     # readings (the largest table) are read once: each row is flagged against
-    # the broadcast removed-station keys, the kept rows are written and the
+    # the removed-station keys, the kept rows are written and the
     # removed ones counted by an observation on the same pass
     obs = Observation("removed_readings")
-    flagged = (purge.flag_removed(readings, c.removed_station_ids)
+    flagged = (purge.flag_removed(readings, keys)
                .observe(obs, F.count_if(F.col("_removed").isNotNull()).alias("removed")))
     (flagged.where(F.col("_removed").isNull()).drop("_removed")
      .withColumn("reading_date", F.to_date("measurement_timestamp"))  # one folder per day: time filters prune
-     .write.mode("overwrite").partitionBy("reading_date").parquet(_p(clean_dir, "sensor_readings")))
+     .hint("rebalance", "reading_date")  # files by day, large days split, not one file per task and day
+     .write.partitionBy("reading_date").parquet(_p(clean_dir, "sensor_readings")))
+    c.removed["shm_sensors"] = shm.join(keys, "station_id", "left_semi")
+    c.kept["shm_sensors"] = shm.join(keys, "station_id", "left_anti")
     for table in ("shm_sensors", "monitoring_stations", "dams"):
-        c.kept[table].write.mode("overwrite").parquet(_p(clean_dir, table))
+        c.kept[table].write.parquet(_p(clean_dir, table))
     deletion = sinks.rows(purge.deletion_results(dams, c, count_readings=False))[0]
+    sinks.publish(spark, _p(out_dir, "clean"), version)
     deletion["sensor_readings_removed"] = int(obs.get["removed"])
     kept = spark.read.parquet(_p(clean_dir, "dams"))
     years = sinks.rows(audit.year_summary(kept))[0]
     result.update({
         "deletion_results": deletion,
         "validation": {"years": years, "countries": sinks.rows(audit.country_distribution(kept)),
-                       "scores": sinks.rows(audit.score_distribution(kept))},
+                       "scores": sinks.rows(audit.score_distribution(kept)),
+                       "sample_records": sinks.rows(purge.random_sample(kept))},
         "clean_dir": clean_dir,
     })
     if expected_count is not None and years["total"] != expected_count:
         log.warning("expected %d rows after cleaning, got %d", expected_count, years["total"])
-    report = sinks.cleaning_report(run_ts, result["composition"][0]["total_records"], deletion, years["total"],
-                                   result["validation"]["countries"], result["snapshot"])
-    sinks.write_text(spark, _p(out_dir, "reports/cleaning_report.md"), report)
+    sinks.write_text(spark, _p(out_dir, "reports/cleaning_report.md"), sinks.report("Cleaning run", run_ts, {
+        "composition_before": result["composition"], "removal_plan": result["removal_summary"], "removed": [deletion],
+        "years_after": [years], "countries_after": result["validation"]["countries"],
+        "snapshot": [{"path": result["snapshot"][0], "rows": result["snapshot"][1]}]}))
     return result
 
 
@@ -142,19 +167,25 @@ def run_analysis(spark: SparkSession, dams_path: str, enrichment_path: str, view
     summary and the manifest.  Reads the materialised enrichment and view."""
     dams, e, view = (spark.read.parquet(p) for p in (dams_path, enrichment_path, view_path))
     tables = analysis_tables(dams, e, view)
-    collected = {}
+    collected, totals = {}, {}
     for name, df in tables.items():
-        df = df.cache()  # small aggregate: exported and reported from one computation
-        sinks.write_csv(df, _p(out_dir, f"tables/{name}"), single_file=True)
-        collected[name] = sinks.rows(df)
-        df.unpersist()
-    doc = sinks.statistics_document(run_ts, collected["database_overview"], collected["infrastructure_types"],
-                                    collected["primary_purposes"], collected["country_analysis"],
-                                    collected["data_completeness"])
+        path = _p(out_dir, f"tables/{name}")
+        if name in OPEN_ENDED:  # as many rows as the data has values: written by all tasks, the top read back
+            done = _p(out_dir, f"tables-{uuid.uuid4().hex}/{name}")
+            df.write.parquet(done)
+            df = spark.read.parquet(done)
+            sinks.write_csv(df, path)
+            totals[name] = df.count()
+            collected[name] = sinks.rows(df.orderBy(*[F.col(c).desc() if d else F.col(c) for c, d in OPEN_ENDED[name]]), 10)
+        else:
+            df = df.cache()  # a few dozen rows by definition: exported and reported from one computation
+            sinks.write_csv(df, path, single_file=True)
+            collected[name] = sinks.rows(df)
+            df.unpersist()
+    top = [collected[n] for n in ("database_overview", "infrastructure_types", "primary_purposes", "country_analysis", "data_completeness")]
+    doc = sinks.statistics_document(run_ts, *top, totals=totals)
     sinks.write_json(spark, _p(out_dir, "exports/analysis_statistics.json"), doc)
-    summary = sinks.executive_summary(run_ts, collected["database_overview"], collected["infrastructure_types"],
-                                      collected["primary_purposes"], collected["country_analysis"],
-                                      collected["data_completeness"])
+    summary = sinks.report("Registry analysis", run_ts, collected)
     sinks.write_text(spark, _p(out_dir, "reports/executive_summary.md"), summary)
     ov = collected["database_overview"]
     manifest = sinks.manifest_document(run_ts, ov[0]["record_count"] if ov else 0,

@@ -1,10 +1,10 @@
 """Independent SQL (DuckDB dialect) for every checked query.
 
-Written directly from the original SQL and cleaning rules over the plain
-driver tables; it shares only the fixture derivations and the fixed values
-with the Spark code.  Notably the enriched view is the literal disjunctive
-LEFT JOIN, and the country table joins raw rows (no pre-aggregation), so the
-Spark rewrites are checked against the forms they replace.
+Each statement is written from the meaning of the operator, in a form of its own: the
+enriched view as matching pairs plus the dams for which no match exists, summaries as
+filtered counts over one narrow relation, cascades as set membership.  Patterns, bounds
+and labels are stated here again, so that a wrong one in the package shows; only the
+fixture derivations and the column lists are shared with the Spark code.
 
 Output conventions (same as ``weirline.plans.catalog.flat``): decimals as
 DOUBLE, timestamps as text ``YYYY-MM-DD HH:MM:SS.ffffff``, points as
@@ -13,13 +13,21 @@ DOUBLE, timestamps as text ``YYYY-MM-DD HH:MM:SS.ffffff``, points as
 
 from __future__ import annotations
 
-from weirline.functions import clean
-from weirline.operators import analysis as A
 from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS
 from weirline.schemas import DAMS_LENGTH_LIMITS, METADATA_SOURCE_FIELDS
 from weirline.sources.fixtures import fixture_sql
 
-WS = clean.PY_SPACE_CHARS
+# Fixed values, stated independently of the package.
+# White space: tab to carriage return, the four separators, space, next line, no-break space, and the
+# Unicode spaces.
+WS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+DECIMAL_TEXT = "[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?"
+WHOLE_TEXT = "[+-]?\\d+"
+HEIGHT_BOUNDS = [(15, "Small (<15m)"), (30, "Medium (15-30m)"), (60, "Large (30-60m)"), (150, "Major (60-150m)")]
+CAPACITY_BOUNDS = [(1, "Micro (<1 MCM)"), (10, "Small (1-10 MCM)"), (100, "Medium (10-100 MCM)"), (1000, "Large (100-1000 MCM)")]
+PERIOD_BOUNDS = [(1900, "1800-1899"), (1920, "1900-1919"), (1940, "1920-1939"), (1960, "1940-1959"), (1980, "1960-1979"), (2000, "1980-1999")]
+USE_LABELS = [("Hydropower", "use_hydropower"), ("Irrigation", "use_irrigation"), ("Water Supply", "use_water_supply"),
+              ("Flood Control", "use_flood_control"), ("Recreation", "use_recreation"), ("Navigation", "use_navigation")]
 
 
 def _strip(x: str) -> str:
@@ -28,12 +36,12 @@ def _strip(x: str) -> str:
 
 def _num(x: str) -> str:
     s = _strip(x)
-    return f"(CASE WHEN regexp_full_match({s}, '{clean.NUMBER_PATTERN}') THEN TRY_CAST({s} AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_full_match({s}, '{DECIMAL_TEXT}') THEN TRY_CAST({s} AS DOUBLE) END)"
 
 
 def _int(x: str) -> str:
     s = _strip(x)
-    return f"(CASE WHEN regexp_full_match({s}, '{clean.INTEGER_PATTERN}') THEN TRY_CAST({s} AS BIGINT) END)"
+    return f"(CASE WHEN regexp_full_match({s}, '{WHOLE_TEXT}') THEN TRY_CAST({s} AS BIGINT) END)"
 
 
 def _nonneg(x: str) -> str:
@@ -67,11 +75,10 @@ def _case(col: str, bounds, top: str) -> str:
     return f"CASE {whens} ELSE '{top}' END"
 
 
-_QUALITY = "CASE {i} " + " ".join(f"WHEN {k} THEN {v}" for k, v in clean.QUALITY_SCORES.items()) + \
-    f" ELSE {clean.QUALITY_DEFAULT} END"
-
-_TOKENS = ", ".join(f"'{t}'" for t in clean.NULL_TEXT_TOKENS)
-_USE_TRUE = ", ".join(f"'{t}'" for t in clean.USE_TRUE_VALUES)
+# Quality codes, missing-text tokens, use flags that mean yes.
+_QUALITY = "CASE {i} WHEN 1 THEN 1.0 WHEN 2 THEN 0.9 WHEN 3 THEN 0.7 WHEN 4 THEN 0.5 WHEN 5 THEN 0.2 ELSE 0.5 END"
+_TOKENS = "'', '-99', 'nan', 'None'"
+_USE_TRUE = "'Main', 'Sec'"
 
 
 def _text(src: str, dst: str) -> str:
@@ -90,10 +97,10 @@ def _registry_select(prefix: str, source: str, loaded_at: str, x: str, y: str, f
     return f"""SELECT '{prefix}' || CAST(GDW_ID AS VARCHAR) AS dam_id, CAST(GDW_ID AS BIGINT) AS gdw_id,
  '{source}' AS source,
  coalesce({_nonblank('DAM_NAME')}, {_nonblank('RES_NAME')}, {_nonblank('ALT_NAME')},
-          '{clean.NAME_FALLBACK_PREFIX}' || coalesce(NEAR_CITY, '{clean.NAME_FALLBACK_CITY}')) AS dam_name,
- substring(COUNTRY, 1, {clean.COUNTRY_CODE_LEN}) AS country_code, ADMIN_UNIT AS province_state,
+          'Dam near ' || coalesce(NEAR_CITY, 'Unknown')) AS dam_name,
+ substring(COUNTRY, 1, 10) AS country_code, ADMIN_UNIT AS province_state,
  NEAR_CITY AS nearest_city, {x} AS coordinates_x, {y} AS coordinates_y,
- CAST(CASE WHEN {_int('YEAR_DAM')} BETWEEN {clean.REGISTRY_YEAR_MIN} AND {clean.REGISTRY_YEAR_MAX}
+ CAST(CASE WHEN {_int('YEAR_DAM')} BETWEEN 1800 AND 2050
       THEN {_int('YEAR_DAM')} END AS INTEGER) AS construction_year,
  CAST({_nonneg('DAM_HGT_M')} AS DECIMAL(10,2)) AS height_meters,
  CAST({_nonneg('DAM_LEN_M')} AS DECIMAL(10,2)) AS length_meters,
@@ -122,13 +129,13 @@ def _enrichment_select() -> str:
  CAST({_nonneg('CAP_MCM')} AS DECIMAL(15,3)) AS capacity_mcm_gdw,
  CAST({_nonneg('AREA_SKM')} AS DECIMAL(12,3)) AS reservoir_area_sqkm,
  CAST({_nonneg('DEPTH_M')} AS DECIMAL(8,2)) AS max_depth_meters,
- CAST(CASE WHEN {yr} BETWEEN {clean.ENRICHMENT_YEAR_MIN} AND {clean.ENRICHMENT_YEAR_MAX} THEN round({yr}) END
+ CAST(CASE WHEN {yr} BETWEEN 1800 AND 2024 THEN round({yr}) END
       AS INTEGER) AS construction_year_gdw,
  CAST(round({pre}) AS INTEGER) AS pre_construction_year,
  YEAR_TXT AS construction_year_text,
  {_text('RIVER', 'river_name')}, {_text('MAIN_BASIN', 'main_basin')}, {_text('SUB_BASIN', 'sub_basin')},
- CAST(CASE WHEN {lon} <> {clean.SENTINEL} THEN {lon} END AS DECIMAL(12,8)) AS longitude_precise,
- CAST(CASE WHEN {lat} <> {clean.SENTINEL} THEN {lat} END AS DECIMAL(12,8)) AS latitude_precise,
+ CAST(CASE WHEN {lon} <> -99 THEN {lon} END AS DECIMAL(12,8)) AS longitude_precise,
+ CAST(CASE WHEN {lat} <> -99 THEN {lat} END AS DECIMAL(12,8)) AS latitude_precise,
  CAST({_nonneg('ELEV_MASL')} AS DECIMAL(10,2)) AS elevation_meters,
  CAST({_nonneg('CATCH_SKM')} AS DECIMAL(15,3)) AS catchment_area_sqkm,
  {_text('MAIN_USE', 'primary_purpose')},
@@ -137,7 +144,7 @@ def _enrichment_select() -> str:
  {_flag('USE_RECR', 'use_recreation')}, {_flag('USE_NAVI', 'use_navigation')},
  CAST({_nonneg('POWER_MW')} AS DECIMAL(10,2)) AS power_capacity_mw,
  CAST({_nonneg('DIS_AVG_LS')} AS DECIMAL(15,3)) AS average_discharge_ls,
- coalesce(QUALITY, '{clean.QUALITY_TEXT_MISSING}') AS data_quality_gdw,
+ coalesce(QUALITY, 'nan') AS data_quality_gdw,
  {_text('COMMENTS', 'gdw_comments')}, {_text('ORIG_SRC', 'original_source')},
  {_text('EDITOR', 'data_editor')}
 FROM raw_metadata"""
@@ -153,6 +160,9 @@ _VIEW_E_COLS = ", ".join(f"e.{c}" for c in [
     "power_capacity_mw", "average_discharge_ls", "data_quality_gdw", "gdw_comments",
     "original_source", "data_editor"])
 
+_VIEW_D_COLS = ("d.dam_id, d.dam_name, d.country_code, d.province_state, d.coordinates_x, d.coordinates_y, d.height_meters, "
+                "d.normal_capacity_mcm, d.construction_year, d.data_quality_score, d.created_at AS dam_record_created")
+
 AUTH = "data_quality_score = 0.5"
 SYNTH = "(data_quality_score <> 0.5 OR data_quality_score IS NULL)"
 
@@ -196,12 +206,16 @@ GROUP BY GDW_ID""", ["res_vertices"]),
     "registry": ("SELECT * FROM barriers UNION ALL SELECT * FROM reservoirs", ["barriers", "reservoirs"]),
     "dams": ("SELECT r.*, l.region_id, l.primary_dam_type_id, l.construction_status, l.hazard_potential "
              "FROM registry r LEFT JOIN dam_links l USING (dam_id)", ["registry", "dam_links"]),
-    "view": (f"""SELECT d.dam_id, d.dam_name, d.country_code, d.province_state, d.coordinates_x, d.coordinates_y,
- d.height_meters, d.normal_capacity_mcm, d.construction_year, d.data_quality_score,
- d.created_at AS dam_record_created, {_VIEW_E_COLS}
-FROM registry d
-LEFT JOIN enrichment e ON d.dam_name = e.dam_name_gdw OR (d.country_code = SUBSTRING(e.gdw_comments, 1, 10))
-WHERE d.{AUTH}""", ["registry", "enrichment"]),
+    "genuine": (f"SELECT * FROM registry WHERE {AUTH}", ["registry"]),
+    # all pairs that satisfy either match, then the dams for which no match exists
+    "view": (f"""SELECT {_VIEW_D_COLS}, {_VIEW_E_COLS}
+FROM genuine d, enrichment e
+WHERE coalesce(e.dam_name_gdw = d.dam_name, false) OR coalesce(left(e.gdw_comments, 10) = d.country_code, false)
+UNION ALL BY NAME
+SELECT {_VIEW_D_COLS}
+FROM genuine d
+WHERE NOT EXISTS (FROM enrichment e WHERE e.dam_name_gdw = d.dam_name)
+  AND NOT EXISTS (FROM enrichment e WHERE left(e.gdw_comments, 10) = d.country_code)""", ["genuine", "enrichment"]),
     "summary": ("""SELECT d.dam_id, d.dam_name, r.region_name, d.country_code, dt.type_name AS primary_dam_type,
  d.construction_year, d.height_meters, d.normal_capacity_mcm, d.construction_status, d.hazard_potential,
  d.coordinates_x AS longitude, d.coordinates_y AS latitude
@@ -209,26 +223,23 @@ FROM dams d JOIN regions r ON d.region_id = r.region_id
 LEFT JOIN dam_types dt ON d.primary_dam_type_id = dt.type_id""", ["dams", "regions", "dam_types"]),
     "bad_stations": (f"""SELECT ms.station_id FROM monitoring_stations ms
 WHERE ms.dam_id IN (SELECT dam_id FROM registry WHERE {SYNTH})""", ["monitoring_stations", "registry"]),
-    "country_stats": (f"""SELECT d.country_code, COUNT(*) AS total_dams, COUNT(e.gdw_id) AS enriched_dams,
- {_pct('COUNT(e.gdw_id)', 'COUNT(*)', 1)} AS enrichment_coverage,
- {_avg('COALESCE(e.height_meters_gdw, d.height_meters)')} AS avg_height,
- {_rdbl('MAX(COALESCE(e.height_meters_gdw, d.height_meters))')} AS max_height,
- COUNT(CASE WHEN e.use_hydropower = true THEN 1 END) AS hydropower_dams,
- COUNT(CASE WHEN e.use_irrigation = true THEN 1 END) AS irrigation_dams
-FROM registry d LEFT JOIN enrichment e ON d.dam_name = e.dam_name_gdw
-WHERE d.{AUTH}
-GROUP BY d.country_code HAVING COUNT(*) >= {A.COUNTRY_MIN_DAMS}
-ORDER BY total_dams DESC, country_code NULLS LAST LIMIT {A.COUNTRY_TOP}""", ["registry", "enrichment"]),
-    "completeness": (f"""WITH fc AS (
- SELECT 'Dam Names' AS field_name, COUNT(CASE WHEN dam_name_gdw IS NOT NULL THEN 1 END) AS complete_count, COUNT(*) AS total_count FROM enrichment
- UNION ALL SELECT 'Infrastructure Type', COUNT(CASE WHEN dam_type IS NOT NULL THEN 1 END), COUNT(*) FROM enrichment
- UNION ALL SELECT 'Height Data', COUNT(CASE WHEN height_meters_gdw IS NOT NULL AND height_meters_gdw > 0 THEN 1 END), COUNT(*) FROM enrichment
- UNION ALL SELECT 'Capacity Data', COUNT(CASE WHEN capacity_mcm_gdw IS NOT NULL AND capacity_mcm_gdw > 0 THEN 1 END), COUNT(*) FROM enrichment
- UNION ALL SELECT 'Construction Year', COUNT(CASE WHEN construction_year_gdw IS NOT NULL THEN 1 END), COUNT(*) FROM enrichment
- UNION ALL SELECT 'Primary Purpose', COUNT(CASE WHEN primary_purpose IS NOT NULL THEN 1 END), COUNT(*) FROM enrichment
- UNION ALL SELECT 'River Information', COUNT(CASE WHEN river_name IS NOT NULL THEN 1 END), COUNT(*) FROM enrichment)
-SELECT field_name, complete_count, total_count, {_pct('complete_count', 'total_count')} AS completeness_percentage
-FROM fc""", ["enrichment"]),
+    # one narrow row per (dam, metadata row of its name), then filtered counts
+    "country_stats": (f"""SELECT cc AS country_code, n AS total_dams, found AS enriched_dams, {_pct('found', 'n', 1)} AS enrichment_coverage,
+ avg_height, max_height, hydropower_dams, irrigation_dams
+FROM (SELECT cc, count(*) AS n, count(*) FILTER (WHERE hit IS NOT NULL) AS found, {_avg('h')} AS avg_height, {_rdbl('max(h)')} AS max_height,
+        count(*) FILTER (WHERE water_power) AS hydropower_dams, count(*) FILTER (WHERE fields) AS irrigation_dams
+      FROM (SELECT g.country_code AS cc, e.gdw_id AS hit, ifnull(e.height_meters_gdw, g.height_meters) AS h,
+              e.use_hydropower AS water_power, e.use_irrigation AS fields
+            FROM genuine g LEFT JOIN enrichment e ON e.dam_name_gdw = g.dam_name)
+      GROUP BY ALL HAVING n >= 100)
+QUALIFY row_number() OVER (ORDER BY total_dams DESC, country_code NULLS LAST) <= 25""", ["genuine", "enrichment"]),
+    # one pass of counts, turned into rows
+    "completeness": (f"""SELECT field_name, complete_count, total_count, {_pct('complete_count', 'total_count')} AS completeness_percentage
+FROM (UNPIVOT (
+  SELECT count(*) AS total_count, count(dam_name_gdw) AS "Dam Names", count(dam_type) AS "Infrastructure Type",
+    count(*) FILTER (WHERE height_meters_gdw > 0) AS "Height Data", count(*) FILTER (WHERE capacity_mcm_gdw > 0) AS "Capacity Data",
+    count(construction_year_gdw) AS "Construction Year", count(primary_purpose) AS "Primary Purpose", count(river_name) AS "River Information"
+  FROM enrichment) ON COLUMNS(* EXCLUDE total_count) INTO NAME field_name VALUE complete_count)""", ["enrichment"]),
 }
 
 
@@ -246,6 +257,8 @@ def with_ctes(final: str, deps: list[str]) -> str:
     for d in deps:
         visit(d)
     body = ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
+    if final.startswith("WITH "):  # the statement has relations of its own
+        return f"WITH {body},\n{final.removeprefix('WITH ')}"
     return f"WITH {body}\n{final}"
 
 
@@ -300,12 +313,10 @@ def _q(final: str, *deps: str) -> str:
 
 
 def _size_classes(col: str, bounds, top: str, label: str, digits: int, suffix: str) -> str:
-    return _q(f"""SELECT {_case(col, bounds, top)} AS {label}, COUNT(*) AS dam_count,
- {_pct('COUNT(*)', f'(SELECT COUNT(*) FROM enrichment WHERE {col} IS NOT NULL)')} AS percentage,
- {_rdbl(f'MIN({col})', digits)} AS min_{suffix}, {_rdbl(f'MAX({col})', digits)} AS max_{suffix},
- {_avg(col, digits)} AS avg_{suffix}
-FROM enrichment WHERE {col} IS NOT NULL AND {col} > 0
-GROUP BY 1""", "enrichment")
+    return _q(f"""WITH known AS (SELECT {col} AS x, {_case(col, bounds, top)} AS cls, count(*) OVER () AS everything FROM enrichment WHERE {col} IS NOT NULL)
+SELECT cls AS {label}, count(*) AS dam_count, {_pct('count(*)', 'any_value(everything)')} AS percentage,
+ {_rdbl('min(x)', digits)} AS min_{suffix}, {_rdbl('max(x)', digits)} AS max_{suffix}, {_avg('x', digits)} AS avg_{suffix}
+FROM known WHERE x > 0 GROUP BY cls""", "enrichment")
 
 
 def _mono(stations_where: str = "") -> str:
@@ -320,10 +331,9 @@ GROUP BY dam_id"""
 
 def oracle_sql() -> dict[str, str]:
     e_out = _dbl_cols(_E_COLS, _E_DECIMALS)
-    uses = "\nUNION ALL\n".join(
-        f"SELECT '{label}' AS use_type, COUNT(CASE WHEN {c} = true THEN 1 END) AS count, "
-        f"{_pct(f'COUNT(CASE WHEN {c} = true THEN 1 END)', 'COUNT(*)')} AS percentage FROM enrichment"
-        for label, c in A.USE_TYPES)
+    uses = f"""SELECT use_type, hits AS count, {_pct('hits', 'n')} AS percentage
+FROM (UNPIVOT (SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {c}) AS "{label}"' for label, c in USE_LABELS)} FROM enrichment)
+      ON COLUMNS(* EXCLUDE n) INTO NAME use_type VALUE hits)"""
     cascade_tables = {
         "sensor_readings": ("reading_id", "station_id IN (SELECT station_id FROM bad_stations)"),
         "shm_sensors": ("sensor_id", "station_id IN (SELECT station_id FROM bad_stations)"),
@@ -353,8 +363,8 @@ def oracle_sql() -> dict[str, str]:
             + " FROM raw_metadata", "raw_metadata"),
         "dam_name_fallback": _q(f"SELECT CAST(GDW_ID AS BIGINT) AS gdw_id, coalesce({_nonblank('DAM_NAME')}, "
                                 f"{_nonblank('RES_NAME')}, {_nonblank('ALT_NAME')}, "
-                                f"'{clean.NAME_FALLBACK_PREFIX}' || coalesce(NEAR_CITY, "
-                                f"'{clean.NAME_FALLBACK_CITY}')) AS dam_name FROM raw_barriers", "raw_barriers"),
+                                f"'Dam near ' || coalesce(NEAR_CITY, "
+                                f"'Unknown')) AS dam_name FROM raw_barriers", "raw_barriers"),
         "sentinel_float": _q("SELECT CAST(GDW_ID AS BIGINT) AS gdw_id, " + ", ".join(
             f"{_nonneg(c)} AS {c.lower()}" for c in ["DAM_HGT_M", "DAM_LEN_M", "ELEV_MASL", "CAP_MCM", "CATCH_SKM",
                                                     "AREA_SKM", "POWER_MW"]) + " FROM raw_barriers",
@@ -388,8 +398,7 @@ def oracle_sql() -> dict[str, str]:
         "authentic_rows": _q(f"SELECT {_REG_COLS} FROM registry WHERE {AUTH}", "registry"),
         "synthetic_rows": _q(f"SELECT {_REG_COLS} FROM registry WHERE {SYNTH}", "registry"),
         "classify_rows": _q(f"""SELECT dam_id, dam_name, country_code, CAST(data_quality_score AS DOUBLE) AS data_quality_score,
- construction_year, {_ts('created_at')} AS created_at,
- CASE WHEN data_quality_score = 0.5 THEN 'GDW_KEEP' ELSE 'ARTIFICIAL_REMOVE' END AS record_classification
+ construction_year, {_ts('created_at')} AS created_at, 'ARTIFICIAL_REMOVE' AS record_classification
 FROM registry WHERE {SYNTH}""", "registry"),
         # ------------------------------------------------------------ joins
         "enriched_view": _q(f"SELECT {_VIEW_OUT} FROM view", "view"),
@@ -424,14 +433,11 @@ GROUP BY s.region_name""", "summary", "monitoring_stations", "sensor_readings"),
       + pow(6378137.0 * ln(tan(pi() / 4 + radians(b.coordinates_y) / 2))
             - 6378137.0 * ln(tan(pi() / 4 + radians(r.coordinates_y) / 2)), 2)) / 1000.0, 6) AS distance_km
 FROM barriers b JOIN reservoirs r ON b.gdw_id = r.gdw_id""", "barriers", "reservoirs"),
-        "dependents_count": _q(f"""SELECT
- (SELECT COUNT(*) FROM sensor_readings sr JOIN monitoring_stations ms ON sr.station_id = ms.station_id
-   JOIN registry d ON ms.dam_id = d.dam_id WHERE {SYNTH.replace('data_quality_score', 'd.data_quality_score')}) AS sensor_count,
- (SELECT COUNT(*) FROM shm_sensors ss JOIN monitoring_stations ms ON ss.station_id = ms.station_id
-   JOIN registry d ON ms.dam_id = d.dam_id WHERE {SYNTH.replace('data_quality_score', 'd.data_quality_score')}) AS shm_sensor_count,
- (SELECT COUNT(*) FROM monitoring_stations ms JOIN registry d ON ms.dam_id = d.dam_id
-   WHERE {SYNTH.replace('data_quality_score', 'd.data_quality_score')}) AS monitoring_count""",
-                               "sensor_readings", "shm_sensors", "monitoring_stations", "registry"),
+        "dependents_count": _q("""SELECT count(*) FILTER (WHERE kind = 'reading') AS sensor_count, count(*) FILTER (WHERE kind = 'shm') AS shm_sensor_count,
+ count(*) FILTER (WHERE kind = 'station') AS monitoring_count
+FROM (SELECT 'reading' AS kind FROM sensor_readings SEMI JOIN bad_stations USING (station_id)
+      UNION ALL SELECT 'shm' FROM shm_sensors SEMI JOIN bad_stations USING (station_id)
+      UNION ALL SELECT 'station' FROM bad_stations)""", "sensor_readings", "shm_sensors", "bad_stations"),
         "cascade_removed": cascade(True),
         "cascade_kept": cascade(False),
         "deletion_results": _q(f"""SELECT (SELECT COUNT(*) FROM registry) AS before_count,
@@ -442,46 +448,41 @@ FROM barriers b JOIN reservoirs r ON b.gdw_id = r.gdw_id""", "barriers", "reserv
  (SELECT COUNT(*) FROM monitoring_stations WHERE dam_id IN (SELECT dam_id FROM registry WHERE {SYNTH})) AS monitoring_stations_removed""",
                                "registry", "sensor_readings", "shm_sensors", "monitoring_stations", "bad_stations"),
         # ----------------------------------------------------- aggregations
-        "overview": _q(f"""SELECT '{A.DATASET_DAMS}' AS dataset, COUNT(*) AS record_count, COUNT(DISTINCT country_code) AS countries,
- MIN(construction_year) AS earliest_year, MAX(construction_year) AS latest_year,
- {_avg('height_meters')} AS avg_height_m, {_rdbl('MAX(height_meters)')} AS max_height_m
-FROM registry WHERE {AUTH}
-UNION ALL
-SELECT '{A.DATASET_ENRICHMENT}', COUNT(*), COUNT(DISTINCT SUBSTRING(gdw_comments, 1, 3)),
- MIN(construction_year_gdw), MAX(construction_year_gdw), {_avg('height_meters_gdw')},
- {_rdbl('MAX(height_meters_gdw)')}
-FROM enrichment WHERE height_meters_gdw IS NOT NULL
-UNION ALL
-SELECT '{A.DATASET_VIEW}', COUNT(*), COUNT(DISTINCT country_code),
- MIN(LEAST(construction_year, construction_year_gdw)), MAX(GREATEST(construction_year, construction_year_gdw)),
- {_avg('COALESCE(height_meters_gdw, height_meters)')}, {_rdbl('MAX(COALESCE(height_meters_gdw, height_meters))')}
-FROM view""", "registry", "enrichment", "view"),
-        "infrastructure_types": _q(f"""SELECT COALESCE(dam_type, 'Unspecified') AS infrastructure_type, COUNT(*) AS dam_count,
- {_pct('COUNT(*)', '(SELECT COUNT(*) FROM enrichment)')} AS percentage,
+        # the three data sets as one relation of (name, place, first year, last year, height)
+        "overview": _q(f"""WITH facts(dataset, place, y0, y1, h) AS (
+  SELECT 'Original Dams Table', country_code, construction_year, construction_year, height_meters FROM genuine
+  UNION ALL SELECT 'Enrichment Metadata', left(gdw_comments, 3), construction_year_gdw, construction_year_gdw, height_meters_gdw
+    FROM enrichment WHERE height_meters_gdw IS NOT NULL
+  UNION ALL SELECT 'Combined Enriched View', country_code, least(construction_year, construction_year_gdw),
+    greatest(construction_year, construction_year_gdw), ifnull(height_meters_gdw, height_meters) FROM view),
+names(dataset) AS (VALUES ('Original Dams Table'), ('Enrichment Metadata'), ('Combined Enriched View'))
+SELECT dataset, count(f.dataset) AS record_count, count(DISTINCT place) AS countries, min(y0) AS earliest_year, max(y1) AS latest_year,
+ {_avg('h')} AS avg_height_m, {_rdbl('max(h)')} AS max_height_m
+FROM names LEFT JOIN facts f USING (dataset) GROUP BY dataset""", "genuine", "enrichment", "view"),
+        "infrastructure_types": _q(f"""WITH typed AS (SELECT *, count(*) OVER () AS everything FROM enrichment)
+SELECT dam_type AS infrastructure_type, count(*) AS dam_count, {_pct('count(*)', 'any_value(everything)')} AS percentage,
  {_avg('height_meters_gdw')} AS avg_height_m, {_avg('capacity_mcm_gdw')} AS avg_capacity_mcm,
- COUNT(CASE WHEN use_hydropower = true THEN 1 END) AS hydropower_count,
- COUNT(CASE WHEN use_irrigation = true THEN 1 END) AS irrigation_count
-FROM enrichment WHERE dam_type IS NOT NULL GROUP BY dam_type""", "enrichment"),
-        "height_classes": _size_classes("height_meters_gdw", A.HEIGHT_CLASSES, A.HEIGHT_TOP, "height_category",
+ count(*) FILTER (WHERE use_hydropower) AS hydropower_count, count(*) FILTER (WHERE use_irrigation) AS irrigation_count
+FROM typed WHERE dam_type IS NOT NULL GROUP BY dam_type""", "enrichment"),
+        "height_classes": _size_classes("height_meters_gdw", HEIGHT_BOUNDS, "Mega (>150m)", "height_category",
                                         1, "height_m"),
-        "capacity_classes": _size_classes("capacity_mcm_gdw", A.CAPACITY_CLASSES, A.CAPACITY_TOP,
+        "capacity_classes": _size_classes("capacity_mcm_gdw", CAPACITY_BOUNDS, "Major (>1000 MCM)",
                                           "capacity_category", 2, "capacity_mcm"),
-        "purposes": _q(f"""SELECT COALESCE(primary_purpose, 'Unspecified') AS primary_purpose, COUNT(*) AS dam_count,
- {_pct('COUNT(*)', '(SELECT COUNT(*) FROM enrichment)')} AS percentage,
- {_avg('height_meters_gdw')} AS avg_height_m, {_avg('capacity_mcm_gdw')} AS avg_capacity_mcm
-FROM enrichment GROUP BY primary_purpose""", "enrichment"),
+        "purposes": _q(f"""WITH sizes AS (SELECT primary_purpose AS p, count(*) AS n, {_avg('height_meters_gdw')} AS avg_height_m,
+                {_avg('capacity_mcm_gdw')} AS avg_capacity_mcm FROM enrichment GROUP BY p)
+SELECT ifnull(p, 'Unspecified') AS primary_purpose, n AS dam_count, {_pct('n', '(sum(n) OVER ())')} AS percentage, avg_height_m, avg_capacity_mcm
+FROM sizes""", "enrichment"),
         "usage_patterns": _q(uses, "enrichment"),
         "country_analysis": _q("SELECT * FROM country_stats", "country_stats"),
-        "basin_analysis": _q(f"""SELECT COALESCE(main_basin, 'Unspecified') AS river_basin, COUNT(*) AS dam_count,
- COUNT(DISTINCT river_name) AS unique_rivers, {_avg('height_meters_gdw')} AS avg_height_m,
- COUNT(CASE WHEN use_hydropower = true THEN 1 END) AS hydropower_count
-FROM enrichment WHERE main_basin IS NOT NULL GROUP BY main_basin HAVING COUNT(*) >= {A.BASIN_MIN_DAMS}
-ORDER BY dam_count DESC, main_basin LIMIT {A.BASIN_TOP}""", "enrichment"),
-        "timeline": _q(f"""SELECT {_case('construction_year_gdw', A.PERIODS, A.PERIOD_TOP)} AS construction_period,
- COUNT(*) AS dams_built, {_avg('height_meters_gdw')} AS avg_height_m, {_avg('capacity_mcm_gdw')} AS avg_capacity_mcm,
- COUNT(CASE WHEN use_hydropower = true THEN 1 END) AS hydropower_dams
-FROM enrichment WHERE construction_year_gdw IS NOT NULL AND construction_year_gdw >= 1800
- AND construction_year_gdw <= 2024 GROUP BY 1""", "enrichment"),
+        "basin_analysis": _q(f"""SELECT main_basin AS river_basin, count(*) AS dam_count, count(DISTINCT river_name) AS unique_rivers,
+ {_avg('height_meters_gdw')} AS avg_height_m, count(*) FILTER (WHERE use_hydropower) AS hydropower_count
+FROM enrichment WHERE main_basin IS NOT NULL GROUP BY main_basin HAVING dam_count >= 50
+QUALIFY row_number() OVER (ORDER BY count(*) DESC, main_basin) <= 20""", "enrichment"),
+        "timeline": _q(f"""WITH built AS (SELECT *, {_case('construction_year_gdw', PERIOD_BOUNDS, '2000-2024')} AS construction_period
+               FROM enrichment WHERE construction_year_gdw BETWEEN 1800 AND 2024)
+SELECT construction_period, count(*) AS dams_built, {_avg('height_meters_gdw')} AS avg_height_m, {_avg('capacity_mcm_gdw')} AS avg_capacity_mcm,
+ count(*) FILTER (WHERE use_hydropower) AS hydropower_dams
+FROM built GROUP BY construction_period""", "enrichment"),
         "completeness": _q("SELECT * FROM completeness", "completeness"),
         "completeness_all": _q("SELECT * FROM (" + "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, COUNT({c}) AS non_null_count, COUNT(*) AS total_count, "
@@ -489,16 +490,15 @@ FROM enrichment WHERE construction_year_gdw IS NOT NULL AND construction_year_gd
             "enrichment"),
         "composition_total": _q(f"""SELECT COUNT(*) AS total_records, COUNT(DISTINCT data_quality_score) AS unique_quality_scores,
  {_ts('MIN(created_at)')} AS earliest_record, {_ts('MAX(created_at)')} AS latest_record FROM registry""", "registry"),
-        "composition_scores": _q(f"""SELECT CAST(data_quality_score AS DOUBLE) AS data_quality_score, COUNT(*) AS record_count,
- {_pct('COUNT(*)', '(SELECT COUNT(*) FROM registry)')} AS percentage,
- {_ts('MIN(created_at)')} AS earliest_created, {_ts('MAX(created_at)')} AS latest_created
-FROM registry GROUP BY data_quality_score""", "registry"),
-        "composition_classes": _q(f"""SELECT CASE WHEN data_quality_score = 0.5 THEN 'GDW_Records'
- WHEN data_quality_score != 0.5 OR data_quality_score IS NULL THEN 'Artificial_Records' ELSE 'Unknown' END AS record_type,
- COUNT(*) AS count FROM registry GROUP BY 1""", "registry"),
-        "removal_summary": _q(f"""SELECT CASE WHEN data_quality_score = 0.5 THEN 'GDW_Records_KEEP' ELSE 'Artificial_Records_REMOVE' END
- AS classification, COUNT(*) AS count, {_pct('COUNT(*)', '(SELECT COUNT(*) FROM registry)')} AS percentage
-FROM registry GROUP BY 1""", "registry"),
+        "composition_scores": _q(f"""WITH per AS (SELECT data_quality_score AS q, count(*) AS n, min(created_at) AS t0, max(created_at) AS t1 FROM registry GROUP BY q)
+SELECT CAST(q AS DOUBLE) AS data_quality_score, n AS record_count, {_pct('n', '(sum(n) OVER ())')} AS percentage,
+ {_ts('t0')} AS earliest_created, {_ts('t1')} AS latest_created
+FROM per""", "registry"),
+        "composition_classes": _q(f"""SELECT if(data_quality_score IS DISTINCT FROM 0.5, 'Artificial_Records', 'GDW_Records') AS record_type, count(*) AS count
+FROM registry GROUP BY ALL""", "registry"),
+        "removal_summary": _q(f"""WITH halves AS (SELECT data_quality_score IS DISTINCT FROM 0.5 AS goes, count(*) AS n FROM registry GROUP BY goes)
+SELECT if(goes, 'Artificial_Records_REMOVE', 'GDW_Records_KEEP') AS classification, n AS count, {_pct('n', '(sum(n) OVER ())')} AS percentage
+FROM halves""", "registry"),
         "dry_run_count": _q(f"SELECT COUNT(*) AS would_be_deleted FROM registry WHERE {SYNTH}", "registry"),
         "report_means": _q("""SELECT round(avg(enrichment_coverage), 4) AS mean_enrichment_coverage,
  (SELECT round(avg(completeness_percentage), 4) FROM completeness) AS mean_completeness FROM country_stats""",
@@ -519,21 +519,16 @@ FROM registry GROUP BY 1""", "registry"),
         "clean_years": _q(f"SELECT COUNT(*) AS total, MIN(construction_year) AS min_year, MAX(construction_year) "
                           f"AS max_year, COUNT(CASE WHEN construction_year IS NOT NULL THEN 1 END) AS with_year "
                           f"FROM registry WHERE {AUTH}", "registry"),
-        "enrichment_checks": _q(f"""SELECT (SELECT COUNT(*) FROM registry WHERE {AUTH}) AS main_dams_count,
- (SELECT COUNT(*) FROM enrichment) AS enrichment_records, COUNT(*) AS enriched_view_count,
- COUNT(CASE WHEN height_meters IS NOT NULL THEN 1 END) AS original_height_count,
- COUNT(CASE WHEN height_meters_gdw IS NOT NULL THEN 1 END) AS enriched_height_count,
- COUNT(CASE WHEN primary_purpose IS NOT NULL THEN 1 END) AS purpose_count,
- COUNT(CASE WHEN use_irrigation = true THEN 1 END) AS irrigation_count,
- COUNT(CASE WHEN use_hydropower = true THEN 1 END) AS hydropower_count,
- COUNT(CASE WHEN river_name IS NOT NULL THEN 1 END) AS rivers_identified,
- COUNT(CASE WHEN main_basin IS NOT NULL THEN 1 END) AS basins_identified,
- COUNT(CASE WHEN longitude_precise IS NOT NULL THEN 1 END) AS precise_coordinates
-FROM view""", "registry", "enrichment", "view"),
-        "constraint_audit": _q("""SELECT 'check_height_positive' AS rule, COUNT(CASE WHEN height_meters <= 0 THEN 1 END) AS violations FROM dams
-UNION ALL SELECT 'check_capacity_positive', COUNT(CASE WHEN normal_capacity_mcm <= 0 THEN 1 END) FROM dams
-UNION ALL SELECT 'check_construction_year_reasonable',
- COUNT(CASE WHEN construction_year < 1800 OR construction_year > 2050 THEN 1 END) FROM dams""", "dams"),
+        "enrichment_checks": _q("""SELECT (SELECT count(*) FROM genuine) AS main_dams_count, (SELECT count(*) FROM enrichment) AS enrichment_records,
+ count(*) AS enriched_view_count, count(height_meters) AS original_height_count, count(height_meters_gdw) AS enriched_height_count,
+ count(primary_purpose) AS purpose_count, count(*) FILTER (WHERE use_irrigation) AS irrigation_count,
+ count(*) FILTER (WHERE use_hydropower) AS hydropower_count, count(river_name) AS rivers_identified, count(main_basin) AS basins_identified,
+ count(longitude_precise) AS precise_coordinates
+FROM view""", "genuine", "enrichment", "view"),
+        "constraint_audit": _q("""UNPIVOT (SELECT count(*) FILTER (WHERE height_meters <= 0) AS check_height_positive,
+  count(*) FILTER (WHERE normal_capacity_mcm <= 0) AS check_capacity_positive,
+  count(*) FILTER (WHERE construction_year NOT BETWEEN 1800 AND 2050) AS check_construction_year_reasonable FROM dams)
+ON COLUMNS(*) INTO NAME rule VALUE violations""", "dams"),
         "length_audit": _q("SELECT * FROM (" + "\nUNION ALL\n".join(
             f"SELECT '{c}' AS column_name, {n} AS max_length, COUNT(CASE WHEN length({c}) > {n} THEN 1 END) "
             f"AS violations FROM dams" for c, n in
@@ -569,15 +564,16 @@ FROM dams""", "dams"),
                                 "LIMIT 5", "registry"),
         "samples_synthetic": _q(f"SELECT {_SAMPLE} FROM registry WHERE {SYNTH} ORDER BY created_at DESC, dam_id "
                                 "LIMIT 5", "registry"),
+        "random_sample": _q(f"""SELECT dam_name, country_code, CAST(data_quality_score AS DOUBLE) AS data_quality_score, construction_year
+FROM genuine ORDER BY md5(dam_id || '42'), dam_id LIMIT 10""", "genuine"),
         # ------------------------------------------------------ upsert
-        "upsert_touch": _q(f"""SELECT coalesce(c.dam_id, n.dam_id) AS dam_id,
- CAST(CASE WHEN n.dam_id IS NOT NULL THEN n.height_meters ELSE c.height_meters END AS DOUBLE) AS height_meters,
- {_ts(f"CASE WHEN n.dam_id IS NOT NULL AND (c.dam_id IS NULL OR c.height_meters IS DISTINCT FROM n.height_meters) THEN TIMESTAMP '{RUN_TS}' ELSE c.updated_at END")} AS updated_at,
- (n.dam_id IS NOT NULL AND (c.dam_id IS NULL OR c.height_meters IS DISTINCT FROM n.height_meters)) AS touched
-FROM registry c FULL OUTER JOIN (
-  SELECT b.dam_id, CAST(e.height_meters_gdw AS DECIMAL(10,2)) AS height_meters
-  FROM barriers b JOIN enrichment e ON b.gdw_id = e.gdw_id WHERE e.height_meters_gdw IS NOT NULL) n
- ON c.dam_id = n.dam_id""", "registry", "barriers", "enrichment"),
+        "upsert_touch": _q(f"""WITH said AS (
+  SELECT 'B' || CAST(gdw_id AS VARCHAR) AS dam_id, max(CAST(height_meters_gdw AS DECIMAL(10,2))) AS h
+  FROM enrichment WHERE height_meters_gdw IS NOT NULL AND 'B' || CAST(gdw_id AS VARCHAR) IN (SELECT dam_id FROM barriers) GROUP BY ALL),
+flagged AS (SELECT r.*, s.h, s.h IS NOT NULL AND s.h IS DISTINCT FROM r.height_meters AS touched FROM registry r LEFT JOIN said s USING (dam_id))
+SELECT {_REG_COLS}, touched
+FROM (SELECT * REPLACE (coalesce(h, height_meters) AS height_meters, if(touched, TIMESTAMP '{RUN_TS}', updated_at) AS updated_at) FROM flagged)""",
+                           "registry", "barriers", "enrichment"),
     }
     q["wkt_points"] = _q("SELECT dam_id, CASE WHEN coordinates_x IS NOT NULL OR coordinates_y IS NOT NULL THEN "
                          "'POINT (' || CAST(coordinates_x AS VARCHAR) || ' ' || CAST(coordinates_y AS VARCHAR) "
@@ -586,4 +582,19 @@ FROM registry c FULL OUTER JOIN (
     q["load_metadata_csv"] = q["typed_enrichment"]
     q["enrichment_refresh"] = q["typed_enrichment"]
     q["snapshot"] = q["registry_append"]
+    tables = {"database_overview": "overview", "infrastructure_types": "infrastructure_types", "height_categories": "height_classes",
+              "primary_purposes": "purposes", "usage_patterns": "usage_patterns", "country_analysis": "country_analysis",
+              "river_basin_analysis": "basin_analysis", "capacity_analysis": "capacity_classes", "construction_timeline": "timeline",
+              "data_completeness": "completeness"}
+    q["export_csv"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM ({q[k]})" for t, k in tables.items())
+    q["export_statistics_json"] = f"""SELECT (SELECT count(*) FROM ({q['infrastructure_types']})) AS total_types,
+ (SELECT infrastructure_type FROM ({q['infrastructure_types']}) ORDER BY dam_count DESC, infrastructure_type LIMIT 1) AS dominant_type,
+ (SELECT count(*) FROM ({q['purposes']})) AS total_purposes,
+ (SELECT primary_purpose FROM ({q['purposes']}) ORDER BY dam_count DESC, primary_purpose LIMIT 1) AS primary_purpose,
+ (SELECT count(*) FROM ({q['country_analysis']})) AS countries_analyzed,
+ (SELECT country_code FROM ({q['country_analysis']}) ORDER BY total_dams DESC, country_code LIMIT 1) AS leading_country,
+ (SELECT round(avg(completeness_percentage), 6) FROM ({q['completeness']})) AS average_completeness"""
+    q["export_manifest"] = f"""SELECT '{RUN_TS}' AS analysis_date, max(record_count) FILTER (WHERE dataset = 'Original Dams Table') AS database_records,
+ max(record_count) FILTER (WHERE dataset = 'Enrichment Metadata') AS enrichment_records, 10 AS tables FROM ({q['overview']})"""
+    q["reports_md"] = "SELECT * FROM (VALUES ('enrichment_report', 2), ('cleaning_report', 6), ('executive_summary', 10)) AS t(report, sections)"
     return q

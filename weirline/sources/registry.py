@@ -89,27 +89,19 @@ def registry_append(*layers: DataFrame) -> DataFrame:
     return out
 
 
-def read_metadata_csv(spark: SparkSession, path: str, null_tokens=None) -> DataFrame:
+def read_metadata_csv(spark: SparkSession, path: str, null_tokens=None, embedded_newlines: bool = False) -> DataFrame:
     """Read the registry metadata CSV: header, UTF-8, every column as text.
 
-    No schema inference (it would scan the data twice and guess types per
-    file).  Reader-level missing tokens are turned into NULL explicitly, which
-    is what the original pandas reader does implicitly.
+    The names come from the first line alone, and no types are inferred.  A file is
+    split among tasks unless ``embedded_newlines`` says that quoted fields hold line
+    ends; one task then reads a whole file.  Reader-level missing tokens are turned
+    into NULL explicitly, which is what the original pandas reader does implicitly.
     """
-    header = (spark.read.option("header", True).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').csv(path).columns)
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-          .option("nullValue", None).option("emptyValue", "").csv(path))
+    options = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": embedded_newlines}
+    names = spark.read.options(**options).option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in names])
+    df = spark.read.schema(schema).options(**options).option("nullValue", None).option("emptyValue", "").csv(path)
     df = df.select(*[clean.reader_nulls(F.col(c), null_tokens).alias(c) for c in df.columns])
     if "GDW_ID" in df.columns:
         df = df.withColumn("GDW_ID", clean.parse_integer("GDW_ID"))
     return df
-
-
-def metadata_fields_present(df: DataFrame) -> tuple[dict, list]:
-    """(available source->target map, missing source fields) for a metadata frame."""
-    present = {s: t for s, t in METADATA_SOURCE_FIELDS.items() if s in df.columns}
-    missing = [s for s in METADATA_SOURCE_FIELDS if s not in df.columns]
-    return present, missing

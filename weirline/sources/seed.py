@@ -27,22 +27,6 @@ DAM_TYPES = [
      ["hydropower", "flood_control", "water_supply"]),
 ]
 
-DATA_SOURCES = [
-    ("Global Dam Watch", "database", "https://www.globaldamwatch.org/", "annual", "0.98"),
-    ("GOODD", "database", "https://www.goodd.org/", "annual", "0.95"),
-    ("GRAND", "database", "https://www.mcgill.ca/gws/grand", "annual", "0.96"),
-    ("FHReD", "database", "https://www.fhred.org/", "annual", "0.94"),
-    ("USGS Water Data", "api", "https://waterdata.usgs.gov/", "real-time", "0.99"),
-    ("National Water Dashboard", "api", "https://dashboard.waterdata.usgs.gov/", "real-time", "0.97"),
-]
-
-REGIONS = [
-    ("Norway", "country", "NO", 1), ("India", "country", "IN", 2), ("Bangladesh", "country", "BD", 3),
-    ("Asia", "continent", "AS", 4), ("Europe", "continent", "EU", 5), ("Africa", "continent", "AF", 6),
-    ("South America", "continent", "SA", 7), ("North America", "continent", "NA", 8),
-    ("Antarctica", "continent", "AN", 9),
-]
-
 DAM_TYPES_SCHEMA = T.StructType([
     T.StructField("type_id", T.IntegerType(), False),
     T.StructField("type_name", T.StringType(), False),
@@ -54,16 +38,3 @@ DAM_TYPES_SCHEMA = T.StructType([
 
 def dam_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DAM_TYPES, DAM_TYPES_SCHEMA)
-
-
-def data_sources(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, n, t, u, f, r) for i, (n, t, u, f, r) in enumerate(DATA_SOURCES)]
-    df = spark.createDataFrame(rows, "source_id int, source_name string, source_type string, url string, "
-                                     "update_frequency string, reliability_score string")
-    return df.withColumn("reliability_score", df["reliability_score"].cast("decimal(3,2)"))
-
-
-def seed_regions(spark: SparkSession) -> DataFrame:
-    rows = [(i + 1, n, t, c, p) for i, (n, t, c, p) in enumerate(REGIONS)]
-    return spark.createDataFrame(rows, "region_id bigint, region_name string, region_type string, "
-                                       "iso_code string, priority_order int")
