@@ -7,6 +7,7 @@ settings that are unset, so that tests and the bench get sane local defaults.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the platform to shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only in a local session (tests, the bench) that leaves it unset a scratch
+    folder is created; on a cluster executors would each write to their own
+    disk, so an unset folder is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -53,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getCheckpointDir()
     if not configured:
+        master = spark.conf.get("spark.master", "") or (sc.master if sc is not None else "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="weirline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None and sc.getCheckpointDir() is None:
