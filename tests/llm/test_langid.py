@@ -52,4 +52,6 @@ def test_word_table_bound_changes_nothing(monkeypatch):
     whole = langid.Predictor(net).judge(texts)
     monkeypatch.setattr(langid, "CACHED_WORDS", 2)
     small = langid.Predictor(net)
-    assert [small.judge([t]) for t in texts] == [([l], [s]) for l, s in zip(*whole)]
+    again = [small.judge([t]) for t in texts]
+    assert [l[0] for l, _ in again] == whole[0]
+    assert np.allclose([s[0] for _, s in again], whole[1], atol=1e-6)   # sums of single-precision numbers

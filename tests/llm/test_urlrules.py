@@ -12,7 +12,8 @@ def judge(url, rules, default):
         k = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
         host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:k]), rest[k:]
         path = rest[:min([rest.find(c) for c in "?#" if c in rest] or [len(rest)])]
-    fit = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if h and host and (host == h or host.endswith("." + h)) and path.startswith(p or "")]
+    rules = [(h, p or "", v) for h, p, v in rules]
+    fit = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if h and host and (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fit, default=None)
     return host, path, best[3] if best else None, best[4] if best else default
 
