@@ -228,7 +228,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")) \
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang).select("id", "lang")
-    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # A bounded broadcast: docs_per_lang ids of each language.
+    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
