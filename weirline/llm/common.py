@@ -5,13 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weirline.session import ensure_checkpoint_dir
 
+BITMAP_BITS = 1 << 26   # 8 MB: the bound of what ``maybe_among`` sends to the tasks
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One given table, pruned to ``columns`` (all when none are named)."""
@@ -36,8 +41,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def extended(df: DataFrame, *more: str) -> StructType:
-    """The schema of ``df`` with more columns, each given as ``"name type"``."""
-    return StructType(df.schema.fields + StructType.fromDDL(", ".join(more)).fields)
+    """The schema of ``df``, all nullable, with more columns, each given as ``"name type"``."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + StructType.fromDDL(", ".join(more)).fields)
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` without most of those whose ``columns`` are not among ``keys``.
+
+    A filter before a join that shuffles long texts for a few keys: a bitmap of hashed
+    keys, of at most ``BITMAP_BITS`` bits whatever the number of keys.  It never drops a
+    matching row, so the join that follows decides; with very many keys it only drops
+    less.
+    """
+    bits = min(BITMAP_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    place = lambda: F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    marks = keys.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    table = np.zeros((bits >> 15 or 1, 4096), np.uint8)
+    for r in marks:
+        table[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    table = table.ravel()
+
+    @F.pandas_udf("boolean")
+    def among(p: pd.Series) -> pd.Series:
+        at = p.to_numpy(np.int64) - 1
+        return pd.Series((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return rows.filter(among(place()))
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,10 @@ sum of its overlaps in the fragments, each counted on its own:
 * two sets above the threshold share an n-gram in the leading fragment of both: so
   many of its first n-grams that the rest cannot hold the needed overlap alone.  A
   place i of n leaves at most n - i for the overlap, which prunes further;
-* candidate pairs get their partial overlap per fragment, and the sum per pair is
-  compared with the needed overlap.  Nothing is estimated.
+* every set has a bitmap in which each of its n-grams flips one bit.  Where the bitmaps of
+  a candidate pair differ in more places than the sets may differ, the pair is none;
+* the others get their partial overlap per fragment, and the sum per pair is compared
+  with the needed overlap.  Nothing is estimated.
 
 A group of near copies is not expanded into its pairs.  In the posting list of an
 n-gram every class is first compared with the list's most central class (the one
@@ -37,12 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended, stored
+from weirline.llm.common import byte_slices, extended, maybe_among, stored
 from weirline.llm.components import connected_components
 
 SKETCH_BITS = 17          # buckets of the count sketch: 2^17 numbers, whatever the corpus
 SKETCH_ROWS = 64          # rows the sketch is split into when it is summed
 FRAGMENTS = 8             # equal shares of the n-gram order by corpus mass
+SET_BITS = 1024           # bits of a set's bitmap
+SETS_MET = 1 << 20        # sets a task remembers: a memory bound, not a limit of the result
 
 _A, _B, _C = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,29 +92,46 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """How many (document, n-gram) pairs of the corpus fall into each bucket.
+def read_sets(docs: DataFrame, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
+    """One pass over the texts: ``docs`` without its text, plus set_id (null for an empty
+    set), n_shingles and bits (the set's bitmap); and how many (document, n-gram) pairs fall into each bucket.
 
-    A task sums its own documents first and hands on one sketch; the sketches are
-    added by row.  The result has a fixed size."""
+    A task sums the counts of its own documents and hands on one sketch; the sketches
+    are added by row.  The sum has a fixed size."""
     width = (1 << SKETCH_BITS) // SKETCH_ROWS
+    base = docs.drop("set_id", "n_shingles", "bits", "part", "counts")
+    kept = [c for c in base.columns if c != text_col]
+    schema = extended(base.select(*kept), "set_id long", "n_shingles long", "bits array<long>", "part int", "counts array<long>")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        types = None
         for batch in batches:
             for part in byte_slices(batch, text_col):
-                total += np.bincount(_bucket(gram_sets(part.column(text_col), n)[1]), minlength=len(total))
+                d, g = gram_sets(part.column(text_col), n)
+                total += np.bincount(_bucket(g), minlength=len(total))
+                rows = part.num_rows
+                at = _bounds(d, rows)
+                size = np.diff(at)
+                types = [part.column(c).type for c in kept]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array(_signatures(g, at), mask=size == 0), pa.array(size.astype(np.int64)), _bitmaps(d, g, rows),
+                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int64()))], names=[*kept, "set_id", "n_shingles", "bits", "part", "counts"])
         if total.any():
+            rows = SKETCH_ROWS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(list(total.reshape(SKETCH_ROWS, width)), pa.list_(pa.int64()))], names=["part", "counts"])
+                [*[pa.nulls(rows, t) for t in types], pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
+                 pa.nulls(rows, pa.list_(pa.int64())), pa.array(range(rows), pa.int32()), pa.array(list(total.reshape(rows, width)), pa.list_(pa.int64()))],
+                names=[*kept, "set_id", "n_shingles", "bits", "part", "counts"])
 
-    rows = docs.select(text_col).mapInArrow(tally, "part int, counts array<long>")
-    summed = rows.select("part", F.posexplode("counts").alias("at", "count")).groupBy("part", "at").agg(F.sum("count").alias("count"))
+    both = stored(base.mapInArrow(run, schema), "sets")
+    summed = both.filter("part IS NOT NULL").select("part", F.posexplode("counts").alias("at", "count")) \
+        .groupBy("part", "at").agg(F.sum("count").alias("count"))
     out = np.zeros((SKETCH_ROWS, width), np.int64)
     for r in summed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "count"))).alias("row")).collect():
         for x in r["row"]:
             out[r["part"], x["at"]] = x["count"]
-    return out.ravel()
+    return both.filter("part IS NULL").drop("part", "counts"), out.ravel()
 
 
 class Order:
@@ -130,52 +151,84 @@ class Order:
         return np.searchsorted(self.cuts, self.rank(grams), "left")
 
 
-def _signature(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams))
+def _signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit name for every set; ``at`` are its bounds in ``grams``."""
+    return np.array([xxhash.xxh3_64_intdigest(grams[a:z].tobytes(), seed=int(z - a)) for a, z in zip(at[:-1], at[1:])], np.uint64).view(np.int64)
 
 
-def _bounds(docs: np.ndarray, count: int) -> np.ndarray:
-    return np.searchsorted(docs, np.arange(count + 1))
+def _bitmaps(docs: np.ndarray, grams: np.ndarray, rows: int) -> pa.Array:
+    """For each of ``rows`` sets, the parity of its n-grams in each of SET_BITS places."""
+    flips = np.bincount(docs * SET_BITS + (grams % np.uint64(SET_BITS)).astype(np.int64), minlength=rows * SET_BITS)
+    words = np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+    width = SET_BITS // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width, dtype=np.int32)), pa.array(words))
 
 
-def class_rows(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """``docs`` without its text, plus set_id (null for an empty set) and n_shingles."""
-    base = docs.drop("set_id", "n_shingles")
-    kept = [c for c in base.columns if c != text_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch, text_col):
-                d, g = gram_sets(part.column(text_col), n)
-                at = _bounds(d, part.num_rows)
-                size = np.diff(at)
-                ids = np.array([_signature(g[at[i]:at[i + 1]]) for i in range(part.num_rows)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(ids, mask=size == 0), pa.array(size.astype(np.int64))],
-                                                 names=[*kept, "set_id", "n_shingles"])
-
-    return base.mapInArrow(run, extended(base.select(*kept), "set_id long", "n_shingles long"))
+def _bounds(docs: np.ndarray, count: int) -> np.ndarray:
+    return np.searchsorted(docs, np.arange(count + 1))
 
 
 def leading_postings(docs: DataFrame, text_col: str, n: int, order: Order, percent: int) -> DataFrame:
-    """Postings (gram, set_id, n, place) of the leading fragment of every distinct set."""
+    """Postings (gram, set_id, n, place) of the leading fragment of every set.
+
+    A task gives a set it has met before only once (as far as its bounded memory goes),
+    so that a group of copies sends no more than about one row per task and n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for part in byte_slices(batch, text_col):
                 d, g = gram_sets(part.column(text_col), n)
                 at = _bounds(d, part.num_rows)
                 size = np.diff(at)
+                ids = _signatures(g, at)
+                fresh = np.zeros(len(ids), bool)
+                for i, own in enumerate(ids.tolist()):
+                    if size[i] and own not in met:
+                        fresh[i] = True
+                        met.add(own)
+                if len(met) > SETS_MET:
+                    met.clear()
                 by = np.lexsort((g, order.rank(g), d))
                 place = np.arange(len(g)) - at[d]
                 lead = size - -(-percent * size // 100) + 1
-                ids = np.array([_signature(g[at[i]:at[i + 1]]) for i in range(part.num_rows)], np.uint64).view(np.int64)
-                take = place < lead[d]
+                take = (place < lead[d]) & fresh[d]
                 own = d[take]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g[by][take].view(np.int64)), pa.array(ids[own]), pa.array(size[own].astype(np.int32)), pa.array(place[take].astype(np.int32))],
                     names=["gram", "set_id", "n", "place"])
 
-    return docs.select(text_col).mapInArrow(run, "gram long, set_id long, n int, place int").distinct()
+    return docs.select(text_col).mapInArrow(run, "gram long, set_id long, n int, place int")
+
+
+def shared_lists(postings: DataFrame) -> DataFrame:
+    """The postings of n-grams that more than one set leads with, each once, with the list's
+    centre: the first by (place, n, set_id).  One sorted sweep; a list is never held."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = last = None          # the first and the latest posting of the list that is open
+        for batch in batches:
+            rows = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "place", "n", "set_id")])
+            if last is not None:
+                rows = np.concatenate([last[None], rows])
+            new = np.r_[last is None, (rows[1:] != rows[:-1]).any(1)] if len(rows) else np.empty(0, bool)
+            if last is not None:
+                new[0] = False         # given with the batch before, or the centre itself
+            begins = np.r_[last is None, rows[1:, 0] != rows[:-1, 0]]
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))
+            centres = rows[first]
+            if last is not None:
+                centres[np.cumsum(begins) == 0] = centre
+            member = new & ~begins     # every posting of a list but its centre
+            out, mid = rows[member], centres[member]
+            centre, last = centres[-1], rows[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[:, 0]), pa.array(out[:, 3]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 1].astype(np.int32)),
+                 pa.array(mid[:, 3]), pa.array(mid[:, 2].astype(np.int32)), pa.array(mid[:, 1].astype(np.int32))],
+                names=["gram", "set_id", "n", "place", "cs", "cn", "cp"])
+
+    return postings.repartition("gram").sortWithinPartitions("gram", "place", "n", "set_id") \
+        .mapInArrow(sweep, "gram long, set_id long, n int, place int, cs long, cn int, cp int")
 
 
 def fragments(docs: DataFrame, text_col: str, n: int, order: Order) -> DataFrame:
@@ -226,20 +279,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest id reachable by links), first (is it the component's first row by id and hash?).
     """
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    classes = stored(class_rows(keyed, "text", n), "classes")
-    order = Order(count_sketch(keyed, "text", n))
-    postings = leading_postings(keyed, "text", n, order, percent)
-    postings = stored(postings, "postings")
-    centre = F.min(F.struct("place", "n", "set_id")).alias("c")
-    lists = postings.groupBy("gram").agg(F.count("*").alias("sets"), centre).filter("sets > 1").select("gram", "c")
-    shared = stored(postings.join(lists, "gram"), "postings-shared")
-    to_centre = stored(_pairs(shared.select("set_id", "n", "place", F.col("c.set_id").alias("cs"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp")),
-                              "set_id", "n", "place", "cs", "cn", "cp", percent), "pairs")
-    some = stored(_linked(to_centre, classes, keyed, n, order, percent), "links")
+    classes, sketch = read_sets(keyed, "text", n)
+    order = Order(sketch)
+    reps = stored(representatives(classes), "classes")
+    members = stored(shared_lists(leading_postings(keyed, "text", n, order, percent)), "postings")
+    to_centre = stored(_pairs(members, "set_id", "n", "place", "cs", "cn", "cp", percent), "pairs")
+    some = stored(_linked(to_centre, reps, keyed, n, order, percent), "links")
     roots = stored(connected_components(some), "roots")
 
     # What is still open: classes of one list that lie in different components.
-    own = shared.select("gram", "set_id", "n", "place").join(roots, shared["set_id"] == roots["node"], "left") \
+    # (The centre has been compared with its whole list.)
+    own = members.select("gram", "set_id", "n", "place").join(roots, members["set_id"] == roots["node"], "left") \
         .select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root"))
     x = own.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "place", "root")])
     y = own.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("set_id", "n", "place", "root")])
@@ -247,7 +297,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     meet = x.join(y, (x["gram"] == y["gram"]) & (F.col("set_id_x") < F.col("set_id_y")) & (F.col("root_x") != F.col("root_y"))
                   & (F.col("n_x") - F.col("place_x") >= need) & (F.col("n_y") - F.col("place_y") >= need))
     rest = stored(_pairs(meet, "set_id_x", "n_x", "place_x", "set_id_y", "n_y", "place_y", percent).join(to_centre, ["a", "b"], "left_anti"), "pairs")
-    more = _linked(rest, classes, keyed, n, order, percent)
+    more = _linked(rest, reps, keyed, n, order, percent)
     bridges = some.unionByName(more)
     roots = connected_components(bridges)
 
@@ -270,11 +320,26 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return once.select(*docs.columns)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, n: int, order: Order, percent: int) -> DataFrame:
+def representatives(classes: DataFrame) -> DataFrame:
+    """(set_id, doc, h, bits): one document of every class and the class's bitmap."""
+    return classes.filter("set_id IS NOT NULL").groupBy("set_id") \
+        .agg(F.min(F.struct("doc", "h")).alias("r"), F.first("bits").alias("bits")).select("set_id", "r.doc", "r.h", "bits")
+
+
+def near_enough(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more places than linked sets may differ."""
+    a, b = reps.select(F.col("set_id").alias("a"), F.col("bits").alias("x")), reps.select(F.col("set_id").alias("b"), F.col("bits").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, v: n + v)
+    return pairs.join(a, "a").join(b, "b").filter(differ <= F.col("na") + F.col("nb") - 2 * needed("na", "nb", percent)) \
+        .select("a", "b", "na", "nb")
+
+
+def _linked(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, n: int, order: Order, percent: int) -> DataFrame:
     """The true links among ``pairs``: the sets are rebuilt from one document of each class."""
+    pairs = stored(near_enough(pairs, reps, percent), "near")
     named = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    one = classes.filter("set_id IS NOT NULL").join(named, "set_id").groupBy("set_id").agg(F.min(F.struct("doc", "h")).alias("r"))
-    one = one.select("set_id", F.col("r.doc").alias("rd"), F.col("r.h").alias("rh"))
-    texts = keyed.join(one, F.col("doc").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh"))).select("set_id", "text").dropDuplicates(["set_id"])
-    parts = stored(fragments(texts, "text", n, order), "fragments")
+    one = stored(reps.select("set_id", "doc", "h").join(named, "set_id", "left_semi"), "chosen")
+    near = maybe_among(keyed, one, "doc", "h").alias("k")
+    texts = near.join(one.alias("o"), F.col("k.doc").eqNullSafe(F.col("o.doc")) & (F.col("k.h") == F.col("o.h"))).select("o.set_id", "k.text")
+    parts = stored(fragments(texts.dropDuplicates(["set_id"]), "text", n, order), "fragments")
     return links(pairs, parts, percent)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended, stored
+from weirline.llm.common import byte_slices, extended, maybe_among, stored
 
 ANCHOR = 48               # bytes of an anchor
 SLICE = 1 << 20           # bytes hashed at a time; a longer text is a slice of its own
@@ -256,13 +256,15 @@ def _strip_rows(keyed: DataFrame, size: int) -> DataFrame:
 
 def _texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """Fetch the bytes of strips: one list of strips per document, joined to the documents."""
-    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("name", "kind", "lo", "n", "at")).alias("want"))
-    k, w = keyed.alias("k"), lists.alias("w")
+    lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("name", "kind", "lo", "n", "at", "load")).alias("want"))
+    lists = stored(lists, "wanted")
+    k, w = maybe_among(keyed, lists, "doc", "h").alias("k"), lists.alias("w")
     both = k.join(w, F.col("k.doc").eqNullSafe(F.col("w.doc")) & (F.col("k.h") == F.col("w.h"))).select("k.doc", "k.h", "k.text", "w.want")
     cut = both.select("doc", "h", "text", F.explode("want").alias("s")).select(
         F.col("s.name").alias("name"), F.col("s.kind").alias("kind"), F.col("s.name").alias("id0"), F.col("s.kind").alias("id1"), F.lit(0).alias("off"),
         "doc", "h", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"), F.col("s.at").alias("at"),
-        F.expr(f"substring(text, s.lo + 1, s.n + {size - 1})").alias("text"))
+        F.expr(f"substring(text, s.lo + 1, s.n + {size - 1})").alias("text"),
+        F.col("s.load").alias("load"))
     return cut.dropDuplicates(["name", "kind"])   # equal rows of documents give equal strips
 
 
@@ -283,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = stored(classes.join(names, "name"), "classes")
 
     wanted = classes.filter("kinds > 1").select("name", "kind", "first.doc", "first.h", "first.lo", "n", "at", "load")
-    items = stored(_texts(keyed, wanted, size).join(names.filter("kinds > 1").select("name", "load"), "name"), "blocks")
+    items = stored(_texts(keyed, wanted, size), "blocks")
     marks = [_solved(items.filter(F.col("load") <= BLOCK_WINDOWS), size)]
     crowded = items.filter(F.col("load") > BLOCK_WINDOWS)
     for windows in STRIPS:
