@@ -40,7 +40,8 @@ from weirline.llm.common import byte_slices, extended
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-CACHE_PIECES = 300_000   # pieces remembered in a Python worker; the memory bound, not a limit of the result
+CACHE_PIECES = 200_000   # pieces remembered in a Python worker; the memory bound, not a limit of the result
+CACHE_PAIRS = 200_000    # token pairs remembered, likewise
 LONGEST_CACHED = 64      # characters
 
 
@@ -94,7 +95,7 @@ class Bpe:
 
         self.pieces = regex.compile(PIECES)
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
 
     # -- encoding -----------------------------------------------------------------
@@ -107,12 +108,13 @@ class Bpe:
         before what is still to be done on either side.  Undo the last merges of the
         two sides in falling rank: at each border pair met, a merge that would have
         ranked before the one just undone breaks the pair."""
-        known = self._fits.get((a, b))
+        pair = a * self.size + b
+        known = self._fits.get(pair)
         if known is None:
             known = self._compatible(a, b)
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= CACHE_PAIRS:
                 self._fits.clear()
-            self._fits[(a, b)] = known
+            self._fits[pair] = known
         return known
 
     def _compatible(self, a: int, b: int) -> bool:

@@ -70,7 +70,7 @@ def maybe_among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     return rows.filter(among(place()))
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of ``column``.
 
     Every row is in exactly one run; a single longer row is a run of its own.
