@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, ngramjoin, suffixdup, topk, toxicity, urlrules, wrapper
+from weirline.llm import bpe, decontam, langid, lmscore, ngramjoin, suffixdup, topk, toxicity, urlrules, wrapper
 from weirline.llm.common import read_table
 
 
@@ -131,6 +131,13 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), network).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    vocabulary, network = lmscore.train(docs)
+    return lmscore.score(docs, vocabulary, network).select("doc_id", "n_tokens", "score", "mean_logprob")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
@@ -169,7 +176,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op3_html_extraction": op3_html_extraction, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op3_html_extraction": op3_html_extraction, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_lm_scoring": op7_lm_scoring, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
             "op10_toxicity": op10_toxicity}
 
 
