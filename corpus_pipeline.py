@@ -59,9 +59,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (binary, little-endian uint32), text (decoded)."""
-    path = vocabulary_path()
-    coded = bpe.encode(docs, path).drop("text")
-    return bpe.decode(coded, path, text="text").select("doc_id", "lang", "source", "n_tokens", "ids", "text")
+    return bpe.round_trip(docs, vocabulary_path(), decoded="text").select("doc_id", "lang", "source", "n_tokens", "ids", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -45,3 +45,10 @@ def test_cache_bound_changes_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 2)
     text = "one two three four one two five " * 5
     assert small.encode(text) == bpe.vocabulary(vocabulary).encode(text)
+
+
+def test_round_trip_is_both_in_one_pass(docs, vocabulary):
+    frame = docs(ODD)
+    two = bpe.decode(bpe.encode(frame, vocabulary), vocabulary).select("doc_id", "ids", "n_tokens", "decoded").orderBy("doc_id").collect()
+    assert bpe.round_trip(frame, vocabulary).select("doc_id", "ids", "n_tokens", "decoded").orderBy("doc_id").collect() == two
+    assert "text" in bpe.round_trip(frame, vocabulary, decoded="text").columns

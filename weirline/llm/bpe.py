@@ -252,3 +252,21 @@ def decode(coded: DataFrame, vocab_path: str, ids: str = "ids", text: str = "dec
     return base.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` in one pass of one Python worker per task: ids, n_tokens and
+    ``decoded`` are added, the text itself is dropped.  Null text: no tokens, empty text."""
+    base = docs.drop(ids, "n_tokens", decoded) if decoded != text else docs.drop(ids, "n_tokens")
+    kept = [c for c in base.columns if c != text]
+    schema = extended(base.select(*kept), f"`{ids}` binary", "n_tokens long", f"`{decoded}` string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(vocab_path)
+        for batch in batches:
+            for part in byte_slices(batch, text):
+                coded = [bpe.encode(t) if t else b"" for t in part.column(text).to_pylist()]
+                texts = [bpe.decode(np.frombuffer(b, "<u4").astype(np.int64)) for b in coded]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array(coded, pa.binary()), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(texts, pa.string())],
+                    names=[*kept, ids, "n_tokens", decoded])
+
+    return base.mapInArrow(run, schema)

@@ -111,8 +111,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of the ids and of the decoded text."""
     path = vocabulary_path()
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    coded = bpe.encode(docs, path).drop("text")
-    return bpe.decode(coded, path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
