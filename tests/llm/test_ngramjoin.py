@@ -69,6 +69,13 @@ def test_keep_first_with_repeated_rows(docs, prose):
     assert ngramjoin.keep_first(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one two", "one two three"])
+def test_short_text_alone_in_a_partition(docs, text):
+    """Fewer words in the whole slice than in an n-gram."""
+    kept = ngramjoin.keep_first(docs([text], parts=1), n=5, percent=80).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept] == [(0, text)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)] + [(400, 400)]

@@ -68,7 +68,7 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     per_doc = np.bincount(lists, minlength=len(texts))
     begin = np.cumsum(per_doc) - per_doc
     grams, m = h.copy(), len(h)
-    for k in range(1, n):                      # grams[i] covers words i .. i + k of one text
+    for k in range(1, min(n, m)):              # grams[i] covers words i .. i + k of one text
         grams[:m - k] = _mix(grams[:m - k] * _A + h[k:] * _B + np.uint64(k))
     place = np.arange(m) - begin[lists]
     full = place + n <= per_doc[lists]
