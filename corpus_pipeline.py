@@ -6,8 +6,8 @@ predecessor kept, and its decisions take effect:
 1. toxicity: documents scored 0.7 or more go;
 2. n-gram Jaccard join: of every group of near copies (five-word shingles, similarity
    0.8) the first document stays;
-3. suffix-array dedup: of every passage that repeats across what is left, the first copy
-   stays; the others are cut out of their texts;
+3. suffix-array dedup: of every passage of over 50 words that repeats across what is left,
+   the first copy stays; the others are cut out of their texts;
 4. benchmark decontamination: documents with a twentieth of their words in benchmark
    windows go;
 5. BPE encoding and decoding: token ids of the final texts, and the texts decoded.
@@ -28,7 +28,7 @@ from weirline.llm.queries import vocabulary_path
 
 TOXIC = 0.7
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-PASSAGE_BYTES = 240   # passages of over 50 words are longer, in any of the languages
+PASSAGE_WORDS = 51   # a passage is over 50 words, however few bytes they take
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated passages.  A text that loses nothing stays as
     it is (null too); a character of which a part repeats goes as a whole."""
-    less = suffixdup.remove_repeats(docs, size=PASSAGE_BYTES, keep="first", whole_characters=True)
+    less = suffixdup.remove_repeats(docs, words=PASSAGE_WORDS, keep="first", whole_characters=True)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return less.withColumn("n_chars", n_chars).withColumn("text", text).select(*docs.columns)

@@ -40,3 +40,18 @@ def test_planted_cases(spark, prose, tmp_path):
     last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: r["text"] for i, r in last.items()} == {i: t or "" for i, t in decontaminated.items()}
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in last.values())
+
+
+def test_passages_are_told_by_words(spark):
+    """51 words of 152 bytes go, 50 words of 499 bytes stay; so do stretches joined from shorter ones."""
+    word = lambda seed, i, n: "".join(chr(97 + (seed * 7919 + i * 104729 + k * 1299709) // 13 % 26) for k in range(n))
+    text = lambda seed, count, n: " ".join(word(seed, i, n) for i in range(count))
+    short, wide, left, right = text(1, 51, 2), text(2, 50, 9), text(3, 30, 6), text(4, 30, 7)
+    assert len(short) == 152 and len(wide) == 499
+    own = lambda i: text(50 + i, 5, 8 + i)
+    rows = {i: f"{own(2 * i)} {t} {own(2 * i + 1)}" for i, t in enumerate([short, short, wide, wide, left, right, left + " " + right])}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.cut_repeats(spark, frame, "").collect()}
+    want = {**rows, 1: f"{own(2)}  {own(3)}"}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())

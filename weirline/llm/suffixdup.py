@@ -27,11 +27,15 @@ Matches never cross documents.  Null and empty texts, and texts shorter than
 ``size``, lose nothing.  Rows repeated in id and text are copies of each other; when
 the first copy stays, all such equal rows hold it.  "First" is the order of
 (id, hash of the text, position), null ids first.
+
+A passage may also be told by its words: then the repeated bytes are only candidates,
+and every run of so many whole words within them is compared with all others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ BLOCK_WINDOWS = 1 << 15   # window starts of one anchor that one suffix array ta
 BATCH_WINDOWS = 1 << 14   # small blocks are joined into arrays of about this size
 STRIPS = (64, 8, 1)       # window counts of the shorter strips of a crowded anchor
 
+_WORD = re.compile(rb"\S+")
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -324,6 +330,59 @@ def _solved(items: DataFrame, size: int) -> DataFrame:
     return dealt.repartition("name").sortWithinPartitions("name").mapInArrow(_arrays(size), MARK)
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The maximal spans of a union."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def word_runs(text: bytes, start: int, end: int, words: int) -> Iterator[tuple[int, int]]:
+    """The byte span of every run of ``words`` words that lie wholly within start .. end."""
+    found = [m.span() for m in _WORD.finditer(text, start, end)]
+    if found and found[0][0] and not text[found[0][0] - 1:found[0][0]].isspace():
+        del found[0]
+    if found and found[-1][1] < len(text) and not text[found[-1][1]:found[-1][1] + 1].isspace():
+        del found[-1]
+    return ((a, b) for (a, _), (_, b) in zip(found, found[words - 1:]))
+
+
+def repeated_words(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", keep: str = "first") -> DataFrame:
+    """(doc, h, spans) as ``repeated_spans``, of runs of ``words`` words that repeat byte for byte.
+
+    So many words take 2 * words - 1 bytes at the least, so all copies of a run lie in
+    repeated bytes of that size."""
+    spans = stored(repeated_spans(docs, id_col, text_col, 2 * words - 1, "none"), "candidates")
+    k, c = maybe_among(_keyed(docs, id_col, text_col), spans, "doc", "h").alias("k"), spans.alias("c")
+    both = k.join(c, F.col("k.doc").eqNullSafe(F.col("c.doc")) & (F.col("k.h") == F.col("c.h"))).select("k.doc", "k.h", "k.text", "c.spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                row, name, lo, hi = [], [], [], []
+                for i, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column("spans").to_pylist())):
+                    for start, end in _merged((x["start"], x["end"]) for x in spans):
+                        for a, b in word_runs(text, start, end, words):
+                            row.append(i)
+                            name.append(xxhash.xxh3_64_intdigest(text[a:b]))
+                            lo.append(a)
+                            hi.append(b)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(name, np.uint64).view(np.int64)), *part.select(["doc", "h"]).take(pa.array(row, pa.int64())).columns,
+                     pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["name", "doc", "h", "start", "end"])
+
+    runs = stored(both.mapInArrow(run, "name long, doc long, h long, start int, end int"), "word-runs")
+    place = F.struct("doc", "h", "start")
+    twice = runs.groupBy("name").agg(F.count("*").alias("copies"), F.min(place).alias("first")).filter("copies > 1")
+    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start"))
+    later = runs.join(twice, "name")
+    return (later if keep == "none" else later.filter(~is_first)).groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
 def _widened(text: bytes, start: int, end: int) -> tuple[int, int]:
     """The span with the rest of the characters at its ends (bytes 10xxxxxx continue one)."""
     while start and text[start] & 0xC0 == 0x80:
@@ -334,15 +393,16 @@ def _widened(text: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first",
-                   whole_characters: bool = False) -> DataFrame:
+                   whole_characters: bool = False, words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with its text less the repeated bytes.
 
     Adds ``kept`` (binary: the remaining bytes), ``n_removed`` and ``removed`` (the maximal
     removed byte spans); all columns of ``docs`` stay (clashing names are replaced).
-    ``whole_characters`` widens the spans so that no character is cut in two.
+    ``whole_characters`` widens the spans so that no character is cut in two.  With ``words``
+    a passage is that many words, however many bytes they take, and ``size`` is not used.
     """
     base = docs.drop("kept", "removed", "n_removed")
-    spans = repeated_spans(base, id_col, text_col, size, keep)
+    spans = repeated_words(base, words, id_col, text_col, keep) if words else repeated_spans(base, id_col, text_col, size, keep)
     d, s = base.withColumn("_h", F.xxhash64(text_col)).alias("d"), spans.alias("s")
     joined = d.join(s, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.doc")) & (F.col("d._h") == F.col("s.h")), "left") \
         .select("d.*", F.col("s.spans").alias("_spans")).drop("_h")
@@ -352,14 +412,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in byte_slices(batch, text_col):
                 kept, removed, cut = [], [], []
                 for text, spans in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist()):
-                    text, merged = text or b"", []
-                    for x in sorted((x["start"], x["end"]) for x in spans or ()):
-                        if whole_characters:
-                            x = _widened(text, *x)
-                        if merged and x[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], x[1])
-                        else:
-                            merged.append([*x])
+                    text = text or b""
+                    found = ((x["start"], x["end"]) for x in spans or ())
+                    merged = _merged(_widened(text, *x) for x in found) if whole_characters else _merged(found)
                     edges = [0, *(e for m in merged for e in m), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     removed.append([{"start": a, "end": b} for a, b in merged])
