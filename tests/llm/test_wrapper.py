@@ -56,3 +56,29 @@ def test_very_long_and_broken_pages():
     assert wrapper.main_text("<p>a<p>b" * 2000, None) == "\n\n".join(["a", "b"] * 2000)
     assert wrapper.main_text("<<<>>><p a='>x</p", None) is not None
     assert wrapper.main_text("</p></div>text<!-- open", None) == "text"
+
+
+BOXED = "<html><body><div class=top><p>Printed on every page.</p></div><div id=body><h1>Head {i}</h1><p>first {i}</p><p>second {i}</p>{big}</div></body></html>"
+LONG = [f"long point number {k} of the list" for k in range(12)]
+
+
+@pytest.mark.parametrize("big", ["<ul>" + "".join(f"<li>{x} {{i}}" for x in LONG) + "</ul>", "<section>" + "".join(f"<p>{x} {{i}}</p>" for x in LONG) + "</section>",
+                                 "<div>" + " ".join(LONG) + " {i}</div>"])
+def test_siblings_of_a_heavy_block_stay(spark, big):
+    rows = [(i, f"http://{'h' if i < 8 else 'few'}.org/{i}", BOXED.format(i=i, big=big.format(i=i))) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i].startswith(("" if i < 8 else "Printed on every page.\n\n") + f"Head {i}\n\nfirst {i}\n\nsecond {i}\n\n") and got[i].count("long point") == 12
+
+
+def test_all_articles_and_mains_stay():
+    assert wrapper.main_text("<div>by</div><article><p>one</p></article><article><p>two two</p></article>", None) == "one\n\ntwo two"
+    assert wrapper.main_text("<main><p>one</p></main><div>x</div><main><p>two</p></main>", None) == "one\n\ntwo"
+    assert wrapper.main_text("<main><h1>Head</h1><article><p>one</p></article></main>", None) == "Head\n\none"
+
+
+def test_template_decides_where_an_article_exists(spark):
+    html = "<body><div class=top><p>Same on all.</p></div><div><p>Lead of {i}</p></div><article><p>words of {i}</p></article></body>"
+    rows = [(i, f"http://h.org/{i}", html.format(i=i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Lead of {i}\n\nwords of {i}" for i in range(8)}

@@ -13,13 +13,14 @@ is its template, what varies is content.
   aligned with each other in two steps, so that a host with a third of all pages is
   never in one task.
 * A page is then read through its host's template.  Nodes with one and the same text
-  on all pages are template; varying nodes are slots.  The content is the article
-  element, or else the smallest region that holds most of the page's running text;
+  on all pages are template; varying nodes are slots.  The content is the lowest region
+  that covers all slots of running text, with all it holds but the template;
   regions that their element, role or class names as menus, notices, adverts, forms,
   comments and the like are no content even where they vary.
 
 Text is judged constant only on a host with ``PAGES`` pages that have differing main
-texts: on fewer pages nothing can be told apart, and only the names count.
+texts: on fewer pages nothing can be told apart, and the content is all main and article
+elements, or without any the lowest region that covers all running text.
 
 A null or empty page has an empty text.  Pages without a host form one group of
 their own.  Repeated rows are extracted each.
@@ -44,7 +45,7 @@ from weirline.llm.urlrules import url_host
 PAGES = 5            # pages with differing texts before a constant text is template
 HOSTS_HELD = 512     # templates held in a task before they are handed on: a memory bound
 SALTS = 64           # first step of merging a host's partial templates
-MOST_TEXT = 0.6      # share of the running text that the content region holds
+MOST_TEXT = 0.6      # share of the running text that the region holds by which pages are told apart
 
 # Element kinds of HTML, and names of regions that are no main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,11 +58,14 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search form dia
 DROPPED_NAMES = set("ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
                     "masthead footer sidebar widget widgets cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login "
                     "share sharing social comment comments disqus replies reply related recommended recommendations pagination pager copyright legal skip".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BOXES = set("html body main article section div center".split())   # what a region may be
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_OPEN_VALUE = re.compile(r"""=[^\s"']*/\Z""")   # <a href=/> ends with its value and closes nothing
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -117,7 +121,7 @@ def parse(html: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
             pos = at = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not (m[3].endswith("/") and not _OPEN_VALUE.search(m[3])):
             path.append(node)
     if at < len(html):
         path[-1].parts.append(html[at:])
@@ -254,8 +258,8 @@ def constant_nodes(page: list, tree: list, least: int) -> Iterator[int]:
         yield from constant_nodes(p, t, least)
 
 
-def content(root: Node) -> Node | None:
-    """The region of the main text: the article with most text, else the main element, else
+def heaviest(root: Node) -> Node:
+    """What tells a page from others: the article with most text, else the main element, else
     the smallest region that holds most of the running text outside links."""
     best: list[tuple[int, Node]] = []
     mains: list[Node] = []
@@ -290,24 +294,58 @@ def content(root: Node) -> Node | None:
     return here
 
 
+def content(root: Node, skip: set[int] | None = None) -> list[Node]:
+    """The regions of the main text.  ``skip``: the elements that the host's template knows as
+    constant; the region is the lowest box that covers all other running text.  None: no
+    template is known, and the outermost main and article elements are the regions, if any.
+
+    Running text is text outside links, and headings."""
+    mass: dict[int, int] = {}
+    tops: list[Node] = []
+
+    def weigh(n: Node, link: bool, inside: bool) -> int:
+        total = 0
+        top = not inside and n.tag in ("main", "article")
+        if top:
+            tops.append(n)
+        for part in n.parts:
+            if isinstance(part, str):
+                total += 0 if link else len(part.strip())
+            elif not part.noise and not (skip and id(part) in skip):
+                heading = n.tag in HEADINGS or part.tag in HEADINGS
+                total += weigh(part, not heading and (link or part.tag == "a"), inside or top)
+        mass[id(n)] = total
+        return total
+
+    def lowest(n: Node) -> Node:
+        while True:
+            inner = [p for p in n.parts if isinstance(p, Node) and mass[id(n)] and mass.get(id(p)) == mass[id(n)]]
+            if not inner or inner[0].tag not in BOXES:
+                return n
+            n = inner[0]
+
+    whole = weigh(root, False, False)
+    if tops and (skip is None or not whole):
+        return [lowest(n) for n in tops]
+    return [lowest(root)]
+
+
 def main_text(html: str | None, template: dict | None) -> str:
     if not html:
         return ""
     root = parse(html)
-    skip: set[int] = set()
+    skip: set[int] | None = None
     if template and len(template["texts"]) >= PAGES:
         where: list[tuple[list, Node]] = []
         tree = folded(root, where)
         fixed = set(constant_nodes(tree, template["tree"], PAGES))
         skip = {id(n) for t, n in where if id(t) in fixed}
-    region = content(root)
-    return "\n\n".join(blocks(region, skip)) if region is not None else ""
+    return "\n\n".join(b for region in content(root, skip) for b in blocks(region, skip))
 
 
 def page_template(html: str) -> dict:
     root = parse(html)
-    region = content(root)
-    text = "\n\n".join(blocks(region)) if region is not None else ""
+    text = "\n\n".join(blocks(heaviest(root)))
     return {"tree": folded(root), "texts": [xxhash.xxh3_64_intdigest(text)]}
 
 
