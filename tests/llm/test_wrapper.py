@@ -82,3 +82,19 @@ def test_template_decides_where_an_article_exists(spark):
     rows = [(i, f"http://h.org/{i}", html.format(i=i)) for i in range(8)]
     got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Lead of {i}\n\nwords of {i}" for i in range(8)}
+
+
+def test_names_are_noise_on_boxes_and_by_their_head_word():
+    text = "some running text of the page"
+    for keep in ("<article class='post no-sidebar'><p>{}</p></article>", "<div class='content has-sidebar'><p>{}</p></div>", "<p class='related-work'>{}</p>",
+                 "<h2 id='legal-basis'>{}</h2>", "<h3 id=copyright>{}</h3>", "<section id='comments-on-x'><p>{}</p></section>", "<div id='notice-period'>{}</div>"):
+        assert wrapper.main_text("<div>" + keep.format("kept") + f"<p>{text}</p></div>", None) == "\n\n".join(["kept", text] if "article" not in keep else ["kept"]), keep
+    for drop in ("site-footer", "cookie-notice", "sidebar-left", "related-posts", "ad", "share_buttons", "comments-section", "nav menu", "ad-container", "ads-2"):
+        assert wrapper.main_text(f"<div><div class='{drop}'>gone</div><p>{text}</p></div>", None) == text, drop
+
+
+def test_most_of_the_running_text_overrules_a_name():
+    text = "word " * 40
+    assert wrapper.main_text(f"<div><h1>Head</h1><div class=notice><p>{text}</p></div><div class=menu>m</div></div>", None) == f"Head\n\n{text.strip()}"
+    assert wrapper.main_text(f"<div><article><p>short</p></article><div class=comments><p>{text}</p></div></div>", None) == "short"
+    assert wrapper.main_text(f"<div><div hidden><p>{text}</p></div><p>short</p></div>", None) == "short"

@@ -16,7 +16,9 @@ is its template, what varies is content.
   on all pages are template; varying nodes are slots.  The content is the lowest region
   that covers all slots of running text, with all it holds but the template;
   regions that their element, role or class names as menus, notices, adverts, forms,
-  comments and the like are no content even where they vary.
+  comments and the like are no content even where they vary.  A class or id names a
+  region by its whole token or the token's head word, on boxes only, and not where the
+  box holds most of the page's running text.
 
 Text is judged constant only on a host with ``PAGES`` pages that have differing main
 texts: on fewer pages nothing can be told apart, and the content is all main and article
@@ -45,7 +47,7 @@ from weirline.llm.urlrules import url_host
 PAGES = 5            # pages with differing texts before a constant text is template
 HOSTS_HELD = 512     # templates held in a task before they are handed on: a memory bound
 SALTS = 64           # first step of merging a host's partial templates
-MOST_TEXT = 0.6      # share of the running text that the region holds by which pages are told apart
+MOST_TEXT = 0.6      # share of the running text that overrules a name, or tells pages apart
 
 # Element kinds of HTML, and names of regions that are no main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,7 +61,11 @@ DROPPED_NAMES = set("ad ads advert adverts advertisement advertising banner bann
                     "masthead footer sidebar widget widgets cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login "
                     "share sharing social comment comments disqus replies reply related recommended recommendations pagination pager copyright legal skip".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+UNNAMED = HEADINGS | {"html", "body", "main", "article", "p"}     # a class or id makes none of these noise
 BOXES = set("html body main article section div center".split())   # what a region may be
+# Words of a name that only say that it is a box; the word before them is its head.
+BOX_WORDS = set("area bar block blocks body bottom box button buttons col column container content footer form group header inner item items left link links list "
+                "message outer panel post posts right row section slot text title top unit wrap wrapper zone".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -69,19 +75,31 @@ _OPEN_VALUE = re.compile(r"""=[^\s"']*/\Z""")   # <a href=/> ends with its value
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def names_noise(token: str) -> bool:
+    """Does a class or id name a region that is no main text: as a whole or by its head word
+    (``site-footer``, ``sidebar-left``, ``related-posts``, not ``no-sidebar`` or ``legal-basis``)?"""
+    words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+    if not words or words[0] in ("no", "has", "with", "without", "not", "is"):
+        return False
+    while len(words) > 1 and words[-1] in BOX_WORDS - DROPPED_NAMES:
+        words.pop()
+    return words[-1] in DROPPED_NAMES
+
+
 class Node:
-    """An element; ``parts`` are its texts and child elements in page order."""
+    """An element; ``parts`` are its texts and child elements in page order.  ``noise``: no main
+    text; ``named``: by no more than its class or id."""
 
-    __slots__ = ("tag", "names", "noise", "parts")
+    __slots__ = ("tag", "names", "noise", "named", "parts")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts = tag, []
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
         self.names = " ".join(sorted({*found.get("class", "").split(), *found.get("id", "").split()}))
-        words = set(_SPLIT.split(self.names))
-        self.noise = tag in DROPPED or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" \
-            or "display:none" in found.get("style", "").replace(" ", "") \
-            or (tag not in ("html", "body", "main") and bool(words & DROPPED_NAMES))
+        told = tag in DROPPED or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" \
+            or "display:none" in found.get("style", "").replace(" ", "")
+        self.named = not told and tag not in UNNAMED and any(map(names_noise, self.names.split()))
+        self.noise = told or self.named
 
     @property
     def label(self) -> str:
@@ -125,9 +143,37 @@ def parse(html: str) -> Node:
             path.append(node)
     if at < len(html):
         path[-1].parts.append(html[at:])
+    _overrule(root)
     return root
 
 
+def _overrule(root: Node) -> None:
+    """A box that holds most of the running text is no noise for its name, unless a main or
+    article element beside it has text of its own."""
+    mass: dict[int, int] = {}
+    framed: dict[int, int] = {}    # the part of it in main and article elements
+    named = []
+
+    def weigh(n: Node, link: bool, frame: bool) -> None:
+        frame = frame or n.tag in ("main", "article")
+        total = inside = 0
+        for part in n.parts:
+            if isinstance(part, str):
+                total += 0 if link else len(part.strip())
+                inside += len(part.strip()) if frame and not link else 0
+            elif part.named or not part.noise:
+                weigh(part, link or part.tag == "a", frame)
+                total, inside = total + mass[id(part)], inside + framed[id(part)]
+                if part.named:
+                    named.append(part)
+        mass[id(n)], framed[id(n)] = total, inside
+
+    weigh(root, False, False)
+    for n in named:
+        if mass[id(n)] and mass[id(n)] >= MOST_TEXT * mass[id(root)] and framed[id(root)] == framed[id(n)]:
+            n.noise = False
+
+
 def _close(path: list[Node], kinds: set[str], borders: set[str]) -> None:
     for i in range(len(path) - 1, 0, -1):
         if path[i].tag in kinds:
