@@ -68,6 +68,15 @@ def test_repeated_rows_empty_table_and_ties(docs, prose):
     assert suffixdup.remove_repeats(docs([]), size=SIZE).count() == 0
 
 
+def test_spans_of_repeated_rows_are_listed_once(docs, prose):
+    text = prose(60, 1)
+    rows = [(3, text)] * 30 + [(None, text + "x")]
+    for keep in ("none", "first"):
+        for r in suffixdup.repeated_spans(docs(rows), size=SIZE, keep=keep).collect():
+            spans = [(s["start"], s["end"]) for s in r["spans"]]
+            assert len(spans) == len(set(spans)) <= len(text)
+
+
 def test_characters_stay_whole(docs):
     r = random.Random(8)
     body = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(200))

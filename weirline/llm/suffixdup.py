@@ -321,8 +321,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = (F.col("copies") > 1) if keep == "none" else ~is_first
     span = F.array(F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("n") + size - 1).alias("end")))
     some = F.transform(F.col("marks"), lambda m: F.struct((F.col("lo") + m["off"]).alias("start"), (F.col("lo") + m["off"] + m["n"] + size - 1).alias("end")))
-    return joined.withColumn("s", F.when(whole, span).otherwise(some)).filter("s IS NOT NULL") \
-        .groupBy("doc", "h").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    # Rows repeated in id and text have equal spans: each is kept once, so that a list grows with its text only.
+    return joined.withColumn("s", F.explode(F.when(whole, span).otherwise(some))) \
+        .groupBy("doc", "h").agg(F.collect_set("s").alias("spans"))
 
 
 def _solved(items: DataFrame, size: int) -> DataFrame:
