@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import bpe, decontam, langid, lmscore, ngramjoin, suffixdup, topk, toxicity, urlrules, wrapper
+from weirline.llm import bpe, decontam, langid, lmscore, mixing, ngramjoin, periodic, resample, suffixdup, topk, toxicity, urlrules, wrapper
 from weirline.llm.common import read_table
 
 
@@ -174,10 +174,91 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that a mix of 150 % of all words takes of it, sources weighted 3, 1, 2."""
+    return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("source")
+
+
+_SIZE_SQL = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST({_SIZE_SQL} AS BIGINT) AS size, md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS key FROM documents),
+per AS (SELECT source, CAST(sum(size) AS HUGEINT) AS words FROM d GROUP BY source),
+weighed AS (SELECT source, words, 2 * words AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM per),
+filled AS (
+  SELECT *, sum(cap) OVER o AS caps, sum(weight) OVER o AS weights, sum(weight) OVER () AS all_weights, sum(words) OVER () AS all_words
+  FROM weighed WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+marked AS (SELECT *, 100 * (weight * caps + cap * (all_weights - weights)) <= 150 * weight * all_words AS is_full FROM filled),
+shared AS (
+  SELECT CAST(150 * max(all_words) - 100 * coalesce(sum(cap) FILTER (WHERE is_full), 0) AS DOUBLE)
+         / CAST(100 * (max(all_weights) - coalesce(sum(weight) FILTER (WHERE is_full), 0)) AS DOUBLE) AS level FROM marked),
+targets AS (SELECT source, words, CASE WHEN is_full THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM marked, shared),
+placed AS (
+  SELECT doc_id, size, words, target, CAST(floor(target) AS HUGEINT) AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN words = 0 THEN 0 ELSE (budget // words) * size + least(greatest(budget % words - before, 0), size) END AS BIGINT) AS taken
+FROM placed
+"""
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the words of the benchmark."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return resample.resample(docs, read_table(spark, sf_dir, "benchmark", "text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The CRC of every distinct word, four bits at a time, low ones first; the list holds the fixed values of that table.
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+pairs AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word),
+wanted AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS_SQL}) AS word FROM benchmark) GROUP BY word),
+vocabulary AS (SELECT DISTINCT word, hex(word) AS h FROM (SELECT word FROM pairs UNION ALL SELECT word FROM wanted)),
+digits AS (SELECT word, list_transform(range(0, length(h)), lambda j: CAST(instr('0123456789ABCDEF', h[CASE WHEN j % 2 = 0 THEN j + 2 ELSE j END]) - 1 AS BIGINT)) AS x FROM vocabulary),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, v: xor(c >> 4,
+         [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+          3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, v) & 15) + 1]::BIGINT)), 4294967295::BIGINT) % 10000 AS bucket
+  FROM digits),
+s AS (SELECT bucket, sum(n) AS n FROM pairs JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM wanted JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(n) FROM s), 0) + 10000.0::DOUBLE)
+                                 / ((coalesce(s.n, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(n) FROM t), 0) + 10000.0::DOUBLE)))) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+mean AS (SELECT r, floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS weight FROM pairs JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN mean USING (r)),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, a tenth of which is first made periodic from a word on, as a hash of its id says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").withColumn("_w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)))) \
+        .withColumn("_g", F.floor(h / 10)).withColumn("_n", F.size("_w")) \
+        .withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n"))) \
+        .withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    tiled = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.element_at("_w", F.when(
+        i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int") + 1)), " ")
+    found = periodic.periodic_runs(docs.select("doc_id", F.when(F.col("_n") > 0, tiled).otherwise(F.col("text")).alias("text")))
+    top = periodic.longest()
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_suffix_dedup": op1_suffix_dedup, "op2_url_filter": op2_url_filter, "op3_html_extraction": op3_html_extraction, "op4_decontam": op4_decontam, "op5_bpe": op5_bpe, "op6_langid": op6_langid, "op7_lm_scoring": op7_lm_scoring, "op8_ngram_join": op8_ngram_join, "op9_topk": op9_topk,
-            "op10_toxicity": op10_toxicity}
+            "op10_toxicity": op10_toxicity, "op11_mixing": op11_mixing, "op12_resampling": op12_resampling, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_decontam": OP4_SQL, "op9_topk": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_decontam": OP4_SQL, "op9_topk": OP9_SQL, "op11_mixing": OP11_SQL, "op12_resampling": OP12_SQL}
