@@ -55,3 +55,33 @@ def test_passages_are_told_by_words(spark):
     want = {**rows, 1: f"{own(2)}  {own(3)}"}
     assert {i: r["text"] for i, r in got.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+CLASHES = ["kept", "removed", "n_removed", "n_words", "n_hit", "items", "spans", "_h", "_id", "_copies", "row", "h", "doc", "set_id", "score", "ids"]
+
+
+def tables(spark, rows, folder, extra=()):
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` int" for c in extra)])
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *range(len(extra))) for i, t in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, [], tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "text"] and got.count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark, prose, tmp_path):
+    rows = [(1, prose(60, 1))] * 3 + [(None, prose(50, 2))] * 2 + [(2, None), (3, ""), (4, prose(9000, 3))]
+    tables(spark, rows, tmp_path, CLASHES)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+    got = docs.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(set(rows), key=str)
+    assert all([r[c] for c in CLASHES] == list(range(len(CLASHES))) for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got)

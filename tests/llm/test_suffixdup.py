@@ -110,10 +110,61 @@ def test_longest_previous_factor():
 def test_strips_cover_every_window_once():
     r = random.Random(4)
     texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 10, SIZE, SIZE + 1, 900, 2000)]
-    which, lo, n, at, _, _ = suffixdup.strips(texts, SIZE)
+    which, lo, n, at, _, _ = suffixdup.strips([suffixdup.BYTES.symbols(t) for t in texts], SIZE)
     seen = defaultdict(list)
     for w, a, k in zip(which, lo, n):
         seen[w] += range(a, a + k)
     for w, t in enumerate(texts):
         assert sorted(seen[w]) == list(range(max(0, len(t) - SIZE + 1)))
     assert (at >= 0).all()
+
+
+def brute_words(rows, size, keep):
+    """Kept texts: words of runs of ``size`` words that occur twice (or earlier) go."""
+    import re
+    spans = [[m.span() for m in re.finditer(r"[^ \t-\r]+", t or "")] for _, t in rows]
+    lists = [[(t or "")[a:b] for a, b in s] for (_, t), s in zip(rows, spans)]
+    count = Counter(tuple(w[i:i + size]) for w in lists for i in range(len(w) - size + 1))
+    seen, out = set(), []
+    for (_, t), s, w in zip(rows, spans, lists):
+        gone = set()
+        for i in range(len(w) - size + 1):
+            k = tuple(w[i:i + size])
+            if count[k] > 1 and (keep == "none" or k in seen):
+                gone |= set(range(i, i + size))
+            seen.add(k)
+        text, at = "", 0
+        for i in sorted(gone):
+            if i - 1 not in gone:
+                text += (t or "")[at:s[i][0]]
+            at = s[i][1]
+        out.append(text + (t or "")[at:])
+    return out
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_words_equal_brute_force(docs, prose, monkeypatch, keep, crowded):
+    if crowded:
+        monkeypatch.setattr(suffixdup, "BLOCK_WINDOWS", 20)
+    shared, line = prose(60, 100), prose(20, 101)
+    texts = [prose(80, i) for i in range(6)] + [prose(20, 20 + i) + " " + shared[:len(shared) - 7 * (i % 3)] + "\n" + prose(15, 40 + i) for i in range(12)]
+    texts += [texts[0], shared.replace(" ", "  \t"), line + "\n" + prose(5, 9) + "\n" + line, (line + " ") * 3, None, "", "one two", "é " * 60, "ab " * 90, " ".join(texts[3].split()[5:40])]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixdup.remove_repeats(docs(rows), size=17, keep=keep, unit=suffixdup.WORDS).collect()}
+    assert [got[i] for i, _ in rows] == brute_words(rows, 17, keep)
+
+
+def test_long_texts_are_hashed_in_pieces(docs, prose, monkeypatch):
+    whole = prose(400, 1)
+    rows = [(1, whole), (2, prose(10, 2) + whole[300:900] + prose(20, 3)), (3, prose(90, 4))]
+    monkeypatch.setattr(suffixdup, "SLICE", 150)
+    for keep in ("none", "first"):
+        got = {r["doc_id"]: bytes(r["kept"]) for r in suffixdup.remove_repeats(docs(rows), size=SIZE, keep=keep).collect()}
+        assert [got[i] for i, _ in rows] == brute(rows, SIZE, keep)
+
+
+def test_clashing_names_stay(spark, prose):
+    frame = spark.createDataFrame([(1, prose(60, 1), 1, 2, 3, 4), (2, prose(60, 1), 5, 6, 7, 8)], "doc_id long, text string, _h int, spans int, h int, row int")
+    got = suffixdup.remove_repeats(frame, size=SIZE, keep="first").collect()
+    assert sorted((r["doc_id"], r["_h"], r["spans"], r["h"], r["row"]) for r in got) == [(1, 1, 2, 3, 4), (2, 5, 6, 7, 8)]

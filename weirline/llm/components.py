@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import stored
+from weirline.llm.common import drop_stored, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,9 +31,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stored(edges.filter("a <> b").select("a", "b").distinct(), "edges")
     digest = None
     while True:
-        now = stored(star(star(now, True), False), "edges")
+        before, now = now, stored(star(star(now, True), False), "edges")
+        drop_stored(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == digest:
             break
         digest = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = stored(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+    drop_stored(now)
+    return found

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended, maybe_among, stored
+from weirline.llm.common import byte_slices, drop_stored, extended, maybe_among, stored
 from weirline.llm.components import connected_components
 
 SKETCH_BITS = 17          # buckets of the count sketch: 2^17 numbers, whatever the corpus
@@ -93,8 +93,9 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame, text_col: str, n: int) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: ``docs`` without its text, plus set_id (null for an empty
+    """One pass over the texts: a table of ``docs`` without its text, plus set_id (null for an empty
     set), n_shingles and bits (the set's bitmap); and how many (document, n-gram) pairs fall into each bucket.
+    (Rows of the table whose ``part`` is not null are parts of sketches.)
 
     A task sums the counts of its own documents and hands on one sketch; the sketches
     are added by row.  The sum has a fixed size."""
@@ -131,7 +132,7 @@ def read_sets(docs: DataFrame, text_col: str, n: int) -> tuple[DataFrame, np.nda
     for r in summed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "count"))).alias("row")).collect():
         for x in r["row"]:
             out[r["part"], x["at"]] = x["count"]
-    return both.filter("part IS NULL").drop("part", "counts"), out.ravel()
+    return both, out.ravel()
 
 
 class Order:
@@ -279,33 +280,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest id reachable by links), first (is it the component's first row by id and hash?).
     """
     keyed = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    classes, sketch = read_sets(keyed, "text", n)
+    sets, sketch = read_sets(keyed, "text", n)
+    classes = sets.filter("part IS NULL").drop("part", "counts")
     order = Order(sketch)
     reps = stored(representatives(classes), "classes")
     members = stored(shared_lists(leading_postings(keyed, "text", n, order, percent)), "postings")
     to_centre = stored(_pairs(members, "set_id", "n", "place", "cs", "cn", "cp", percent), "pairs")
-    some = stored(_linked(to_centre, reps, keyed, n, order, percent), "links")
-    roots = stored(connected_components(some), "roots")
+    some = _linked(to_centre, reps, keyed, n, order, percent)
+    roots = connected_components(some)
 
-    # What is still open: classes of one list that lie in different components.
+    # What is still open: classes of one list that lie in different components.  Components meet
+    # before their members do, so that a list whose members lie in one component costs nothing.
     # (The centre has been compared with its whole list.)
-    own = members.select("gram", "set_id", "n", "place").join(roots, members["set_id"] == roots["node"], "left") \
-        .select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root"))
-    x = own.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("set_id", "n", "place", "root")])
-    y = own.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("set_id", "n", "place", "root")])
+    own = stored(members.select("gram", "set_id", "n", "place").join(roots, members["set_id"] == roots["node"], "left")
+                 .select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root")), "rooted")
+    groups = stored(own.select("gram", "root").distinct(), "groups")
+    facing = groups.select("gram", F.col("root").alias("root_x")).join(groups.select("gram", F.col("root").alias("root_y")), "gram").filter("root_x < root_y")
+    side = lambda s: own.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "place", "root")])
     need = needed("n_x", "n_y", percent)
-    meet = x.join(y, (x["gram"] == y["gram"]) & (F.col("set_id_x") < F.col("set_id_y")) & (F.col("root_x") != F.col("root_y"))
-                  & (F.col("n_x") - F.col("place_x") >= need) & (F.col("n_y") - F.col("place_y") >= need))
+    meet = facing.join(side("x"), ["gram", "root_x"]).join(side("y"), ["gram", "root_y"]) \
+        .filter((F.col("n_x") - F.col("place_x") >= need) & (F.col("n_y") - F.col("place_y") >= need))
     rest = stored(_pairs(meet, "set_id_x", "n_x", "place_x", "set_id_y", "n_y", "place_y", percent).join(to_centre, ["a", "b"], "left_anti"), "pairs")
+    drop_stored(members, own, groups, to_centre, roots)
     more = _linked(rest, reps, keyed, n, order, percent)
-    bridges = some.unionByName(more)
-    roots = connected_components(bridges)
+    roots = connected_components(some.unionByName(more))
 
     rooted = classes.join(roots, classes["set_id"] == roots["node"], "left").select("doc", "h", "n_shingles", F.coalesce("root", "set_id").alias("root"))
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("component_id"), F.min(F.struct("doc", "h")).alias("least"))
-    return rooted.join(least, "root", "left").select(
+    out = stored(rooted.join(least, "root", "left").select(
         F.col("doc").alias(id_col), "h", "n_shingles", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("root").isNull() | (F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("h") == F.col("least.h")))).alias("first"))
+        (F.col("root").isNull() | (F.col("doc").eqNullSafe(F.col("least.doc")) & (F.col("h") == F.col("least.h")))).alias("first")), "components")
+    drop_stored(sets, reps, some, rest, more, roots)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -342,4 +348,6 @@ def _linked(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, n: int, order:
     near = maybe_among(keyed, one, "doc", "h").alias("k")
     texts = near.join(one.alias("o"), F.col("k.doc").eqNullSafe(F.col("o.doc")) & (F.col("k.h") == F.col("o.h"))).select("o.set_id", "k.text")
     parts = stored(fragments(texts.dropDuplicates(["set_id"]), "text", n, order), "fragments")
-    return links(pairs, parts, percent)
+    found = stored(links(pairs, parts, percent), "links")
+    drop_stored(pairs, one, parts)
+    return found

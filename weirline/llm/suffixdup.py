@@ -28,14 +28,20 @@ Matches never cross documents.  Null and empty texts, and texts shorter than
 the first copy stays, all such equal rows hold it.  "First" is the order of
 (id, hash of the text, position), null ids first.
 
-A passage may also be told by its words: then the repeated bytes are only candidates,
-and every run of so many whole words within them is compared with all others.
+A text may also be read as words: then the symbols of strips, anchors and suffix arrays
+are 64-bit hashes of words in place of bytes, sizes count words, and passages are equal
+when their words are, whatever white space lies between.
+
+A long text is hashed piece by piece, so a task holds its bytes and the arrays of one
+piece.  An empty table has no span.  Tables written on the way are dropped as soon as the
+spans stand.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +49,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended, maybe_among, stored
+from weirline.llm.common import byte_slices, drop_stored, extended, maybe_among, stored
 
-ANCHOR = 48               # bytes of an anchor
-SLICE = 1 << 20           # bytes hashed at a time; a longer text is a slice of its own
+SLICE = 1 << 19           # bytes hashed at a time
 BLOCK_WINDOWS = 1 << 15   # window starts of one anchor that one suffix array takes
 BATCH_WINDOWS = 1 << 14   # small blocks are joined into arrays of about this size
 STRIPS = (64, 8, 1)       # window counts of the shorter strips of a crowded anchor
@@ -58,6 +63,31 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What a text is a row of: bytes, or words (as 64-bit hashes)."""
+
+    item: int      # bytes of a symbol
+    anchor: int    # symbols of an anchor
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        if self.item == 1:
+            return np.frombuffer(text, np.uint8)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, text.split()), np.uint64)
+
+    def hashed(self, symbols: np.ndarray) -> np.ndarray:
+        return _BYTES[symbols] if self.item == 1 else symbols | np.uint64(1)
+
+    def sortable(self, raw: bytes) -> np.ndarray:
+        """Symbols as fixed-size unsigned numbers whose bytes, first to last, sort and compare them."""
+        if self.item == 1:
+            return np.frombuffer(raw, np.uint8)
+        return np.unique(np.frombuffer(raw, np.uint64), return_inverse=True)[1].astype(">u4")
+
+
+BYTES, WORDS = Unit(1, 48), Unit(8, 8)
+
+
 class _Powers:
     """Powers of the hash base and of its inverse modulo 2^64, grown as needed."""
 
@@ -78,18 +108,18 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def strips(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
-    """(text number, start, windows, anchor place in the strip, anchor, content) of every strip."""
+def strips(texts: list[np.ndarray], size: int, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """(text number, start, windows, anchor place in the strip, anchor, content) of every strip
+    of texts given as symbols."""
     lens = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lens)
-    b = np.frombuffer(b"".join(texts), np.uint8)
-    n, width = len(b), size - ANCHOR + 1
+    n, width = int(lens.sum()), size - unit.anchor + 1
     if n < size:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     up, down = _POWERS.of(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[b] * up[:n], out=sums[1:])
-    grams = (sums[ANCHOR:] - sums[:-ANCHOR]) * down[:n - ANCHOR + 1]
+    np.cumsum(unit.hashed(np.concatenate(texts)) * up[:n], out=sums[1:])
+    grams = (sums[unit.anchor:] - sums[:-unit.anchor]) * down[:n - unit.anchor + 1]
 
     # Sliding minimum of (mixed hash, place): the place in the low bits breaks ties to the left.
     low = np.uint64((1 << max(1, n.bit_length())) - 1)
@@ -118,11 +148,10 @@ def strips(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their next ``size`` bytes (ties by position), and the
+    """The starts in the order of their next ``size`` symbols (ties by position), and the
     LCP, at most ``size``, of each with the one before it (0 for the first)."""
-    rows = np.lib.stride_tricks.sliding_window_view(text, size)[starts]
-    # Bytes of UTF-8 text are below 255: one more makes every byte count in the comparison.
-    order = np.argsort((rows + np.uint8(1)).view(f"S{size}").ravel(), kind="stable")
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, size)[starts])
+    order = np.argsort(rows.view(f"S{size * text.itemsize}").ravel(), kind="stable")
     rows = rows[order]
     differ = rows[1:] != rows[:-1]
     lcp = np.where(differ.any(1), differ.argmax(1), size)
@@ -172,7 +201,7 @@ ITEM = "name long, kind long, id0 long, id1 long, off int, doc long, h long, lo
 MARK = "id0 long, id1 long, off int, n int, earlier boolean"
 
 
-def _arrays(size: int):
+def _arrays(size: int, unit: Unit):
     """Suffix arrays over whole blocks of a partition sorted by name."""
 
     def solve(rows: list[tuple]) -> Iterator[tuple]:
@@ -184,8 +213,8 @@ def _arrays(size: int):
             parts.append(r["text"])
             starts.append(base + np.arange(r["n"]))
             rank.append(r["place"] * (1 << 20) + np.arange(r["n"]))
-            base += len(r["text"])
-        text = np.frombuffer(b"".join(parts), np.uint8)
+            base += len(r["text"]) // unit.item
+        text = unit.sortable(b"".join(parts))
         earlier, later = repeated_starts(text, np.concatenate(starts), np.concatenate(rank), size)
         at = 0
         for r in rows:
@@ -215,9 +244,10 @@ def _arrays(size: int):
     return run
 
 
-def _shorter(size: int, windows: int):
+def _shorter(size: int, windows: int, unit: Unit):
     """Cut strips into strips of at most ``windows`` windows at fixed distances from the
-    anchor, named by the bytes that all windows of a full strip there share."""
+    anchor, named by the symbols that all windows of a full strip there share."""
+    item = unit.item
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +258,8 @@ def _shorter(size: int, windows: int):
                 for cell in range(near // windows, far // windows + 1):
                     d0, d1 = max(near, cell * windows), min(far, cell * windows + windows - 1)
                     first = r["at"] - d1
-                    text = r["text"][first:r["at"] - d0 + size]
-                    shared = r["text"][r["at"] - cell * windows:r["at"] - (cell * windows + windows - 1) + size]
+                    text = r["text"][first * item:(r["at"] - d0 + size) * item]
+                    shared = r["text"][(r["at"] - cell * windows) * item:(r["at"] - (cell * windows + windows - 1) + size) * item]
                     name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (r["name"], windows, cell) + shared)
                     kind = xxhash.xxh3_64_intdigest(b"%d " % d1 + text)
                     out.append((name, kind, r["id0"], r["id1"], r["off"] + first, r["doc"], r["h"], r["lo"] + first, d1 - d0 + 1, d1, text))
@@ -247,74 +277,105 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
 
 
-def _strip_rows(keyed: DataFrame, size: int) -> DataFrame:
+def _strip_rows(keyed: DataFrame, size: int, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
-                which, lo, n, at, anchor, content = strips([t or b"" for t in part.column("text").to_pylist()], size)
-                rows = part.select(["doc", "h"]).take(pa.array(which))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *rows.columns,
-                     *[pa.array(x.astype(np.int32)) for x in (lo, n, at)]], names=["name", "kind", "doc", "h", "lo", "n", "at"])
+                texts = [unit.symbols(t or b"") for t in part.column("text").to_pylist()]
+                pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - size + 1), SLICE)]
+                # A piece ends size - 1 symbols into the next one: every window lies in one of them.
+                for own in (pieces,) if len(pieces) == len(texts) else ([x] for x in pieces):
+                    which, lo, n, at, anchor, content = strips([texts[i][a:a + SLICE + size - 1] for i, a in own], size, unit)
+                    row, first = np.array(own, np.int64)[which].T
+                    rows = part.select(["doc", "h"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *rows.columns,
+                         *[pa.array(x.astype(np.int32)) for x in (lo + first, n, at)]], names=["name", "kind", "doc", "h", "lo", "n", "at"])
 
     return keyed.mapInArrow(run, "name long, kind long, doc long, h long, lo int, n int, at int")
 
 
-def _texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """Fetch the bytes of strips: one list of strips per document, joined to the documents."""
+def _cut(size: int, unit: Unit):
+    """The symbols of a document's wanted strips, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE):
+                for i, (text, want) in enumerate(zip(part.column("text").to_pylist(), part.column("want").to_pylist())):
+                    raw = unit.symbols(text).tobytes() if unit.item > 1 else text
+                    for k in range(0, len(want), 1 << 10):
+                        some = want[k:k + (1 << 10)]
+                        ids = part.select(["doc", "h"]).take(pa.array([i] * len(some), pa.int64()))
+                        column = lambda c, t: pa.array([w[c] for w in some], t)  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays(
+                            [column("name", pa.int64()), column("kind", pa.int64()), *ids.columns, *[column(c, pa.int32()) for c in ("lo", "n", "at")], column("load", pa.int64()),
+                             pa.array([raw[w["lo"] * unit.item:(w["lo"] + w["n"] + size - 1) * unit.item] for w in some], pa.binary())],
+                            names=["name", "kind", "doc", "h", "lo", "n", "at", "load", "text"])
+
+    return run
+
+
+def _texts(keyed: DataFrame, wanted: DataFrame, size: int, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """Fetch the symbols of strips: one list of strips per document, joined to the documents."""
     lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("name", "kind", "lo", "n", "at", "load")).alias("want"))
     lists = stored(lists, "wanted")
     k, w = maybe_among(keyed, lists, "doc", "h").alias("k"), lists.alias("w")
     both = k.join(w, F.col("k.doc").eqNullSafe(F.col("w.doc")) & (F.col("k.h") == F.col("w.h"))).select("k.doc", "k.h", "k.text", "w.want")
-    cut = both.select("doc", "h", "text", F.explode("want").alias("s")).select(
-        F.col("s.name").alias("name"), F.col("s.kind").alias("kind"), F.col("s.name").alias("id0"), F.col("s.kind").alias("id1"), F.lit(0).alias("off"),
-        "doc", "h", F.col("s.lo").alias("lo"), F.col("s.n").alias("n"), F.col("s.at").alias("at"),
-        F.expr(f"substring(text, s.lo + 1, s.n + {size - 1})").alias("text"),
-        F.col("s.load").alias("load"))
-    return cut.dropDuplicates(["name", "kind"])   # equal rows of documents give equal strips
+    cut = both.mapInArrow(_cut(size, unit), "name long, kind long, doc long, h long, lo int, n int, at int, load long, text binary") \
+        .dropDuplicates(["name", "kind"])   # equal rows of documents give equal strips
+    return lists, cut.select("name", "kind", F.col("name").alias("id0"), F.col("kind").alias("id1"), F.lit(0).alias("off"), "doc", "h", "lo", "n", "at", "text", "load")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first") -> DataFrame:
-    """(doc, h, spans): the byte spans (start, end) to remove from every text that has any.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first", unit: Unit = BYTES) -> DataFrame:
+    """(doc, h, spans): the spans (start, end) of symbols to remove from every text that has any.
 
     ``keep`` = "first" leaves the first copy of a passage, "none" removes every copy.
     """
-    if size < 2 * ANCHOR:
-        raise ValueError(f"size must be at least {2 * ANCHOR} bytes")
+    if size < 2 * unit.anchor:
+        raise ValueError(f"size must be at least {2 * unit.anchor}")
     keyed = _keyed(docs, id_col, text_col)
-    every = stored(_strip_rows(keyed, size), "strips")
-    twice = every.groupBy("name").count().filter("count > 1").select("name")
+    every = stored(_strip_rows(keyed, size, unit), "strips")
+    # The keys are written before they are joined: only then can a join deal out a name that very many strips have.
+    twice = stored(every.groupBy("name").count().filter("count > 1").select("name"), "names-twice")
     rows = stored(every.join(twice, "name"), "strips-twice")
+    drop_stored(every, twice)
     first = F.min(F.struct("doc", "h", "lo")).alias("first")
-    classes = rows.groupBy("name", "kind").agg(F.count("*").alias("copies"), first, F.first("n").alias("n"), F.first("at").alias("at"))
-    names = classes.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("load"))
-    classes = stored(classes.join(names, "name"), "classes")
+    kinds = stored(rows.groupBy("name", "kind").agg(F.count("*").alias("copies"), first, F.first("n").alias("n"), F.first("at").alias("at")), "kinds")
+    names = stored(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("n").alias("load")), "names")
+    classes = stored(kinds.join(names, "name"), "classes")
+    drop_stored(kinds, names)
 
     wanted = classes.filter("kinds > 1").select("name", "kind", "first.doc", "first.h", "first.lo", "n", "at", "load")
-    items = stored(_texts(keyed, wanted, size), "blocks")
-    marks = [_solved(items.filter(F.col("load") <= BLOCK_WINDOWS), size)]
+    lists, cut = _texts(keyed, wanted, size, unit)
+    items = stored(cut, "blocks")
+    drop_stored(lists)
+    scratch = [rows, classes, items]
+    marks = [_solved(items.filter(F.col("load") <= BLOCK_WINDOWS), size, unit)]
     crowded = items.filter(F.col("load") > BLOCK_WINDOWS)
     for windows in STRIPS:
-        cut = stored(crowded.drop("load").mapInArrow(_shorter(size, windows), ITEM), "shorter")
+        cut = stored(crowded.drop("load").mapInArrow(_shorter(size, windows, unit), ITEM), "shorter")
+        scratch.append(cut)
         if cut.isEmpty():
             break
         place = F.struct("doc", "h", "lo")
-        kinds = cut.groupBy("name", "kind").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("n").alias("windows"))
-        per_name = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("windows").alias("load"))
+        kinds = stored(cut.groupBy("name", "kind").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("n").alias("windows")), "shorter-kinds")
+        per_name = stored(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("windows").alias("load")), "shorter-names")
         known = stored(cut.join(kinds, ["name", "kind"]).join(per_name, "name"), "shorter-known")
+        drop_stored(kinds, per_name)
+        scratch.append(known)
         is_first = (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("h") == F.col("first.h")) & (F.col("lo") == F.col("first.lo")))
         copied = known.filter("copies > 1")
         marks.append(copied.filter(~is_first).select("id0", "id1", "off", "n", F.lit(True).alias("earlier")))
         marks.append(copied.filter(is_first).select("id0", "id1", "off", "n", F.lit(False).alias("earlier")))
         open_ = known.filter(is_first & (F.col("kinds") > 1)).drop("copies", "first", "windows", "kinds")
-        marks.append(_solved(open_.filter(F.col("load") <= BLOCK_WINDOWS), size))
+        marks.append(_solved(open_.filter(F.col("load") <= BLOCK_WINDOWS), size, unit))
         crowded = open_.filter(F.col("load") > BLOCK_WINDOWS)
     found = marks[0]
     for m in marks[1:]:
         found = found.unionByName(m)
     if keep == "first":
         found = found.filter("earlier")
-    found = found.groupBy(F.col("id0").alias("name"), F.col("id1").alias("kind")).agg(F.collect_set(F.struct("off", "n")).alias("marks"))
+    found = stored(found.groupBy(F.col("id0").alias("name"), F.col("id1").alias("kind")).agg(F.collect_set(F.struct("off", "n")).alias("marks")), "marks")
 
     joined = rows.join(classes.select("name", "kind", "copies", "first"), ["name", "kind"]).join(found, ["name", "kind"], "left")
     is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("h") == F.col("first.h")) & (F.col("lo") == F.col("first.lo"))
@@ -322,13 +383,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = F.array(F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("n") + size - 1).alias("end")))
     some = F.transform(F.col("marks"), lambda m: F.struct((F.col("lo") + m["off"]).alias("start"), (F.col("lo") + m["off"] + m["n"] + size - 1).alias("end")))
     # Rows repeated in id and text have equal spans: each is kept once, so that a list grows with its text only.
-    return joined.withColumn("s", F.explode(F.when(whole, span).otherwise(some))) \
-        .groupBy("doc", "h").agg(F.collect_set("s").alias("spans"))
+    spans = stored(joined.withColumn("s", F.explode(F.when(whole, span).otherwise(some)))
+                   .groupBy("doc", "h").agg(F.collect_set("s").alias("spans")), "spans")
+    drop_stored(found, *scratch)
+    return spans
 
 
-def _solved(items: DataFrame, size: int) -> DataFrame:
+def _solved(items: DataFrame, size: int, unit: Unit) -> DataFrame:
     dealt = items.select("name", "id0", "id1", "off", "doc", "h", "lo", "n", "text")
-    return dealt.repartition("name").sortWithinPartitions("name").mapInArrow(_arrays(size), MARK)
+    return dealt.repartition("name").sortWithinPartitions("name").mapInArrow(_arrays(size, unit), MARK)
 
 
 def _merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
@@ -342,48 +405,6 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def word_runs(text: bytes, start: int, end: int, words: int) -> Iterator[tuple[int, int]]:
-    """The byte span of every run of ``words`` words that lie wholly within start .. end."""
-    found = [m.span() for m in _WORD.finditer(text, start, end)]
-    if found and found[0][0] and not text[found[0][0] - 1:found[0][0]].isspace():
-        del found[0]
-    if found and found[-1][1] < len(text) and not text[found[-1][1]:found[-1][1] + 1].isspace():
-        del found[-1]
-    return ((a, b) for (a, _), (_, b) in zip(found, found[words - 1:]))
-
-
-def repeated_words(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", keep: str = "first") -> DataFrame:
-    """(doc, h, spans) as ``repeated_spans``, of runs of ``words`` words that repeat byte for byte.
-
-    So many words take 2 * words - 1 bytes at the least, so all copies of a run lie in
-    repeated bytes of that size."""
-    spans = stored(repeated_spans(docs, id_col, text_col, 2 * words - 1, "none"), "candidates")
-    k, c = maybe_among(_keyed(docs, id_col, text_col), spans, "doc", "h").alias("k"), spans.alias("c")
-    both = k.join(c, F.col("k.doc").eqNullSafe(F.col("c.doc")) & (F.col("k.h") == F.col("c.h"))).select("k.doc", "k.h", "k.text", "c.spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch, "text"):
-                row, name, lo, hi = [], [], [], []
-                for i, (text, spans) in enumerate(zip(part.column("text").to_pylist(), part.column("spans").to_pylist())):
-                    for start, end in _merged((x["start"], x["end"]) for x in spans):
-                        for a, b in word_runs(text, start, end, words):
-                            row.append(i)
-                            name.append(xxhash.xxh3_64_intdigest(text[a:b]))
-                            lo.append(a)
-                            hi.append(b)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(name, np.uint64).view(np.int64)), *part.select(["doc", "h"]).take(pa.array(row, pa.int64())).columns,
-                     pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["name", "doc", "h", "start", "end"])
-
-    runs = stored(both.mapInArrow(run, "name long, doc long, h long, start int, end int"), "word-runs")
-    place = F.struct("doc", "h", "start")
-    twice = runs.groupBy("name").agg(F.count("*").alias("copies"), F.min(place).alias("first")).filter("copies > 1")
-    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("h") == F.col("first.h")) & (F.col("start") == F.col("first.start"))
-    later = runs.join(twice, "name")
-    return (later if keep == "none" else later.filter(~is_first)).groupBy("doc", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
 def _widened(text: bytes, start: int, end: int) -> tuple[int, int]:
     """The span with the rest of the characters at its ends (bytes 10xxxxxx continue one)."""
     while start and text[start] & 0xC0 == 0x80:
@@ -394,35 +415,38 @@ def _widened(text: bytes, start: int, end: int) -> tuple[int, int]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400, keep: str = "first",
-                   whole_characters: bool = False, words: int | None = None) -> DataFrame:
-    """Every row of ``docs`` with its text less the repeated bytes.
+                   whole_characters: bool = False, unit: Unit = BYTES) -> DataFrame:
+    """Every row of ``docs`` with its text less the repeated passages of ``size`` symbols.
 
-    Adds ``kept`` (binary: the remaining bytes), ``n_removed`` and ``removed`` (the maximal
-    removed byte spans); all columns of ``docs`` stay (clashing names are replaced).
-    ``whole_characters`` widens the spans so that no character is cut in two.  With ``words``
-    a passage is that many words, however many bytes they take, and ``size`` is not used.
+    Adds ``kept`` (binary: the remaining bytes), ``n_removed`` (bytes) and ``removed`` (the
+    maximal removed byte spans); all columns of ``docs`` stay (clashing names are replaced).
+    ``whole_characters`` widens the spans so that no character is cut in two; words never
+    are, and the white space around removed words stays.
     """
     base = docs.drop("kept", "removed", "n_removed")
-    spans = repeated_words(base, words, id_col, text_col, keep) if words else repeated_spans(base, id_col, text_col, size, keep)
-    d, s = base.withColumn("_h", F.xxhash64(text_col)).alias("d"), spans.alias("s")
-    joined = d.join(s, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.doc")) & (F.col("d._h") == F.col("s.h")), "left") \
-        .select("d.*", F.col("s.spans").alias("_spans")).drop("_h")
+    spans = repeated_spans(base, id_col, text_col, size, keep, unit)
+    d, s = base.alias("d"), spans.alias("s")
+    joined = d.join(s, F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("s.doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("s.h")), "left") \
+        .select(F.struct("d.*").alias("row"), F.col(f"d.{text_col}").cast("binary").alias("text"), "s.spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text_col):
+            for part in byte_slices(batch, "text"):
                 kept, removed, cut = [], [], []
-                for text, spans in zip(part.column(text_col).cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist()):
+                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                     text = text or b""
-                    found = ((x["start"], x["end"]) for x in spans or ())
+                    found = [(x["start"], x["end"]) for x in spans or ()]
+                    if found and unit.item > 1:
+                        words = [m.span() for m in _WORD.finditer(text)]
+                        found = [(words[a][0], words[b - 1][1]) for a, b in _merged(found)]
                     merged = _merged(_widened(text, *x) for x in found) if whole_characters else _merged(found)
                     edges = [0, *(e for m in merged for e in m), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                     removed.append([{"start": a, "end": b} for a, b in merged])
                     cut.append(sum(b - a for a, b in merged))
-                names = [c for c in part.schema.names if c != "_spans"]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in names], pa.array(kept, pa.binary()), pa.array(cut, pa.int64()),
-                     pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*names, "kept", "n_removed", "removed"])
+                    [part.column("row"), pa.array(kept, pa.binary()), pa.array(cut, pa.int64()),
+                     pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["row", "kept", "n_removed", "removed"])
 
-    return joined.mapInArrow(run, extended(base, "kept binary", "n_removed long", "removed array<struct<start:int,end:int>>"))
+    out = joined.mapInArrow(run, extended(joined.select("row"), "kept binary", "n_removed long", "removed array<struct<start:int,end:int>>"))
+    return out.select("row.*", "kept", "n_removed", "removed")
