@@ -23,7 +23,8 @@ def vocabulary_path() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Remove every copy of the 400-byte strings that occur more than once."""
+    """Remove every copy of the 400-byte strings that occur more than once.  ``text`` is what is left
+    (a character that was cut shows as U+FFFD)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return suffixdup.remove_repeats(docs, size=400, keep="none").select(
         "doc_id",
@@ -31,6 +32,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 
