@@ -294,8 +294,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # (The centre has been compared with its whole list.)
     own = stored(members.select("gram", "set_id", "n", "place").join(roots, members["set_id"] == roots["node"], "left")
                  .select("gram", "set_id", "n", "place", F.coalesce("root", "set_id").alias("root")), "rooted")
-    groups = stored(own.select("gram", "root").distinct(), "groups")
-    facing = groups.select("gram", F.col("root").alias("root_x")).join(groups.select("gram", F.col("root").alias("root_y")), "gram").filter("root_x < root_y")
+    # Two members can only link if the place of each leaves room for the other's size; so the best place and
+    # the least size of a component in a list say which components to meet.
+    room = F.expr(f"{100 + percent}L * (n - place) - {percent}L * n")
+    groups = stored(own.groupBy("gram", "root").agg(F.max(room).alias("room"), (F.min("n").cast("long") * percent).alias("least")), "groups")
+    face = lambda s: groups.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("root", "room", "least")]).alias(s)
+    facing = face("x").join(face("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("root_x") < F.col("root_y"))
+                            & (F.col("room_x") >= F.col("least_y")) & (F.col("room_y") >= F.col("least_x"))).select("x.gram", "root_x", "root_y")
     side = lambda s: own.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "place", "root")])
     need = needed("n_x", "n_y", percent)
     meet = facing.join(side("x"), ["gram", "root_x"]).join(side("y"), ["gram", "root_y"]) \
