@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from weirline.functions.stats import count_true, exact_avg, pct, round_dbl
 from weirline.operators.purge import authentic_rows
+from weirline.operators.spread import spread_join
+from weirline.sources.sinks import staged
 
 # ---------------------------------------------------------------------------
 # Labels and class bounds of the published tables.
@@ -199,7 +201,9 @@ def country_analysis(dams: DataFrame, e: DataFrame, min_dams: int = COUNTRY_MIN_
     that fan-out: the metadata side is first reduced to one row per name
     (count, exact height sum/count/max, NULL-height count, use counts), the
     dams join it many-to-one, and each dam contributes its k rows
-    arithmetically.  Only per-name partial aggregates are shuffled.
+    arithmetically.  Dams that agree in country, name and height are counted
+    first and written; a name that many of these rows have is dealt to several
+    tasks, and rows without a name pass by the join.
     """
     per_name = (e.where(F.col("dam_name_gdw").isNotNull())
                 .groupBy("dam_name_gdw").agg(
@@ -210,8 +214,8 @@ def country_analysis(dams: DataFrame, e: DataFrame, min_dams: int = COUNTRY_MIN_
                     F.max("height_meters_gdw").alias("_h_max"),
                     count_true("use_hydropower").alias("_hydro"),
                     count_true("use_irrigation").alias("_irr")))
-    d = authentic_rows(dams).select("country_code", "dam_name", "height_meters")
-    j = d.join(per_name, d["dam_name"] == per_name["dam_name_gdw"], "left")
+    d = staged(authentic_rows(dams).groupBy("country_code", "dam_name", "height_meters").agg(F.count(F.lit(1)).alias("_dams")), "dams-counted")
+    j = spread_join(d, per_name, "dam_name", "dam_name_gdw", "left")
 
     hd = F.col("height_meters")
     matched = F.col("_k").isNotNull()
@@ -222,13 +226,14 @@ def country_analysis(dams: DataFrame, e: DataFrame, min_dams: int = COUNTRY_MIN_
         .otherwise(F.when(hd.isNotNull(), 1).otherwise(0))
     h_max = F.when(matched, F.greatest(F.col("_h_max"), F.when(F.col("_k_hnull") > 0, hd))).otherwise(hd)
 
+    m = F.col("_dams")
     per_dam = j.select(
         "country_code",
-        F.coalesce(F.col("_k"), F.lit(1)).alias("rows"),
-        F.coalesce(F.col("_k"), F.lit(0)).alias("enriched"),
-        h_sum.alias("h_sum"), h_cnt.alias("h_cnt"), h_max.alias("h_max"),
-        F.coalesce(F.col("_hydro"), F.lit(0)).alias("hydro"),
-        F.coalesce(F.col("_irr"), F.lit(0)).alias("irr"),
+        (F.coalesce(F.col("_k"), F.lit(1)) * m).alias("rows"),
+        (F.coalesce(F.col("_k"), F.lit(0)) * m).alias("enriched"),
+        (h_sum * m).alias("h_sum"), (h_cnt * m).alias("h_cnt"), h_max.alias("h_max"),
+        (F.coalesce(F.col("_hydro"), F.lit(0)) * m).alias("hydro"),
+        (F.coalesce(F.col("_irr"), F.lit(0)) * m).alias("irr"),
     )
     per_country = per_dam.groupBy("country_code").agg(
         F.sum("rows").alias("total_dams"),

@@ -11,6 +11,7 @@ import logging
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from weirline.schemas import DAMS_LENGTH_LIMITS
 
@@ -154,12 +155,15 @@ def length_audit(dams: DataFrame, limits: dict | None = None) -> DataFrame:
 def orphan_audit(relations: dict) -> DataFrame:
     """Foreign-key orphans: child rows whose non-NULL key has no parent.
 
-    ``relations`` maps a name to ``(child, child key, parent, parent key)``.
+    ``relations`` maps a name to ``(child, child key, parent, parent key)``.  A child key may
+    be an array of keys: each of its elements is a key, and NULL elements are none.
     The child is first reduced to one count per key value (partial aggregation
     in each task), so the anti join moves distinct keys, not child rows.
     """
     parts = []
     for name, (child, ck, parent, pk) in relations.items():
+        if isinstance(child.schema[ck].dataType, ArrayType):
+            child = child.select(F.explode(ck).alias(ck))
         per_key = (child.where(F.col(ck).isNotNull()).groupBy(F.col(ck).alias("_k"))
                    .agg(F.count(F.lit(1)).alias("_n")))
         parents = parent.select(F.col(pk).alias("_k")).where(F.col("_k").isNotNull()).distinct()
@@ -189,9 +193,19 @@ def geometry_audit(dams: DataFrame) -> DataFrame:
     )
 
 
+def source_orphans(dam_sources: DataFrame, station_sources: DataFrame, data_sources: DataFrame) -> dict:
+    """Relations of dams and stations to the sources of their data."""
+    return {
+        "dams.primary_data_source_id -> data_sources": (dam_sources, "primary_data_source_id", data_sources, "source_id"),
+        "dams.secondary_data_sources[] -> data_sources": (dam_sources, "secondary_data_sources", data_sources, "source_id"),
+        "monitoring_stations.data_source_id -> data_sources": (station_sources, "data_source_id", data_sources, "source_id"),
+    }
+
+
 def reference_orphans(dams: DataFrame, regions: DataFrame, dam_types: DataFrame) -> dict:
-    """Relations of the dams table to its small reference tables."""
+    """Relations of the dams table to its small reference tables, and of regions to each other."""
     return {
+        "regions.parent_region_id -> regions": (regions, "parent_region_id", regions, "region_id"),
         "dams.region_id -> regions": (dams, "region_id", regions, "region_id"),
         "dams.primary_dam_type_id -> dam_types": (dams, "primary_dam_type_id", dam_types, "type_id"),
     }

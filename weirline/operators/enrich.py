@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weirline.functions import clean
 from weirline.functions.stats import pct
 from weirline.operators.purge import authentic_rows
+from weirline.operators.spread import frequent, spread_join
 from weirline.schemas import (
     ENRICHMENT_COORDINATES, ENRICHMENT_FLAGS, ENRICHMENT_MEASURES, ENRICHMENT_TEXT,
     ENRICHMENT_TYPES, METADATA_SOURCE_FIELDS, VIEW_DAM_COLUMNS, VIEW_ENRICHMENT_COLUMNS,
@@ -113,24 +114,24 @@ def enriched_view(dams: DataFrame, enrichment: DataFrame, authentic: Column | No
     * dams without any match, NULL-extended (two left anti joins against the
       distinct names and the distinct comment keys).
 
-    Both sides of an inner join can be split by AQE, so a name or a comment
-    key that holds a large share of either table does not end in one task.
-    The anti joins meet one row per key on their right side, and only the dam
-    side can be hot.  Nothing runs while the plan is built.
+    Each is a ``spread_join``: a name or a key that holds a large share of
+    either table is dealt to several tasks, and dams without a name or a country
+    pass by the joins.  The inputs are read several times: give tables, not
+    derivations.  Columns of the view that an input does not have are left out.
     """
-    d = authentic_rows(dams, authentic).select(*[F.col(s).alias(t) for s, t in VIEW_DAM_COLUMNS])
-    e = enrichment.select(*VIEW_ENRICHMENT_COLUMNS)
-    out_cols = [t for _, t in VIEW_DAM_COLUMNS] + VIEW_ENRICHMENT_COLUMNS
+    d = authentic_rows(dams, authentic).select(*[F.col(s).alias(t) for s, t in VIEW_DAM_COLUMNS if s in dams.columns])
+    own = [c for c in VIEW_ENRICHMENT_COLUMNS if c in enrichment.columns]
+    e = enrichment.select(*own)
+    out_cols = d.columns + own
     comment_key = F.substring("gdw_comments", 1, COMMENT_KEY_LEN)
 
-    by_name = d.join(e, F.col("dam_name") == F.col("dam_name_gdw"))
+    keyed = e.withColumn("_ck", comment_key)
+    names, countries = frequent(d, "dam_name"), frequent(d, "country_code")    # each serves two joins
+    by_name = spread_join(d, e, "dam_name", "dam_name_gdw", "inner", names, None, ["dam_id"], ["gdw_id"])
     same_name = F.coalesce(F.col("dam_name") == F.col("dam_name_gdw"), F.lit(False))
-    by_key = d.join(e.withColumn("_ck", comment_key), F.col("country_code") == F.col("_ck")).where(~same_name)
-
-    names = e.select(F.col("dam_name_gdw").alias("_name")).where("_name IS NOT NULL").distinct()
-    keys = e.select(comment_key.alias("_ck")).where("_ck IS NOT NULL").distinct()
-    lone = (d.join(names, F.col("dam_name") == F.col("_name"), "left_anti")
-            .join(keys, F.col("country_code") == F.col("_ck"), "left_anti"))
+    by_key = spread_join(d, keyed, "country_code", "_ck", "inner", countries, None, ["dam_id"], ["gdw_id"]).where(~same_name)
+    lone = spread_join(d, e, "dam_name", "dam_name_gdw", "left_anti", names, left_spread=["dam_id"])
+    lone = spread_join(lone, keyed, "country_code", "_ck", "left_anti", countries, left_spread=["dam_id"])
     types = {f.name: f.dataType for f in e.schema.fields}
-    extended = lone.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in VIEW_ENRICHMENT_COLUMNS])
+    extended = lone.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in own])
     return (by_name.select(*out_cols).unionByName(by_key.select(*out_cols)).unionByName(extended.select(*out_cols)))

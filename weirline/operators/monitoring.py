@@ -104,6 +104,15 @@ def priority_regions(summary: DataFrame, regions: DataFrame, names=None,
     return summary.join(top, "region_name", "left_semi")
 
 
+def dam_activity(stations: DataFrame, readings: DataFrame) -> DataFrame:
+    """(dam_id, _stations, _readings): readings counted per station, stations per dam."""
+    per_station = (readings.where(F.col("station_id").isNotNull())
+                   .groupBy("station_id").agg(F.count(F.lit(1)).alias("_n")))
+    return (stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
+            .join(per_station, "station_id", "left")
+            .groupBy("dam_id").agg(F.count("station_id").alias("_stations"), F.sum("_n").alias("_readings")))
+
+
 def region_rollup(summary: DataFrame, stations: DataFrame, readings: DataFrame) -> DataFrame:
     """Per region: dams, stations and readings of those stations.
 
@@ -112,11 +121,7 @@ def region_rollup(summary: DataFrame, stations: DataFrame, readings: DataFrame)
     aggregation in each task, so neither a station nor a dam nor a region that holds
     most of the rows ends in one task.  Station and dam ids are keys of their tables.
     """
-    per_station = (readings.where(F.col("station_id").isNotNull())
-                   .groupBy("station_id").agg(F.count(F.lit(1)).alias("_n")))
-    per_dam = (stations.where(F.col("dam_id").isNotNull()).select("station_id", "dam_id")
-               .join(per_station, "station_id", "left")
-               .groupBy("dam_id").agg(F.count("station_id").alias("_stations"), F.sum("_n").alias("_readings")))
+    per_dam = dam_activity(stations, readings)
     count = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
     return (summary.select("dam_id", "region_name").join(per_dam, "dam_id", "left")
             .groupBy("region_name").agg(F.count("dam_id").alias("dam_count"), count("_stations", "station_count"),

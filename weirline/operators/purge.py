@@ -17,6 +17,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weirline.operators.spread import spread_join
 from weirline.functions.stats import pct
 
 log = logging.getLogger(__name__)
@@ -128,10 +129,11 @@ class Cascade:
 def flag_removed(child: DataFrame, removed_station_ids: DataFrame, flag: str = "_removed") -> DataFrame:
     """``child`` with a boolean ``flag`` set where its station is removed (NULL
     otherwise).  One pass splits the table: kept = flag IS NULL (this keeps
-    NULL station ids, as the DELETE does).  The key set is made distinct so
-    the left join cannot duplicate child rows."""
-    keys = removed_station_ids.select("station_id").distinct().withColumn(flag, F.lit(True))
-    return child.join(keys, "station_id", "left")
+    NULL station ids, as the DELETE does).  The key set is distinct (station ids
+    are keys of their table), so the left join cannot duplicate child rows; a
+    station that holds a large share of them is dealt to several tasks."""
+    keys = removed_station_ids.select("station_id").withColumn(flag, F.lit(True))
+    return spread_join(child, keys, "station_id", "station_id", "left")
 
 
 def cascade(dams: DataFrame, stations: DataFrame, readings: DataFrame, shm: DataFrame,

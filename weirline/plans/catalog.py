@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirline.functions import clean, geo
-from weirline.operators import analysis, audit, enrich, monitoring, purge, spatial
+from weirline.operators import analysis, audit, enrich, hierarchy, monitoring, purge, spatial
 from weirline.plans import jobs
 from weirline.plans.workspace import BARRIERS_LOADED_AT, RESERVOIRS_LOADED_AT, RUN_TS, Workspace
 from weirline.session import scratch_path
-from weirline.sources import sinks
+from weirline.sources import sinks, table_log
 from weirline.sources.registry import read_metadata_csv
 from weirline.schemas import DAMS_LENGTH_LIMITS
 
@@ -125,6 +125,27 @@ def _run(w: Workspace) -> str:
     return out
 
 
+def _append(w: Workspace) -> DataFrame:
+    """Both layers appended by key through the table log; a third append, of one layer again,
+    is refused and leaves the table as it is."""
+    path = _scratch(w, "dams")
+    for rows in (w.barriers, w.reservoirs):
+        table_log.append(rows, path, key="dam_id")
+    try:
+        table_log.append(w.barriers, path, key="dam_id")
+    except table_log.KeyViolation:
+        pass
+    return _reg(table_log.read(w.spark, path))
+
+
+def _overview(w: Workspace) -> DataFrame:
+    d, e = w.staged_inputs(["dam_id", "dam_name", "country_code", "height_meters", "construction_year"],
+                           ["gdw_id", "dam_name_gdw", "height_meters_gdw", "construction_year_gdw", "gdw_comments"])
+    return analysis.overview(d, e, enrich.enriched_view(d, e))
+
+
+
+
 def _export_csv(w: Workspace) -> DataFrame:
     """Rows of each exported table, counted in the CSV files."""
     out = _run(w)
@@ -161,6 +182,7 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         # ------------------------------------------------------------ sources
         "load_barriers": lambda w: _reg(w.barriers),
         "load_reservoirs": lambda w: _reg(w.reservoirs),
+        "append_by_key": _append,
         "registry_append": lambda w: _reg(w.registry),
         "polygon_centroid": lambda w: flat(geo.with_polygon_centroid(w.raw_reservoirs, "geometry", "centroid")
                                            .select(F.col("GDW_ID").cast("bigint").alias("gdw_id"), "centroid")),
@@ -208,6 +230,7 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "monitoring_coverage": lambda w: flat(m.monitoring_coverage(w.registry, w.stations)),
         "dams_with_stations": lambda w: flat(m.dams_with_stations(w.registry, w.stations)),
         "recent_readings": lambda w: flat(m.recent_readings(w.readings, w.stations)),
+        "region_hierarchy": lambda w: hierarchy.hierarchy_rollup(w.regions, w.dams, w.stations, w.readings),
         "region_rollup": lambda w: m.region_rollup(w.summary, w.stations, w.readings),
         "pair_distance": lambda w: spatial.pair_distance(w.registry, spatial.layer_pairs(w.registry))
         .withColumn("distance_km", F.round("distance_km", 6)),
@@ -216,7 +239,7 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "cascade_kept": lambda w: purge.cascade_rows(w.cascade.kept),
         "deletion_results": lambda w: purge.deletion_results(w.registry, w.cascade),
         # ------------------------------------------------------- aggregations
-        "overview": lambda w: analysis.overview(w.registry, w.enrichment, w.view),
+        "overview": _overview,
         "infrastructure_types": lambda w: analysis.infrastructure_types(w.enrichment),
         "height_classes": lambda w: analysis.height_classes(w.enrichment),
         "capacity_classes": lambda w: analysis.capacity_classes(w.enrichment),
@@ -247,6 +270,7 @@ def _queries() -> dict[str, Callable[[Workspace], DataFrame]]:
         "length_audit": lambda w: audit.length_audit(w.dams, DAMS_LENGTH_LIMITS),
         "orphan_audit": lambda w: audit.orphan_audit({
             **audit.reference_orphans(w.dams, w.regions, w.dam_types),
+            **audit.source_orphans(w.dam_sources, w.station_sources, w.data_sources),
             "monitoring_stations.dam_id -> dams": (w.stations, "dam_id", w.dams, "dam_id"),
             "sensor_readings.station_id -> monitoring_stations": (w.readings, "station_id", w.stations,
                                                                    "station_id"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weirline.functions import geo
 from weirline.operators import analysis, audit, enrich, purge
-from weirline.sources import sinks
+from weirline.sources import sinks, table_log
 from weirline.sources.registry import load_barriers, load_reservoirs
 
 log = logging.getLogger(__name__)
@@ -37,14 +37,20 @@ def _p(out_dir: str, name: str) -> str:
 
 # ------------------------------------------------------------------- C1
 def run_import(spark: SparkSession, raw_barriers: DataFrame, raw_reservoirs: DataFrame, out_dir: str,
-               barriers_loaded_at: str, reservoirs_loaded_at: str) -> dict:
-    """Both registry layers appended to ``dams``, then the import checks."""
+               barriers_loaded_at: str, reservoirs_loaded_at: str, key: str | None = None) -> dict:
+    """Both registry layers appended to ``dams`` (read it with ``table_log.read``), then the import checks.
+
+    Each layer is appended whole or not at all; one that fails is reported with all of its
+    rows as skipped.  With ``key`` (dam_id) an append that breaks it fails."""
     dams_path = _p(out_dir, "dams")
-    appended = {
-        "barrier": sinks.append_rows(load_barriers(raw_barriers, barriers_loaded_at), dams_path),
-        "reservoir": sinks.append_rows(load_reservoirs(raw_reservoirs, reservoirs_loaded_at), dams_path),
-    }
-    dams = spark.read.parquet(dams_path)
+    appended = {}
+    for layer, rows in (("barrier", load_barriers(raw_barriers, barriers_loaded_at)), ("reservoir", load_reservoirs(raw_reservoirs, reservoirs_loaded_at))):
+        try:
+            appended[layer] = table_log.append(rows, dams_path, key), 0
+        except Exception as exc:  # noqa: BLE001 - reported in the result
+            log.error("append of layer %s failed: %s", layer, exc)
+            appended[layer] = 0, rows.select(F.lit(1)).count()
+    dams = table_log.read(spark, dams_path)
     checks = audit.run_checks({
         "total": dams.agg(F.count(F.lit(1)).alias("total_records")),
         "bounding_box": audit.bounding_box(dams),
@@ -73,7 +79,7 @@ def run_enrichment(spark: SparkSession, raw_metadata: DataFrame, dams_path: str,
     e_path = _p(out_dir, "dam_enrichment")
     e_version, records = sinks.refresh_table(spark, typed, e_path)
     e = spark.read.parquet(e_version)
-    dams = spark.read.parquet(dams_path)
+    dams = table_log.read(spark, dams_path)
     view_path = _p(out_dir, "dams_enriched")
     view_version, view_rows = sinks.refresh_table(spark, enrich.enriched_view(dams, e), view_path)
     view = spark.read.parquet(view_version)
@@ -92,7 +98,7 @@ def run_cleaning(spark: SparkSession, dams_path: str, stations: DataFrame, readi
                  expected_count: int | None = None) -> dict:
     """Composition, snapshot, removal plan; then (unless a dry run) the
     cascading removal written as new table versions, and the checks."""
-    dams = spark.read.parquet(dams_path)
+    dams = table_log.read(spark, dams_path)
     result = {
         "composition": sinks.rows(purge.composition_total(dams)),
         "scores": sinks.rows(purge.composition_scores(dams)),
@@ -165,7 +171,8 @@ def run_analysis(spark: SparkSession, dams_path: str, enrichment_path: str, view
                  run_ts: str) -> dict:
     """Export the ten tables as CSV, the statistics JSON, the executive
     summary and the manifest.  Reads the materialised enrichment and view."""
-    dams, e, view = (spark.read.parquet(p) for p in (dams_path, enrichment_path, view_path))
+    dams = table_log.read(spark, dams_path)
+    e, view = (spark.read.parquet(p) for p in (enrichment_path, view_path))
     tables = analysis_tables(dams, e, view)
     collected, totals = {}, {}
     for name, df in tables.items():

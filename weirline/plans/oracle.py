@@ -173,6 +173,9 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "raw_metadata": (fixture_sql("raw_metadata"), []),
     "regions": (fixture_sql("regions"), []),
     "dam_links": (fixture_sql("dam_links"), []),
+    "data_sources": (fixture_sql("data_sources"), []),
+    "dam_sources": (fixture_sql("dam_sources"), []),
+    "station_sources": (fixture_sql("station_sources"), []),
     "monitoring_stations": (fixture_sql("monitoring_stations"), []),
     "sensor_readings": (fixture_sql("sensor_readings"), []),
     "shm_sensors": (fixture_sql("shm_sensors"), []),
@@ -421,6 +424,19 @@ FROM (SELECT ms.dam_id, sr.*, row_number() OVER (PARTITION BY ms.dam_id
       FROM sensor_readings sr JOIN monitoring_stations ms ON sr.station_id = ms.station_id
       WHERE ms.dam_id IS NOT NULL)
 WHERE rn <= 100""", "sensor_readings", "monitoring_stations"),
+        "region_hierarchy": _q("""WITH reach AS (
+  SELECT region_id AS node, region_id AS ancestor, 0 AS depth FROM regions
+  UNION ALL
+  SELECT node, r.parent_region_id, depth + 1 FROM reach JOIN regions r ON r.region_id = ancestor WHERE r.parent_region_id IS NOT NULL),
+own AS (
+  SELECT d.region_id, count(DISTINCT d.dam_id) AS dams, count(DISTINCT s.station_id) AS stations, count(sr.reading_id) AS readings
+  FROM dams d LEFT JOIN monitoring_stations s ON s.dam_id = d.dam_id LEFT JOIN sensor_readings sr ON sr.station_id = s.station_id
+  WHERE d.region_id IS NOT NULL GROUP BY d.region_id)
+SELECT r.region_id, r.region_name, r.region_type, (SELECT max(depth) FROM reach WHERE node = r.region_id) AS level,
+ count(*) - 1 AS descendants, CAST(coalesce(sum(dams), 0) AS BIGINT) AS dam_count, CAST(coalesce(sum(stations), 0) AS BIGINT) AS station_count,
+ CAST(coalesce(sum(readings), 0) AS BIGINT) AS sensor_reading_count, false AS on_cycle
+FROM regions r JOIN reach ON ancestor = r.region_id LEFT JOIN own ON own.region_id = node
+GROUP BY r.region_id, r.region_name, r.region_type""", "regions", "dams", "monitoring_stations", "sensor_readings").replace("WITH ", "WITH RECURSIVE ", 1),
         "region_rollup": _q("""SELECT s.region_name, COUNT(DISTINCT s.dam_id) AS dam_count,
  COUNT(DISTINCT ms.station_id) AS station_count,
  CAST(coalesce((SELECT COUNT(*) FROM sensor_readings sr JOIN monitoring_stations m2 ON sr.station_id = m2.station_id
@@ -533,7 +549,15 @@ ON COLUMNS(*) INTO NAME rule VALUE violations""", "dams"),
             f"SELECT '{c}' AS column_name, {n} AS max_length, COUNT(CASE WHEN length({c}) > {n} THEN 1 END) "
             f"AS violations FROM dams" for c, n in
             DAMS_LENGTH_LIMITS.items()) + ")", "dams"),
-        "orphan_audit": _q("""SELECT 'dams.region_id -> regions' AS relation,
+        "orphan_audit": _q("""SELECT 'regions.parent_region_id -> regions' AS relation,
+ COUNT(*) AS orphans FROM regions r WHERE parent_region_id IS NOT NULL AND NOT EXISTS (FROM regions p WHERE p.region_id = r.parent_region_id)
+UNION ALL SELECT 'dams.primary_data_source_id -> data_sources', COUNT(*)
+FROM dam_sources d WHERE primary_data_source_id IS NOT NULL AND NOT EXISTS (FROM data_sources s WHERE s.source_id = d.primary_data_source_id)
+UNION ALL SELECT 'dams.secondary_data_sources[] -> data_sources', COUNT(*)
+FROM (SELECT unnest(secondary_data_sources) AS one FROM dam_sources) WHERE one NOT IN (SELECT source_id FROM data_sources)
+UNION ALL SELECT 'monitoring_stations.data_source_id -> data_sources', COUNT(*)
+FROM station_sources t WHERE data_source_id IS NOT NULL AND NOT EXISTS (FROM data_sources s WHERE s.source_id = t.data_source_id)
+UNION ALL SELECT 'dams.region_id -> regions',
  COUNT(CASE WHEN region_id IS NOT NULL AND region_id NOT IN (SELECT region_id FROM regions) THEN 1 END) AS orphans FROM dams
 UNION ALL SELECT 'dams.primary_dam_type_id -> dam_types',
  COUNT(CASE WHEN primary_dam_type_id IS NOT NULL AND primary_dam_type_id NOT IN (SELECT type_id FROM dam_types) THEN 1 END) FROM dams
@@ -543,7 +567,8 @@ UNION ALL SELECT 'sensor_readings.station_id -> monitoring_stations',
  COUNT(CASE WHEN station_id IS NOT NULL AND station_id NOT IN (SELECT station_id FROM monitoring_stations) THEN 1 END) FROM sensor_readings
 UNION ALL SELECT 'shm_sensors.station_id -> monitoring_stations',
  COUNT(CASE WHEN station_id IS NOT NULL AND station_id NOT IN (SELECT station_id FROM monitoring_stations) THEN 1 END) FROM shm_sensors""",
-                           "dams", "regions", "dam_types", "monitoring_stations", "sensor_readings", "shm_sensors"),
+                           "dams", "regions", "dam_types", "monitoring_stations", "sensor_readings", "shm_sensors",
+                           "data_sources", "dam_sources", "station_sources"),
         "key_audit": _q("""SELECT 'dams' AS table_name, 'duplicate dam_id' AS check_name,
  (SELECT COUNT(*) FROM (SELECT dam_id FROM dams WHERE dam_id IS NOT NULL GROUP BY dam_id HAVING COUNT(*) > 1)) AS violations
 UNION ALL SELECT 'dams', 'null dam_id', COUNT(CASE WHEN dam_id IS NULL THEN 1 END) FROM dams
@@ -581,7 +606,7 @@ FROM (SELECT * REPLACE (coalesce(h, height_meters) AS height_meters, if(touched,
     # sinks whose read-back must equal an operator's output
     q["load_metadata_csv"] = q["typed_enrichment"]
     q["enrichment_refresh"] = q["typed_enrichment"]
-    q["snapshot"] = q["registry_append"]
+    q["snapshot"] = q["append_by_key"] = q["registry_append"]
     tables = {"database_overview": "overview", "infrastructure_types": "infrastructure_types", "height_categories": "height_classes",
               "primary_purposes": "purposes", "usage_patterns": "usage_patterns", "country_analysis": "country_analysis",
               "river_basin_analysis": "basin_analysis", "capacity_analysis": "capacity_classes", "construction_timeline": "timeline",

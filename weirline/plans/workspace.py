@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirline.operators import enrich, monitoring, purge
 from weirline.sources import fixtures, seed
+from weirline.schemas import VIEW_DAM_COLUMNS, VIEW_ENRICHMENT_COLUMNS
 from weirline.sources.registry import load_barriers, load_reservoirs, registry_append
+from weirline.sources.sinks import staged
 
 # Load timestamps of the two registry appends and of the run; parameters so
 # that reruns produce identical rows.
@@ -65,6 +67,18 @@ class Workspace:
     def shm(self) -> DataFrame:
         return self._fixture("shm_sensors")
 
+    @cached_property
+    def data_sources(self) -> DataFrame:
+        return self._fixture("data_sources")
+
+    @cached_property
+    def dam_sources(self) -> DataFrame:
+        return self._fixture("dam_sources")
+
+    @cached_property
+    def station_sources(self) -> DataFrame:
+        return self._fixture("station_sources")
+
     @cached_property
     def dam_types(self) -> DataFrame:
         return seed.dam_types(self.spark)
@@ -94,7 +108,14 @@ class Workspace:
 
     @cached_property
     def view(self) -> DataFrame:
-        return enrich.enriched_view(self.registry, self.enrichment)
+        return enrich.enriched_view(*self.staged_inputs([s for s, _ in VIEW_DAM_COLUMNS], VIEW_ENRICHMENT_COLUMNS))
+
+    def staged_inputs(self, dam_columns: list[str], enrichment_columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Authentic registry rows and metadata, each derived once and written, for plans that
+        read them several times."""
+        needed = list(dict.fromkeys([*dam_columns, "data_quality_score"]))
+        return (staged(purge.authentic_rows(self.registry).select(*needed), "registry"),
+                staged(self.enrichment.select(*enrichment_columns), "enrichment"))
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -81,6 +81,14 @@ FIXTURES: dict[str, str] = {
  cast(100 + n_regionkey AS bigint) AS parent_region_id, n_nationkey + 1 AS priority_order FROM {nation}
 UNION ALL
 SELECT cast(100 + r_regionkey AS bigint), r_name, 'continent', NULL, 999 FROM {region}""",
+    # ids of sources are even numbers, so that some references have no source
+    "data_sources": "SELECT cast(s_suppkey * 2 AS string) AS source_id, 'Source ' || cast(s_suppkey AS string) AS source_name FROM {supplier}",
+    "dam_sources": """SELECT 'B' || cast(o_orderkey AS string) AS dam_id,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE cast(o_custkey % 21 AS string) END AS primary_data_source_id,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE split(cast(o_custkey % 16 AS string) || ',' || cast(o_orderkey % 10 AS string), ',') END AS secondary_data_sources
+FROM {orders}""",
+    "station_sources": """SELECT c_custkey AS station_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE cast(c_custkey % 25 AS string) END AS data_source_id
+FROM {customer}""",
     "dam_links": """SELECT cast(o.o_orderkey AS bigint) AS GDW_ID, 'B' || cast(o.o_orderkey AS string) AS dam_id,
  CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE cast(c.c_nationkey AS bigint) END AS region_id,
  CASE WHEN o.o_orderkey % 4 = 0 THEN NULL ELSE cast(o.o_orderkey % 10 AS int) END AS primary_dam_type_id,
@@ -113,6 +121,9 @@ _SOURCES = {
     "monitoring_stations": ("customer",),
     "sensor_readings": ("events",),
     "shm_sensors": ("supplier",),
+    "data_sources": ("supplier",),
+    "dam_sources": ("orders",),
+    "station_sources": ("customer",),
 }
 _COLUMNS = {
     "orders": ["o_orderkey", "o_custkey"],
@@ -125,8 +136,14 @@ _COLUMNS = {
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, pruned to the columns the fixtures use."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*_COLUMNS[name])
+    """One driver table, pruned to the columns the fixtures use.
+
+    Some thirty text columns are derived from every order.  Where the orders come in fewer
+    files than the session has cores, their keys are dealt out first, so that all cores derive.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*_COLUMNS[name])
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "o_orderkey") if name == "orders" and len(df.inputFiles()) < cores else df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
