@@ -299,14 +299,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     room = F.expr(f"{100 + percent}L * (n - place) - {percent}L * n")
     groups = stored(own.groupBy("gram", "root").agg(F.max(room).alias("room"), (F.min("n").cast("long") * percent).alias("least")), "groups")
     face = lambda s: groups.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("root", "room", "least")]).alias(s)
-    facing = face("x").join(face("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("root_x") < F.col("root_y"))
-                            & (F.col("room_x") >= F.col("least_y")) & (F.col("room_y") >= F.col("least_x"))).select("x.gram", "root_x", "root_y")
-    side = lambda s: own.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "place", "root")])
+    facing = stored(face("x").join(face("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("root_x") < F.col("root_y"))
+                            & (F.col("room_x") >= F.col("least_y")) & (F.col("room_y") >= F.col("least_x"))).select("x.gram", "root_x", "root_y"), "facing")
+    # Only their members are dealt out again.
+    faces = facing.select("gram", F.col("root_x").alias("root")).unionByName(facing.select("gram", F.col("root_y").alias("root")))
+    met = maybe_among(own, faces, "gram", "root")
+    side = lambda s: met.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "place", "root")])
     need = needed("n_x", "n_y", percent)
     meet = facing.join(side("x"), ["gram", "root_x"]).join(side("y"), ["gram", "root_y"]) \
         .filter((F.col("n_x") - F.col("place_x") >= need) & (F.col("n_y") - F.col("place_y") >= need))
     rest = stored(_pairs(meet, "set_id_x", "n_x", "place_x", "set_id_y", "n_y", "place_y", percent).join(to_centre, ["a", "b"], "left_anti"), "pairs")
-    drop_stored(members, own, groups, to_centre, roots)
+    drop_stored(members, own, groups, facing, to_centre, roots)
     more = _linked(rest, reps, keyed, n, order, percent)
     roots = connected_components(some.unionByName(more))
 
