@@ -1,5 +1,8 @@
 """Article text of pages against what they were built from."""
 
+import random
+import time
+
 import pytest
 
 from weirline.llm import wrapper
@@ -98,3 +101,80 @@ def test_most_of_the_running_text_overrules_a_name():
     assert wrapper.main_text(f"<div><h1>Head</h1><div class=notice><p>{text}</p></div><div class=menu>m</div></div>", None) == f"Head\n\n{text.strip()}"
     assert wrapper.main_text(f"<div><article><p>short</p></article><div class=comments><p>{text}</p></div></div>", None) == "short"
     assert wrapper.main_text(f"<div><div hidden><p>{text}</p></div><p>short</p></div>", None) == "short"
+
+
+def most_matched(a, b):
+    """Nodes of the largest order-preserving matching, by trying every choice."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max([best(x[1:], y)] + [most_matched(x[0], y[j]) + best(x[1:], y[j + 1:]) for j in range(len(y)) if x[0][0] == y[j][0]])
+
+    return 1 + best(a[3], b[3])
+
+
+def test_matching_equals_exhaustive_search():
+    r = random.Random(3)
+
+    def tree(depth):
+        return [r.choice("ab"), 1, r.randrange(3), [tree(depth - 1) for _ in range(r.randrange(4))] if depth else []]
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        a[0] = b[0] = "root"
+        assert wrapper.Matching().weight(a, b) == most_matched(a, b)
+
+
+def test_very_deep_pages():
+    deep = "<div>" * 100_000 + "<p>kept</p>" + "<aside>gone</aside></div>" * 100_000 + "<p>after"
+    template = wrapper.page_template(deep)
+    for i in range(wrapper.PAGES + 1):
+        template = wrapper.combine(template, wrapper.page_template("<div>" * 100_000 + f"<p>page {i}</p>"))
+    assert wrapper.json.loads(wrapper.json.dumps(template)) == template
+    assert wrapper.main_text(deep, None) == wrapper.main_text(deep, template) == "kept\n\nafter"
+    assert wrapper.main_text("<b>" * 100_000 + "kept", template) == "kept"
+
+
+def test_alignment_of_deep_differing_pages_is_quick():
+    def page(extra, depth=60):
+        out = "<p>x</p>"
+        for _ in range(depth):
+            out = f"<div><p>a</p>{extra}{out}<p>b</p></div>"
+        return out
+
+    start = time.monotonic()
+    both = wrapper.combine(wrapper.page_template(page("")), wrapper.page_template(page("<h2>c</h2>")))
+    assert time.monotonic() - start < 1 and both["tree"][1] == 2
+
+
+def test_ids_and_numbers_make_no_new_nodes():
+    total = None
+    for i in range(400):
+        own = wrapper.page_template(f"<div id=post-{i} class='post post-{i}'><p>Same line.</p><h1>T {i}</h1></div>")
+        total = own if total is None else wrapper.combine(total, own)
+    assert wrapper.n_nodes(total["tree"]) == 4
+    assert wrapper.main_text("<div id=post-9 class='post post-9'><p>Same line.</p><h1>T 9</h1></div>", total) == "T 9"
+
+
+def test_template_of_ever_new_classes_is_bounded(monkeypatch):
+    monkeypatch.setattr(wrapper, "NODES", 50)
+    total = None
+    for i in range(300):
+        name = "".join(chr(97 + int(c)) for c in str(i))
+        own = wrapper.page_template(f"<div class=top><p>Same line.</p></div><div class={name}><p>text {i}</p></div>")
+        total = own if total is None else wrapper.combine(total, own)
+        assert wrapper.n_nodes(total["tree"]) <= 60
+    assert wrapper.main_text("<div class=top><p>Same line.</p></div><div class=zz><p>text z</p></div>", total) == "text z"
+
+
+def test_a_long_page_of_many_boxes_takes_time_in_proportion():
+    html = "".join(f"<div><p>one {i}</p><ul><li>two</ul></div>" for i in range(20_000))
+    template = wrapper.page_template(html)
+    for i in range(6):
+        template = wrapper.combine(template, wrapper.page_template(f"<div><p>p {i}</p><ul><li>{i}</ul></div>"))
+    start = time.monotonic()
+    assert wrapper.main_text(html, template).count("two") == 20_000
+    assert time.monotonic() - start < 10

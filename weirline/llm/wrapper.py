@@ -25,14 +25,18 @@ texts: on fewer pages nothing can be told apart, and the content is all main and
 elements, or without any the lowest region that covers all running text.
 
 A null or empty page has an empty text.  Pages without a host form one group of
-their own.  Repeated rows are extracted each.
+their own.  Repeated rows are extracted each; an empty table gives an empty result.  Very long and
+very deep pages are read whole: a template looks ``DEEPEST`` elements deep, and what a box
+at that depth holds is one text of it.  A template of more than ``NODES`` nodes loses those that
+fewer than half of its pages have; they could not be constant, and their text stays.  Extra columns stay
+but for ``html``; ``host``, ``template``, ``text`` and ``n_chars`` of the input are left out or replaced.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -47,6 +51,8 @@ from weirline.llm.urlrules import url_host
 PAGES = 5            # pages with differing texts before a constant text is template
 HOSTS_HELD = 512     # templates held in a task before they are handed on: a memory bound
 SALTS = 64           # first step of merging a host's partial templates
+DEEPEST = 150        # levels of elements in a template: a bound of its recursion
+NODES = 4096         # nodes of a host's template before rare ones are dropped: a memory bound
 MOST_TEXT = 0.6      # share of the running text that overrules a name, or tells pages apart
 
 # Element kinds of HTML, and names of regions that are no main text.
@@ -73,6 +79,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _OPEN_VALUE = re.compile(r"""=[^\s"']*/\Z""")   # <a href=/> ends with its value and closes nothing
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"\d+")
 
 
 def names_noise(token: str) -> bool:
@@ -90,21 +97,19 @@ class Node:
     """An element; ``parts`` are its texts and child elements in page order.  ``noise``: no main
     text; ``named``: by no more than its class or id."""
 
-    __slots__ = ("tag", "names", "noise", "named", "parts")
+    __slots__ = ("tag", "label", "noise", "named", "parts")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts = tag, []
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs else {}
-        self.names = " ".join(sorted({*found.get("class", "").split(), *found.get("id", "").split()}))
+        classes = found.get("class", "").split()
+        # An id is one page's, and so are numbers in a class: neither tells apart what a template has.
+        self.label = " ".join([tag, *sorted({_DIGITS.sub("", c) for c in classes} - {""})])
         told = tag in DROPPED or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" \
             or "display:none" in found.get("style", "").replace(" ", "")
-        self.named = not told and tag not in UNNAMED and any(map(names_noise, self.names.split()))
+        self.named = not told and tag not in UNNAMED and any(map(names_noise, {*classes, *found.get("id", "").split()}))
         self.noise = told or self.named
 
-    @property
-    def label(self) -> str:
-        return f"{self.tag} {self.names}"
-
 
 def parse(html: str) -> Node:
     """A forgiving tree: end tags may lack, stray ones are passed over."""
@@ -152,24 +157,18 @@ def _overrule(root: Node) -> None:
     article element beside it has text of its own."""
     mass: dict[int, int] = {}
     framed: dict[int, int] = {}    # the part of it in main and article elements
-    named = []
-
-    def weigh(n: Node, link: bool, frame: bool) -> None:
+    seen = [(root, False, False)]
+    for n, link, frame in seen:
         frame = frame or n.tag in ("main", "article")
-        total = inside = 0
-        for part in n.parts:
-            if isinstance(part, str):
-                total += 0 if link else len(part.strip())
-                inside += len(part.strip()) if frame and not link else 0
-            elif part.named or not part.noise:
-                weigh(part, link or part.tag == "a", frame)
-                total, inside = total + mass[id(part)], inside + framed[id(part)]
-                if part.named:
-                    named.append(part)
-        mass[id(n)], framed[id(n)] = total, inside
-
-    weigh(root, False, False)
-    for n in named:
+        own = 0 if link else sum(len(p.strip()) for p in n.parts if isinstance(p, str))
+        mass[id(n)], framed[id(n)] = own, own if frame else 0
+        seen += [(p, link or p.tag == "a", frame) for p in n.parts if isinstance(p, Node) and (p.named or not p.noise)]
+    for n, _, _ in reversed(seen):    # children come after their parents
+        for p in n.parts:
+            if id(p) in mass:
+                mass[id(n)] += mass[id(p)]
+                framed[id(n)] += framed[id(p)]
+    for n in (n for n, _, _ in seen if n.named):
         if mass[id(n)] and mass[id(n)] >= MOST_TEXT * mass[id(root)] and framed[id(root)] == framed[id(n)]:
             n.noise = False
 
@@ -194,23 +193,25 @@ def blocks(node: Node, skip: set[int] | None = None) -> list[str]:
             out.append(text)
         line.clear()
 
-    def walk(n: Node) -> None:
-        for part in n.parts:
-            if isinstance(part, str):
-                line.append(part)
-            elif part.noise or (skip and id(part) in skip):
-                if part.tag in BLOCK:
-                    end()
-            elif part.tag == "br":
-                line.append(" ")
-            elif part.tag in BLOCK:
+    path = [(node, iter(node.parts))]
+    while path:
+        inside, rest = path[-1]
+        part = next(rest, None)
+        if part is None:
+            path.pop()
+            if inside.tag in BLOCK:
                 end()
-                walk(part)
+        elif isinstance(part, str):
+            line.append(part)
+        elif part.noise or (skip and id(part) in skip):
+            if part.tag in BLOCK:
                 end()
-            else:
-                walk(part)
-
-    walk(node)
+        elif part.tag == "br":
+            line.append(" ")
+        else:
+            if part.tag in BLOCK:
+                end()
+            path.append((part, iter(part.parts)))
     end()
     return out
 
@@ -218,15 +219,18 @@ def blocks(node: Node, skip: set[int] | None = None) -> list[str]:
 # -- templates ---------------------------------------------------------------------
 # A template node is [label, pages, digest of its text or None if it differs, children].
 
-def folded(node: Node, where: list[tuple[list, Node]] | None = None) -> list:
-    """The page's tree as a template of one page.  ``where`` collects (template node, element)."""
+Owners = dict[int, tuple[list, list[Node]]]    # by id of a template node: the node, the elements folded into it
+
+
+def folded(node: Node, where: Owners | None = None, depth: int = 1) -> list:
+    """The page's tree as a template of one page.  ``where`` collects the elements of its nodes."""
     children: list[list] = []
     own: list[str] = []
     for part in node.parts:
         if isinstance(part, str):
             own.append(part)
-        elif part.tag in BLOCK and not part.noise:
-            child = folded(part, where)
+        elif part.tag in BLOCK and not part.noise and depth < DEEPEST:
+            child = folded(part, where, depth + 1)
             if children and children[-1][0] == child[0]:
                 children[-1] = merged(children[-1], child, 0, where)
             else:
@@ -236,98 +240,154 @@ def folded(node: Node, where: list[tuple[list, Node]] | None = None) -> list:
     text = " ".join(unescape("".join(own)).split())
     out = [node.label, 1, xxhash.xxh3_64_intdigest(text) if text else 0, children]
     if where is not None:
-        where.append((out, node))
+        where[id(out)] = (out, [node])
     return out
 
 
-def matched(a: list[list], b: list[list]) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of children: index pairs in order, most nodes matched."""
-    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b)):
-        return [(i, i) for i in range(len(a))]
-    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    gain = [[_weight(x, y) for y in b] for x in a]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            score[i][j] = max(score[i + 1][j], score[i][j + 1], score[i + 1][j + 1] + gain[i][j])
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        if gain[i][j] and score[i][j] == score[i + 1][j + 1] + gain[i][j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif score[i][j] == score[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return out
+class Matching:
+    """Simple tree matching: the children of two nodes are paired in order so that most nodes match.
+
+    A pair of nodes is judged once; lives as long as the two trees that it compares."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def weight(self, a: list, b: list) -> int:
+        """The most nodes that match below and at two nodes."""
+        return self._of(a, b)[0] if a[0] == b[0] else 0
+
+    def pairs(self, a: list, b: list) -> list[tuple[int, int]]:
+        """The indices of the children paired."""
+        return self._of(a, b)[1]
 
+    def _of(self, a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
+        key = id(a), id(b)
+        if key not in self.known:
+            x, y = a[3], b[3]
+            labels = [c[0] for c in x]
+            if len(set(labels)) == len(x) and labels == [c[0] for c in y]:
+                chosen = [(i, i) for i in range(len(x))]    # no other pairs are possible
+            else:
+                chosen = self._best(x, y)
+            total = 1
+            for i, j in chosen:
+                total += self.weight(x[i], y[j])
+            self.known[key] = total, chosen
+        return self.known[key]
+
+    def _best(self, x: list[list], y: list[list]) -> list[tuple[int, int]]:
+        gain = [[0] * len(y) for _ in x]
+        for i, c in enumerate(x):
+            for j, d in enumerate(y):
+                gain[i][j] = self.weight(c, d)
+        most = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                most[i][j] = max(most[i + 1][j], most[i][j + 1], most[i + 1][j + 1] + gain[i][j])
+        out = []
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if gain[i][j] and most[i][j] == most[i + 1][j + 1] + gain[i][j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif most[i][j] == most[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+        return out
 
-def _weight(a: list, b: list) -> int:
-    if a[0] != b[0]:
-        return 0
-    return 1 + sum(_weight(a[3][i], b[3][j]) for i, j in matched(a[3], b[3]))
+
+def matched(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """The index pairs of two lists of children."""
+    return Matching().pairs(["", 1, 0, a], ["", 1, 0, b])
 
 
-def merged(a: list, b: list, pages: int, where: list[tuple[list, Node]] | None = None) -> list:
+def merged(a: list, b: list, pages: int, where: Owners | None = None, match: Matching | None = None) -> list:
     """Align two templates of one root label.  ``pages`` = 1: their pages add up; 0: one page's
-    neighbours are folded.  Elements that pointed to ``b``'s nodes point to the result's."""
-    pairs = dict(matched(a[3], b[3]))
-    back = {j: i for i, j in pairs.items()}
+    neighbours are folded.  The result's nodes own the elements of both."""
+    match = match or Matching()
+    back = {j: i for i, j in match.pairs(a, b)}
     children, i = [], 0
     for j, y in enumerate(b[3]):
         if j in back:
             children += a[3][i:back[j]]
-            children.append(merged(a[3][back[j]], y, pages, where))
+            children.append(merged(a[3][back[j]], y, pages, where, match))
             i = back[j] + 1
         else:
             children.append(y)
     children += a[3][i:]
     out = [a[0], a[1] + b[1] if pages else 1, a[2] if a[2] == b[2] else None, children]
     if where is not None:
-        for k, (t, n) in enumerate(where):
-            if t is a or t is b:
-                where[k] = (out, n)
+        few, many = sorted((where[id(a)][1], where[id(b)][1]), key=len)
+        many += few
+        where[id(out)] = (out, many)
     return out
 
 
+def n_nodes(tree: list) -> int:
+    todo = [tree]
+    for t in todo:
+        todo += t[3]
+    return len(todo)
+
+
+def common(tree: list, pages: int) -> list:
+    """The template without the nodes that fewer than half of ``pages`` have."""
+    return [*tree[:3], [common(c, pages) for c in tree[3] if 2 * c[1] >= pages]]
+
+
 def combine(a: dict, b: dict) -> dict:
     """Two partial templates of a host: {"tree", "texts"}; ``texts`` are a few digests of main texts."""
-    return {"tree": merged(a["tree"], b["tree"], 1), "texts": sorted({*a["texts"], *b["texts"]})[:PAGES]}
+    tree = merged(a["tree"], b["tree"], 1)
+    if n_nodes(tree) > NODES:
+        tree = common(tree, tree[1])
+    return {"tree": tree, "texts": sorted({*a["texts"], *b["texts"]})[:PAGES]}
 
 
-def constant_nodes(page: list, tree: list, least: int) -> Iterator[int]:
+def constant_nodes(page: list, tree: list, least: int, match: Matching | None = None) -> Iterator[int]:
     """ids of the page's template nodes whose text is the same on all of at least ``least`` pages."""
-    for i, j in matched(tree[3], page[3]):
+    match = match or Matching()
+    for i, j in match.pairs(tree, page):
         t, p = tree[3][i], page[3][j]
         if t[2] and t[1] >= least and t[1] >= 0.9 * tree[1] and not t[3] and p[2] == t[2]:
             yield id(p)
-        yield from constant_nodes(p, t, least)
+        yield from constant_nodes(p, t, least, match)
+
+
+def running_text(root: Node, links: Callable[[Node, Node, bool], bool], skip: set[int] | None = None) -> dict[int, int]:
+    """Characters of text outside links by id of an element, without noise and ``skip``.
+    ``links`` (parent, element, parent is in a link): is the element in a link?"""
+    mass: dict[int, int] = {}
+    seen = [(root, False)]
+    for n, link in seen:
+        mass[id(n)] = 0 if link else sum(len(p.strip()) for p in n.parts if isinstance(p, str))
+        seen += [(p, links(n, p, link)) for p in n.parts if isinstance(p, Node) and not p.noise and not (skip and id(p) in skip)]
+    for n, _ in reversed(seen):    # children come after their parents
+        mass[id(n)] += sum(mass.get(id(p), 0) for p in n.parts)
+    return mass
+
+
+def outermost(root: Node, tags: tuple[str, ...], skip: set[int] | None = None) -> list[Node]:
+    """The elements of ``tags`` in no other such element, in page order, without noise and ``skip``."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in tags:
+            out.append(n)
+        else:
+            todo += [p for p in reversed(n.parts) if isinstance(p, Node) and not p.noise and not (skip and id(p) in skip)]
+    return out
 
 
 def heaviest(root: Node) -> Node:
     """What tells a page from others: the article with most text, else the main element, else
     the smallest region that holds most of the running text outside links."""
-    best: list[tuple[int, Node]] = []
-    mains: list[Node] = []
-    mass: dict[int, int] = {}
-
-    def weigh(n: Node, link: bool, inside: bool) -> int:
-        total = 0
-        for part in n.parts:
-            if isinstance(part, str):
-                total += 0 if link else len(part.strip())
-            elif not part.noise:
-                total += weigh(part, link or part.tag == "a", inside or n.tag == "article")
-        mass[id(n)] = total
-        if n.tag == "article" and not inside:
-            best.append((total, n))
-        elif n.tag == "main":
-            mains.append(n)
-        return total
-
-    whole = weigh(root, False, False)
-    if best:
-        return max(best, key=lambda x: x[0])[1]
+    mass = running_text(root, lambda n, p, link: link or p.tag == "a")
+    whole = mass[id(root)]
+    tops = outermost(root, ("article",))
+    if tops:
+        return max(tops, key=lambda n: mass[id(n)])
+    mains = outermost(root, ("main",))
     if mains:
         return mains[0]
     here = root
@@ -346,22 +406,8 @@ def content(root: Node, skip: set[int] | None = None) -> list[Node]:
     template is known, and the outermost main and article elements are the regions, if any.
 
     Running text is text outside links, and headings."""
-    mass: dict[int, int] = {}
-    tops: list[Node] = []
-
-    def weigh(n: Node, link: bool, inside: bool) -> int:
-        total = 0
-        top = not inside and n.tag in ("main", "article")
-        if top:
-            tops.append(n)
-        for part in n.parts:
-            if isinstance(part, str):
-                total += 0 if link else len(part.strip())
-            elif not part.noise and not (skip and id(part) in skip):
-                heading = n.tag in HEADINGS or part.tag in HEADINGS
-                total += weigh(part, not heading and (link or part.tag == "a"), inside or top)
-        mass[id(n)] = total
-        return total
+    mass = running_text(root, lambda n, p, link: n.tag not in HEADINGS and p.tag not in HEADINGS and (link or p.tag == "a"), skip)
+    tops = outermost(root, ("main", "article"), skip)
 
     def lowest(n: Node) -> Node:
         while True:
@@ -370,8 +416,7 @@ def content(root: Node, skip: set[int] | None = None) -> list[Node]:
                 return n
             n = inner[0]
 
-    whole = weigh(root, False, False)
-    if tops and (skip is None or not whole):
+    if tops and (skip is None or not mass[id(root)]):
         return [lowest(n) for n in tops]
     return [lowest(root)]
 
@@ -382,10 +427,9 @@ def main_text(html: str | None, template: dict | None) -> str:
     root = parse(html)
     skip: set[int] | None = None
     if template and len(template["texts"]) >= PAGES:
-        where: list[tuple[list, Node]] = []
+        where: Owners = {}
         tree = folded(root, where)
-        fixed = set(constant_nodes(tree, template["tree"], PAGES))
-        skip = {id(n) for t, n in where if id(t) in fixed}
+        skip = {id(n) for t in constant_nodes(tree, template["tree"], PAGES) for n in where[t][1]}
     return "\n\n".join(b for region in content(root, skip) for b in blocks(region, skip))
 
 
