@@ -55,3 +55,12 @@ def test_word_table_bound_changes_nothing(monkeypatch):
     again = [small.judge([t]) for t in texts]
     assert [l[0] for l, _ in again] == whole[0]
     assert np.allclose([s[0] for _, s in again], whole[1], atol=1e-6)   # sums of single-precision numbers
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """Rows repeated under one id, and one language that holds nearly all rows."""
+    rows = [(1, "one two three " * 30, "a")] * 600 + [(i, f"word{i} other", "a") for i in range(2, 400)] + [(500 + i, "vier funf", "b") for i in range(9)] + [(None, "x y", "b")]
+    seen = {}
+    monkeypatch.setattr(langid.Network, "fit", lambda self, words, label: seen.update(zip("wl", (words, label))) or self)
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), docs_per_lang=40, words_per_doc=20)
+    assert net.languages == ["a", "b"] and (seen["l"] == 0).sum() <= 40 * 20 and (seen["l"] == 1).sum() == 18

@@ -33,3 +33,21 @@ def test_few_candidates_and_empty_table(spark):
     assert sorted(map(tuple, topk.top_k(v.filter("id = 0"), v, 10).collect())) == [(0, 1, 1, 1024 * 512), (0, 2, 2, 1024 * 512)]
     assert topk.top_k(v.filter("id = 0"), v.filter("id = 0"), 10).count() == 0
     assert topk.top_k(v.limit(0), v.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e3, 1e5, 1e6, 1e9, 1e12])
+def test_large_components_are_exact(spark, size):
+    """Beyond 2^53 too; scores beyond a long are the nearest long."""
+    r = np.random.default_rng(2)
+    x = np.floor(r.normal(0, size, (60, 8)))
+    x[10:30] = x[10] + r.integers(0, 2, (20, 8))      # scores that differ by little
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = topk.quantised(frame)
+    got = topk.top_k(v.filter("id % 10 = 0"), v, 10).collect()
+    whole = [[1024 * int(c) for c in row] for row in x]
+    want = []
+    for i in range(0, 60, 10):
+        score = [min(max(sum(a * b for a, b in zip(whole[i], w)), topk.LONG[0]), topk.LONG[1]) for w in whole]
+        best = sorted((j for j in range(60) if j != i), key=lambda j: (-score[j], j))[:10]
+        want += [(i, k + 1, j, score[j]) for k, j in enumerate(best)]
+    assert sorted(map(tuple, got)) == want

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -80,6 +80,15 @@ def maybe_among(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     return rows.filter(among(place()))
 
 
+def smallest(rows: DataFrame, by: str, order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The ``k`` first rows of each group ``by``.  Each task's, then each salt's are taken first, so
+    that the last step sees at most ``k * salts`` rows of a group, whatever it holds."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns, F.lit("salt")), F.lit(salts)))
+    for keys in ([by, "_salt"], [by]):
+        salted = salted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+    return salted.drop("_salt")
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of ``column``.
 

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended
+from weirline.llm.common import byte_slices, extended, smallest
 
 HIDDEN = 12
 PIECE = 24                 # characters of a word read as one sequence
@@ -222,14 +222,14 @@ class Predictor:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           docs_per_lang: int = TRAIN_DOCS, words_per_doc: int = TRAIN_WORDS) -> Network | None:
     """Fit a network on a bounded sample: ``docs_per_lang`` documents of each language,
-    by the order of a hash of the id, and ``words_per_doc`` words of each by the order
+    by the order of a hash of the id (one text of each id, null ids left out), and ``words_per_doc`` words of each by the order
     of a hash of the word and its place.  None if nothing is labelled."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")) \
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang).select("id", "lang")
-    # A bounded broadcast: docs_per_lang ids of each language.
-    picked = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL").distinct()
+    chosen = smallest(ids, "lang", [F.xxhash64("id"), F.col("id")], docs_per_lang)
+    # A bounded broadcast: docs_per_lang ids of each language.  Of rows repeated under an id one is taken.
+    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
+        .join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,7 +13,8 @@ still in play has
 The k-th best lower bound is a floor: a candidate whose upper bound lies below it
 cannot qualify and goes.  Once no unseen candidate can qualify and the candidates
 in play are few, or the lists are read to the end, their final scores are
-resolved.  All arithmetic is on integers, so that bounds and ties are exact.
+resolved.  Bounds and scores are exact: integers are held as doubles where no sum of a block can
+reach 2^53, which is checked, and as unbounded integers elsewhere.
 
 Queries and candidates are cut into blocks of bounded size; each pair of a query
 block and a candidate block is one group, and every block returns at most k rows
@@ -21,7 +22,8 @@ a query, which a window merges.  No row is left out and nothing is approximate.
 
 Results: vectors that are null, empty or hold a null or non-finite component take
 no part.  Vectors of another length than the query's are no candidates of it.
-Equal scores rank by the smaller id.  Rows repeated in both id and vector count
+Equal scores rank by the smaller id; scores beyond a long are given as the nearest long and rank
+as that.  An empty table gives an empty result, extra columns play no part.  Rows repeated in both id and vector count
 once.  A query's own id is never its candidate; a query with no candidate returns
 no row.
 """
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 CANDIDATE_BLOCK = 4096   # rows of a block: the bound of a group's memory
 QUERY_BLOCK = 512
 RESOLVE_SHARE = 32       # final scores are resolved once one candidate in so many is in play
+LONG = (-(1 << 63), (1 << 63) - 1)
 DEPTHS = (0.5, 0.75, 0.875, 1.0)   # shares of the lists read after each round
 
 
@@ -50,15 +53,21 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     ).dropDuplicates(["id", "v"])
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(abs(int(x.max())), abs(int(x.min())))
+
+
 class SortedLists:
     """One block of candidates as sorted lists.
 
-    Integers are held as doubles: products and sums of quantised components stay far
-    below 2^53, so that every value is exact.
+    ``reach`` is the largest component, by amount, that a query may have.  Products and sums below 2^53
+    are exact in doubles; where a score could reach that, Python's integers are held instead.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x.astype(np.float64)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, reach: int):
+        # Two sums of len(x) products meet in a bound.
+        self.kind = np.float64 if 2 * x.shape[1] * max(1, reach) * max(1, _largest(x)) < 1 << 53 else object
+        self.ids, self.x = ids, x.astype(self.kind)
         order = np.argsort(x, axis=0, kind="stable")                  # list d, from its low end
         self.sorted = np.take_along_axis(self.x, order, axis=0)
         self.place = np.empty_like(order)
@@ -68,7 +77,11 @@ class SortedLists:
               if_unread_high: np.ndarray, if_unread_low: np.ndarray) -> np.ndarray:
         """What every candidate adds up to for every query: entries read count as they are,
         unread ones as the value given for their list."""
-        return up @ np.where(high, self.x, if_unread_high).T + down @ np.where(low, self.x, if_unread_low).T
+        return self._held(up @ np.where(high, self.x, if_unread_high).T + down @ np.where(low, self.x, if_unread_low).T)
+
+    def _held(self, sums: np.ndarray) -> np.ndarray:
+        """No sum lies beyond a long: bounds and scores are cut alike, so that bounds stay bounds."""
+        return np.clip(sums, *LONG) if self.kind is object else sums
 
     def top(self, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (id, vector), the ids and scores of its k best candidates.
@@ -77,7 +90,7 @@ class SortedLists:
         leaves the next round and has their final scores resolved."""
         n = len(self.ids)
         out: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], np.empty(0, np.int64))] * len(own)
-        q = q.astype(np.float64)
+        q = q.astype(self.kind)
         going = np.arange(len(own))
         alive = self.ids[None, :] != own[:, None]
         for depth in DEPTHS:
@@ -93,9 +106,9 @@ class SortedLists:
             last = depth == n
             for j in going[few | last]:
                 rows = np.flatnonzero(alive[j])
-                score = self.x[rows] @ q[j]
-                best = np.lexsort((self.ids[rows], -score))[:k]
-                out[j] = self.ids[rows][best], score[best].astype(np.int64)
+                score = self._held(self.x[rows] @ q[j]).astype(np.int64)
+                best = np.lexsort((self.ids[rows], ~score))[:k]    # ~score falls as score rises, the least long too
+                out[j] = self.ids[rows][best], score[best]
             going = going[~few]
             if last or not len(going):
                 break
@@ -110,10 +123,10 @@ def _search(k: int):
             wide = queries["v"].map(len)
             for size in sorted(set(sizes) & set(wide)):
                 same = block[sizes == size]
-                lists = SortedLists(same["id"].to_numpy(np.int64), np.stack(same["v"].to_numpy()).astype(np.int64))
                 asked = queries[wide == size]
-                own = asked["id"].to_numpy(np.int64)
-                found = lists.top(own, np.stack(asked["v"].to_numpy()).astype(np.int64), k)
+                own, q = asked["id"].to_numpy(np.int64), np.stack(asked["v"].to_numpy()).astype(np.int64)
+                lists = SortedLists(same["id"].to_numpy(np.int64), np.stack(same["v"].to_numpy()).astype(np.int64), _largest(q))
+                found = lists.top(own, q, k)
                 for one, (ids, scores) in zip(own.tolist(), found):
                     rows += zip([one] * len(ids), ids.tolist(), scores.tolist())
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
