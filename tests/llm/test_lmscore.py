@@ -1,8 +1,9 @@
-"""Pseudo-likelihood: gradients, a direct computation, odd rows."""
+"""Pseudo-likelihood: gradients, a direct computation, held-out texts, odd rows."""
 
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weirline.llm import lmscore
@@ -10,42 +11,104 @@ from shapes import docs  # noqa: F401
 
 
 def test_gradients_by_differences():
-    net = lmscore.WindowNetwork()
+    net = lmscore.WindowNetwork(np.arange(lmscore.SYMBOLS))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    left, right = np.array([0, 3, 5]), np.array([2, 0, 5])
-    target = np.random.default_rng(1).random((3, lmscore.SYMBOLS))
-    target /= target.sum()
-    _, grad = net.gradients(left, right, target)
-    for k, at in (("l", (3, 1)), ("r", (5, 2)), ("c", (4,)), ("o", (2, 7)), ("b", (9,))):
+    context, token = np.array([[0, 3, 5, 9], [0, 0, 5, 5], [70, 3, 1, 0]]), np.array([3, 200, 1])
+    loss, grad = net.gradients(context, token)
+    assert math.isclose(loss, -net.logp(context, token).mean(), rel_tol=1e-9)
+    for k, at in (("embed", (3, 1)), ("embed", (5, 7)), ("place", (2, 5)), ("hidden", (4,)), ("cls", (2, 0)), ("cls_bias", (3,)), ("tok", (0, 2, 3)), ("tok_bias", (3, 8))):
         keep, e = net.p[k][at], 1e-5
         net.p[k][at] = keep + e
-        up = net.gradients(left, right, target)[0]
+        up = net.gradients(context, token)[0]
         net.p[k][at] = keep - e
-        down = net.gradients(left, right, target)[0]
+        down = net.gradients(context, token)[0]
         net.p[k][at] = keep
         assert abs((up - down) / (2 * e) - grad[k][at]) < 1e-6
 
 
-def test_scores_are_sums_of_conditionals(spark, docs):
-    texts = ["the cat sat on the mat", "the dog sat", "The\tcat  sat\n", None, "", " \n", "x", "the " * 30_000, "zebra quark", "the dog sat"]
-    frame = docs(texts)
-    vocabulary, network = lmscore.train(frame)
-    got = {r["doc_id"]: r for r in lmscore.score(frame, vocabulary, network).collect()}
-    assert len(got) == len(texts)
-    table = network.table().reshape((lmscore.SYMBOLS,) * 3)
-    assert np.allclose(np.exp(table).sum(2), 1, atol=1e-3)
-    for i, t in enumerate(texts):
-        words = (t or "").lower().split()
-        sym = [0, *[vocabulary.frequent.get(w) or 1 + lmscore.FREQUENT + lmscore.cell_of(w) % vocabulary.shared for w in words], 0]
-        want = sum(float(table[sym[k], sym[k + 2], sym[k + 1]]) + (0 if w in vocabulary.frequent else vocabulary.share[lmscore.cell_of(w)]) for k, w in enumerate(words))
-        assert got[i]["n_tokens"] == len(words) and math.isclose(got[i]["score"], want, rel_tol=1e-4, abs_tol=1e-6)
-        assert (got[i]["mean_logprob"] is None) == (not words)
-    assert lmscore.score(docs([]), *lmscore.train(docs([]))).count() == 0
-
-
-def test_prose_scores_above_shuffled_words(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("doc_id", "text")
-    model = lmscore.train(frame)
-    mixed = frame.withColumn("text", F.concat_ws(" ", F.sort_array(F.split("text", r"\s+"))))
-    mean = lambda d: lmscore.score(d, *model).agg(F.sum("score") / F.sum("n_tokens")).first()[0]
-    assert mean(frame) > mean(mixed)
+def test_probabilities_sum_to_one():
+    net = lmscore.WindowNetwork(np.arange(lmscore.SYMBOLS))
+    context = np.repeat([[4, 900, 1, 0]], lmscore.SYMBOLS, 0)
+    assert math.isclose(np.exp(net.logp(context, np.arange(lmscore.SYMBOLS)).astype(np.float64)).sum(), 1, rel_tol=1e-4)
+
+
+def direct(model, corpus, text):
+    """The score by loops over words, with the corpus counted anew."""
+    words = lambda t: (t or "").lower().split()
+    sym = lambda ws: [0, 0, *[model.symbols.get(w, 1) for w in ws], 0, 0]
+    rare = [(w, s[i + 1], s[i + 3]) for t in corpus for ws in [words(t)] for s in [sym(ws)] for i, w in enumerate(ws) if s[i + 2] == 1]
+    size = len(rare) + len({w for w, _, _ in rare}) + 1
+    total, s = 0.0, sym(words(text))
+    for i, w in enumerate(words(text)):
+        k = i + 2
+        total += float(model.network.logp(np.array([[s[k - 2], s[k - 1], s[k + 1], s[k + 2]]]), np.array([s[k]]))[0])
+        if s[k] == 1:
+            left, right = s[k - 1], s[k + 1]
+            own = sum(x == w and a == left for x, a, _ in rare) + sum(x == w and b == right for x, _, b in rare)
+            base = lmscore.BACKOFF * (sum(x == w for x, _, _ in rare) + 1) / size
+            total += math.log((own + base) / (sum(a == left for _, a, _ in rare) + sum(b == right for _, _, b in rare) + lmscore.BACKOFF))
+    return total
+
+
+def test_scores_are_sums_of_conditionals(spark, docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "vocabulary", lambda counts, whole=lmscore.vocabulary: few(*whole(counts)))
+    texts = ["the cat sat on the mat", "the dog sat", "The\tcat  sat\n", None, "", " \n", "x", "the " * 3_000, "zebra quark", "the dog sat", "a zebra sat on zebra quark"]
+    model = lmscore.train(docs(texts))
+    new = [*texts, "never seen zebra", "the never the"]
+    got = {r["doc_id"]: r for r in lmscore.score(docs(new), model).collect()}
+    assert len(got) == len(new)
+    for i, t in enumerate(new):
+        n = len((t or "").split())
+        assert got[i]["n_tokens"] == n and (got[i]["mean_logprob"] is None) == (n == 0)
+        assert math.isclose(got[i]["score"], direct(model, texts, t), rel_tol=1e-4, abs_tol=1e-5)
+    same = {r["doc_id"]: r["score"] for r in lmscore.score_texts(model.texts, model).collect()}
+    assert all(math.isclose(same[i], got[i]["score"], rel_tol=1e-6, abs_tol=1e-9) for i in range(len(texts)))
+
+
+def few(symbols, stand):
+    """Only the three most frequent words stay symbols."""
+    kept = {w: i for w, i in symbols.items() if i < 5}
+    out = np.zeros_like(stand)
+    out[:5] = stand[:5]
+    out[1] += stand[5:].sum()
+    return kept, out
+
+
+def test_frequent_words_are_symbols(spark, docs):
+    counts = lmscore.word_counts(docs(["b a a c", "A b\tc c c", None]))
+    symbols, stand = lmscore.vocabulary(counts)
+    assert symbols == {"c": 2, "a": 3, "b": 4} and list(stand[:5]) == [0, 0, 4, 3, 2]
+
+
+def test_empty_corpus_and_clashing_columns(spark, docs):
+    assert lmscore.score(docs([]), lmscore.train(docs([]))).count() == 0
+    frame = docs(["one two", "two"]).withColumn("score", F.lit("old")).withColumn("key", F.lit(7)).withColumn("ids", F.lit("x")).withColumn("row", F.lit(None))
+    out = lmscore.score(frame, lmscore.train(frame))
+    assert dict(out.dtypes)["score"] == "double" and {(r["key"], r["ids"], r["row"]) for r in out.collect()} == {(7, "x", None)}
+
+
+@pytest.fixture(scope="module")
+def prose(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("doc_id", "text").dropDuplicates(["text"])
+    return rows.withColumn("part", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)))
+
+
+def mean(scored):
+    return scored.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+
+
+def test_held_out_prose_beats_shares_of_words_and_gains_from_more_texts(prose):
+    held = prose.filter("part = 0")
+    small, large = lmscore.train(prose.filter("part = 1")), lmscore.train(prose.filter("part > 0"))
+    shares = lmscore.Model(**{**large.__dict__, "network": lmscore.WindowNetwork(large.stand)})
+    shares.network.p["cls"][:], shares.network.p["tok"][:] = 0, 0
+    got, less, unigram = (mean(lmscore.score(held, m)) for m in (large, small, shares))
+    assert got > unigram + 0.1 and got > less
+
+
+def test_prose_scores_above_its_words_in_random_order(prose):
+    model = lmscore.train(prose)
+    mixed = prose.withColumn("text", F.array_join(F.transform(F.array_sort(F.transform(F.split("text", r"\s+"), lambda w, i: F.struct(F.md5(F.concat(w, i.cast("string"))).alias("k"), w.alias("w")))), lambda s: s["w"]), " "))
+    a, b = lmscore.score(prose, model), lmscore.score(mixed, model).select("doc_id", F.col("mean_logprob").alias("m"))
+    both = a.filter("n_tokens >= 20").join(b, "doc_id").agg(F.avg((F.col("mean_logprob") > F.col("m")).cast("int"))).first()[0]
+    assert both > 0.9

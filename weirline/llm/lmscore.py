@@ -1,27 +1,32 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Every token is predicted from the tokens on both its sides; the sum of the
-conditional log-probabilities is the document's score.
-
-* Words are counted over all documents.  The most frequent words are symbols of
-  their own; the others fall by a hash into cells, and cells into the remaining
-  symbols.  A word's probability is its symbol's, from the network, times the
-  share of its cell in the symbol, from the counts.
-* Over all documents, every (left, token, right) triple of symbols is counted: with
-  a fixed number of symbols the counts have a fixed size, whatever the corpus, and
-  they are all that training needs.  What is counted grows with the corpus.
-* The network embeds the left and the right neighbour, adds them in a hidden layer
-  and gives a distribution over symbols.  It is trained in numpy on the counts (all
-  triples of the corpus, each weighted by how often it occurs).
-
-The text border is a symbol.  Null and empty texts and texts of white space have no
-token: n_tokens 0, score 0, mean null.  Repeated rows count and are scored each; an
-empty corpus gives an empty result.
+Every token is predicted from the two tokens on each of its sides; the sum of the
+conditional log-probabilities (natural logarithms) is the document's score.
+
+* Words are counted over all documents.  The ``SYMBOLS - 2`` most frequent are symbols of
+  their own; symbol 0 is the border of a text, symbol 1 stands for every rarer word.
+* The network embeds the neighbours, scales each by its place, adds them in a hidden layer,
+  and gives a distribution over classes of symbols and one over the symbols of a class.
+  It is trained in numpy on the whole corpus: in each round every task masks its share of
+  the tokens of its texts, descends on them in minibatches, and the tasks' networks are
+  averaged by the number of tokens.  After ``ROUNDS`` rounds every token was masked once.
+* A rarer word has the probability of symbol 1 times its own among the rarer words, from
+  counts of real words over the corpus: how often it stands at all, after the left and
+  before the right neighbour.  These counts are Spark tables that grow with the corpus and
+  are joined at scoring; with them the words' probabilities sum to one, a small share left
+  for words never seen.
+
+Null and empty texts and texts of white space have no token: n_tokens 0, score 0, mean
+null.  Very long texts are read whole, in chunks of windows.  Repeated rows count and are
+scored each; rows of equal text have equal scores.  An empty corpus gives an empty result.
+Other columns stay; those named n_tokens, score or mean_logprob are replaced.  The same rows in the
+same files give the same scores; another layout trains in another order and shifts them slightly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, extended, stored
+from weirline.llm.common import byte_slices, drop_stored, stored
 
-SYMBOLS = 128             # 0: border; then the frequent words; then the shared symbols
-FREQUENT = 63
-CELLS = 1 << 16           # hashed cells of the other words
-HIDDEN, STEPS, RATE = 24, 150, 0.05
+CLASSES, CLASS_SIZE = 64, 64
+SYMBOLS = CLASSES * CLASS_SIZE   # 0: border, 1: rarer words, then the frequent words
+SIDE, HIDDEN = 2, 24             # neighbours on each side; width of the network
+ROUNDS, BATCH, RATE = 4, 1024, 0.01
+CHUNK = 1 << 14                  # windows that are scored at once
+BACKOFF = 4.0                    # weight of a rarer word's count against those beside its neighbours
+MERGERS = 16                     # tasks that average networks
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -48,8 +56,10 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return owner[filled.to_numpy(zero_copy_only=False)], coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def cell_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) % CELLS
+def hashed(text: str) -> int:
+    """64 bits as a signed long."""
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -59,142 +69,288 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in byte_slices(batch, text_col, 8 << 20):
                 _, words, index = split_words(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(index, minlength=len(words)).astype(np.int64)),
-                                                  pa.array([cell_of(w) for w in words], pa.int32())], names=["word", "n", "cell"])
-
-    return docs.select(text_col).mapInArrow(run, "word string, n long, cell int").groupBy("word", "cell").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Symbols and the log share of every cell in its symbol."""
-
-    def __init__(self, frequent: list[str], cells: np.ndarray):
-        self.frequent = {w: i + 1 for i, w in enumerate(frequent)}
-        self.shared = SYMBOLS - 1 - FREQUENT
-        counts = cells + 0.5      # a cell unseen in the corpus is not impossible
-        symbol = np.arange(CELLS) % self.shared
-        self.share = np.log(counts / np.bincount(symbol, counts)[symbol])
-
-    def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, symbol, log share in the symbol) of every word."""
-        owner, words, index = split_words(texts)
-        symbol, share = np.empty(len(words), np.int64), np.zeros(len(words))
-        for i, w in enumerate(words):
-            own = self.frequent.get(w)
-            if own is None:
-                c = cell_of(w)
-                symbol[i], share[i] = 1 + FREQUENT + c % self.shared, self.share[c]
-            else:
-                symbol[i] = own
-        return owner, symbol[index], share[index]
-
-
-def neighbours(owner: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols to the left and to the right of every word; 0 at the border of its text."""
-    same = owner[1:] == owner[:-1]
-    left, right = np.zeros_like(symbol), np.zeros_like(symbol)
-    left[1:][same] = symbol[:-1][same]
-    right[:-1][same] = symbol[1:][same]
-    return left, right
-
-
-def triple_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> np.ndarray:
-    """How often each (left, right, token) occurs in the corpus: SYMBOLS^3 numbers."""
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(index, minlength=len(words)).astype(np.int64))],
+                                                 names=["word", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """The symbol of each frequent word, and how often every symbol stands in the corpus.
+
+    Words are ranked only from the power of two on at which enough of them are as frequent,
+    so that tasks send few others to the driver."""
+    tiers = sorted(((r["tier"], r["words"], r["total"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("tier"))
+                    .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("total")).collect()), reverse=True)
+    reached, low = 0, 0
+    for tier, words, _ in tiers:
+        reached, low = reached + words, tier
+        if reached >= SYMBOLS - 2:
+            break
+    top = counts.filter(F.floor(F.log2("n")) >= low).orderBy(F.desc("n"), "word").limit(SYMBOLS - 2).collect()
+    stand = np.zeros(SYMBOLS)
+    stand[2:2 + len(top)] = [r["n"] for r in top]
+    stand[1] = sum(t for _, _, t in tiers) - stand.sum()
+    return {r["word"]: i + 2 for i, r in enumerate(top)}, stand
+
+
+def encode(docs: DataFrame, symbols: dict[str, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A stored table: ``row`` (the columns ``keep``, all if not given), ``ids`` (the text's symbols, two bytes
+    each), ``rare`` (its rarer words with the symbols beside them and how often) and ``key`` (a
+    hash of the text, where it has rarer words)."""
+    base = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    fields = pa.struct([("w", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS ** 3, np.int32)
         for batch in batches:
-            for part in byte_slices(batch, text_col):
-                owner, symbol, _ = vocabulary.symbols(part.column(text_col))
-                left, right = neighbours(owner, symbol)
-                at, n = np.unique((left * SYMBOLS + right) * SYMBOLS + symbol, return_counts=True)
-                total[at] += n.astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
-
-    summed = docs.select(text_col).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(SYMBOLS ** 3, np.float32)
-    found = summed.toArrow()   # at most SYMBOLS^3 rows
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(SYMBOLS * SYMBOLS, SYMBOLS)
+            for part in byte_slices(batch, "text"):
+                texts = part.column("text")
+                owner, words, index = split_words(texts)
+                symbol = np.array([symbols.get(w, 1) for w in words], np.uint16)
+                ids = symbol[index] if len(words) else np.zeros(0, np.uint16)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
+                at = np.flatnonzero(ids == 1)
+                names = np.array([hashed(w) if s == 1 else 0 for w, s in zip(words, symbol)], np.int64)
+                flat, place = padded(ids, owner, part.num_rows)
+                found = [owner[at], names[index[at]] if len(at) else np.zeros(0, np.int64), flat[place[at] - 1].astype(np.int64), flat[place[at] + 1].astype(np.int64)]
+                order = np.lexsort(found[::-1])
+                found = [f[order] for f in found]
+                first = np.ones(len(at), bool)
+                first[1:] = np.logical_or.reduce([f[1:] != f[:-1] for f in found])
+                start = np.flatnonzero(first)
+                who, w, left, right = (f[start] for f in found)
+                times = np.diff(np.append(start, len(at)))
+                bounds = np.searchsorted(who, np.arange(part.num_rows + 1)).astype(np.int32)
+                rare = pa.StructArray.from_arrays([pa.array(w), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(times.astype(np.int32))],
+                                                  fields=list(fields))
+                whole = ids.tobytes()
+                key = [hashed(t.as_py()) if bounds[i + 1] > bounds[i] else None for i, t in enumerate(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array([whole[2 * a:2 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(bounds), rare), pa.array(key, pa.int64())], names=["row", "ids", "rare", "key"])
+
+    row = base.schema["row"].dataType.simpleString()
+    return stored(base.mapInArrow(run, f"row {row}, ids binary, rare array<struct<w:long,l:int,r:int,n:int>>, key long"), "lm-texts")
+
+
+def padded(ids: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts with ``SIDE`` borders before, between and after them, and each one's place."""
+    place = np.arange(len(ids)) + SIDE * (owner + 1)
+    flat = np.zeros(len(ids) + SIDE * (texts + 1), np.int32)
+    flat[place] = ids
+    return flat, place
+
+
+def windows(flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, token) at the given places."""
+    return np.stack([flat[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1), flat[place]
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(padded symbols, places, text number) of a slice of the column ``ids``."""
+    ids = np.frombuffer(b"".join(column.to_pylist()), np.uint16)
+    owner = np.repeat(np.arange(len(column)), pc.binary_length(column).to_numpy(zero_copy_only=False) // 2)
+    return *padded(ids, owner, len(column)), owner
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 class WindowNetwork:
-    """p(token | left, right): two embeddings added in a hidden layer, softmax over symbols."""
+    """p(token | neighbours) = p(class | neighbours) p(token | class, neighbours)."""
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, stand: np.ndarray, seed: int = 5):
         r = np.random.default_rng(seed)
-        self.p = {"l": r.normal(0, 0.3, (SYMBOLS, HIDDEN)), "r": r.normal(0, 0.3, (SYMBOLS, HIDDEN)), "c": np.zeros(HIDDEN),
-                  "o": r.normal(0, 0.1, (HIDDEN, SYMBOLS)), "b": np.zeros(SYMBOLS)}
+        share = (np.asarray(stand, np.float64) + 1e-3).reshape(CLASSES, CLASS_SIZE)
+        self.p = {"embed": r.normal(0, 0.3, (SYMBOLS, HIDDEN)), "place": r.normal(0.5, 0.3, (2 * SIDE, HIDDEN)), "hidden": np.zeros(HIDDEN),
+                  "cls": r.normal(0, 0.05, (HIDDEN, CLASSES)), "cls_bias": np.log(share.sum(1)),
+                  "tok": r.normal(0, 0.05, (CLASSES, HIDDEN, CLASS_SIZE)), "tok_bias": np.log(share)}   # starts as the shares of words
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def forward(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden states and log-probabilities for pairs of neighbours."""
-        h = np.tanh(self.p["l"][left] + self.p["r"][right] + self.p["c"])
-        z = h @ self.p["o"] + self.p["b"]
-        z -= z.max(1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    def gradients(self, left: np.ndarray, right: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Cross-entropy of weighted targets (one row of token weights per context; all sum to 1)."""
-        h, logp = self.forward(left, right)
-        loss = -float((target * logp).sum())
-        dz = np.exp(logp) * target.sum(1, keepdims=True) - target
-        dh = (dz @ self.p["o"].T) * (1 - h * h)
-        out = {"o": h.T @ dz, "b": dz.sum(0), "c": dh.sum(0), "l": np.zeros_like(self.p["l"]), "r": np.zeros_like(self.p["r"])}
-        np.add.at(out["l"], left, dh)
-        np.add.at(out["r"], right, dh)
-        return loss, out
-
-    def fit(self, counts: np.ndarray, steps: int = STEPS) -> "WindowNetwork":
-        """Full-batch Adam on the counts, a row per (left, right)."""
-        seen = np.flatnonzero(counts.any(1))
-        if not len(seen):
-            return self
-        target = counts[seen] / counts.sum(dtype=np.float64).astype(np.float32)
-        left, right = seen // SYMBOLS, seen % SYMBOLS
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for t in range(1, steps + 1):
-            _, grad = self.gradients(left, right, target)
-            for k, g in grad.items():
-                m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.99 * s[k] + 0.01 * g * g
-                self.p[k] -= (RATE * (1 - 0.8 * t / steps) * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.99 ** t)) + 1e-9)).astype(np.float32)
-        return self
-
-    def table(self) -> np.ndarray:
-        """Log-probabilities of all (left, right, token), flat."""
-        both = np.arange(SYMBOLS * SYMBOLS)
-        return self.forward(both // SYMBOLS, both % SYMBOLS)[1].astype(np.float32).ravel()
-
-
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNetwork]:
-    """Count the whole corpus and fit the network."""
-    counts = stored(word_counts(docs, text_col), "word-counts")
-    frequent = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    cells = np.zeros(CELLS)
-    rare = counts.filter(~F.col("word").isin(frequent)) if frequent else counts
-    for r in rare.groupBy("cell").agg(F.sum("n").alias("n")).collect():   # at most CELLS rows
-        cells[r["cell"]] = r["n"]
-    vocabulary = Vocabulary(frequent, cells)
-    return vocabulary, WindowNetwork().fit(triple_counts(docs, vocabulary, text_col))
-
+    def states(self, context: np.ndarray) -> np.ndarray:
+        x = self.p["hidden"] + sum(self.p["embed"][context[:, j]] * self.p["place"][j] for j in range(2 * SIDE))
+        return np.tanh(x)
+
+    @staticmethod
+    def groups(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, its rows) for the classes present."""
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            if ends[c] < ends[c + 1]:
+                yield c, order[ends[c]:ends[c + 1]]
+
+    def logp(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """ln p(token | neighbours) of every row."""
+        h, (cls, within) = self.states(context), np.divmod(token, CLASS_SIZE)
+        out = log_softmax(h @ self.p["cls"] + self.p["cls_bias"])[np.arange(len(token)), cls]
+        for c, rows in self.groups(cls):
+            out[rows] += log_softmax(h[rows] @ self.p["tok"][c] + self.p["tok_bias"][c])[np.arange(len(rows)), within[rows]]
+        return out
+
+    def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of the tokens and its gradients."""
+        p, n = self.p, len(token)
+        h, (cls, within) = self.states(context), np.divmod(token, CLASS_SIZE)
+        out = {k: np.zeros_like(v) for k, v in p.items()}
+        logp = log_softmax(h @ p["cls"] + p["cls_bias"])
+        loss = -float(logp[np.arange(n), cls].sum())
+        dz = np.exp(logp)
+        dz[np.arange(n), cls] -= 1
+        out["cls"], out["cls_bias"], dh = h.T @ dz, dz.sum(0), dz @ p["cls"].T
+        for c, rows in self.groups(cls):
+            logp = log_softmax(h[rows] @ p["tok"][c] + p["tok_bias"][c])
+            loss -= float(logp[np.arange(len(rows)), within[rows]].sum())
+            dz = np.exp(logp)
+            dz[np.arange(len(rows)), within[rows]] -= 1
+            out["tok"][c], out["tok_bias"][c] = h[rows].T @ dz, dz.sum(0)
+            dh[rows] += dz @ p["tok"][c].T
+        dx = dh * (1 - h * h)
+        out["hidden"] = dx.sum(0)
+        out["place"] = np.stack([(dx * p["embed"][context[:, j]]).sum(0) for j in range(2 * SIDE)])
+        spread, at = (dx[:, None, :] * p["place"]).reshape(-1, HIDDEN), context.ravel()
+        out["embed"] = np.stack([np.bincount(at, spread[:, d], SYMBOLS) for d in range(HIDDEN)], 1).astype(dx.dtype)
+        return loss / n, {k: g / n for k, g in out.items()}
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def with_vector(self, flat: np.ndarray) -> "WindowNetwork":
+        new, at = object.__new__(WindowNetwork), 0
+        new.p = {}
+        for k, v in self.p.items():
+            new.p[k], at = flat[at:at + v.size].reshape(v.shape).astype(np.float32), at + v.size
+        return new
+
+
+class Adam:
+    """Descends on minibatches; the moments belong to one task and one round."""
+
+    def __init__(self, network: WindowNetwork, rate: float):
+        self.network, self.rate, self.t = network, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in network.p.items()}
+
+    def step(self, context: np.ndarray, token: np.ndarray) -> None:
+        self.t += 1
+        _, grad = self.network.gradients(context, token)
+        scale = self.rate * np.sqrt(1 - 0.99 ** self.t) / (1 - 0.9 ** self.t)
+        for k, g in grad.items():
+            m, s = self.m[k], self.s[k]
+            m *= 0.9
+            m += 0.1 * g
+            s *= 0.99
+            s += 0.01 * g * g
+            self.network.p[k] -= np.float32(scale) * m / (np.sqrt(s) + np.float32(1e-7))
+
+
+def train_round(texts: DataFrame, network: WindowNetwork, number: int) -> WindowNetwork:
+    """Every task descends from ``network`` on the tokens that this round masks; the results are averaged."""
 
-def score(docs: DataFrame, vocabulary: Vocabulary, network: WindowNetwork, text_col: str = "text") -> DataFrame:
-    """Add n_tokens, score (summed log-probability) and mean_logprob (clashing columns are replaced)."""
-    base = docs.drop("n_tokens", "score", "mean_logprob")
-    table = network.table()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = network.with_vector(network.vector()), 0
+        adam, mix = Adam(own, RATE * (1 - number / (ROUNDS + 1))), np.random.default_rng(number)
+        for batch in batches:
+            for part in byte_slices(batch, "ids"):
+                flat, place, _ = texts_of(part.column("ids"))
+                masked = mix.permutation(place[number::ROUNDS])
+                for lo in range(0, len(masked), BATCH):
+                    adam.step(*windows(flat, masked[lo:lo + BATCH]))
+                seen += len(masked)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.vector().tobytes()], pa.binary())], names=["seen", "net"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0.0, 0
+        for batch in batches:
+            for n, net in zip(batch.column("seen").to_pylist(), batch.column("net")):
+                total, seen = total + n * np.frombuffer(net.as_py(), np.float32).astype(np.float64), seen + n
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["seen", "net"])
+
+    schema = "seen long, net binary"
+    parts = texts.select("ids").mapInArrow(run, schema).repartition(MERGERS).mapInArrow(average, schema).collect()   # MERGERS networks at most
+    if not parts:
+        return network
+    weights = [r["seen"] for r in parts]
+    return network.with_vector(np.average([np.frombuffer(r["net"], np.float32) for r in parts], 0, weights))
+
+
+@dataclass
+class Model:
+    symbols: dict[str, int]
+    stand: np.ndarray           # how often each symbol stands in the corpus
+    network: WindowNetwork
+    rare: dict[str, DataFrame]  # counts of rarer words: by word, by left neighbour, by right neighbour
+    after: np.ndarray           # how often a rarer word follows each symbol
+    before: np.ndarray          # how often one precedes it
+    size: int                   # rarer words and distinct ones of them, and one for the unseen
+    texts: DataFrame            # the encoded corpus
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """Rarer words of each distinct text between their neighbours: ``n`` in the text, ``total`` in its copies."""
+    return texts.select("key", F.inline("rare")).groupBy("key", "w", "l", "r").agg(F.min("n").alias("n"), F.sum("n").alias("total"))
+
+
+def train(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> Model:
+    """Count the whole corpus and train the network on it; ``keep`` names the columns that scores need."""
+    counts = stored(word_counts(docs, text_col), "word-counts")
+    symbols, stand = vocabulary(counts)
+    drop_stored(counts)
+    texts = encode(docs, symbols, text_col, keep)
+    network = WindowNetwork(stand)
+    for number in range(ROUNDS):
+        network = train_round(texts, network, number)
+    seen = stored(texts.select(F.inline("rare")).groupBy("w", "l", "r").agg(F.sum("n").alias("n")), "lm-rare")
+    rare = {name: stored(seen.groupBy(*on).agg(F.sum("n").alias(f"n_{name}")), f"lm-rare-{name}")
+            for name, on in (("word", ["w"]), ("left", ["w", "l"]), ("right", ["w", "r"]))}
+    sides = []
+    for side in ("l", "r"):
+        beside = np.zeros(SYMBOLS)
+        for r in seen.groupBy(side).agg(F.sum("n").alias("n")).collect():   # at most SYMBOLS rows
+            beside[r[side]] = r["n"]
+        sides.append(beside)
+    return Model(symbols, stand, network, rare, *sides, int(stand[1]) + rare["word"].count() + 1, texts)
+
+
+def rare_scores(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, rare): summed log-probabilities of a text's rarer words among the rarer words."""
+    beside = {"l": F.lit([float(x) for x in model.after]), "r": F.lit([float(x) for x in model.before])}
+    found = occurrences(texts).drop("total")
+    for name, on in (("word", ["w"]), ("left", ["w", "l"]), ("right", ["w", "r"])):
+        found = found.join(model.rare[name], on, "left")
+    count = lambda name: F.coalesce(F.col(f"n_{name}"), F.lit(0))
+    own = count("left") + count("right") + BACKOFF * (count("word") + 1) / F.lit(float(model.size))
+    of = F.get(beside["l"], F.col("l")) + F.get(beside["r"], F.col("r")) + BACKOFF
+    return found.groupBy("key").agg(F.sum(F.col("n") * F.log(own / of)).alias("rare"))
+
+
+def score_texts(texts: DataFrame, model: Model) -> DataFrame:
+    """Rows of an encoded table with n_tokens, score and mean_logprob."""
+    network = model.network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, text_col):
-                owner, symbol, share = vocabulary.symbols(part.column(text_col))
-                left, right = neighbours(owner, symbol)
-                logp = table[(left * SYMBOLS + right) * SYMBOLS + symbol] + share
-                n = np.bincount(owner, minlength=part.num_rows)
-                total = np.bincount(owner, logp, minlength=part.num_rows)
-                mean = total / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), pa.array(total.astype(np.float64)), pa.array(mean, mask=n == 0)],
-                                                 names=[*part.schema.names, "n_tokens", "score", "mean_logprob"])
-
-    return base.mapInArrow(run, extended(base, "n_tokens long", "score double", "mean_logprob double"))
+            for part in byte_slices(batch, "ids"):
+                flat, place, owner = texts_of(part.column("ids"))
+                total = np.zeros(part.num_rows)
+                for lo in range(0, len(place), CHUNK):
+                    at = slice(lo, lo + CHUNK)
+                    total += np.bincount(owner[at], network.logp(*windows(flat, place[at])), part.num_rows)
+                n = np.bincount(owner, minlength=part.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(total)], names=["row", "key", "n_tokens", "net"])
+
+    row = texts.schema["row"].dataType
+    by_text = texts.select("row", "key", "ids").mapInArrow(run, f"row {row.simpleString()}, key long, n_tokens long, net double")
+    joined = by_text.join(stored(rare_scores(texts, model), "lm-rare-scores"), "key", "left")
+    score = F.col("net") + F.coalesce("rare", F.lit(0.0))
+    kept = [F.col("row").getField(c).alias(c) for c in row.names if c not in ("n_tokens", "score", "mean_logprob")]
+    return joined.select(*kept, "n_tokens", score.alias("score"), F.when(F.col("n_tokens") > 0, score / F.col("n_tokens")).alias("mean_logprob"))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Add n_tokens, score (summed log-probability) and mean_logprob."""
+    return score_texts(encode(docs, model.symbols, text_col), model)

@@ -135,8 +135,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    vocabulary, network = lmscore.train(docs)
-    return lmscore.score(docs, vocabulary, network).select("doc_id", "n_tokens", "score", "mean_logprob")
+    model = lmscore.train(docs, keep=["doc_id"])
+    return lmscore.score_texts(model.texts, model)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
