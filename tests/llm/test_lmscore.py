@@ -35,23 +35,18 @@ def test_probabilities_sum_to_one():
 def direct(model, corpus, text):
     """The score by loops over words, with the corpus counted anew."""
     words = lambda t: (t or "").lower().split()
-    sym = lambda ws: [0, 0, *[model.symbols.get(w, 1) for w in ws], 0, 0]
-    rare = [(w, s[i + 1], s[i + 3]) for t in corpus for ws in [words(t)] for s in [sym(ws)] for i, w in enumerate(ws) if s[i + 2] == 1]
-    size = len(rare) + len({w for w, _, _ in rare}) + 1
-    total, s = 0.0, sym(words(text))
-    for i, w in enumerate(words(text)):
-        k = i + 2
+    rare = [w for t in corpus for w in words(t) if w not in model.words.symbols]
+    total, s = 0.0, [0, 0, *[model.words.symbols.get(w, 1) for w in words(text)], 0, 0]
+    for k, w in enumerate(words(text), 2):
         total += float(model.network.logp(np.array([[s[k - 2], s[k - 1], s[k + 1], s[k + 2]]]), np.array([s[k]]))[0])
         if s[k] == 1:
-            left, right = s[k - 1], s[k + 1]
-            own = sum(x == w and a == left for x, a, _ in rare) + sum(x == w and b == right for x, _, b in rare)
-            base = lmscore.BACKOFF * (sum(x == w for x, _, _ in rare) + 1) / size
-            total += math.log((own + base) / (sum(a == left for _, a, _ in rare) + sum(b == right for _, _, b in rare) + lmscore.BACKOFF))
+            total += math.log((rare.count(w) + 1) / (len(rare) + len(set(rare)) + 1))
     return total
 
 
-def test_scores_are_sums_of_conditionals(spark, docs, monkeypatch):
-    monkeypatch.setattr(lmscore, "vocabulary", lambda counts, whole=lmscore.vocabulary: few(*whole(counts)))
+@pytest.mark.parametrize("at_hand", [5, 3, 100])
+def test_scores_are_sums_of_conditionals(spark, docs, monkeypatch, at_hand):
+    monkeypatch.setattr(lmscore, "vocabulary", few_symbols(at_hand))
     texts = ["the cat sat on the mat", "the dog sat", "The\tcat  sat\n", None, "", " \n", "x", "the " * 3_000, "zebra quark", "the dog sat", "a zebra sat on zebra quark"]
     model = lmscore.train(docs(texts))
     new = [*texts, "never seen zebra", "the never the"]
@@ -65,19 +60,27 @@ def test_scores_are_sums_of_conditionals(spark, docs, monkeypatch):
     assert all(math.isclose(same[i], got[i]["score"], rel_tol=1e-6, abs_tol=1e-9) for i in range(len(texts)))
 
 
-def few(symbols, stand):
-    """Only the three most frequent words stay symbols."""
-    kept = {w: i for w, i in symbols.items() if i < 5}
-    out = np.zeros_like(stand)
-    out[:5] = stand[:5]
-    out[1] += stand[5:].sum()
-    return kept, out
+def few_symbols(at_hand):
+    """Three words are symbols, ``at_hand`` words in all have their counts at hand, the others are joined."""
+    def cut(counts):
+        ranked = counts.orderBy(F.desc("n"), "word").collect()
+        first, rest, total = ranked[:3], ranked[3:at_hand], sum(r["n"] for r in ranked)
+        stand = np.zeros(lmscore.SYMBOLS)
+        stand[2:5] = [r["n"] for r in first]
+        stand[1] = total - stand.sum()
+        size = int(stand[1]) + len(ranked) - 3 + 1
+        return lmscore.Vocabulary({r["word"]: i + 2 for i, r in enumerate(first)}, stand, {r["word"]: math.log((r["n"] + 1) / size) for r in rest}, size, ranked[min(at_hand, len(ranked)) - 1]["n"])
+    return cut
 
 
-def test_frequent_words_are_symbols(spark, docs):
-    counts = lmscore.word_counts(docs(["b a a c", "A b\tc c c", None]))
-    symbols, stand = lmscore.vocabulary(counts)
-    assert symbols == {"c": 2, "a": 3, "b": 4} and list(stand[:5]) == [0, 0, 4, 3, 2]
+def test_ranked_words(spark, docs, monkeypatch):
+    counts = lmscore.word_counts(docs(["b a a c", "A b\tc c c", None, "d e"]))
+    got = lmscore.vocabulary(counts)
+    assert got.symbols == {"c": 2, "a": 3, "b": 4, "d": 5, "e": 6} and list(got.stand[:7]) == [0, 0, 4, 3, 2, 1, 1] and got.size == 1
+    monkeypatch.setattr(lmscore, "SYMBOLS", 4)
+    monkeypatch.setattr(lmscore, "KNOWN", 4)
+    got = lmscore.vocabulary(counts)
+    assert got.symbols == {"c": 2, "a": 3} and set(got.shares) == {"b", "d"} and got.size == 4 + 3 + 1 and got.least == 1
 
 
 def test_empty_corpus_and_clashing_columns(spark, docs):
@@ -100,7 +103,7 @@ def mean(scored):
 def test_held_out_prose_beats_shares_of_words_and_gains_from_more_texts(prose):
     held = prose.filter("part = 0")
     small, large = lmscore.train(prose.filter("part = 1")), lmscore.train(prose.filter("part > 0"))
-    shares = lmscore.Model(**{**large.__dict__, "network": lmscore.WindowNetwork(large.stand)})
+    shares = lmscore.Model(**{**large.__dict__, "network": lmscore.WindowNetwork(large.words.stand)})
     shares.network.p["cls"][:], shares.network.p["tok"][:] = 0, 0
     got, less, unigram = (mean(lmscore.score(held, m)) for m in (large, small, shares))
     assert got > unigram + 0.1 and got > less

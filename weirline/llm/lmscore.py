@@ -7,18 +7,18 @@ conditional log-probabilities (natural logarithms) is the document's score.
   their own; symbol 0 is the border of a text, symbol 1 stands for every rarer word.
 * The network embeds the neighbours, scales each by its place, adds them in a hidden layer,
   and gives a distribution over classes of symbols and one over the symbols of a class.
-  It is trained in numpy on the whole corpus: in each round every task masks its share of
-  the tokens of its texts, descends on them in minibatches, and the tasks' networks are
-  averaged by the number of tokens.  After ``ROUNDS`` rounds every token was masked once.
-* A rarer word has the probability of symbol 1 times its own among the rarer words, from
-  counts of real words over the corpus: how often it stands at all, after the left and
-  before the right neighbour.  These counts are Spark tables that grow with the corpus and
-  are joined at scoring; with them the words' probabilities sum to one, a small share left
-  for words never seen.
+  It is trained in numpy on every text of the corpus: in each of ``ROUNDS`` rounds every task
+  masks one token in ``MASK`` of its texts (others in each round), descends on them in
+  minibatches, and the tasks' networks are averaged by the number of tokens.
+* A rarer word has the probability of symbol 1 times its share among the rarer words, from
+  the counts.  The counts are a Spark table that grows with the corpus and is joined at
+  scoring; only the shares of the ``KNOWN`` most frequent words are at hand in the tasks, which
+  gives the same numbers and spares their rows the join.  The words' probabilities sum to
+  one, a small share left for words never seen.
 
 Null and empty texts and texts of white space have no token: n_tokens 0, score 0, mean
 null.  Very long texts are read whole, in chunks of windows.  Repeated rows count and are
-scored each; rows of equal text have equal scores.  An empty corpus gives an empty result.
+scored each.  An empty corpus gives an empty result.
 Other columns stay; those named n_tokens, score or mean_logprob are replaced.  The same rows in the
 same files give the same scores; another layout trains in another order and shifts them slightly.
 """
@@ -35,14 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirline.llm.common import byte_slices, drop_stored, stored
+from weirline.llm.common import byte_slices, stored
 
 CLASSES, CLASS_SIZE = 64, 64
 SYMBOLS = CLASSES * CLASS_SIZE   # 0: border, 1: rarer words, then the frequent words
 SIDE, HIDDEN = 2, 24             # neighbours on each side; width of the network
-ROUNDS, BATCH, RATE = 4, 1024, 0.01
-CHUNK = 1 << 14                  # windows that are scored at once
-BACKOFF = 4.0                    # weight of a rarer word's count against those beside its neighbours
+ROUNDS, MASK = 4, 8              # rounds of training, and which share of the tokens each masks
+BATCH, RATE = 2048, 0.05
+CHUNK = 1 << 13                  # windows that are scored at once
+KNOWN = 1 << 16                  # words whose counts tasks have at hand
 MERGERS = 16                     # tasks that average networks
 
 
@@ -56,9 +57,9 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return owner[filled.to_numpy(zero_copy_only=False)], coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def hashed(text: str) -> int:
-    """64 bits as a signed long."""
-    h = xxhash.xxh3_64_intdigest(text)
+def hashed(word: str) -> int:
+    """What Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(word, seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -75,62 +76,67 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """The symbol of each frequent word, and how often every symbol stands in the corpus.
+@dataclass
+class Vocabulary:
+    symbols: dict[str, int]     # the symbol of each frequent word
+    stand: np.ndarray           # how often each symbol stands in the corpus
+    shares: dict[str, float]    # log share among the rarer words, of those at hand
+    size: int                   # rarer words, and the distinct ones once more, and one for the unseen
+    least: int                  # words that are not at hand are at most as frequent
+
 
-    Words are ranked only from the power of two on at which enough of them are as frequent,
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """Words are ranked only from the power of two on at which enough of them are as frequent,
     so that tasks send few others to the driver."""
     tiers = sorted(((r["tier"], r["words"], r["total"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("tier"))
                     .agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("total")).collect()), reverse=True)
     reached, low = 0, 0
     for tier, words, _ in tiers:
         reached, low = reached + words, tier
-        if reached >= SYMBOLS - 2:
+        if reached >= KNOWN:
             break
-    top = counts.filter(F.floor(F.log2("n")) >= low).orderBy(F.desc("n"), "word").limit(SYMBOLS - 2).collect()
+    top = counts.filter(F.floor(F.log2("n")) >= low).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    first, rest = top[:SYMBOLS - 2], top[SYMBOLS - 2:]
     stand = np.zeros(SYMBOLS)
-    stand[2:2 + len(top)] = [r["n"] for r in top]
+    stand[2:2 + len(first)] = [r["n"] for r in first]
     stand[1] = sum(t for _, _, t in tiers) - stand.sum()
-    return {r["word"]: i + 2 for i, r in enumerate(top)}, stand
+    size = int(stand[1]) + sum(w for _, w, _ in tiers) - len(first) + 1
+    return Vocabulary({r["word"]: i + 2 for i, r in enumerate(first)}, stand, {r["word"]: float(np.log((r["n"] + 1) / size)) for r in rest}, size,
+                      top[-1]["n"] if top else 0)
 
 
-def encode(docs: DataFrame, symbols: dict[str, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, words: Vocabulary, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A stored table: ``row`` (the columns ``keep``, all if not given), ``ids`` (the text's symbols, two bytes
-    each), ``rare`` (its rarer words with the symbols beside them and how often) and ``key`` (a
-    hash of the text, where it has rarer words)."""
-    base = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    fields = pa.struct([("w", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("n", pa.int32())])
+    each), ``share`` (summed log shares of its rarer words that are at hand), ``rare`` (the others'
+    hashes and how often) and ``key`` (the row's number)."""
+    base = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                texts = part.column("text")
-                owner, words, index = split_words(texts)
-                symbol = np.array([symbols.get(w, 1) for w in words], np.uint16)
-                ids = symbol[index] if len(words) else np.zeros(0, np.uint16)
+            for part in byte_slices(batch, "text", 4 << 20):
+                owner, distinct, index = split_words(part.column("text"))
+                symbol, share, name = np.ones(len(distinct), np.uint16), np.zeros(len(distinct)), np.zeros(len(distinct), np.int64)
+                away = np.zeros(len(distinct), bool)
+                for i, w in enumerate(distinct):
+                    if w in words.symbols:
+                        symbol[i] = words.symbols[w]
+                    elif w in words.shares:
+                        share[i] = words.shares[w]
+                    else:
+                        name[i], away[i] = hashed(w), True
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
-                at = np.flatnonzero(ids == 1)
-                names = np.array([hashed(w) if s == 1 else 0 for w, s in zip(words, symbol)], np.int64)
-                flat, place = padded(ids, owner, part.num_rows)
-                found = [owner[at], names[index[at]] if len(at) else np.zeros(0, np.int64), flat[place[at] - 1].astype(np.int64), flat[place[at] + 1].astype(np.int64)]
-                order = np.lexsort(found[::-1])
-                found = [f[order] for f in found]
-                first = np.ones(len(at), bool)
-                first[1:] = np.logical_or.reduce([f[1:] != f[:-1] for f in found])
-                start = np.flatnonzero(first)
-                who, w, left, right = (f[start] for f in found)
-                times = np.diff(np.append(start, len(at)))
+                at = np.flatnonzero(away[index])
+                pairs, times = np.unique(owner[at] * (len(distinct) + 1) + index[at], return_counts=True)
+                who, which = np.divmod(pairs, len(distinct) + 1)
                 bounds = np.searchsorted(who, np.arange(part.num_rows + 1)).astype(np.int32)
-                rare = pa.StructArray.from_arrays([pa.array(w), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(times.astype(np.int32))],
-                                                  fields=list(fields))
-                whole = ids.tobytes()
-                key = [hashed(t.as_py()) if bounds[i + 1] > bounds[i] else None for i, t in enumerate(texts)]
+                rare = pa.StructArray.from_arrays([pa.array(name[which]), pa.array(times.astype(np.int32))], names=["w", "n"])
+                ids = symbol[index].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array([whole[2 * a:2 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(bounds), rare), pa.array(key, pa.int64())], names=["row", "ids", "rare", "key"])
+                    [part.column("row"), pa.array([ids[2 * a:2 * b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()), pa.array(np.bincount(owner, share[index], part.num_rows)),
+                     pa.ListArray.from_arrays(pa.array(bounds), rare), part.column("key")], names=["row", "ids", "share", "rare", "key"])
 
     row = base.schema["row"].dataType.simpleString()
-    return stored(base.mapInArrow(run, f"row {row}, ids binary, rare array<struct<w:long,l:int,r:int,n:int>>, key long"), "lm-texts")
+    return stored(base.mapInArrow(run, f"row {row}, ids binary, share double, rare array<struct<w:long,n:int>>, key long"), "lm-texts")
 
 
 def padded(ids: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +159,16 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *padded(ids, owner, len(column)), owner
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """e, its row sums and the logarithms that rows of z need to become log-probabilities (e / sum is the softmax)."""
+    top = z.max()
+    e = np.exp(z - top)
+    total = e @ np.ones(z.shape[1], z.dtype)
+    if total.size and total.min() < 1e-25:   # a row far below the greatest value
+        top = z.max(1)
+        e = np.exp(z - top[:, None])
+        total = e.sum(1)
+    return e, total, np.log(total) + top
 
 
 class WindowNetwork:
@@ -170,49 +183,62 @@ class WindowNetwork:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def states(self, context: np.ndarray) -> np.ndarray:
-        x = self.p["hidden"] + sum(self.p["embed"][context[:, j]] * self.p["place"][j] for j in range(2 * SIDE))
-        return np.tanh(x)
+        x = self.p["embed"][context[:, 0]] * self.p["place"][0]
+        for j in range(1, 2 * SIDE):
+            x += self.p["embed"][context[:, j]] * self.p["place"][j]
+        x += self.p["hidden"]
+        return np.tanh(x, out=x)
 
     @staticmethod
-    def groups(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, its rows) for the classes present."""
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c]:ends[c + 1]]
+    def groups(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """(class, its rows) for the classes present, in rows ordered by class."""
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for c in np.flatnonzero(ends[1:] > ends[:-1]):
+            yield c, slice(ends[c], ends[c + 1])
 
     def logp(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """ln p(token | neighbours) of every row."""
-        h, (cls, within) = self.states(context), np.divmod(token, CLASS_SIZE)
-        out = log_softmax(h @ self.p["cls"] + self.p["cls_bias"])[np.arange(len(token)), cls]
+        order = np.argsort(token, kind="stable")
+        h, (cls, within) = self.states(context[order]), np.divmod(token[order], CLASS_SIZE)
+        z = h @ self.p["cls"]
+        z += self.p["cls_bias"]
+        got = z[np.arange(len(token)), cls] - exponents(z)[2]
         for c, rows in self.groups(cls):
-            out[rows] += log_softmax(h[rows] @ self.p["tok"][c] + self.p["tok_bias"][c])[np.arange(len(rows)), within[rows]]
+            z = h[rows] @ self.p["tok"][c]
+            z += self.p["tok_bias"][c]
+            got[rows] += z[np.arange(len(z)), within[rows]] - exponents(z)[2]
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the tokens and its gradients."""
-        p, n = self.p, len(token)
-        h, (cls, within) = self.states(context), np.divmod(token, CLASS_SIZE)
-        out = {k: np.zeros_like(v) for k, v in p.items()}
-        logp = log_softmax(h @ p["cls"] + p["cls_bias"])
-        loss = -float(logp[np.arange(n), cls].sum())
-        dz = np.exp(logp)
-        dz[np.arange(n), cls] -= 1
+        order = np.argsort(token, kind="stable")
+        p, n, context = self.p, len(token), context[order]
+        h, (cls, within) = self.states(context), np.divmod(token[order], CLASS_SIZE)
+        out = {k: np.zeros_like(p[k]) for k in ("tok", "tok_bias")}
+
+        def output(h, weights, bias, target):
+            """(summed loss, gradient at the outputs of the mean loss)"""
+            z, at = h @ weights + bias, (np.arange(len(target)), target)
+            dz, total, less = exponents(z)
+            dz *= (1 / (n * total))[:, None]
+            dz[at] -= 1 / n
+            return float((less - z[at]).sum()), dz
+
+        loss, dz = output(h, p["cls"], p["cls_bias"], cls)
         out["cls"], out["cls_bias"], dh = h.T @ dz, dz.sum(0), dz @ p["cls"].T
         for c, rows in self.groups(cls):
-            logp = log_softmax(h[rows] @ p["tok"][c] + p["tok_bias"][c])
-            loss -= float(logp[np.arange(len(rows)), within[rows]].sum())
-            dz = np.exp(logp)
-            dz[np.arange(len(rows)), within[rows]] -= 1
+            more, dz = output(h[rows], p["tok"][c], p["tok_bias"][c], within[rows])
+            loss += more
             out["tok"][c], out["tok_bias"][c] = h[rows].T @ dz, dz.sum(0)
             dh[rows] += dz @ p["tok"][c].T
         dx = dh * (1 - h * h)
         out["hidden"] = dx.sum(0)
         out["place"] = np.stack([(dx * p["embed"][context[:, j]]).sum(0) for j in range(2 * SIDE)])
-        spread, at = (dx[:, None, :] * p["place"]).reshape(-1, HIDDEN), context.ravel()
-        out["embed"] = np.stack([np.bincount(at, spread[:, d], SYMBOLS) for d in range(HIDDEN)], 1).astype(dx.dtype)
-        return loss / n, {k: g / n for k, g in out.items()}
+        at, down = context.T.ravel(), dx.T
+        out["embed"] = np.stack([np.bincount(at, (p["place"][:, d, None] * down[d]).ravel(), SYMBOLS) for d in range(HIDDEN)], 1).astype(dx.dtype)
+        return loss / n, out
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -255,7 +281,7 @@ def train_round(texts: DataFrame, network: WindowNetwork, number: int) -> Window
         for batch in batches:
             for part in byte_slices(batch, "ids"):
                 flat, place, _ = texts_of(part.column("ids"))
-                masked = mix.permutation(place[number::ROUNDS])
+                masked = mix.permutation(place[number::MASK])
                 for lo in range(0, len(masked), BATCH):
                     adam.step(*windows(flat, masked[lo:lo + BATCH]))
                 seen += len(masked)
@@ -280,52 +306,29 @@ def train_round(texts: DataFrame, network: WindowNetwork, number: int) -> Window
 
 @dataclass
 class Model:
-    symbols: dict[str, int]
-    stand: np.ndarray           # how often each symbol stands in the corpus
+    words: Vocabulary
     network: WindowNetwork
-    rare: dict[str, DataFrame]  # counts of rarer words: by word, by left neighbour, by right neighbour
-    after: np.ndarray           # how often a rarer word follows each symbol
-    before: np.ndarray          # how often one precedes it
-    size: int                   # rarer words and distinct ones of them, and one for the unseen
+    counts: DataFrame           # (word, n): all words of the corpus
     texts: DataFrame            # the encoded corpus
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """Rarer words of each distinct text between their neighbours: ``n`` in the text, ``total`` in its copies."""
-    return texts.select("key", F.inline("rare")).groupBy("key", "w", "l", "r").agg(F.min("n").alias("n"), F.sum("n").alias("total"))
-
-
 def train(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> Model:
     """Count the whole corpus and train the network on it; ``keep`` names the columns that scores need."""
     counts = stored(word_counts(docs, text_col), "word-counts")
-    symbols, stand = vocabulary(counts)
-    drop_stored(counts)
-    texts = encode(docs, symbols, text_col, keep)
-    network = WindowNetwork(stand)
+    words = vocabulary(counts)
+    texts = encode(docs, words, text_col, keep)
+    network = WindowNetwork(words.stand)
     for number in range(ROUNDS):
         network = train_round(texts, network, number)
-    seen = stored(texts.select(F.inline("rare")).groupBy("w", "l", "r").agg(F.sum("n").alias("n")), "lm-rare")
-    rare = {name: stored(seen.groupBy(*on).agg(F.sum("n").alias(f"n_{name}")), f"lm-rare-{name}")
-            for name, on in (("word", ["w"]), ("left", ["w", "l"]), ("right", ["w", "r"]))}
-    sides = []
-    for side in ("l", "r"):
-        beside = np.zeros(SYMBOLS)
-        for r in seen.groupBy(side).agg(F.sum("n").alias("n")).collect():   # at most SYMBOLS rows
-            beside[r[side]] = r["n"]
-        sides.append(beside)
-    return Model(symbols, stand, network, rare, *sides, int(stand[1]) + rare["word"].count() + 1, texts)
+    return Model(words, network, counts, texts)
 
 
 def rare_scores(texts: DataFrame, model: Model) -> DataFrame:
-    """(key, rare): summed log-probabilities of a text's rarer words among the rarer words."""
-    beside = {"l": F.lit([float(x) for x in model.after]), "r": F.lit([float(x) for x in model.before])}
-    found = occurrences(texts).drop("total")
-    for name, on in (("word", ["w"]), ("left", ["w", "l"]), ("right", ["w", "r"])):
-        found = found.join(model.rare[name], on, "left")
-    count = lambda name: F.coalesce(F.col(f"n_{name}"), F.lit(0))
-    own = count("left") + count("right") + BACKOFF * (count("word") + 1) / F.lit(float(model.size))
-    of = F.get(beside["l"], F.col("l")) + F.get(beside["r"], F.col("r")) + BACKOFF
-    return found.groupBy("key").agg(F.sum(F.col("n") * F.log(own / of)).alias("rare"))
+    """(key, rare): summed log shares of a text's words that are not at hand."""
+    seen = model.counts.filter(F.col("n") <= model.words.least).select(F.xxhash64("word").alias("w"), F.col("n").alias("seen"))
+    found = texts.select("key", F.inline("rare")).join(seen, "w", "left")
+    share = F.log((F.coalesce("seen", F.lit(0)) + 1) / F.lit(float(model.words.size)))
+    return found.groupBy("key").agg(F.sum(F.col("n") * share).alias("rare"))
 
 
 def score_texts(texts: DataFrame, model: Model) -> DataFrame:
@@ -341,10 +344,10 @@ def score_texts(texts: DataFrame, model: Model) -> DataFrame:
                     at = slice(lo, lo + CHUNK)
                     total += np.bincount(owner[at], network.logp(*windows(flat, place[at])), part.num_rows)
                 n = np.bincount(owner, minlength=part.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pa.array(total)], names=["row", "key", "n_tokens", "net"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pc.add(part.column("share"), pa.array(total))], names=["row", "key", "n_tokens", "net"])
 
     row = texts.schema["row"].dataType
-    by_text = texts.select("row", "key", "ids").mapInArrow(run, f"row {row.simpleString()}, key long, n_tokens long, net double")
+    by_text = texts.select("row", "key", "ids", "share").mapInArrow(run, f"row {row.simpleString()}, key long, n_tokens long, net double")
     joined = by_text.join(stored(rare_scores(texts, model), "lm-rare-scores"), "key", "left")
     score = F.col("net") + F.coalesce("rare", F.lit(0.0))
     kept = [F.col("row").getField(c).alias(c) for c in row.names if c not in ("n_tokens", "score", "mean_logprob")]
@@ -353,4 +356,4 @@ def score_texts(texts: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add n_tokens, score (summed log-probability) and mean_logprob."""
-    return score_texts(encode(docs, model.symbols, text_col), model)
+    return score_texts(encode(docs, model.words, text_col), model)
