@@ -41,7 +41,7 @@ CLASSES, CLASS_SIZE = 64, 64
 SYMBOLS = CLASSES * CLASS_SIZE   # 0: border, 1: rarer words, then the frequent words
 SIDE, HIDDEN = 2, 24             # neighbours on each side; width of the network
 ROUNDS, MASK = 4, 8              # rounds of training, and which share of the tokens each masks
-BATCH, RATE = 2048, 0.05
+BATCH, RATE = 4096, 0.08
 CHUNK = 1 << 13                  # windows that are scored at once
 KNOWN = 1 << 16                  # words whose counts tasks have at hand
 MERGERS = 16                     # tasks that average networks
