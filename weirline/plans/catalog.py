@@ -147,10 +147,16 @@ def _overview(w: Workspace) -> DataFrame:
 
 
 def _export_csv(w: Workspace) -> DataFrame:
-    """Rows of each exported table, counted in the CSV files."""
+    """Every filled cell of the exported tables, read back from the CSV files: its table, the
+    first column of its row, its column and its value (all columns but the first are numbers)."""
     out = _run(w)
-    parts = [w.spark.read.option("header", True).csv(f"{out}/tables/{t}").agg(F.count(F.lit(1)).alias("n_rows"))
-             .select(F.lit(t).alias("table_name"), "n_rows") for t in sinks.ANALYSIS_TABLES]
+    parts = []
+    for t in sinks.ANALYSIS_TABLES:
+        read = w.spark.read.option("header", True).option("escape", '"').csv(f"{out}/tables/{t}")
+        first, *others = read.columns
+        cells = read.select(F.coalesce(first, F.lit("")).alias("row_key"), *others).unpivot("row_key", others, "column_name", "cell")
+        parts.append(cells.filter(F.col("cell").isNotNull()).select(
+            F.lit(t).alias("table_name"), "row_key", "column_name", F.round(F.col("cell").try_cast("double"), 6).alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 

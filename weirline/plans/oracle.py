@@ -611,7 +611,12 @@ FROM (SELECT * REPLACE (coalesce(h, height_meters) AS height_meters, if(touched,
               "primary_purposes": "purposes", "usage_patterns": "usage_patterns", "country_analysis": "country_analysis",
               "river_basin_analysis": "basin_analysis", "capacity_analysis": "capacity_classes", "construction_timeline": "timeline",
               "data_completeness": "completeness"}
-    q["export_csv"] = "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM ({q[k]})" for t, k in tables.items())
+    first = {"database_overview": "dataset", "infrastructure_types": "infrastructure_type", "height_categories": "height_category", "primary_purposes": "primary_purpose",
+             "usage_patterns": "use_type", "country_analysis": "country_code", "river_basin_analysis": "river_basin", "capacity_analysis": "capacity_category",
+             "construction_timeline": "construction_period", "data_completeness": "field_name"}
+    q["export_csv"] = "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS table_name, row_key, column_name, round(value, 6) AS value FROM (UNPIVOT (SELECT ifnull({first[t]}, '') AS row_key, "
+        f"CAST(COLUMNS(* EXCLUDE {first[t]}) AS DOUBLE) FROM ({q[k]})) ON COLUMNS(* EXCLUDE row_key) INTO NAME column_name VALUE value)" for t, k in tables.items())
     q["export_statistics_json"] = f"""SELECT (SELECT count(*) FROM ({q['infrastructure_types']})) AS total_types,
  (SELECT infrastructure_type FROM ({q['infrastructure_types']}) ORDER BY dam_count DESC, infrastructure_type LIMIT 1) AS dominant_type,
  (SELECT count(*) FROM ({q['purposes']})) AS total_purposes,
