@@ -79,3 +79,13 @@ def test_hostile_tokens_take_time_in_proportion(scorer):
     start = time.monotonic()
     scorer[0].score(["a1" * 20_000, "x " * 200_000, "." * 200_000, "x." * 100_000 + "!", "a - " * 100_000])
     assert time.monotonic() - start < 20
+
+
+def test_learns_from_every_labelled_row(spark):
+    """A word that only documents late in the order of hashed ids hold is learnt like any other."""
+    ids = spark.range(6000).orderBy(F.xxhash64("id")).select("id").collect()
+    rows = [(r["id"], "an ordinary text about " + ("pfrundling things" if i >= 4400 and i % 2 else "fgrawful things" if i % 2 else "weather and things"), i % 2) for i, r in enumerate(ids)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    s = toxicity.train(given.select("doc_id", "text"), given.select("doc_id", "toxic"))
+    clean, early, late = s.score(["an ordinary text", "an ordinary text fgrawful", "an ordinary text pfrundling"])
+    assert clean < 0.5 < 0.7 < min(early, late)
