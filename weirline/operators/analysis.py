@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirline.functions.stats import count_true, exact_avg, pct, round_dbl
+from weirline.operators.enrich import ViewParts
 from weirline.operators.purge import authentic_rows
 from weirline.operators.spread import spread_join
 from weirline.sources.sinks import staged
@@ -256,7 +257,7 @@ def country_analysis(dams: DataFrame, e: DataFrame, min_dams: int = COUNTRY_MIN_
 
 
 # --------------------------------------------------------------------- A1
-def overview(dams: DataFrame, e: DataFrame, view: DataFrame) -> DataFrame:
+def overview(dams: DataFrame, e: DataFrame, view: ViewParts | DataFrame) -> DataFrame:
     """Three one-row summaries (dams, metadata, enriched view), stacked."""
     d = authentic_rows(dams)
     a = d.agg(F.lit(DATASET_DAMS).alias("dataset"), F.count(F.lit(1)).alias("record_count"),
@@ -271,13 +272,11 @@ def overview(dams: DataFrame, e: DataFrame, view: DataFrame) -> DataFrame:
               F.max("construction_year_gdw").alias("latest_year"),
               exact_avg("height_meters_gdw").alias("avg_height_m"),
               round_dbl(F.max("height_meters_gdw"), 2).alias("max_height_m")))
-    h = F.coalesce(F.col("height_meters_gdw"), F.col("height_meters"))
-    c = view.agg(F.lit(DATASET_VIEW).alias("dataset"), F.count(F.lit(1)).alias("record_count"),
-                 F.count_distinct("country_code").alias("countries"),
-                 F.min(F.least("construction_year", "construction_year_gdw")).alias("earliest_year"),
-                 F.max(F.greatest("construction_year", "construction_year_gdw")).alias("latest_year"),
-                 exact_avg(h).alias("avg_height_m"),
-                 round_dbl(F.max(h), 2).alias("max_height_m"))
+    c = ViewParts.of(view).totals(summary=True).select(
+        F.lit(DATASET_VIEW).alias("dataset"), F.col("rows").alias("record_count"), "countries",
+        F.col("first_year").alias("earliest_year"), F.col("last_year").alias("latest_year"),
+        F.round(F.try_divide(F.col("h_sum").cast("double"), F.col("h_cnt").cast("double")), 2).alias("avg_height_m"),
+        round_dbl(F.col("h_max"), 2).alias("max_height_m"))
     return a.unionByName(b).unionByName(c)
 
 

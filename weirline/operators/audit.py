@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from weirline.operators.enrich import ViewParts
 from weirline.schemas import DAMS_LENGTH_LIMITS
 
 log = logging.getLogger(__name__)
@@ -64,34 +65,38 @@ def year_summary(dams: DataFrame) -> DataFrame:
                     F.max(y).alias("max_year"), F.count(y).alias("with_year"))
 
 
-def enrichment_checks(dams_authentic: DataFrame, enrichment: DataFrame, view: DataFrame) -> DataFrame:
+# Fields and uses of the view that the checks count.
+VIEW_FIELDS = ["height_meters", "height_meters_gdw", "primary_purpose", "river_name", "main_basin", "longitude_precise"]
+VIEW_USES = ["use_irrigation", "use_hydropower"]
+
+
+def enrichment_checks(dams_authentic: DataFrame, enrichment: DataFrame, view: ViewParts | DataFrame) -> DataFrame:
     """All post-enrichment counts in one row: one aggregate per table."""
     a = dams_authentic.agg(F.count(F.lit(1)).alias("main_dams_count"))
     b = enrichment.agg(F.count(F.lit(1)).alias("enrichment_records"))
-    c = view.agg(
-        F.count(F.lit(1)).alias("enriched_view_count"),
-        F.count("height_meters").alias("original_height_count"),
-        F.count("height_meters_gdw").alias("enriched_height_count"),
-        F.count("primary_purpose").alias("purpose_count"),
-        F.count_if(F.col("use_irrigation") == F.lit(True)).alias("irrigation_count"),
-        F.count_if(F.col("use_hydropower") == F.lit(True)).alias("hydropower_count"),
-        F.count("river_name").alias("rivers_identified"),
-        F.count("main_basin").alias("basins_identified"),
-        F.count("longitude_precise").alias("precise_coordinates"),
+    c = ViewParts.of(view).totals(VIEW_FIELDS, VIEW_USES).select(
+        F.col("rows").alias("enriched_view_count"),
+        F.col("height_meters").alias("original_height_count"),
+        F.col("height_meters_gdw").alias("enriched_height_count"),
+        F.col("primary_purpose").alias("purpose_count"),
+        F.col("use_irrigation").alias("irrigation_count"),
+        F.col("use_hydropower").alias("hydropower_count"),
+        F.col("river_name").alias("rivers_identified"),
+        F.col("main_basin").alias("basins_identified"),
+        F.col("longitude_precise").alias("precise_coordinates"),
     )
     return a.crossJoin(b).crossJoin(c)
 
 
-def enrichment_check_frames(dams_authentic: DataFrame, enrichment: DataFrame, view: DataFrame) -> dict[str, DataFrame]:
+def enrichment_check_frames(dams_authentic: DataFrame, enrichment: DataFrame, view: ViewParts | DataFrame) -> dict[str, DataFrame]:
     """The post-enrichment counts as checks of their own, one per table."""
     n = F.count(F.lit(1))
-    fields = ["height_meters", "height_meters_gdw", "primary_purpose", "river_name", "main_basin", "longitude_precise"]
     return {
         "main_dams": dams_authentic.agg(n.alias("main_dams_count")),
         "enrichment": enrichment.agg(n.alias("enrichment_records")),
-        "view": view.agg(n.alias("enriched_view_count")),
-        "fields": view.agg(*[F.count(c).alias(c) for c in fields]),
-        "uses": view.agg(*[F.count_if(F.col(c) == F.lit(True)).alias(c) for c in ("use_irrigation", "use_hydropower")]),
+        "view": ViewParts.of(view).totals().select(F.col("rows").alias("enriched_view_count")),
+        "fields": ViewParts.of(view).totals(VIEW_FIELDS).drop("rows"),
+        "uses": ViewParts.of(view).totals(true=VIEW_USES).drop("rows"),
     }
 
 

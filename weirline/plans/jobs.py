@@ -71,7 +71,7 @@ def run_import(spark: SparkSession, raw_barriers: DataFrame, raw_reservoirs: Dat
 def run_enrichment(spark: SparkSession, raw_metadata: DataFrame, dams_path: str, out_dir: str,
                    run_ts: str, extra_checks: dict | None = None) -> dict:
     """Select + clean metadata, refresh the typed table, materialise the
-    enriched view, run the checks (each check on its own: one that fails is
+    enriched view (its parts: read it with ``enrich.read_view``), run the checks (each check on its own: one that fails is
     recorded and the others stand), write the report."""
     selected, present, missing = enrich.select_fields(raw_metadata)
     ts = F.lit(run_ts).cast("timestamp_ntz")
@@ -81,8 +81,9 @@ def run_enrichment(spark: SparkSession, raw_metadata: DataFrame, dams_path: str,
     e = spark.read.parquet(e_version)
     dams = table_log.read(spark, dams_path)
     view_path = _p(out_dir, "dams_enriched")
-    view_version, view_rows = sinks.refresh_table(spark, enrich.enriched_view(dams, e), view_path)
-    view = spark.read.parquet(view_version)
+    view_version = sinks.refresh_parts(spark, vars(enrich.view_parts(dams, e)), view_path)
+    view = enrich.read_view(spark, view_version)
+    view_rows = view.totals().first()["rows"]
     checks = audit.run_checks({**audit.enrichment_check_frames(purge.authentic_rows(dams), e, view), **(extra_checks or {})})
     fields = [{"source_field": s, "column": t} for s, t in present.items()] + [{"source_field": s, "column": None} for s in missing]
     summary = [{"records": records, "enriched_view_rows": view_rows, "fields": len(present), "missing_fields": len(missing)}]
@@ -156,7 +157,7 @@ def run_cleaning(spark: SparkSession, dams_path: str, stations: DataFrame, readi
 
 
 # ------------------------------------------------------------------- C4
-def analysis_tables(dams: DataFrame, e: DataFrame, view: DataFrame) -> dict[str, DataFrame]:
+def analysis_tables(dams: DataFrame, e: DataFrame, view: enrich.ViewParts) -> dict[str, DataFrame]:
     """The ten published analysis tables, keyed by their export name."""
     names = sinks.ANALYSIS_TABLES
     frames = [
@@ -172,7 +173,7 @@ def run_analysis(spark: SparkSession, dams_path: str, enrichment_path: str, view
     """Export the ten tables as CSV, the statistics JSON, the executive
     summary and the manifest.  Reads the materialised enrichment and view."""
     dams = table_log.read(spark, dams_path)
-    e, view = (spark.read.parquet(p) for p in (enrichment_path, view_path))
+    e, view = spark.read.parquet(enrichment_path), enrich.read_view(spark, view_path)
     tables = analysis_tables(dams, e, view)
     collected, totals = {}, {}
     for name, df in tables.items():

@@ -110,6 +110,10 @@ class Workspace:
     def view(self) -> DataFrame:
         return enrich.enriched_view(*self.staged_inputs([s for s, _ in VIEW_DAM_COLUMNS], VIEW_ENRICHMENT_COLUMNS))
 
+    @cached_property
+    def view_parts(self) -> enrich.ViewParts:
+        return enrich.view_parts(*self.staged_inputs([s for s, _ in VIEW_DAM_COLUMNS], VIEW_ENRICHMENT_COLUMNS))
+
     def staged_inputs(self, dam_columns: list[str], enrichment_columns: list[str]) -> tuple[DataFrame, DataFrame]:
         """Authentic registry rows and metadata, each derived once and written, for plans that
         read them several times."""
