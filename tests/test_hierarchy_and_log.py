@@ -106,3 +106,13 @@ def test_a_taken_number_is_not_taken_twice(spark, path, monkeypatch):
         table_log.append(spark.range(5, 9), path, "id")
     assert ids(spark, path) == [0, 1, 2, 3, 4, 5]
     assert [e["number"] for e in table_log.entries(spark, path)] == [1, 2]
+
+
+def test_a_refused_append_derives_its_keys_only(spark):
+    """Known keys are refused before the other columns are computed and written."""
+    path = scratch_path(spark, f"tests/log-{uuid.uuid4().hex[:8]}")
+    table_log.append(spark.createDataFrame([(1, "a")], "k int, v string"), path, key="k")
+    again = spark.range(1, 3).select(F.col("id").cast("int").alias("k"), F.raise_error(F.lit("computed")).cast("string").alias("v"))
+    with pytest.raises(table_log.KeyViolation):
+        table_log.append(again, path, key="k")
+    assert table_log.read(spark, path).count() == 1

@@ -72,6 +72,9 @@ def append(df: DataFrame, path: str, key: str | None = None) -> int:
     part = f"part-{uuid.uuid4().hex}"
     staged, fs = _path(spark, f"{base}/{part}")
     written = Observation()
+    log = entries(spark, path)
+    if key is not None and log and (bad := violations(df.select(key), key, read(spark, path))):
+        raise KeyViolation(f"{bad} rows of the append to {path} break the key {key}")     # before anything is written
     try:
         df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/{part}")
         n = int(written.get["n"])
