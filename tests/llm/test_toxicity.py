@@ -89,3 +89,18 @@ def test_learns_from_every_labelled_row(spark):
     s = toxicity.train(given.select("doc_id", "text"), given.select("doc_id", "toxic"))
     clean, early, late = s.score(["an ordinary text", "an ordinary text fgrawful", "an ordinary text pfrundling"])
     assert clean < 0.5 < 0.7 < min(early, late)
+
+
+def test_only_tokens_that_may_hold_a_feature_are_restored(monkeypatch):
+    model = toxicity.CharModel({"idiot": 5, "letter": 5, "ab": 5, "trash": 5})
+    weights = dict.fromkeys(["idi", "idiot$", "trash$", "tras", "ab$", "xyz123"], 1.0)
+    tokens = ["1d!0t", "idiiiot,", "letter,", "ab", "aab.", "4b!", "tr@$h!", "trr@sh", "xyz123", "trash$", "l3tt3r", "$$$", "a", "!!@", "ididi,", "i.d.i.o.t"]
+    calls, whole = [], model.restore
+    monkeypatch.setattr(model, "restore", lambda token: calls.append(token) or whole(token))
+    scorer = toxicity.Scorer(model, weights, 0.0)
+    for token in tokens:
+        shapes = {token.rstrip(".,;:"), toxicity.plain_word(token)} if toxicity.is_odd(token) else set()
+        words = [toxicity.plain_word(token), *(whole(s) for s in shapes if s)]
+        assert scorer.token_features(token) == {f for w in words for f in toxicity.word_features(w) if f in weights}, token
+    calls.clear()
+    assert not scorer.token_features("letter,") and not scorer.token_features("boook.") and not calls
