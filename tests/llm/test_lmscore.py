@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,19 @@ def test_prose_scores_above_its_words_in_random_order(prose):
     a, b = lmscore.score(prose, model), lmscore.score(mixed, model).select("doc_id", F.col("mean_logprob").alias("m"))
     both = a.filter("n_tokens >= 20").join(b, "doc_id").agg(F.avg((F.col("mean_logprob") > F.col("m")).cast("int"))).first()[0]
     assert both > 0.9
+
+
+def test_words_stay_arrow_and_hash_as_spark_does(spark):
+    """No Python string is made of a word before its hash is asked for; empty ends of texts are no words."""
+    owner, words, index = lmscore.split_words(pa.array([" B a ", None, "", "a  c\n", "b"]))
+    assert isinstance(words, pa.Array) and words.to_pylist() == ["b", "a", "c"]
+    assert owner.tolist() == [0, 0, 3, 3, 4] and index.tolist() == [0, 1, 1, 2, 0]
+    same = spark.createDataFrame([(w,) for w in ("b", "a", "ü€")], "w string").select(F.xxhash64("w")).collect()
+    assert lmscore.hashed(pa.array(["b", "a", "ü€"])).tolist() == [r[0] for r in same]
+
+
+def test_log_probabilities_far_below_the_greatest():
+    h, weights, bias = np.eye(2, 3, dtype=np.float32), np.zeros((3, lmscore.CLASS_SIZE), np.float32), np.zeros(lmscore.CLASS_SIZE, np.float32)
+    weights[0], bias[5] = 200, 1
+    got = lmscore.logp_of(h, weights, bias, np.array([5, 5]))
+    assert np.allclose(got, 1 - math.log(math.e + lmscore.CLASS_SIZE - 1), atol=1e-4)

@@ -47,20 +47,22 @@ KNOWN = 1 << 16                  # words whose counts tasks have at hand
 MERGERS = 16                     # tasks that average networks
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(text number of every word, distinct words, index of every word in them), in text order."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    words = pc.list_flatten(lists)
-    filled = pc.greater(pc.binary_length(words), 0)
-    coded = words.filter(filled).dictionary_encode()
-    return owner[filled.to_numpy(zero_copy_only=False)], coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    coded = pc.list_flatten(lists).dictionary_encode()
+    index, empty = coded.indices.to_numpy(), pc.index(coded.dictionary, "").as_py()
+    if empty < 0:
+        return owner, coded.dictionary, index
+    filled = index != empty
+    words = pa.concat_arrays([coded.dictionary[:empty], coded.dictionary[empty + 1:]])
+    return owner[filled], words, (index - (index > empty))[filled]
 
 
-def hashed(word: str) -> int:
+def hashed(words: pa.Array) -> np.ndarray:
     """What Spark's xxhash64 gives."""
-    h = xxhash.xxh64_intdigest(word, seed=42)
-    return h - (1 << 64) if h >> 63 else h
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.to_numpy(zero_copy_only=False)), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -70,7 +72,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in byte_slices(batch, text_col, 8 << 20):
                 _, words, index = split_words(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(index, minlength=len(words)).astype(np.int64))],
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(index, minlength=len(words)).astype(np.int64))],
                                                  names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -112,18 +114,18 @@ def encode(docs: DataFrame, words: Vocabulary, text_col: str = "text", keep: lis
     base = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, symbols = pa.array(list(words.symbols), pa.string()), np.array([*words.symbols.values()], np.uint16)
+        known, shares = pa.array(list(words.shares), pa.string()), np.array([*words.shares.values()])
         for batch in batches:
             for part in byte_slices(batch, "text", 4 << 20):
                 owner, distinct, index = split_words(part.column("text"))
                 symbol, share, name = np.ones(len(distinct), np.uint16), np.zeros(len(distinct)), np.zeros(len(distinct), np.int64)
-                away = np.zeros(len(distinct), bool)
-                for i, w in enumerate(distinct):
-                    if w in words.symbols:
-                        symbol[i] = words.symbols[w]
-                    elif w in words.shares:
-                        share[i] = words.shares[w]
-                    else:
-                        name[i], away[i] = hashed(w), True
+                away = np.ones(len(distinct), bool)
+                for places, values, out in ((frequent, symbols, symbol), (known, shares, share)):
+                    at = pc.fill_null(pc.index_in(distinct, places), -1).to_numpy()
+                    out[at >= 0] = values[at[at >= 0]]
+                    away[at >= 0] = False
+                name[away] = hashed(distinct.filter(pa.array(away)))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))])
                 at = np.flatnonzero(away[index])
                 pairs, times = np.unique(owner[at] * (len(distinct) + 1) + index[at], return_counts=True)
@@ -149,7 +151,7 @@ def padded(ids: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray,
 
 def windows(flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours, token) at the given places."""
-    return np.stack([flat[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1), flat[place]
+    return np.stack([flat.take(place + d) for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1), flat[place]
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +161,26 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return *padded(ids, owner, len(column)), owner
 
 
+ONES = np.ones(CLASS_SIZE, np.float32)
+
+
+def logp_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability that the softmax of h @ weights + bias gives each row's target."""
+    z = h @ weights
+    z += bias
+    own, top = z[np.arange(len(target)), target], z.max()
+    z -= top
+    total = np.exp(z, out=z) @ ONES.astype(z.dtype, copy=False)
+    if total.min() < 1e-25:   # a row far below the greatest value
+        z = h @ weights
+        z += bias
+        return own - exponents(z)[2]
+    np.log(total, out=total)
+    total += top
+    own -= total
+    return own
+
+
 def exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """e, its row sums and the logarithms that rows of z need to become log-probabilities (e / sum is the softmax)."""
     top = z.max()
@@ -182,10 +204,15 @@ class WindowNetwork:
                   "tok": r.normal(0, 0.05, (CLASSES, HIDDEN, CLASS_SIZE)), "tok_bias": np.log(share)}   # starts as the shares of words
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, context: np.ndarray) -> np.ndarray:
-        x = self.p["embed"][context[:, 0]] * self.p["place"][0]
+    def placed(self) -> list[np.ndarray]:
+        """The symbols' embeddings as each place scales them."""
+        return [self.p["embed"] * self.p["place"][j] for j in range(2 * SIDE)]
+
+    def states(self, context: np.ndarray, placed: list[np.ndarray] | None = None) -> np.ndarray:
+        tables = placed or self.placed()
+        x = tables[0].take(context[:, 0], 0)
         for j in range(1, 2 * SIDE):
-            x += self.p["embed"][context[:, j]] * self.p["place"][j]
+            x += tables[j].take(context[:, j], 0)
         x += self.p["hidden"]
         return np.tanh(x, out=x)
 
@@ -196,31 +223,30 @@ class WindowNetwork:
         for c in np.flatnonzero(ends[1:] > ends[:-1]):
             yield c, slice(ends[c], ends[c + 1])
 
-    def logp(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def logp(self, context: np.ndarray, token: np.ndarray, placed: list[np.ndarray] | None = None) -> np.ndarray:
         """ln p(token | neighbours) of every row."""
-        order = np.argsort(token, kind="stable")
-        h, (cls, within) = self.states(context[order]), np.divmod(token[order], CLASS_SIZE)
-        z = h @ self.p["cls"]
-        z += self.p["cls_bias"]
-        got = z[np.arange(len(token)), cls] - exponents(z)[2]
+        order = np.argsort(token.astype(np.uint16), kind="stable")
+        h, (cls, within) = self.states(context.take(order, 0), placed), np.divmod(token.take(order), CLASS_SIZE)
+        if not len(token):
+            return np.empty(0, h.dtype)
+        got = logp_of(h, self.p["cls"], self.p["cls_bias"], cls)
         for c, rows in self.groups(cls):
-            z = h[rows] @ self.p["tok"][c]
-            z += self.p["tok_bias"][c]
-            got[rows] += z[np.arange(len(z)), within[rows]] - exponents(z)[2]
+            got[rows] += logp_of(h[rows], self.p["tok"][c], self.p["tok_bias"][c], within[rows])
         out = np.empty_like(got)
         out[order] = got
         return out
 
     def gradients(self, context: np.ndarray, token: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the tokens and its gradients."""
-        order = np.argsort(token, kind="stable")
-        p, n, context = self.p, len(token), context[order]
-        h, (cls, within) = self.states(context), np.divmod(token[order], CLASS_SIZE)
+        order = np.argsort(token.astype(np.uint16), kind="stable")
+        p, n, context = self.p, len(token), context.take(order, 0)
+        h, (cls, within) = self.states(context), np.divmod(token.take(order), CLASS_SIZE)
         out = {k: np.zeros_like(p[k]) for k in ("tok", "tok_bias")}
 
         def output(h, weights, bias, target):
             """(summed loss, gradient at the outputs of the mean loss)"""
-            z, at = h @ weights + bias, (np.arange(len(target)), target)
+            z, at = h @ weights, (np.arange(len(target)), target)
+            z += bias
             dz, total, less = exponents(z)
             dz *= (1 / (n * total))[:, None]
             dz[at] -= 1 / n
@@ -235,7 +261,7 @@ class WindowNetwork:
             dh[rows] += dz @ p["tok"][c].T
         dx = dh * (1 - h * h)
         out["hidden"] = dx.sum(0)
-        out["place"] = np.stack([(dx * p["embed"][context[:, j]]).sum(0) for j in range(2 * SIDE)])
+        out["place"] = np.stack([(dx * p["embed"].take(context[:, j], 0)).sum(0) for j in range(2 * SIDE)])
         at, down = context.T.ravel(), dx.T
         out["embed"] = np.stack([np.bincount(at, (p["place"][:, d, None] * down[d]).ravel(), SYMBOLS) for d in range(HIDDEN)], 1).astype(dx.dtype)
         return loss / n, out
@@ -336,13 +362,14 @@ def score_texts(texts: DataFrame, model: Model) -> DataFrame:
     network = model.network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placed = network.placed()
         for batch in batches:
             for part in byte_slices(batch, "ids"):
                 flat, place, owner = texts_of(part.column("ids"))
                 total = np.zeros(part.num_rows)
                 for lo in range(0, len(place), CHUNK):
                     at = slice(lo, lo + CHUNK)
-                    total += np.bincount(owner[at], network.logp(*windows(flat, place[at])), part.num_rows)
+                    total += np.bincount(owner[at], network.logp(*windows(flat, place[at]), placed), part.num_rows)
                 n = np.bincount(owner, minlength=part.num_rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("key"), pa.array(n), pc.add(part.column("share"), pa.array(total))], names=["row", "key", "n_tokens", "net"])
 
