@@ -58,6 +58,14 @@ def py_strip(c) -> Column:
     return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
+def _literal(c, pattern: str, kind: str) -> Column:
+    """The stripped text as ``kind`` where it fits ``pattern``.  A text that fits as it
+    stands (``\\z``: to its very end) has nothing to strip, which is by far the dearest step."""
+    c, s = _col(c), py_strip(c)
+    return F.when(c.rlike(pattern.removesuffix("$") + r"\z"), c.try_cast(kind)) \
+        .otherwise(F.when(s.rlike(pattern), s.try_cast(kind)))
+
+
 def parse_number(c) -> Column:
     """Text -> double; NULL when the stripped text is not a decimal literal.
 
@@ -66,8 +74,7 @@ def parse_number(c) -> Column:
     earlier projection: Spark does not share a sub-expression between the
     condition and the value of a CASE WHEN.
     """
-    s = py_strip(c)
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast("double"))
+    return _literal(c, NUMBER_PATTERN, "double")
 
 
 def parse_integer(c) -> Column:
@@ -76,8 +83,7 @@ def parse_integer(c) -> Column:
     ``'1950.7'`` is not an integer literal and gives NULL, as ``int('1950.7')``
     fails in Python.
     """
-    s = py_strip(c)
-    return F.when(s.rlike(INTEGER_PATTERN), s.try_cast("bigint"))
+    return _literal(c, INTEGER_PATTERN, "bigint")
 
 
 # -- rules on parsed values -------------------------------------------------

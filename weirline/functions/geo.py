@@ -67,8 +67,9 @@ def polygon_from_wkt(wkt) -> Column:
             (i == 0).alias("shell"), F.transform(F.split(ring, ","), vertex).alias("points")))
 
     rings = F.flatten(F.transform(F.split(inner, r"\)\s*\)\s*,\s*\(\s*\("), part))
-    broken = F.exists(rings, lambda r: F.exists(r["points"], lambda q: q["x"].isNull() | q["y"].isNull()))
-    return F.when((body != "") & ~broken, rings)
+    broken = lambda found: F.exists(found, lambda r: F.exists(r["points"], lambda q: q["x"].isNull() | q["y"].isNull()))
+    # As the one element of an array, the rings are derived once for the test and the result.
+    return F.get(F.filter(F.when(body != "", F.array(rings)), lambda found: ~broken(found)), 0)
 
 
 def unreadable_area(wkt) -> Column:
@@ -89,17 +90,19 @@ def _oriented_terms(item: Column) -> Column:
         F.lit(0.0).alias("l"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"),
     )
 
-    def step(acc, k):
+    def edge(k):
         p, q = ring[k], ring[k + 1]
-        cross = p["x"] * q["y"] - q["x"] * p["y"]
-        seg = F.sqrt((q["x"] - p["x"]) ** 2 + (q["y"] - p["y"]) ** 2)
+        return F.struct((p["x"] * q["y"] - q["x"] * p["y"]).alias("cross"), (p["x"] + q["x"]).alias("x"), (p["y"] + q["y"]).alias("y"),
+                        F.sqrt((q["x"] - p["x"]) ** 2 + (q["y"] - p["y"]) ** 2).alias("seg"))
+
+    def step(acc, e):
         return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["cx"] + (p["x"] + q["x"]) * cross).alias("cx"),
-            (acc["cy"] + (p["y"] + q["y"]) * cross).alias("cy"),
-            (acc["l"] + seg).alias("l"),
-            (acc["mx"] + seg * (p["x"] + q["x"]) / 2).alias("mx"),
-            (acc["my"] + seg * (p["y"] + q["y"]) / 2).alias("my"),
+            (acc["a"] + e["cross"]).alias("a"),
+            (acc["cx"] + e["x"] * e["cross"]).alias("cx"),
+            (acc["cy"] + e["y"] * e["cross"]).alias("cy"),
+            (acc["l"] + e["seg"]).alias("l"),
+            (acc["mx"] + e["seg"] * e["x"] / 2).alias("mx"),
+            (acc["my"] + e["seg"] * e["y"] / 2).alias("my"),
         )
 
     def finish(t):
@@ -107,7 +110,7 @@ def _oriented_terms(item: Column) -> Column:
         return F.struct((t["a"] * s).alias("a"), (t["cx"] * s).alias("cx"), (t["cy"] * s).alias("cy"),
                         t["l"].alias("l"), t["mx"].alias("mx"), t["my"].alias("my"))
 
-    return F.when(F.size(ring) >= 2, F.aggregate(idx, zero, step, finish)).otherwise(zero)
+    return F.when(F.size(ring) >= 2, F.aggregate(F.transform(idx, edge), zero, step, finish)).otherwise(zero)
 
 
 def polygon_totals(rings) -> Column:
