@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weirline.llm import suffixdup
@@ -168,3 +169,20 @@ def test_clashing_names_stay(spark, prose):
     frame = spark.createDataFrame([(1, prose(60, 1), 1, 2, 3, 4), (2, prose(60, 1), 5, 6, 7, 8)], "doc_id long, text string, _h int, spans int, h int, row int")
     got = suffixdup.remove_repeats(frame, size=SIZE, keep="first").collect()
     assert sorted((r["doc_id"], r["_h"], r["spans"], r["h"], r["row"]) for r in got) == [(1, 1, 2, 3, 4), (2, 5, 6, 7, 8)]
+
+
+def test_rows_of_a_batch_become_python_objects_a_few_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"name": list(range(1000)), "text": [b"x"] * 1000})
+    rows = suffixdup._rows(batch)
+    assert [r["name"] for r in rows] == list(range(1000))
+    asked = []
+
+    class Watched:
+        num_rows = 1000
+
+        def slice(self, at, n):
+            asked.append((at, n))
+            return batch.slice(at, n)
+
+    next(iter(suffixdup._rows(Watched())))
+    assert asked == [(0, suffixdup.PYTHON_ROWS)]
