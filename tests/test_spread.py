@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from weirline.operators import analysis, enrich, purge
-from weirline.operators.spread import frequent, spread_join
+from weirline.operators.spread import frequent, shared_keys, spread_join, with_matches
 from weirline.plans.workspace import Workspace
 
 PLAIN = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
@@ -107,3 +107,24 @@ def test_view_with_hot_and_missing_names(plain):
     on = (d["dam_name"] == e["dam_name_gdw"]) | (d["country_code"] == F.substring(e["gdw_comments"], 1, 10))
     want = d.join(e, on, "left").groupBy("dam_id").agg(F.count(F.lit(1)).alias("n"), F.count("gdw_id").alias("m"))
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_keys_are_counted_in_the_plan(plain):
+    a = plain.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else str(i)) for i in range(3000)], "id int, k string")
+    b = plain.createDataFrame([("hot",), ("5",), ("5",), ("none",), (None,)], "j string")
+    plain.sparkContext.setJobGroup("keys", "keys")
+    often, others = shared_keys(a, "k", b, "j")
+    found = with_matches(a, "k", often, others, "m", ["id"])
+    assert list(plain.sparkContext.statusTracker().getJobIdsForGroup("keys")) == []
+    assert {r["k"]: (r["pl"], r["pr"], r["both"]) for r in often.collect()} == {"hot": (3, 2, True), "5": (1, 4, True), "none": (1, 2, False)}
+    assert found.where("m.both").groupBy("k").count().collect() != [] and found.count() == 3000
+    assert {r["k"]: r["n"] for r in found.where("m.both").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()} == {"hot": 1000, "5": 1}
+    assert largest_share(found) < 0.5      # rows with a frequent key or none are dealt evenly
+    assert all(df.count() == 0 for df in shared_keys(a.limit(0), "k", b.limit(0), "j"))
+    assert {r["pl"] for r in shared_keys(a.limit(0), "k", b, "j")[0].collect()} == {1}
+
+
+def test_planned_view_spreads_hot_and_missing_names(plain):
+    hot, reg, w = _registry(plain)
+    view = enrich.enriched_view(reg, w.enrichment.where(F.col("dam_name_gdw") == hot).limit(1))
+    assert view.count() >= reg.count() and largest_share(view) < 0.5
